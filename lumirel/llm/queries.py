@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, suffix_dedup
+from . import byte_bpe, exact_dedup, minhash, suffix_dedup
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.token_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op6_suffix_array_dedup, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op6_suffix_array_dedup, op8_exact_dedup)}
 
 
 OP1_SQL = r"""
