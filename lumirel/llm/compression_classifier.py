@@ -74,7 +74,7 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     """Ridge logistic regression by Newton steps that are halved until they improve the fit."""
     x = np.c_[x, np.ones(len(x))]
     penalty = np.full(x.shape[1], ridge)
