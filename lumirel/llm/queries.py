@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, minhash, suffix_dedup
+from . import byte_bpe, compression_classifier, exact_dedup, language_id, minhash, mixing, quality_rules, suffix_dedup
 from .common import read_table
 
 
@@ -18,6 +18,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op4_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_classifier.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
 
@@ -26,8 +38,22 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op6_suffix_array_dedup, op8_exact_dedup)}
+    found = (
+        op1_minhash_near_dedup,
+        op2_byte_bpe,
+        op3_quality_rules,
+        op4_compression_classifier,
+        op5_source_mixing,
+        op6_suffix_array_dedup,
+        op8_exact_dedup,
+        op10_language_id,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP1_SQL = r"""
