@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, compression_classifier, exact_dedup, language_id, minhash, mixing, quality_rules, suffix_dedup
+from . import byte_bpe, compression_classifier, exact_dedup, html_text, language_id, minhash, mixing, quality_rules, suffix_dedup, warc
 from .common import read_table
 
 
@@ -34,10 +34,18 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_assemble(read_table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(read_table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_compression_classifier,
         op5_source_mixing,
         op6_suffix_array_dedup,
+        op7_html_extraction,
         op8_exact_dedup,
+        op9_warc,
         op10_language_id,
     )
     return {f.__name__: f for f in found}
@@ -79,5 +89,15 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, min(page_id) AS first_id FROM p WHERE strlen(html) >= 100 GROUP BY html)
+SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes, sha256(p.html) AS payload_digest,
+  CASE WHEN first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id <> p.page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN g USING (html)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL}
