@@ -1 +1 @@
-"""Image-relational analytics on Spark."""
+"""Functions of columns: pixel values, colours, masks, wavelengths and times."""

@@ -1 +1 @@
-"""Image-relational analytics on Spark."""
+"""Operators on pixel relations and lists of images."""

@@ -1 +1 @@
-"""Image-relational analytics on Spark."""
+"""Where images and frames come from and go to."""

@@ -1 +1 @@
-"""Image-relational analytics on Spark."""
+"""Frames that arrive over time, as structured streams."""
