@@ -87,7 +87,7 @@ def _filters(block_bits: int):
         fp = np.unique(np.concatenate(held).view(np.uint64), return_counts=True) if held else (np.zeros(0, np.uint64),) * 2
         block = (fp[0] >> np.uint64(64 - block_bits)).astype(np.int64)
         ids, first = np.unique(block, return_index=True)
-        ends = np.r_[first[1:], len(block)].astype(int)
+        ends = np.r_[first[1:], len(block)].astype(int)[: len(ids)]
         out = [QuotientFilter.of_sorted(fp[0][a:b], fp[1][a:b].astype(np.uint64)).to_bytes() for a, b in zip(first, ends, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["block", "cqf"])
 

@@ -255,8 +255,10 @@ class Tagger:
         return out / out.sum(axis=1, keepdims=True)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not self.crf.languages:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         langs, scores = [], []
-        at, start, held = 0, 0, 0
+        start, held = 0, 0
         sizes = [len(t or "") // 4 + 1 for t in texts]
         ranges = []
         for i, s in enumerate(sizes):
@@ -273,7 +275,7 @@ class Tagger:
             weight = share[at[1:]] - share[at[:-1]]
             n = total[at[1:]] - total[at[:-1]]
             for w, m in zip(weight, n, strict=True):
-                if not m or not self.crf.languages:
+                if not m:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                 else:

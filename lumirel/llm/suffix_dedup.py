@@ -105,7 +105,7 @@ def _by_bucket(unit: int, keys: np.ndarray, bits: int) -> pa.RecordBatch:
     keys = np.repeat(keys, np.minimum(n, 2))
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
     ids, first = np.unique(bucket, return_index=True)
-    ends = np.r_[first[1:], len(keys)].astype(int)
+    ends = np.r_[first[1:], len(keys)].astype(int)[: len(ids)]
     blobs = [keys[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([unit] * len(ids), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "unit", "keys"])
 
