@@ -50,6 +50,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.path, batch.content, strict=True):
                 cards, data = parse(content)
-                yield pd.DataFrame({"path": [name], "width": [data.shape[1]], "height": [data.shape[0]], "data": [data.ravel()], "meta": [[(k, v) for k, v in cards.items() if k != "END"]]})
+                yield pd.DataFrame({"path": [name], "width": [data.shape[1]], "height": [data.shape[0]], "data": [data.ravel()], "meta": [{k: v for k, v in cards.items() if k != "END"}]})
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.fits").load(path).select("path", "content").mapInPandas(decode, SCHEMA)

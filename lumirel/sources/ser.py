@@ -16,23 +16,24 @@ from pyspark.sql import functions as F
 
 from ..functions.spectral import ticks_to_timestamp
 
-HEADER = struct.Struct("<14s7i40s40s40s2q")
+HEADER = "<14s7i40s40s40s2q"
+HEADER_BYTES = struct.calcsize(HEADER)
 FRAMES = "path string, frame_id int, width int, height int, ticks long, data array<float>"
 
 
 def header(content: bytes) -> dict:
     """The fields of a header; files that aren't SER videos, or are cut, fail."""
-    if len(content) < HEADER.size or not content.startswith(b"LUCAM-RECORDER"):
+    if len(content) < HEADER_BYTES or not content.startswith(b"LUCAM-RECORDER"):
         raise ValueError("not a SER file")
     names = ["file_id", "camera", "color", "endian", "width", "height", "depth", "frames", "observer", "instrument", "telescope", "local_ticks", "utc_ticks"]
-    found = dict(zip(names, HEADER.unpack_from(content), strict=True))
+    found = dict(zip(names, struct.unpack_from(HEADER, content), strict=True))
     return {k: v.rstrip(b"\0 ").decode("ascii", "replace") if isinstance(v, bytes) else v for k, v in found.items()}
 
 
 def write(path: str, frames: np.ndarray, ticks: list[int] | None = None, depth: int = 16) -> None:
     """Mono frames (frame, row, column) as a SER file."""
     n, h, w = frames.shape
-    head = HEADER.pack(b"LUCAM-RECORDER", 0, 0, 0, w, h, depth, n, b"", b"", b"", 0, 0)
+    head = struct.pack(HEADER, b"LUCAM-RECORDER", 0, 0, 0, w, h, depth, n, b"", b"", b"", 0, 0)
     with open(path, "wb") as f:
         f.write(head + frames.astype("<u2" if depth > 8 else "u1").tobytes())
         if ticks:
@@ -48,11 +49,11 @@ def read_frames(spark: SparkSession, path: str, first: int = 0, last: int | None
                 h = header(content)
                 wide = h["depth"] > 8
                 size = h["width"] * h["height"] * (2 if wide else 1)
-                tail = HEADER.size + size * h["frames"]
+                tail = HEADER_BYTES + size * h["frames"]
                 kind = np.dtype("u1") if not wide else np.dtype("<u2") if h["endian"] == 0 else np.dtype(">u2")
                 stamps = np.frombuffer(content, "<i8", h["frames"], tail) if len(content) >= tail + 8 * h["frames"] else None
                 for i in range(first, min(h["frames"], h["frames"] if last is None else last + 1)):
-                    data = np.frombuffer(content, kind, h["width"] * h["height"], HEADER.size + i * size).astype("f4")
+                    data = np.frombuffer(content, kind, h["width"] * h["height"], HEADER_BYTES + i * size).astype("f4")
                     yield pd.DataFrame({"path": [name], "frame_id": [i], "width": [h["width"]], "height": [h["height"]], "ticks": [int(stamps[i]) if stamps is not None else 0], "data": [data]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ser").load(path).select("path", "content")
