@@ -17,9 +17,10 @@ Counting collisions merges as few postings as it can:
   collisions counted by probing the two signatures of a candidate pair.
 
 Groups of thousands of near copies would make quadratically many pairs, all of one component.
-So lists are joined in rounds: each list first pairs its members with its smallest member only
-and components are formed; later rounds pair only members of different components, at last all
-of them. No link between components is lost, and a group of n copies makes about n pairs.
+So lists are joined in rounds: each list first pairs its members with its most central one only
+(whose values are the commonest) and components are formed; the last round pairs members of
+different components, all of these that can be similar at all. No link between components is lost, and a group of n
+copies makes about n pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, prefix_hashes, route_filter, route_mark, span_hashes, window_hashes, word_spans
@@ -40,7 +41,9 @@ MATCHES = 28
 #: A link: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
 #: Rounds in which a list pairs its members with one member of each list.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Links of the component passes that one task is planned to hold.
+LINKS_PER_TASK = 1 << 15
 _FACTORS = (np.random.RandomState(20240501).randint(1, 2**31, COORDINATES).astype(np.uint32) * np.uint32(2)) | np.uint32(1)
 
 
@@ -128,69 +131,100 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Each pass gives a node the smallest label among itself and its neighbours, then the
     label of that label; passes end when none changes. Every pass is written to the shared folder.
     """
-    both = cut(links.select("u", "v").union(links.select("v", "u")).distinct())
+    # Few links are kept in few tasks, so that a pass over them writes few shuffle files.
+    tasks = links.count() // LINKS_PER_TASK + 1
+    both = cut(links.select("u", "v").union(links.select("v", "u")).distinct().coalesce(tasks))
     label = nodes.select("rep", F.col("rep").alias("comp"))
-    touched = cut(both.select(F.col("u").alias("rep")).distinct().withColumn("comp", F.col("rep")))
+    touched = cut(both.select(F.col("u").alias("rep")).distinct().withColumn("comp", F.col("rep")).coalesce(tasks))
     changed = touched.count()
     while changed:
         low = both.join(touched, F.col("v") == F.col("rep")).groupBy("u").agg(F.min("comp").alias("low"))
         near = touched.join(low, F.col("rep") == F.col("u"), "left").select("rep", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
         far = touched.select(F.col("rep").alias("of"), F.col("comp").alias("next"))
-        step = cut(near.join(far, F.col("comp") == F.col("of"), "left").select("rep", "was", F.least("comp", "next").alias("comp")))
+        step = cut(near.join(far, F.col("comp") == F.col("of"), "left").select("rep", "was", F.least("comp", "next").alias("comp")).coalesce(tasks))
         changed = step.filter("comp <> was").count()
         touched = step.select("rep", "comp")
     return label.withColumnRenamed("comp", "own").join(touched, "rep", "left").select("rep", F.coalesce("comp", "own").alias("comp"))
 
 
-def _candidates(index: DataFrame, comp: DataFrame | None, stars: bool) -> DataFrame:
-    """(u, v) of list members to be compared: with the list's leader, or all of different components."""
-    lists = index if comp is None else index.join(comp, "rep")
-    if comp is None:
-        lead = lists.groupBy("posting").agg(F.min("rep").alias("lead"))
-        pairs = lists.join(lead, "posting").filter("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v"))
-        return pairs.distinct()
-    # Lists of a single component have nothing to compare.
-    spread = lists.groupBy("posting").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), F.min(F.struct("comp", "rep")).alias("first"), F.max(F.struct("comp", "rep")).alias("last"))
-    spread = spread.filter("low <> top")
-    if stars:
-        lists = lists.join(spread, "posting")
-        one = lists.filter("comp <> low").select(F.col("first.rep").alias("u"), F.col("rep").alias("v"))
-        two = lists.filter("comp <> top").select(F.col("last.rep").alias("u"), F.col("rep").alias("v"))
-        pairs = one.union(two)
-    else:
-        # Every pair of different components has a member outside the list's commonest component.
-        n = lists.join(spread.select("posting"), "posting").groupBy("posting", "comp").agg(F.count(F.lit(1)).alias("n"))
-        main = n.groupBy("posting").agg(F.max(F.struct("n", "comp")).alias("m")).select("posting", F.col("m.comp").alias("main"))
-        mine = lists.join(main, "posting")
-        other = mine.filter("comp <> main").select("posting", F.col("rep").alias("u"), F.col("comp").alias("cu"))
-        pairs = other.join(mine.select("posting", F.col("rep").alias("v"), F.col("comp").alias("cv")), "posting").filter("cu <> cv").select("u", "v")
+def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+        sizes = [len(x) for x in sets]
+        own = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("rep", "comp", "n_shingles")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["rep", "comp", "n_shingles", "key"])
+
+
+def _spread(lists: DataFrame) -> DataFrame:
+    """The rows of lists (by key) whose members are of several components."""
+    mixed = lists.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).filter("low <> top").select("key")
+    return lists.join(mixed, "key", "left_semi")
+
+
+def _star_pairs(lists: DataFrame) -> DataFrame:
+    """(u, v): each list's most central member, and that of another component, with the members outside their components."""
+    best = lists.groupBy("key", "comp").agg(F.max(F.struct("weight", F.negative("rep").alias("neg"))).alias("m"))
+    one = best.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("one"))
+    two = best.join(one, "key").filter("comp <> one.comp").groupBy("key").agg(F.max(F.struct("m", "comp")).alias("two"))
+    leads = one.join(two, "key", "left").select("key", F.explode(F.array("one", "two")).alias("lead")).filter("lead is not null")
+    leads = leads.select("key", F.negative("lead.m.neg").alias("u"), F.col("lead.comp").alias("cu"))
+    pairs = lists.join(leads, "key").filter("comp <> cu").select("u", F.col("rep").alias("v"))
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _rest_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): documents of different components, met in a list together, that can be similar at all.
+
+    The same prefix merge, on the shingles themselves: a document's shingles are ordered, first
+    those that no other component has, then by how many documents have them. Of documents of
+    sizes m and n, THRESHOLD needs an intersection of THRESHOLD * (m + n) / (100 + THRESHOLD); a
+    first common shingle at place p leaves one of n - p at most. Most of what no star linked
+    differs from all else in so many shingles that nothing common comes early enough.
+    """
+    left = cut(_spread(lists).select("rep", "comp", "n_shingles").distinct())
+    owned = sets.join(left, "rep").select("rep", "comp", "n_shingles", "shingles").mapInArrow(_explode_sets, "rep long, comp long, n_shingles long, key long")
+    common = owned.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("low"), F.max("comp").alias("top")).filter("low <> top").select("key", "df")
+    by_rep = Window.partitionBy("rep")
+    place = F.col("n_shingles") - F.count(F.lit(1)).over(by_rep) + F.row_number().over(by_rep.orderBy("df", "key")) - 1
+    rest = owned.join(common, "key").withColumn("room", F.col("n_shingles") - place).filter(f"100 * room >= {THRESHOLD} * n_shingles")
+    rest = cut(rest.select("key", "rep", "comp", "n_shingles", "room"))
+    least = rest.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    rest = rest.join(least, "key").filter(f"{100 + THRESHOLD} * room >= {THRESHOLD} * (n_shingles + greatest(least, cast(ceil(n_shingles * {THRESHOLD} / 100) as long)))")
+    rest = cut(_spread(rest.drop("least")))
+    # Every pair of different components has a member outside a list's commonest component.
+    main = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"))
+    other = rest.join(main, "key").filter("comp <> m.comp").select(*(F.col(c).alias("u_" + c) for c in ("key", "rep", "comp", "n_shingles", "room")))
+    fits = F.expr(f"comp <> u_comp and {100 + THRESHOLD} * least(room, u_room) >= {THRESHOLD} * (n_shingles + u_n_shingles)")
+    pairs = other.join(rest, (F.col("u_key") == F.col("key")) & fits)
+    return pairs.select(F.least("u_rep", "rep").alias("u"), F.greatest("u_rep", "rep").alias("v")).distinct()
+
+
 def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Confirmed links (u, v) between representatives; they connect every component of similar documents.
 
-    docs(doc_id, text); reps(rep, sig), one row per class of documents with the same words.
+    docs(doc_id, text); reps(rep, n_shingles, sig), one row per class of documents with the same words.
     """
     posted = reps.select("rep", "sig").mapInArrow(_postings, "rep long, posting long")
     shared = posted.groupBy("posting").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    owned = posted.join(shared, "posting").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "posting"))).alias("own"))
+    owned = posted.join(shared, "posting").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "posting"))).alias("own"), F.sum("df").alias("weight"))
     owned = owned.filter(F.size("own") >= MATCHES)
     prefix = F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1))
-    index = cut(owned.select("rep", F.explode(prefix).alias("p")).select("rep", F.col("p.posting").alias("posting")))
-    members = index.select("rep").distinct()
+    index = owned.select("rep", "weight", F.explode(prefix).alias("p")).select("rep", "weight", F.col("p.posting").alias("key"))
+    index = cut(index.join(reps.select("rep", "n_shingles"), "rep"))
+    members = cut(index.select("rep").distinct())
     sigs = cut(reps.join(members, "rep", "left_semi").select("rep", "sig"))
     texts = route_filter(docs.select(F.col("doc_id").alias("rep"), "text"), F.col("rep"), members, F.col("rep"))
     texts = texts.join(members, "rep", "left_semi").dropDuplicates(["rep"])
     sets = cut(texts.mapInArrow(_sets, "rep long, shingles binary"))
-    links = None
-    comp = None
+    comp = members.withColumn("comp", F.col("rep"))
+    links = tried = None
     for turn in range(STAR_ROUNDS + 1):
-        pairs = _candidates(index, comp, turn < STAR_ROUNDS)
-        if links is not None and turn > 1:
+        lists = index.join(comp, "rep")
+        pairs = _star_pairs(lists) if turn < STAR_ROUNDS else _rest_pairs(lists, sets)
+        if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = cut(pairs)
-        tried = pairs if links is None else tried.union(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
         probed = (
             pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), "u")
             .join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")), "v")
@@ -220,7 +254,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     signed = cut(docs.mapInArrow(_sign, "doc_id long, key binary, n_shingles long, sig binary"))
     classes = signed.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = signed.filter("n_shingles > 0").join(classes.filter("rep is not null"), (F.col("doc_id") == F.col("rep")) & (signed["key"] == classes["key"]))
-    reps = cut(reps.select("rep", "sig").dropDuplicates(["rep"]))
+    reps = cut(reps.select("rep", "n_shingles", "sig").dropDuplicates(["rep"]))
     links = near_links(docs, reps)
     comp = components(links.select(F.col("u").alias("rep")).union(links.select(F.col("v").alias("rep"))).distinct(), links)
     of = classes.join(comp, "rep", "left").select("key", F.coalesce("comp", "rep").alias("of_key"))
