@@ -82,6 +82,29 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.root) AS com
 FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
 """
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, generate_series(0, 7) s(k) GROUP BY doc_id),
+l AS (SELECT doc_id, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+m AS (SELECT doc_id, line, len(w) AS n,
+  len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]') AND regexp_matches(x, '[^#*$%&|<>]'))) AS marked,
+  len(list_filter(w, lambda x: x IN ('|', '>', '/'))) AS bare, len(list_filter(w, lambda x: suffix(x, '!'))) AS shout,
+  regexp_matches(line, '(?i)^\s*(licensed under|released under|copyright\b|all rights reserved|\(c\)\s|terms of (use|service)|privacy policy|cookie policy|lorem ipsum|please enable javascript)') AS notice
+  FROM l WHERE len(w) > 0),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (bad) AS removed, coalesce(sum(n) FILTER (bad), 0) AS lost
+  FROM (SELECT *, 100 * marked > 30 * n OR 100 * shout > 50 * n OR 100 * bare > 25 * n OR notice AS bad FROM m) GROUP BY doc_id),
+b AS (SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(removed, 0) AS n_lines_removed, coalesce(lost, 0) AS n_words_removed
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * (n_words - n_words_removed) >= 50 * n_words AS kept,
+  n_lines_removed::BIGINT AS n_lines_removed, n_words_removed::BIGINT AS n_words_removed FROM b
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -100,4 +123,4 @@ FROM p LEFT JOIN g USING (html)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL}
