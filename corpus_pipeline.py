@@ -37,7 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, offsets, n_tokens, decoded_sha256): token ids, where each starts, and a digest of the bytes that they decode to."""
-    done = byte_bpe.decode(byte_bpe.encode(docs))
+    done = byte_bpe.encode_and_decode(docs)
     return done.select("doc_id", "ids", "offsets", F.size("ids").cast("long").alias("n_tokens"), F.sha2("data", 256).alias("decoded_sha256"))
 
 

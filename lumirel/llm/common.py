@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 ROUTE_BITS = 1 << 26
 #: Bytes of text that are turned into arrays at once.
 CHUNK_BYTES = 1 << 20
+#: Rows and bytes that Spark hands to Python at once.
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +34,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumirel-{name}-{uuid.uuid4().hex}"
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to sizes for rows that hold whole texts: memory in Python follows the batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame's rows, written to the shared folder: lost executors cost no recomputation, and lineage ends here."""
     shared_dir(df.sparkSession)
