@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, text_batches
+from .common import chunks, text_batches, tidy
 
 # Symbols: letter, number, other, apostrophe of a contraction with 1 or 2 letters, space and
 # other white space before a visible character (N) or before white space or the end (W), and the
@@ -392,7 +392,15 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
 def encode_and_decode(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """decode(encode(docs)) in one pass: the ids are decoded in the worker that made them."""
     ranks = _ranks_of(docs.sparkSession, ranks_path)
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _decoded(ranks, _encoded(ranks, batches)), ENCODED + ", data binary")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from _decoded(ranks, _encoded(ranks, batches))
+        finally:
+            _ENCODERS.clear()
+
+    return docs.select("doc_id", "text").mapInArrow(run, ENCODED + ", data binary")
 
 
 def token_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:

@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches, tidy
+
 SAMPLE_ROWS = 1200
 CALIBRATION_ROWS = 2400
 SAMPLE_CHARS = 20_000
@@ -146,12 +148,14 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     if taken:
         raise ValueError(f"columns {sorted(taken)} are the classifier's own")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for batch in batches:
             score = scorer.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= CUT).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
+    text_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, schema + ", score double, predicted int")
 

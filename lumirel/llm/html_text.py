@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 # Element names by what they do, fixed lists.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -260,5 +262,6 @@ def extract(pages: DataFrame) -> DataFrame:
             out = [render(x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("n_html_chars"), pa.array(map(len, out), pa.int64()), pa.array(out, pa.string())], ["page_id", "n_html_chars", "n_chars", "text"])
 
+    text_batches(pages.sparkSession)
     rows = pages.select("page_id", "html", F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("n_html_chars"))
     return rows.mapInArrow(run, "page_id long, n_html_chars long, n_chars long, text string")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hashes, span_hashes
+from .common import prefix_hashes, span_hashes, text_batches
 
 #: Documents that each language trains on, and the number of characters that one may have.
 TRAIN_DOCS = 160
@@ -307,6 +307,7 @@ def train(docs: DataFrame) -> Crf:
 
 def identify(docs: DataFrame, crf: Crf) -> DataFrame:
     """(doc_id, lang_pred, score) of docs(doc_id, text)."""
+    text_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(crf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 Documents with the same words form a class; one representative per class goes on. Its MinHash
 signature has COORDINATES values, and the representative is posted under each coordinate-value
 pair. A pair of documents is retained when at least MATCHES of its coordinates collide, which
-pairs of similarity 0.75 miss with a probability of about 1e-8, and is then confirmed on the
+pairs of similarity 0.75 miss with a probability of about 2.5e-8, and is then confirmed on the
 full shingle sets.
 
 Counting collisions merges as few postings as it can:
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, prefix_hashes, route_filter, route_mark, span_hashes, window_hashes, word_spans
+from .common import chunks, cut, prefix_hashes, route_filter, route_mark, span_hashes, text_batches, tidy, window_hashes, word_spans
 
 WORDS = 5
 COORDINATES = 64
@@ -77,6 +77,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low.view(np.int32)
 
 
+@tidy
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, sizes, sigs = [], [], []
@@ -106,12 +107,14 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(hit) for c in ("u", "v")], ["u", "v"])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [own.tobytes() for _, own in shingle_sets(batch.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
 
+@tidy
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hits = []
@@ -250,6 +253,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     share a doc_id are one document to the links. A row with a null doc_id joins the component
     of an equal text that has an id; else its component_id is null and it is kept.
     """
+    text_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = cut(docs.mapInArrow(_sign, "doc_id long, key binary, n_shingles long, sig binary"))
     classes = signed.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))

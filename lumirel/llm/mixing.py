@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_spans
+from .common import cut, text_batches, tidy, word_spans
 
 BLOCK_WORDS = 32
 SHARD_SLOTS = 4096
@@ -191,6 +191,7 @@ def taken(docs: DataFrame) -> DataFrame:
     return placed.join(sums, "row_key", "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"))
 
 
+@tidy
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words that each row takes, with the white space between them; separate spans on lines of their own."""
     for batch in batches:
@@ -213,6 +214,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     n_chars, where there is such a column, is that of the new text.
     """
+    text_batches(docs.sparkSession)
     placed, _, pieces = mix(docs)
     spans = pieces.groupBy("row_key", "times").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
     spans = spans.join(placed.select("row_key", "doc_id", "text_key"), "row_key").select(

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACE, chunks, prefix_hashes, span_hashes, window_hashes, word_spans
+from .common import SPACE, chunks, prefix_hashes, span_hashes, text_batches, window_hashes, word_spans
 
 
 @dataclass(frozen=True)
@@ -126,4 +126,5 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), with_text: bo
                 cols.append(pa.array(["\n".join(x for x, g in zip(own, m["gone"], strict=True) if not g) for own, m in zip(lines, found, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *names, *["clean_text"] * with_text])
 
+    text_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + FIELDS + ", clean_text string" * with_text)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, _BASE, _INVERSE, cut, fresh_path, mix64, powers, prefix_hashes
+from .common import CHUNK_BYTES, _BASE, _INVERSE, cut, fresh_path, mix64, powers, prefix_hashes, text_batches
 
 WINDOW = 400
 ORDER = 17
@@ -271,6 +271,7 @@ def _units(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    text_batches(docs.sparkSession)
     table, total = _units(docs.select(F.col("doc_id").cast("long"), "text"))
     bits = max(4, min(24, (total * (ORDER + 1) // V // BUCKET_KEYS).bit_length()))
     keys = table.select("unit", "sizes", "data").mapInArrow(_cover_keys(bits), KEYS)
