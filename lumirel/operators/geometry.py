@@ -67,6 +67,27 @@ def collage(pixels: DataFrame, pattern: str, width: int, height: int, padding: i
     return placed.select((F.col("y") + F.col("_dy")).cast("int").alias("y"), (F.col("x") + F.col("_dx")).cast("int").alias("x"), "v")
 
 
+def collages(pixels: DataFrame, pattern: str, width: int, height: int, padding: int, key: str = "grp", ids: int = 4096) -> DataFrame:
+    """(key, sheet, y, x, v): all images of each key in the order of image_id, on as many sheets of a pattern as they fill.
+
+    Ordinals come from images and not from pixels: they are numbered within ranges of so many
+    ids, and start where the counts of the ranges before end.
+    """
+    n = pattern.upper().count("X")
+    own = pixels.select(key, "image_id").distinct().withColumn("_r", F.floor(F.col("image_id") / ids))
+    before = Window.partitionBy(key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy(key, "_r").agg(F.count(F.lit(1)).alias("_n")).select(F.col(key).alias("_k"), F.col("_r").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = own.withColumn("_o", F.row_number().over(Window.partitionBy(key, "_r").orderBy("image_id")) - 1)
+    ordinal = F.col("_o") + F.col("_before")
+    at = numbered.join(counts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_s")))
+    at = at.select(F.col(key).alias("_k"), F.col("image_id").alias("_id"), F.floor(ordinal / n).alias("sheet"), (ordinal % n).cast("int").alias("_place"))
+    placed = pixels.join(at, F.col(key).eqNullSafe(F.col("_k")) & (F.col("image_id") == F.col("_id")))
+    rows = pattern.replace(";", "/").split("/")
+    places = [(r, c) for r, row in enumerate(rows) for c, sign in enumerate(row) if sign.upper() == "X"]
+    spots = pixels.sparkSession.createDataFrame([(i, padding + r * (height + padding), padding + c * (width + padding)) for i, (r, c) in enumerate(places)], "_place int, _dy int, _dx int")
+    return placed.join(F.broadcast(spots), "_place").select(key, "sheet", (F.col("y") + F.col("_dy")).cast("int").alias("y"), (F.col("x") + F.col("_dx")).cast("int").alias("x"), "v")
+
+
 def fit_canvas(pixels: DataFrame) -> DataFrame:
     """All images centred on a canvas of the largest width and height."""
     sizes = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))

@@ -151,6 +151,13 @@ def knn_images(spark, sf_dir):
     return joins.nearest_images(all_images.filter("image_id < 5"), all_images, 3).withColumn("place", F.col("place").cast("long"))
 
 
+@query()
+def knn_all_images(spark, sf_dir):
+    """knn_images for every hundredth image of a table, whose number grows with the table."""
+    all_images = images(spark, sf_dir)
+    return joins.nearest_images(all_images.filter("image_id % 100 = 0"), all_images, 3).withColumn("place", F.col("place").cast("long"))
+
+
 @query(f"SELECT event_id, {s4('value * 0.0183 / 656.2808 * 299792.458')} AS speed FROM events")
 def doppler(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", r4(doppler_speed(F.col("value"), 0.0183, 656.2808)).alias("speed"))

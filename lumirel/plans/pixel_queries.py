@@ -265,6 +265,14 @@ def collage(spark, sf_dir):
     return geometry.collage(px, "XX/.X", 8, 8, 1, "ordinal")
 
 
+@query(
+    """WITH {px}, o AS (SELECT vec_id AS image_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS o FROM embeddings)
+SELECT grp, o // 3 AS sheet, CAST(y + 1 + CASE o % 3 WHEN 2 THEN 9 ELSE 0 END AS INT) AS y, CAST(x + 1 + CASE o % 3 WHEN 0 THEN 0 ELSE 9 END AS INT) AS x, v FROM px JOIN o USING (image_id)"""
+)
+def collage_groups(spark, sf_dir):
+    return geometry.collages(pixels(spark, sf_dir), "XX/.X", 8, 8, 1)
+
+
 def _taps(y: str, x: str) -> str:
     return f""", t AS (SELECT image_id, y, x, {y} AS sy, {x} AS sx FROM px), w AS (SELECT t.*, floor(sy) + dy AS ty, floor(sx) + dx AS tx,
   (CASE WHEN dy = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE WHEN dx = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) AS w FROM t, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx))
