@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pixel
-from ..operators import frames, geometry, reduce, stretch
+from ..operators import frames, geometry, joins, reduce, stretch
 from ..sources.images import images, pixels, table
 from .registry import query, r4, s4
 
@@ -132,10 +132,13 @@ def frame_rate(spark, sf_dir):
 
 @query(f"WITH {{px}}, d AS (SELECT a.image_id, b.image_id AS other_id, corr(a.v, b.v) AS c FROM px a JOIN px b ON a.grp = b.grp AND a.y = b.y AND a.x = b.x AND b.image_id > a.image_id WHERE a.grp = 3 GROUP BY a.image_id, b.image_id) SELECT image_id, other_id, {s4('c')} AS c FROM d WHERE c > 0.25")
 def correlated_images(spark, sf_dir):
-    px = pixels(spark, sf_dir).filter("grp = 3").select("image_id", "y", "x", "v")
-    other = px.select(F.col("image_id").alias("other_id"), "y", "x", F.col("v").alias("o"))
-    found = px.join(other, ["y", "x"]).filter("other_id > image_id").groupBy("image_id", "other_id").agg(F.corr("v", "o").alias("c"))
-    return found.filter("c > 0.25").select("image_id", "other_id", r4(F.col("c")).alias("c"))
+    return joins.correlated(images(spark, sf_dir).filter("grp = 3"), 0.25).withColumn("c", r4(F.col("c")))
+
+
+@query()
+def correlated_all_images(spark, sf_dir):
+    """correlated_images for the images of every group."""
+    return joins.correlated(images(spark, sf_dir), 0.25).withColumn("c", r4(F.col("c")))
 
 
 @query()

@@ -3,7 +3,7 @@
 import numpy as np
 
 from lumirel.operators import geometry, joins
-from lumirel.plans import list_queries, registry  # noqa: F401
+from lumirel.plans import frame_queries, list_queries, registry  # noqa: F401
 from lumirel.sources.images import images
 
 
@@ -48,3 +48,35 @@ def test_collages_place_all_images(spark):
     px = spark.createDataFrame(rows, "grp int, image_id long, y int, x int, v double")
     got = geometry.collages(px, "X/X", 1, 1, 0, ids=10).select("grp", "sheet", "y", "x", "v").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(0, 0, 0, 0, 1.0), (0, 0, 1, 0, 5.0), (0, 1, 0, 0, 30.0), (0, 1, 1, 0, 9000.0), (None, 0, 0, 0, 7.0), (1, 0, 0, 0, 2.0)], key=str)
+
+
+def correlated(ids, keys, data, least):
+    """By brute force: the correlation of each pair of a key's images, where it is above a bound."""
+    out = {}
+    for a, (i, k) in enumerate(zip(ids, keys, strict=True)):
+        for b, (j, o) in enumerate(zip(ids, keys, strict=True)):
+            if i < j and k == o and np.ptp(data[a]) and np.ptp(data[b]) and (c := np.corrcoef(data[a], data[b])[0, 1]) > least:
+                out[i, j] = c
+    return out
+
+
+def test_correlated_images_of_all_groups(spark, sf_dir):
+    ids, keys, data = arrays(spark, sf_dir)
+    want = correlated(ids, keys, data, 0.25)
+    rows = registry.QUERIES["correlated_all_images"](spark, sf_dir).collect()
+    got = {(r.image_id, r.other_id): r.c for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert all(abs(got[p] - want[p]) < 1e-4 for p in want)
+    assert len({keys[ids.index(i)] for i, _ in got}) > 1
+
+
+def test_correlated_images_of_a_large_group_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    data = rng.random((90, 6)) * 1000
+    data[4] = 7.1
+    keys = [0] * 80 + [1] * 9 + [None]
+    df = spark.createDataFrame([(i, k, x.tolist()) for i, (k, x) in enumerate(zip(keys, data, strict=True))], "image_id long, grp int, data array<double>")
+    rows = joins.correlated(df, 0.3, block_values=60).collect()
+    want = correlated(range(89), keys[:89], data[:89], 0.3)
+    assert sorted((r.image_id, r.other_id) for r in rows) == sorted(want)
+    assert all(abs(r.c - want[r.image_id, r.other_id]) < 1e-9 for r in rows)
