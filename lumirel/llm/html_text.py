@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,13 +48,16 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 BARRIER = {"table", "td", "th", "caption", "html", "body", "template", "object"}
+#: Blocks that render rows within them themselves, so that no table around them takes those.
+HOLDS_ROWS = {"td", "th", "tr", "caption", "ul", "ol", "menu", "dir"}
 #: Characters of the renderer's own, which texts can't have: a line break and a space to keep.
 BREAK, KEPT = "\x00", "\x01"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
+_SCREEN = re.compile(r"\s*(?:(?:only\s+)?(?:all|screen))?\s*", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -64,6 +68,48 @@ class Node:
         self.name, self.attrs, self.items = name, attrs, []
 
 
+def _on_screen(media: str) -> bool:
+    """Whether a list of media holds on any screen, whatever its size."""
+    return any(_SCREEN.fullmatch(x) for x in media.split(","))
+
+
+def _hidden_by(sheet: str) -> set[str]:
+    """The simple selectors that a style sheet hides on any screen.
+
+    Of nested bodies only those of layers and of media for all screens count; a rule within
+    another rule says nothing of its selector elsewhere.
+    """
+    sheet = re.sub(r"(?s)/\*.*?\*/", "", sheet)
+    found: set[str] = set()
+    # Open blocks: whether they hold, the selectors of a rule (None of an at-rule), and declarations before nested blocks.
+    blocks: list[tuple[bool, str | None, list[str]]] = []
+    at = 0
+    for m in _CSS.finditer(sheet):
+        text = sheet[at : m.start()]
+        if m[0] == "{":
+            holds = not blocks or (blocks[-1][0] and blocks[-1][1] is None)
+            if blocks:
+                blocks[-1][2].append(text[: text.rfind(";") + 1])
+                text = text if blocks[-1][1] is None else text[text.rfind(";") + 1 :]
+            text = text.strip()
+            if text.startswith("@"):
+                media = re.fullmatch(r"@media\b(.*)", text, re.I | re.S)
+                holds = holds and (_on_screen(media[1]) if media else re.match(r"@layer\b", text, re.I) is not None)
+                blocks.append((holds, None, []))
+            else:
+                blocks.append((holds, text, []))
+        elif m[0] == "}":
+            if blocks:
+                holds, selectors, parts = blocks.pop()
+                if holds and selectors is not None and _HIDES.search("".join(parts) + text):
+                    found.update(x for x in (y.strip() for y in selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", x))
+        elif m[0] != ";" or not text.lstrip().startswith("@"):
+            # A string, or the end of a declaration: part of what follows it.
+            continue
+        at = m.end()
+    return found
+
+
 def tree(source: str) -> tuple[Node, set[str]]:
     """The tree of a page, and the selectors (name, .class, #id) that its style sheets hide."""
     source = source.replace(BREAK, "").replace(KEPT, "")
@@ -108,10 +154,8 @@ def tree(source: str) -> tuple[Node, set[str]]:
             body = source[at : stop.start() if stop else end]
             at = stop.end() if stop else end
             node.items.append(body)
-            if name == "style":
-                for selectors, rules in _RULE.findall(re.sub(r"(?s)/\*.*?\*/", "", body)):
-                    if _HIDES.search(rules):
-                        hidden.update(x for x in (y.strip() for y in selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", x))
+            if name == "style" and _on_screen(attrs.get("media", "")):
+                hidden.update(_hidden_by(body))
         elif name not in VOID:
             stack.append(node)
     return root, hidden
@@ -127,7 +171,7 @@ def visible(node: Node, hidden: set[str]) -> bool:
 
 
 class Block:
-    """Lines of a finished block; margin: whether blank lines set it apart."""
+    """Lines of a finished block, or cells of a row; margin: whether blank lines set it apart."""
 
     __slots__ = ("cells", "lines", "margin", "node")
 
@@ -136,9 +180,10 @@ class Block:
 
 
 def _flow(items: list) -> list[str]:
-    """Lines of a sequence of inline strings and blocks."""
+    """Lines of a sequence of inline strings and blocks; rows that follow each other share their columns."""
     lines: list[str] = []
     inline: list[str] = []
+    rows: list[list] = []
     gap = False
 
     def put(new: list[str], margin: bool) -> None:
@@ -161,12 +206,24 @@ def _flow(items: list) -> list[str]:
                     own.pop(0)
                 put(own, False)
 
+    def end_rows() -> None:
+        if rows:
+            put(_table(rows), False)
+            rows.clear()
+
     for item in items:
         if isinstance(item, str):
+            if item.strip(" \t\n\r\f"):
+                end_rows()
             inline.append(item)
+        elif item.cells is not None:
+            flush()
+            rows.append(item.cells)
         else:
+            end_rows()
             flush()
             put(item.lines, item.margin)
+    end_rows()
     flush()
     return lines
 
@@ -196,8 +253,8 @@ def _number(value: str, least: int, most: int) -> int:
     return min(most, max(least, int(value))) if re.fullmatch(r"\d{1,4}", value or "") else least
 
 
-def _fold(node: Node, items: list) -> list:
-    """What a node gives to its parent: strings and blocks."""
+def _fold(node: Node, items: list, in_table: bool) -> list:
+    """What a node gives to its parent: strings and blocks; in_table: whether a table around it takes its rows."""
     name = node.name
     if name in ("td", "th"):
         return [Block(_flow(items), False, node)]
@@ -221,6 +278,12 @@ def _fold(node: Node, items: list) -> list:
             elif isinstance(item, Block) or item.strip():
                 lines += _flow([item])
         return [Block(lines, True, node)]
+    if in_table and any(isinstance(x, Block) and x.cells is not None for x in items):
+        # A wrapper around rows of a table: what is between them becomes blocks.
+        out: list = []
+        for is_row, own in groupby(items, lambda x: isinstance(x, Block) and x.cells is not None):
+            out += own if is_row else [Block(_flow(list(own)), False)]
+        return out
     lines = _flow(items)
     if name == "blockquote" or name == "dd":
         lines = ["  " + x if x else x for x in lines]
@@ -231,9 +294,9 @@ def render(source: str | None) -> str:
     """The visible text of a page."""
     root, hidden = tree(source or "")
     # Folded from the leaves up: a node's frame collects what its children give.
-    frames: list[tuple[Node, Iterator, list, bool]] = [(root, iter(root.items), [], False)]
+    frames: list[tuple[Node, Iterator, list, bool, bool]] = [(root, iter(root.items), [], False, False)]
     while True:
-        node, rest, items, pre = frames[-1]
+        node, rest, items, pre, in_table = frames[-1]
         for x in rest:
             if isinstance(x, str):
                 text = html.unescape(x) if "&" in x else x
@@ -245,13 +308,14 @@ def render(source: str | None) -> str:
                 if visible(x, hidden) and x.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel"):
                     items.append(x.attrs.get("value", ""))
             elif visible(x, hidden) and not (node.name == "details" and "open" not in node.attrs and x.name != "summary"):
-                frames.append((x, iter(x.items), [], pre or x.name in ("pre", "textarea", "xmp")))
+                within = node.name == "table" or (in_table and node.name not in HOLDS_ROWS)
+                frames.append((x, iter(x.items), [], pre or x.name in ("pre", "textarea", "xmp"), within))
                 break
         else:
             frames.pop()
             if not frames:
                 return "\n".join(_flow(items))
-            frames[-1][2].extend(_fold(node, items) if node.name in BLOCKS else items)
+            frames[-1][2].extend(_fold(node, items, in_table) if node.name in BLOCKS else items)
 
 
 def extract(pages: DataFrame) -> DataFrame:
