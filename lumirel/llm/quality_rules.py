@@ -37,8 +37,10 @@ class LineRules:
     min_kept_percent: int = 50
 
 
-#: Fixed patterns of boilerplate lines.
-BOILERPLATE = re.compile(rb"(?i)^\s*(licensed under|released under|copyright\b|all rights reserved|\(c\)\s|terms of (use|service)|privacy policy|cookie policy|lorem ipsum|please enable javascript)")
+#: Fixed patterns of boilerplate lines, from a line's first word on.
+BOILERPLATE = rb"licensed under|released under|copyright\b|all rights reserved|\(c\)[ \t\n\f\r]|terms of (use|service)|privacy policy|cookie policy|lorem ipsum|please enable javascript"
+#: Without regard to case as in SQL, where a long s is an s and the Kelvin sign a k.
+_NOTICE = re.compile(b"(?i)(" + BOILERPLATE.replace(b"s", "(?:s|\u017f)".encode()).replace(b"k", "(?:k|\u212a)".encode()) + b")")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 SEPARATORS = np.zeros(256, bool)
@@ -49,7 +51,8 @@ def measure(texts: list[str | None], rules: LineRules) -> Iterator[dict]:
     """Base measures, removed lines and the verdict of each text."""
     for a, b in chunks(texts):
         parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts[a:b]]
-        data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+        raw = b"\n".join(parts) + b"\n"
+        data = np.frombuffer(raw, np.uint8)
         starts, ends = word_spans(data)
         words = span_hashes(prefix_hashes(data), starts, ends)
         # Running counts, so that any range of bytes or words is a difference.
@@ -79,7 +82,8 @@ def measure(texts: list[str | None], rules: LineRules) -> Iterator[dict]:
             keys = line_keys[own][n[own] > 0]
             gone = fails[own].copy()
             for i in range(line, line + n_lines):
-                if not gone[i - line] and n[i] and BOILERPLATE.match(data[line_starts[i] : min(line_ends[i], line_starts[i] + 200)].tobytes()):
+                # SQL's white space before a notice has no vertical tab.
+                if not gone[i - line] and n[i] and _NOTICE.match(raw, int(starts[first[i]]), int(line_ends[i])) and b"\v" not in raw[line_starts[i] : starts[first[i]]]:
                     gone[i - line] = True
             repeated = 0
             if n_words >= rules.repeat_window:
