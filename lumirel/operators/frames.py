@@ -5,6 +5,8 @@ Frames are a pixel relation whose image_id numbers the frames in time.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,67 @@ def regions(pixels: DataFrame, half: int = 1) -> DataFrame:
     return best.select("image_id", y.alias("cy"), x.alias("cx"), (y - half).alias("top"), (x - half).alias("left"), (y + half).alias("bottom"), (x + half).alias("right"))
 
 
+def _components(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Boxes of the connected components of an image's pixels, corners included, from the top left on."""
+    pdf = pdf.sort_values(["y", "x"], kind="stable")
+    y, x = pdf.y.to_numpy(), pdf.x.to_numpy()
+    new = np.r_[True, (np.diff(y) != 0) | (np.diff(x) > 1)]
+    run = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(y)] - 1
+    parent = list(range(len(first)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    above = 0
+    for i in range(len(first)):
+        # Runs of the row above that touch this one; those that end before it touch no later run of this row either.
+        while y[first[above]] < y[first[i]] - 1 or (y[first[above]] == y[first[i]] - 1 and x[last[above]] < x[first[i]] - 1):
+            above += 1
+        j = above
+        while j < i and y[first[j]] == y[first[i]] - 1 and x[first[j]] <= x[last[i]] + 1:
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+            j += 1
+    roots = np.array([root(i) for i in range(len(first))])
+    found = pd.DataFrame({"region": np.unique(roots, return_inverse=True)[1][run], "y": y, "x": x}).groupby("region")
+    out = found.agg(top=("y", "min"), left=("x", "min"), bottom=("y", "max"), right=("x", "max"), n=("y", "size")).reset_index()
+    out.insert(0, "image_id", int(pdf.image_id.iloc[0]))
+    return out
+
+
+def active_regions(pixels: DataFrame, sigma: float = 2.0, least: int = 1) -> DataFrame:
+    """All regions of each image: connected pixels more than sigma deviations above the image's mean, with least pixels or more.
+
+    image_id, region (numbered from 0 by the first pixel), top, left, bottom, right, n. Only
+    pixels above the threshold reach the grouped function.
+    """
+    level = pixels.groupBy("image_id").agg((F.avg("v") + sigma * F.stddev_pop("v")).alias("_t"))
+    bright = pixels.join(level, "image_id").filter(F.col("v") > F.col("_t")).select("image_id", "y", "x")
+    return bright.groupBy("image_id").applyInPandas(_components, "image_id long, region int, top int, left int, bottom int, right int, n long").filter(F.col("n") >= least)
+
+
+def crop_active_regions(pixels: DataFrame, boxes: DataFrame, ms: int = 32, margin: float = 0.1) -> DataFrame:
+    """(image_id, region, y, x, v): one image per region of ms pixels or more by width and height, with a margin around it."""
+    w, h = F.col("right") - F.col("left") + 1, F.col("bottom") - F.col("top") + 1
+    more = lambda size: F.floor((F.floor(size * (1 + margin)) - size) / 2)
+    left, top = F.col("left") - more(w), F.col("top") - more(h)
+    wide = boxes.filter((w >= ms) & (h >= ms)).select(
+        "image_id",
+        "region",
+        F.greatest(top, F.lit(0)).alias("_top"),
+        F.greatest(left, F.lit(0)).alias("_left"),
+        (top + F.floor(h * (1 + margin))).alias("_below"),
+        (left + F.floor(w * (1 + margin))).alias("_beside"),
+    )
+    inside = pixels.join(wide, "image_id").filter((F.col("y") >= F.col("_top")) & (F.col("y") < F.col("_below")) & (F.col("x") >= F.col("_left")) & (F.col("x") < F.col("_beside")))
+    return inside.select("image_id", "region", (F.col("y") - F.col("_top")).cast("int").alias("y"), (F.col("x") - F.col("_left")).cast("int").alias("x"), "v")
+
+
 def crop_regions(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """The pixels of each box, moved to its corner."""
     inside = pixels.join(boxes, "image_id").filter(F.col("y").between(F.col("top"), F.col("bottom")) & F.col("x").between(F.col("left"), F.col("right")))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lumirel.operators import geometry, joins
+from lumirel.operators import frames, geometry, joins
 from lumirel.plans import frame_queries, list_queries, registry  # noqa: F401
 from lumirel.sources.images import images
 
@@ -80,3 +80,50 @@ def test_correlated_images_of_a_large_group_in_blocks(spark):
     want = correlated(range(89), keys[:89], data[:89], 0.3)
     assert sorted((r.image_id, r.other_id) for r in rows) == sorted(want)
     assert all(abs(r.c - want[r.image_id, r.other_id]) < 1e-9 for r in rows)
+
+
+def flood(mask):
+    """Components by brute force, as sets of places, in the order of their first pixels."""
+    left, out = {(int(y), int(x)) for y, x in zip(*np.nonzero(mask), strict=True)}, []
+    while left:
+        todo, own = [min(left)], set()
+        while todo:
+            y, x = todo.pop()
+            if (y, x) in left:
+                left.remove((y, x))
+                own.add((y, x))
+                todo += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        out.append(own)
+    return out
+
+
+def test_all_active_regions_of_an_image(spark):
+    rng = np.random.default_rng(6)
+    data = rng.random((6, 14, 17))
+    rows = [(i, y, x, float(v)) for i, d in enumerate(data) for (y, x), v in np.ndenumerate(d)] + [(9, y, x, 5.0) for y in range(3) for x in range(3)]
+    px = spark.createDataFrame(rows, "image_id long, y int, x int, v double")
+    got = {}
+    for r in frames.active_regions(px, 0.5).collect():
+        got.setdefault(r.image_id, {})[r.region] = (r.top, r.left, r.bottom, r.right, r.n)
+    assert set(got) == set(range(6))
+    for i, d in enumerate(data):
+        want = [(min(y for y, _ in c), min(x for _, x in c), max(y for y, _ in c), max(x for _, x in c), len(c)) for c in flood(d > d.mean() + 0.5 * d.std())]
+        assert [got[i][k] for k in range(len(got[i]))] == want
+        assert len(want) > 1
+
+
+def test_each_region_is_cropped(spark):
+    data = np.zeros((20, 30))
+    data[2:6, 3:9], data[10:18, 20:28], data[15, 2] = 100, 90, 95
+    px = spark.createDataFrame([(0, y, x, float(v)) for (y, x), v in np.ndenumerate(data)], "image_id long, y int, x int, v double")
+    out = {}
+    for r in frames.crop_active_regions(px, frames.active_regions(px, 1.0), 4, 0.5).collect():
+        out.setdefault(r.region, {})[r.y, r.x] = r.v
+    boxes = [data[1:7, 2:11], data[8:20, 18:30]]
+    assert sorted(out) == [0, 1]
+    for region, box in enumerate(boxes):
+        assert out[region] == {(y, x): v for (y, x), v in np.ndenumerate(box)}
+    whole = {}
+    for r in frames.crop_active_regions(px, frames.active_regions(px, 1.0), 1, 0.0).collect():
+        whole[r.region] = whole.get(r.region, 0) + 1
+    assert whole == {0: 24, 1: 64, 2: 1}
