@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 SUBJECTS = {"fileName": "file_name", "file-name": "file_name", "dirName": "dir_name", "dir-name": "dir_name", "pixelShift": "pixel_shift", "pixel-shift": "pixel_shift", "date": "ts", "datetime": "ts", "dateTime": "ts", "time": "time"}
 COMPARE = {"==": "eq", "eq": "eq", "equals": "eq", "=": "eq", ">": "gt", "gt": "gt", "<": "lt", "lt": "lt", "<=": "le", "le": "le", ">=": "ge", "ge": "ge", "!=": "ne", "ne": "ne", "not-equals": "ne", "contains": "contains", "starts-with": "startswith", "starts_with": "startswith", "ends-with": "endswith", "ends_with": "endswith"}
 
+#: Buckets that means of images are counted by.
+BUCKETS = 4096
+
 
 def filter_list(rows: DataFrame, subject: str, function: str, value) -> DataFrame:
     """Rows whose subject compares so with a value; an absent subject, and an unknown one, drops the row.
@@ -76,13 +79,25 @@ def arithmetic(a: DataFrame, b: DataFrame, how, keys: tuple[str, ...] = ("y", "x
 def continuum(pixels: DataFrame, least_shift: float = 8.0, saturated: float = 60000.0, keep: float = 0.8) -> DataFrame:
     """The pixel-wise median of images far from the line, without those that are saturated or dark.
 
-    Per-image aggregates come first, so that the ranking sorts images and not pixels.
+    Per-image aggregates come first, so that the cut is found among images and not pixels:
+    their means are counted by bucket, buckets above the cut are taken whole, and only the
+    images of the bucket that holds it are ranked.
     """
     far = pixels.filter(F.abs("pixel_shift") >= least_shift)
     stats = far.groupBy("image_id").agg(F.avg("v").alias("mean"), F.avg((F.col("v") >= saturated).cast("double")).alias("burnt"))
-    n = stats.agg(F.count(F.lit(1)).alias("n"))
-    fine = stats.filter("burnt < 0.125").withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), "image_id")))
-    best = fine.join(F.broadcast(n)).filter(F.col("place") <= F.floor(keep * F.col("n"))).select("image_id")
+    cut = stats.agg(F.floor(F.lit(keep) * F.count(F.lit(1))).alias("_cut"))
+    fine = stats.filter("burnt < 0.125").select("image_id", "mean")
+    ends = fine.agg(F.min("mean").alias("_low"), F.max("mean").alias("_high"))
+    # Bucket 0 has the largest means; a bucket never rises as the mean does.
+    at = F.floor((F.col("_high") - F.col("mean")) / (F.col("_high") - F.col("_low")) * BUCKETS)
+    bucket = F.when(F.col("mean").isNull(), BUCKETS).when(F.col("_high") > F.col("_low"), F.least(at, F.lit(BUCKETS - 1))).otherwise(0)
+    dealt = fine.join(F.broadcast(ends)).select("image_id", "mean", bucket.cast("int").alias("_b"))
+    above = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+    placed = dealt.join(F.broadcast(counts.join(F.broadcast(cut)).filter("_above < _cut")), "_b")
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("mean"), "image_id"))
+    ranked = placed.filter("_above + _n > _cut").withColumn("_place", place).filter("_above + _place <= _cut")
+    best = placed.filter("_above + _n <= _cut").select("image_id").union(ranked.select("image_id"))
     return far.join(best, "image_id", "left_semi").groupBy("y", "x").agg(F.median("v").alias("v"))
 
 

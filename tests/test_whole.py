@@ -1,8 +1,11 @@
 """Results over whole tables: every image, group and region takes part."""
 
+import re
+
 import numpy as np
+import pytest
 
-from lumirel.operators import frames, geometry, joins
+from lumirel.operators import frames, geometry, joins, lists
 from lumirel.plans import frame_queries, list_queries, registry  # noqa: F401
 from lumirel.sources.images import images
 
@@ -127,3 +130,16 @@ def test_each_region_is_cropped(spark):
     for r in frames.crop_active_regions(px, frames.active_regions(px, 1.0), 1, 0.0).collect():
         whole[r.region] = whole.get(r.region, 0) + 1
     assert whole == {0: 24, 1: 64, 2: 1}
+
+
+@pytest.mark.parametrize("means", [range(40), [5] * 40, [1e9, *range(39)], [3, 3, 2, 2, 1] * 8, [7]])
+def test_continuum_ranks_only_the_images_at_the_cut(spark, means):
+    rows = [(i, 9.0, 0, 0, float(m)) for i, m in enumerate(means)]
+    px = spark.createDataFrame(rows, "image_id long, pixel_shift double, y int, x int, v double")
+    out = lists.continuum(px, saturated=2e9, keep=0.6)
+    best = sorted(((-m, i) for i, m in enumerate(means)))[: int(0.6 * len(means))]
+    assert [r.v for r in out.collect()] == ([float(np.median([-m for m, _ in best]))] if best else [])
+    # No window over all images: those that order image_id are dealt by bucket.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "image_id" in plan
+    assert all(w.startswith("_b#") for w in re.findall(r"windowspecdefinition\(([^()]*image_id#[^()]*)", plan))
