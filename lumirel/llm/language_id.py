@@ -25,15 +25,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prefix_hashes, span_hashes, text_batches
 
-#: Documents that each language trains on, and the number of characters that one may have.
+#: Documents that each language trains on at most, and the characters that are read of one.
 TRAIN_DOCS = 160
 TRAIN_CHARS = 20_000
-#: Languages that training considers, the commonest first.
+#: Languages that may have so many documents; if there are more, each has fewer, and one at least.
 LANGUAGES = 200
 FEATURES = 1 << 16
 NGRAM = (2, 3, 4, 5)
@@ -291,17 +291,19 @@ def remainder(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame) -> Crf:
-    """A field from docs(doc_id, text, lang), of rows with text, lang and doc_id."""
-    rows = docs.select("doc_id", "text", "lang").filter(f"doc_id is not null and text is not null and lang is not null and lang <> '{UNKNOWN}' and length(text) <= {TRAIN_CHARS}")
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    picked = None
-    for lang in langs:
-        # The first by a hash of the id: a bounded top, which Spark keeps per task before it merges.
-        own = rows.filter(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-        picked = own if picked is None else picked.union(own)
-    if picked is None:
-        return fit([])
-    found = rows.join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(LANGUAGES * TRAIN_DOCS).collect()
+    """A field from docs(doc_id, text, lang), of rows with text, lang and doc_id: of all languages that these have.
+
+    A language's documents are its first by a hash of the id. Those of more than TRAIN_CHARS
+    characters come last, and teach with their first stretch of that length.
+    """
+    rows = docs.select("doc_id", "text", "lang").filter(f"doc_id is not null and text is not null and lang is not null and lang <> '{UNKNOWN}'")
+    each = max(1, min(TRAIN_DOCS, LANGUAGES * TRAIN_DOCS // max(1, rows.select(F.countDistinct("lang")).first()[0])))
+    keyed = rows.withColumn("_h", F.xxhash64("text")).withColumn("_long", F.length("text") > TRAIN_CHARS)
+    # A bounded top of each language, which Spark keeps per task before it merges.
+    own = Window.partitionBy("lang").orderBy("_long", F.xxhash64("doc_id"), "doc_id", "_h")
+    picked = keyed.select("doc_id", "lang", "_h", "_long").withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= each).select("doc_id", "lang", "_h").distinct()
+    drawn = keyed.join(F.broadcast(picked), ["doc_id", "lang", "_h"]).select("doc_id", "lang", "_h", F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    found = drawn.dropDuplicates(["doc_id", "lang", "_h"]).orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
     return fit([(r.lang, r.text) for r in found])
 
 
