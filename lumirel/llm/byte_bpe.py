@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, text_batches, tidy
+from .common import chunks, kind, text_batches, tidy
 
 # Symbols: letter, number, other, apostrophe of a contraction with 1 or 2 letters, space and
 # other white space before a visible character (N) or before white space or the end (W), and the
@@ -373,13 +373,14 @@ def _decoded(ranks, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "data"])
 
 
-ENCODED = "doc_id long, ids array<int>, offsets array<long>"
+def _encoded_schema(docs: DataFrame) -> str:
+    return f"doc_id {kind(docs, 'doc_id')}, ids array<int>, offsets array<long>"
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """(doc_id, ids, offsets) for docs(doc_id, text): token ids, and the byte where each token starts."""
     ranks = _ranks_of(docs.sparkSession, ranks_path)
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encoded(ranks, batches), ENCODED)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encoded(ranks, batches), _encoded_schema(docs))
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -400,7 +401,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str | None = None) -> DataFra
         finally:
             _ENCODERS.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(run, ENCODED + ", data binary")
+    return docs.select("doc_id", "text").mapInArrow(run, _encoded_schema(docs) + ", data binary")
 
 
 def token_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, route_filter, route_mark
+from .common import cut, route_filter, route_mark, text_batches
 
 #: Fingerprints that a block of a merged filter is planned to hold.
 BLOCK_FINGERPRINTS = 1 << 15
@@ -129,6 +129,7 @@ def normalised(text) -> F.Column:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
+    text_batches(docs.sparkSession)
     norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
     prints = cut(norm.select("doc_id", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")))
     many = repeated_fingerprints(prints, prints.count())
@@ -146,14 +147,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact deduplication keeps, with all their columns; of repeated rows one.
+    """The rows of docs that exact deduplication keeps, with all their columns, whatever their names; of repeated rows one.
 
     Only rows that may go are shuffled with their texts; all others pass by.
     """
-    verdict = cut(exact_dedup(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"))
-    dropped = verdict.filter("not kept").select("_id", "_sha").distinct()
-    again = verdict.filter("kept").groupBy("_id", "_sha").count().filter("count > 1").select("_id", "_sha")
-    marked = route_mark(docs, F.col("doc_id"), dropped.union(again), F.col("_id"))
-    routed = marked.filter("_routed").withColumn("_text_sha", F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["doc_id", "_text_sha"])
-    stay = routed.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_anti")
-    return marked.filter("not _routed").select(*docs.columns).unionByName(stay.select(*docs.columns))
+    verdict = cut(exact_dedup(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "kept"))
+    dropped = verdict.filter("not kept").select("id", "sha").distinct()
+    again = verdict.filter("kept").groupBy("id", "sha").count().filter("count > 1").select("id", "sha")
+    marked = route_mark(docs, F.col("doc_id"), dropped.union(again), F.col("id"))
+    routed = marked.filter("routed").select("row", F.col("row.doc_id").alias("own"), F.sha2(normalised(F.col("row.text")), 256).alias("own_sha")).dropDuplicates(["own", "own_sha"])
+    stay = routed.join(dropped, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha")), "left_anti")
+    return marked.filter("not routed").select("row.*").unionByName(stay.select("row.*"))

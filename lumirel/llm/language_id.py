@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_hashes, span_hashes, text_batches
+from .common import kind, span_hashes, text_batches
 
 #: Documents that each language trains on at most, and the characters that are read of one.
 TRAIN_DOCS = 160
@@ -53,14 +53,14 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     parts = [("^" + w.casefold() + "$").encode("utf-8", "surrogatepass") for w in words]
     sizes = np.array([len(p) for p in parts], np.int64)
-    sums = prefix_hashes(np.frombuffer(b"".join(parts), np.uint8))
+    data = np.frombuffer(b"".join(parts), np.uint8)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    keys, owners = [span_hashes(sums, starts, ends)], [np.arange(len(words))]
+    keys, owners = [span_hashes(data, starts, ends)], [np.arange(len(words))]
     for n in NGRAM:
         left = np.repeat(ends, sizes) - np.arange(ends[-1])
         at = np.flatnonzero(left >= n)
-        keys.append(span_hashes(sums, at, at + n))
+        keys.append(span_hashes(data, at, at + n))
         owners.append(np.repeat(np.arange(len(words)), sizes)[at])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
@@ -318,7 +318,7 @@ def identify(docs: DataFrame, crf: Crf) -> DataFrame:
             langs, scores = tagger.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, lang_pred string, score double")
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -17,10 +17,17 @@ Counting collisions merges as few postings as it can:
   collisions counted by probing the two signatures of a candidate pair.
 
 Groups of thousands of near copies would make quadratically many pairs, all of one component.
-So lists are joined in rounds: each list first pairs its members with its most central one only
-(whose values are the commonest) and components are formed; the last round pairs members of
-different components, all of these that can be similar at all. No link between components is lost, and a group of n
-copies makes about n pairs.
+So lists are merged in rounds. In a star round every list names its most central member (whose
+values are the commonest) as its lead, and a document is paired with one lead only: of those
+outside its component, the one that most of its lists name. So a round makes one pair a document
+at most; components are formed, and lists within one component are done. The last round pairs members of
+different components that are left, all of these that can be similar at all. No link between
+components is lost. Groups of copies are joined by the stars, with one link a copy and round; the last
+round has no bound but that its pairs lie in different components, share one of their rarest
+shingles and have fitting sizes.
+
+Nodes are classes of equal word sequences. They are numbered by rows and not by doc_id, so
+rows that repeat a doc_id with other texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -33,18 +40,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, prefix_hashes, route_filter, route_mark, span_hashes, text_batches, tidy, window_hashes, word_spans
+from .common import chunks, cut, join_hot, kind, remove, route_filter, route_mark, span_hashes, text_batches, tidy, window_hashes, word_spans
 
 WORDS = 5
 COORDINATES = 64
 MATCHES = 28
 #: A link: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-#: Rounds in which a list pairs its members with one member of each list.
-STAR_ROUNDS = 1
-#: Links of the component passes that one task is planned to hold.
-LINKS_PER_TASK = 1 << 15
-_FACTORS = (np.random.RandomState(20240501).randint(1, 2**31, COORDINATES).astype(np.uint32) * np.uint32(2)) | np.uint32(1)
+#: Rounds in which a document is paired with one lead of its lists; fewer if a round finds no link.
+STAR_ROUNDS = 3
+#: Star rounds go on while one document in so many finds a link.
+STAR_YIELD = 20
+_RANDOM = np.random.RandomState(20240501)
+_SEEDS, _FACTORS, _FACTORS_2 = (_RANDOM.randint(0, 2**32, COORDINATES, np.uint32) | np.uint32(odd) for odd in (0, 1, 1))
 
 
 def normal_words(text: str | None) -> bytes:
@@ -58,7 +66,7 @@ def shingle_sets(texts: list[str | None]) -> Iterator[tuple[bytes, np.ndarray]]:
         parts = [normal_words(t) for t in texts[a:b]]
         data = np.frombuffer(b" ".join(parts), np.uint8)
         starts, ends = word_spans(data)
-        words = span_hashes(prefix_hashes(data), starts, ends)
+        words = span_hashes(data, starts, ends)
         shingles = window_hashes(words, WORDS)
         at = 0
         for p in parts:
@@ -69,11 +77,19 @@ def shingle_sets(texts: list[str | None]) -> Iterator[tuple[bytes, np.ndarray]]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """MinHash values of a nonempty set, one per coordinate, as signed 32-bit values."""
+    """MinHash values of a nonempty set, one per coordinate, as signed 32-bit values.
+
+    Each coordinate is a one to one mixer of 32 bits with constants of its own, so that which
+    shingle is the least of one says nothing of another.
+    """
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     low = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 4096):
-        low = np.minimum(low, (_FACTORS[:, None] * x[None, i : i + 4096]).min(axis=1))
+    for i in range(0, len(x), 1024):
+        h = x[None, i : i + 1024] ^ _SEEDS[:, None]
+        h *= _FACTORS[:, None]
+        h ^= h >> np.uint32(15)
+        h *= _FACTORS_2[:, None]
+        low = np.minimum(low, h.min(axis=1))
     return low.view(np.int32)
 
 
@@ -86,7 +102,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(own))
             sigs.append(signature(own).tobytes() if len(own) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "key", "n_shingles", "sig"]
+            [batch.column("doc_id"), batch.column("print"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())],
+            ["doc_id", "print", "key", "n_shingles", "sig"],
         )
 
 
@@ -110,8 +127,11 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [own.tobytes() for _, own in shingle_sets(batch.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "shingles"])
+        keys, sets = [], []
+        for words, own in shingle_sets(batch.column("text").to_pylist()):
+            keys.append(hashlib.blake2b(words, digest_size=16).digest())
+            sets.append(own.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "key", "shingles"])
 
 
 @tidy
@@ -128,26 +148,30 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(hit) for c in ("u", "v")], ["u", "v"])
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, comp) for nodes(rep): comp is the smallest rep reachable over links(u, v).
+def components(links: DataFrame) -> DataFrame:
+    """(rep, comp) for the nodes of links(u, v): comp is the smallest rep reachable.
 
     Each pass gives a node the smallest label among itself and its neighbours, then the
     label of that label; passes end when none changes. Every pass is written to the shared folder.
+    A label that a large component shares is looked up from many tasks.
     """
-    # Few links are kept in few tasks, so that a pass over them writes few shuffle files.
-    tasks = links.count() // LINKS_PER_TASK + 1
-    both = cut(links.select("u", "v").union(links.select("v", "u")).distinct().coalesce(tasks))
-    label = nodes.select("rep", F.col("rep").alias("comp"))
-    touched = cut(both.select(F.col("u").alias("rep")).distinct().withColumn("comp", F.col("rep")).coalesce(tasks))
-    changed = touched.count()
+    spark = links.sparkSession
+    kept: list[str] = []
+    both = cut(links.select("u", "v").union(links.select("v", "u")).distinct(), kept)
+    touched, changed, before = both.select(F.col("u").alias("rep")).distinct().withColumn("comp", F.col("rep")), 1, None
     while changed:
         low = both.join(touched, F.col("v") == F.col("rep")).groupBy("u").agg(F.min("comp").alias("low"))
         near = touched.join(low, F.col("rep") == F.col("u"), "left").select("rep", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
-        far = touched.select(F.col("rep").alias("of"), F.col("comp").alias("next"))
-        step = cut(near.join(far, F.col("comp") == F.col("of"), "left").select("rep", "was", F.least("comp", "next").alias("comp")).coalesce(tasks))
+        # Only labels that are nodes with another label by now say anything.
+        far = touched.filter("rep <> comp").select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
+        now: list[str] = []
+        step = cut(join_hot(near, far, ["comp"], "rep", "left", 8).select("rep", "was", F.least("comp", "next").alias("comp")), now)
         changed = step.filter("comp <> was").count()
         touched = step.select("rep", "comp")
-    return label.withColumnRenamed("comp", "own").join(touched, "rep", "left").select("rep", F.coalesce("comp", "own").alias("comp"))
+        remove(spark, before or [])
+        before = now
+    remove(spark, kept)
+    return touched
 
 
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,24 +182,30 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["rep", "comp", "n_shingles", "key"])
 
 
-def _spread(lists: DataFrame) -> DataFrame:
+def _spread(lists: DataFrame, scratch: list[str]) -> DataFrame:
     """The rows of lists (by key) whose members are of several components."""
     mixed = lists.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).filter("low <> top").select("key")
-    return lists.join(mixed, "key", "left_semi")
-
+    # Written, so that the join is one of two shuffles, whose hot keys Spark splits.
+    return lists.join(cut(mixed, scratch), "key", "left_semi")
 
-def _star_pairs(lists: DataFrame) -> DataFrame:
-    """(u, v): each list's most central member, and that of another component, with the members outside their components."""
-    best = lists.groupBy("key", "comp").agg(F.max(F.struct("weight", F.negative("rep").alias("neg"))).alias("m"))
-    one = best.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("one"))
-    two = best.join(one, "key").filter("comp <> one.comp").groupBy("key").agg(F.max(F.struct("m", "comp")).alias("two"))
-    leads = one.join(two, "key", "left").select("key", F.explode(F.array("one", "two")).alias("lead")).filter("lead is not null")
-    leads = leads.select("key", F.negative("lead.m.neg").alias("u"), F.col("lead.comp").alias("cu"))
-    pairs = lists.join(leads, "key").filter("comp <> cu").select("u", F.col("rep").alias("v"))
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
+def _star_pairs(lists: DataFrame, tried: DataFrame | None, scratch: list[str]) -> DataFrame:
+    """(u, v): each document with one lead that it wasn't paired with before, of another component: that which most of its lists name.
 
-def _rest_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    A list's lead is its most central member; a tie of leads goes to the more central one, then to the smaller one.
+    """
+    lead = F.max(F.struct("weight", F.negative("rep").alias("neg"), "comp")).alias("lead")
+    leads = lists.groupBy("key").agg(lead, F.min("comp").alias("low"), F.max("comp").alias("top")).filter("low <> top").select("key", "lead")
+    named = lists.join(cut(leads, scratch), "key").filter("comp <> lead.comp")
+    named = named.groupBy("rep", F.negative("lead.neg").alias("to"), F.col("lead.weight").alias("weight")).agg(F.count(F.lit(1)).alias("n"))
+    named = named.select(F.least("rep", "to").alias("u"), F.greatest("rep", "to").alias("v"), "rep", "to", "n", "weight")
+    if tried is not None:
+        named = named.join(tried, ["u", "v"], "left_anti")
+    chosen = named.groupBy("rep").agg(F.max(F.struct("n", "weight", F.negative("to").alias("neg"), "u", "v")).alias("m"))
+    return chosen.select("m.u", "m.v").distinct()
+
+
+def _rest_pairs(lists: DataFrame, sets: DataFrame, scratch: list[str]) -> DataFrame:
     """(u, v): documents of different components, met in a list together, that can be similar at all.
 
     The same prefix merge, on the shingles themselves: a document's shingles are ordered, first
@@ -184,16 +214,16 @@ def _rest_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
     first common shingle at place p leaves one of n - p at most. Most of what no star linked
     differs from all else in so many shingles that nothing common comes early enough.
     """
-    left = cut(_spread(lists).select("rep", "comp", "n_shingles").distinct())
+    left = cut(_spread(lists, scratch).select("rep", "comp", "n_shingles").distinct(), scratch)
     owned = sets.join(left, "rep").select("rep", "comp", "n_shingles", "shingles").mapInArrow(_explode_sets, "rep long, comp long, n_shingles long, key long")
     common = owned.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("low"), F.max("comp").alias("top")).filter("low <> top").select("key", "df")
     by_rep = Window.partitionBy("rep")
     place = F.col("n_shingles") - F.count(F.lit(1)).over(by_rep) + F.row_number().over(by_rep.orderBy("df", "key")) - 1
     rest = owned.join(common, "key").withColumn("room", F.col("n_shingles") - place).filter(f"100 * room >= {THRESHOLD} * n_shingles")
-    rest = cut(rest.select("key", "rep", "comp", "n_shingles", "room"))
+    rest = cut(rest.select("key", "rep", "comp", "n_shingles", "room"), scratch)
     least = rest.groupBy("key").agg(F.min("n_shingles").alias("least"))
     rest = rest.join(least, "key").filter(f"{100 + THRESHOLD} * room >= {THRESHOLD} * (n_shingles + greatest(least, cast(ceil(n_shingles * {THRESHOLD} / 100) as long)))")
-    rest = cut(_spread(rest.drop("least")))
+    rest = cut(_spread(rest.drop("least"), scratch), scratch)
     # Every pair of different components has a member outside a list's commonest component.
     main = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"))
     other = rest.join(main, "key").filter("comp <> m.comp").select(*(F.col(c).alias("u_" + c) for c in ("key", "rep", "comp", "n_shingles", "room")))
@@ -202,10 +232,18 @@ def _rest_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.least("u_rep", "rep").alias("u"), F.greatest("u_rep", "rep").alias("v")).distinct()
 
 
-def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Confirmed links (u, v) between representatives; they connect every component of similar documents.
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp(rep, comp) after links(u, v) between nodes: only links between components count, and only these are relabelled."""
+    ends = [comp.select(F.col("rep").alias(x), F.col("comp").alias("c" + x)) for x in "uv"]
+    between = links.join(ends[0], "u").join(ends[1], "v").filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
+    moved = components(between).filter("rep <> comp").select(F.col("rep").alias("comp"), F.col("comp").alias("to"))
+    return join_hot(comp, moved, ["comp"], "rep", "left", 8).select("rep", F.coalesce("to", "comp").alias("comp"))
 
-    docs(doc_id, text); reps(rep, n_shingles, sig), one row per class of documents with the same words.
+
+def near_links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (u, v) between representatives, which connect every component of similar documents; and (rep, comp) of all that have a list.
+
+    docs(doc_id, text); reps(rep, doc_id, key, n_shingles, sig), one row per class of documents with the same words.
     """
     posted = reps.select("rep", "sig").mapInArrow(_postings, "rep long, posting long")
     shared = posted.groupBy("posting").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -213,36 +251,69 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     owned = owned.filter(F.size("own") >= MATCHES)
     prefix = F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1))
     index = owned.select("rep", "weight", F.explode(prefix).alias("p")).select("rep", "weight", F.col("p.posting").alias("key"))
-    index = cut(index.join(reps.select("rep", "n_shingles"), "rep"))
-    members = cut(index.select("rep").distinct())
-    sigs = cut(reps.join(members, "rep", "left_semi").select("rep", "sig"))
-    texts = route_filter(docs.select(F.col("doc_id").alias("rep"), "text"), F.col("rep"), members, F.col("rep"))
-    texts = texts.join(members, "rep", "left_semi").dropDuplicates(["rep"])
-    sets = cut(texts.mapInArrow(_sets, "rep long, shingles binary"))
-    comp = members.withColumn("comp", F.col("rep"))
+    scratch: list[str] = []
+    index = cut(index.join(reps.select("rep", "n_shingles"), "rep"), scratch)
+    members = cut(reps.join(index.select("rep").distinct(), "rep", "left_semi"), scratch)
+    sigs = members.select("rep", "sig")
+    texts = route_filter(docs.select("doc_id", "text"), F.col("doc_id"), members, F.col("doc_id"))
+    found = texts.mapInArrow(_sets, f"doc_id {kind(docs, 'doc_id')}, key binary, shingles binary")
+    named = members.select("rep", F.col("doc_id").alias("id"), F.col("key").alias("of"))
+    sets = cut(found.join(named, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "shingles").dropDuplicates(["rep"]), scratch)
+    comp = members.select("rep", F.col("rep").alias("comp"))
     links = tried = None
-    for turn in range(STAR_ROUNDS + 1):
+    turn, more, total = 0, True, members.count()
+    while True:
         lists = index.join(comp, "rep")
-        pairs = _star_pairs(lists) if turn < STAR_ROUNDS else _rest_pairs(lists, sets)
-        if tried is not None:
+        last = turn == STAR_ROUNDS or not more
+        pairs = _rest_pairs(lists, sets, scratch) if last else _star_pairs(lists, tried, scratch)
+        if last and tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = cut(pairs)
+        pairs = cut(pairs, scratch)
         tried = pairs if tried is None else tried.union(pairs)
         probed = (
             pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), "u")
             .join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")), "v")
             .mapInArrow(_probe, "u long, v long")
         )
-        found = cut(
+        new = cut(
             probed.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("set_u")), "u")
             .join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("set_v")), "v")
             .select("u", "v", "set_u", "set_v")
             .mapInArrow(_confirm, "u long, v long")
         )
-        links = found if links is None else links.union(found)
-        if turn < STAR_ROUNDS:
-            comp = cut(components(members, links))
-    return links
+        links = new if links is None else links.union(new)
+        n = new.count()
+        if n or last:
+            # The last components outlive this function.
+            comp = cut(_merged(comp, new) if n else comp, None if last else scratch)
+        if last:
+            remove(reps.sparkSession, scratch)
+            return links, comp
+        # Where few documents found a link, leads are no longer what connects them.
+        more = n * STAR_YIELD > total
+        turn += 1
+
+
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """near_dedup with print, a hash of the text, that tells rows of one doc_id apart."""
+    text_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    signed = docs.withColumn("print", F.xxhash64("text")).mapInArrow(_sign, f"doc_id {kind(docs, 'doc_id')}, print long, key binary, n_shingles long, sig binary")
+    signed = cut(signed.withColumn("row", F.monotonically_increasing_id()))
+    # A class goes by one of its rows, the first of those with the smallest doc_id.
+    classes = signed.filter("n_shingles > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m"))
+    classes = cut(classes.select("key", F.col("m.row").alias("rep"), F.col("m.doc_id").alias("doc_id")))
+    own = signed.select(F.col("row").alias("rep"), "n_shingles", "sig")
+    reps = cut(classes.join(own, "rep").select("rep", "doc_id", "key", "n_shingles", "sig"))
+    comp = near_links(docs, reps)[1]
+    comp = comp.join(classes.select("rep", "doc_id"), "rep")
+    # Only components of several nodes say anything of a node that it doesn't know itself.
+    first = comp.groupBy("comp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("comp", "first")
+    named = join_hot(comp.select("rep", "comp"), cut(first), ["comp"], "rep", salts=8).select("rep", "first")
+    of = classes.join(named, "rep", "left").select("key", F.coalesce("first", "doc_id").alias("first"))
+    out = signed.select("doc_id", "print", "key", "n_shingles").join(of, "key", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "print", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -250,29 +321,22 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     Documents without words (null, empty, white space) have no shingles and are linked with
     nothing; with fewer words than a shingle has, the whole sequence is one shingle. Rows that
-    share a doc_id are one document to the links. A row with a null doc_id joins the component
-    of an equal text that has an id; else its component_id is null and it is kept.
+    repeat a doc_id are documents of their own, and all rows of the smallest doc_id are kept. A
+    component's id is its smallest doc_id that isn't null; if all are null, so is the id, and its rows are kept.
     """
-    text_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    signed = cut(docs.mapInArrow(_sign, "doc_id long, key binary, n_shingles long, sig binary"))
-    classes = signed.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = signed.filter("n_shingles > 0").join(classes.filter("rep is not null"), (F.col("doc_id") == F.col("rep")) & (signed["key"] == classes["key"]))
-    reps = cut(reps.select("rep", "n_shingles", "sig").dropDuplicates(["rep"]))
-    links = near_links(docs, reps)
-    comp = components(links.select(F.col("u").alias("rep")).union(links.select(F.col("v").alias("rep"))).distinct(), links)
-    of = classes.join(comp, "rep", "left").select("key", F.coalesce("comp", "rep").alias("of_key"))
-    out = signed.select("doc_id", "key", "n_shingles").join(of, "key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("of_key")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return _verdicts(docs).drop("print")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near-deduplication keeps, with all their columns.
+    """The rows of docs that near-deduplication keeps, with all their columns, whatever their names.
 
-    Only rows that may go are shuffled with their texts; all others pass by.
+    Of a group, the rows with its smallest doc_id stay; a row with a null doc_id goes if its group has an id. Rows
+    without words stay. Only rows that may go are shuffled with their texts; all others pass by.
     """
-    dropped = cut(near_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct())
-    marked = route_mark(docs, F.col("doc_id"), dropped, F.col("_id"))
-    stay = marked.filter("_routed").join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
-    return marked.filter("not _routed").select(*docs.columns).unionByName(stay.select(*docs.columns))
+    out = _verdicts(docs).filter("not kept").select(F.struct(F.col("doc_id").alias("id"), "print").alias("of"))
+    dropped = cut(out.distinct())
+    own = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("print"))
+    marked = route_mark(docs, own, dropped, F.col("of"))
+    named = F.struct(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("print"))
+    stay = marked.filter("routed").select("row", named.alias("own")).join(dropped, F.col("own").eqNullSafe(F.col("of")), "left_anti")
+    return marked.filter("not routed").select("row.*").unionByName(stay.select("row.*"))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACE, chunks, prefix_hashes, span_hashes, text_batches, window_hashes, word_spans
+from .common import SPACE, chunks, kind, span_hashes, text_batches, window_hashes, word_spans
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def measure(texts: list[str | None], rules: LineRules) -> Iterator[dict]:
         raw = b"\n".join(parts) + b"\n"
         data = np.frombuffer(raw, np.uint8)
         starts, ends = word_spans(data)
-        words = span_hashes(prefix_hashes(data), starts, ends)
+        words = span_hashes(data, starts, ends)
         # Running counts, so that any range of bytes or words is a difference.
         letters = np.r_[0, np.cumsum(((data & 0xC0) != 0x80) & ~SPACE[data])]
         symbols = np.r_[0, np.cumsum(SYMBOLS[data])]
@@ -70,8 +70,6 @@ def measure(texts: list[str | None], rules: LineRules) -> Iterator[dict]:
         n = last - first
         fails = n > 0
         fails &= (100 * (marked[last] - marked[first]) > rules.max_symbol_percent * n) | (100 * (shout[last] - shout[first]) > rules.max_shout_percent * n) | (100 * (bare[last] - bare[first]) > rules.max_separator_percent * n)
-        # A line is its bytes, white space included.
-        line_keys = span_hashes(prefix_hashes(data), line_starts, line_ends)
         windows = window_hashes(words, rules.repeat_window)
         at, line = 0, 0
         for p in parts:
@@ -79,7 +77,9 @@ def measure(texts: list[str | None], rules: LineRules) -> Iterator[dict]:
             own = slice(line, line + n_lines)
             w0, w1 = int(first[own][0]), int(last[own][-1])
             n_words = w1 - w0
-            keys = line_keys[own][n[own] > 0]
+            # A line is its bytes, white space included.
+            with_words = np.flatnonzero(n[own]) + line
+            lines = {raw[line_starts[i] : line_ends[i]] for i in with_words}
             gone = fails[own].copy()
             for i in range(line, line + n_lines):
                 # SQL's white space before a notice has no vertical tab.
@@ -91,6 +91,11 @@ def measure(texts: list[str | None], rules: LineRules) -> Iterator[dict]:
                 _, back, counts = np.unique(own_windows, return_inverse=True, return_counts=True)
                 twice = np.flatnonzero(counts[back] > 1)
                 if len(twice):
+                    # Equal hashes: the words themselves decide.
+                    known: dict[bytes, int] = {}
+                    ids = np.array([known.setdefault(raw[i:j], len(known)) for i, j in zip(starts[w0:w1].tolist(), ends[w0:w1].tolist(), strict=True)])
+                    _, back, counts = np.unique(np.lib.stride_tricks.sliding_window_view(ids, rules.repeat_window)[twice], axis=0, return_inverse=True, return_counts=True)
+                    twice = twice[counts[back.reshape(-1)] > 1]
                     edge = np.bincount(twice, minlength=n_words + 1) - np.bincount(twice + rules.repeat_window, minlength=n_words + 1)
                     repeated = int((np.cumsum(edge) > 0).sum())
             base_failed = n_words < rules.min_words or 100 * repeated > rules.max_repeat_percent * n_words
@@ -99,7 +104,7 @@ def measure(texts: list[str | None], rules: LineRules) -> Iterator[dict]:
                 "n_words": n_words,
                 "word_chars": int(letters[at + len(p)] - letters[at]),
                 "n_symbols": int(symbols[at + len(p)] - symbols[at]),
-                "n_dup_lines": len(keys) - len(np.unique(keys)),
+                "n_dup_lines": len(with_words) - len(lines),
                 "n_repeat_words": repeated,
                 "base_failed": base_failed,
                 "n_lines_removed": int(gone.sum()),
@@ -131,4 +136,4 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), with_text: bo
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *names, *["clean_text"] * with_text])
 
     text_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + FIELDS + ", clean_text string" * with_text)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, " + FIELDS + ", clean_text string" * with_text)

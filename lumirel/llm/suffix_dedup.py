@@ -1,53 +1,70 @@
 """Removal of long repeated byte strings by blockwise suffix sorting with a difference cover.
 
-Two suffixes tie, for this purpose, when their first WINDOW bytes agree. Sorting all suffixes
+Two suffixes tie, for this purpose, when their first WINDOW symbols agree. Sorting all suffixes
 to that depth is what the difference cover avoids: a cover D of the residues modulo V has, for
 any two positions i and j, a shift below V that moves both onto sampled positions. So
 
 1. the cover sample (about 6 % of the suffixes) is sorted to depth WINDOW - V + 1, one bucket
-   of keys at a time, and gets ranks: alone, or tied with others;
-2. a suffix can be in a tie of WINDOW bytes only if, within its first V positions, there is a
+   at a time, and gets ranks: a suffix is alone, or tied with others;
+2. a suffix can be in a tie of WINDOW symbols only if, within its first V positions, there is a
    sampled one of a tied rank; all others are settled without being sorted;
 3. the suffixes left come in runs, which are cut where their content says so. Equal pieces of
    runs are settled together: all their suffixes repeat;
 4. the suffixes of the other pieces, and of one copy of each equal piece, are sorted one bucket
-   at a time, and ties repeat.
+   at a time, and ties repeat;
+5. ties are verified, by fingerprints at a second point.
 
-Keys are 64-bit hashes of the bytes to the depth in question, so a bucket is a range of keys
-and not of the alphabet: the order among different strings plays no part in the result, and
-buckets are even for any text. Texts are packed into units which stay where they are (a table
+Sorting is by fingerprints of the symbols to the depth in question, so a bucket is a range of
+fingerprints and not of the alphabet: the order among different strings plays no part in the
+result, and buckets are even for any text. Fingerprints are polynomials modulo the prime
+2**61 - 1 at points drawn for each run, so no text can be made to collide. A false tie has to be one under both:
+of n suffixes about n * (n / 2**61)**2, which is 1e-10 of 1e9 and 200 of 1e13. No bytes are compared, as
+strings of 400 bytes for each tied suffix would be many times the input.
+
+The same steps, on words instead of bytes, find passages of PASSAGE_WORDS words that another
+document has too; these are counted, and no byte is removed for them.
+
+Texts are packed into units which stay where they are (a table
 bucketed by unit in the shared folder); only keys move, in sorted arrays per bucket.
 
 Defined cases: a null text is empty; texts shorter than WINDOW bytes lose nothing; each row is
-a document of its own, repeated rows and null doc_ids included.
+a document of its own, repeated rows and null doc_ids included; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import re
+import secrets
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, _BASE, _INVERSE, cut, fresh_path, mix64, powers, prefix_hashes, text_batches
+from .common import CHUNK_BYTES, cut, fresh_path, kind, mix64, span_hashes, text_batches, word_spans
 
 WINDOW = 400
-ORDER = 17
-V = ORDER * ORDER + ORDER + 1
-DEPTH = WINDOW - V + 1
+#: Words of a passage that counts as repeated, from one document to another.
+PASSAGE_WORDS = 51
 #: Runs of candidates are cut after one position in so many, chosen by content.
 PIECE = 64
 #: Keys that a bucket is planned to hold.
 BUCKET_KEYS = 1 << 19
-#: What a unit is told about its keys.
-TIED_SAMPLE, EQUAL_PIECE, OWN_PIECE, TIED_WINDOW = range(4)
-KEYS = "bucket int, unit long, keys binary"
+#: Bytes of a file that one unit holds at most, as far as the files can be split.
+UNIT_BYTES = 32 << 20
+#: What a unit is told about its keys; for words, WORDS more.
+TIED_SAMPLE, EQUAL_PIECE, OWN_PIECE, TIED_WINDOW, SAME_PIECE, SAME_WINDOW = range(6)
+WORDS = 6
+KEYS = "bucket int, kind int, unit long, keys binary"
 REPLY = "unit long, kind int, keys binary"
+KEYS_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("unit", pa.int64()), ("keys", pa.binary())])
+P = (1 << 61) - 1
 
 
 def difference_cover(q: int) -> np.ndarray:
@@ -67,8 +84,95 @@ def difference_cover(q: int) -> np.ndarray:
     raise ValueError(f"no difference set for {q}")
 
 
-COVER = np.zeros(V, bool)
-COVER[difference_cover(ORDER)] = True
+@dataclass(frozen=True)
+class Level:
+    """What repeats: runs of window symbols; across: only from one document to another; kinds: the first kind of its replies."""
+
+    window: int
+    order: int
+    across: bool
+    kinds: int
+
+    @property
+    def v(self) -> int:
+        return self.order * self.order + self.order + 1
+
+    @property
+    def depth(self) -> int:
+        return self.window - self.v + 1
+
+
+BYTE_LEVEL = Level(WINDOW, 17, False, 0)
+WORD_LEVEL = Level(PASSAGE_WORDS, 5, True, WORDS)
+LEVELS = (BYTE_LEVEL, WORD_LEVEL)
+COVERS = {}
+for _level in LEVELS:
+    COVERS[_level] = np.zeros(_level.v, bool)
+    COVERS[_level][difference_cover(_level.order)] = True
+
+
+# Arithmetic modulo P on arrays.
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(P)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(P), x - np.uint64(P), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo P, of values below P, by halves of 32 and 29 bits."""
+    low = np.uint64(0xFFFFFFFF)
+    a0, a1, b0, b1 = a & low, a >> np.uint64(32), b & low, b >> np.uint64(32)
+    # 2**64 is 8 modulo P, and 2**32 * x moves what is above bit 29 of x to the front.
+    mid = _reduced(a0 * b1) + _reduced(a1 * b0)
+    front = (mid >> np.uint64(29)) + ((mid & np.uint64((1 << 29) - 1)) << np.uint64(32))
+    return _reduced(_reduced(a0 * b0) + _reduced(a1 * b1 * np.uint64(8)) + _reduced(front))
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(point: int, n: int) -> np.ndarray:
+    """point**0 .. point**(n - 1) modulo P; a worker holds those of few points, as long as chunks are."""
+    have = _POWERS.get(point)
+    if have is None or len(have) < n:
+        size = 1 << max(12, int(n - 1).bit_length())
+        have = np.ones(size, np.uint64)
+        filled, step = 1, point
+        while filled < size:
+            have[filled : 2 * filled] = times(have[:filled], np.uint64(step))
+            step = step * step % P
+            filled *= 2
+        if len(_POWERS) > 8:
+            _POWERS.clear()
+        _POWERS[point] = have
+    return have[:n]
+
+
+class Fingerprints:
+    """Fingerprints of any span of a sequence of symbols, at one point."""
+
+    def __init__(self, symbols: np.ndarray, point: int):
+        n = len(symbols)
+        self.back = powers(pow(point, -1, P), n + 1)
+        ahead = powers(point, n + 1)
+        if symbols.dtype == np.uint8:
+            # A byte times a power in halves, each of which adds up exactly.
+            b = symbols.astype(np.uint64) + np.uint64(1)
+            low, high = b * (ahead[:n] & np.uint64(0xFFFFFFFF)), b * (ahead[:n] >> np.uint64(32))
+        else:
+            term = times(_reduced(symbols), ahead[:n])
+            low, high = term & np.uint64(0xFFFFFFFF), term >> np.uint64(32)
+        self.low, self.high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(low, out=self.low[1:])
+        np.cumsum(high, out=self.high[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Well mixed fingerprints of spans; the same symbols give the same one wherever they are."""
+        low, high = self.low[ends] - self.low[starts], self.high[ends] - self.high[starts]
+        whole = _reduced(_reduced(low) + times(_reduced(high), np.uint64(1 << 32)))
+        # All spans are moved to the front of the sequence, so that their powers are the same.
+        return mix64(times(whole, self.back[starts]) + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def _pack(units: list[int]) -> Callable:
@@ -78,18 +182,19 @@ def _pack(units: list[int]) -> Callable:
         ids, sizes, parts, held = [], [], [], 0
 
         def row() -> pa.RecordBatch:
+            own = pa.concat_arrays(ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array([unit], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())],
+                [pa.array([unit], pa.int64()), pa.ListArray.from_arrays([0, len(own)], own), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())],
                 ["unit", "doc_ids", "sizes", "data"],
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for i, text in enumerate(batch.column("text")):
                 one = text.as_buffer().to_pybytes() if text.is_valid else b""
                 if ids and held + len(one) > CHUNK_BYTES:
                     yield row()
                     ids, sizes, parts, held = [], [], [], 0
-                ids.append(doc_id)
+                ids.append(batch.column("doc_id").slice(i, 1))
                 sizes.append(len(one))
                 parts.append(one)
                 held += len(one)
@@ -99,7 +204,99 @@ def _pack(units: list[int]) -> Callable:
     return pack
 
 
-def _by_bucket(unit: int, keys: np.ndarray, bits: int) -> pa.RecordBatch:
+class Chunk:
+    """Texts end to end, as symbols of a level, with the fingerprints of their spans."""
+
+    def __init__(self, sizes: np.ndarray, data: np.ndarray, level: Level, points: tuple[int, int]):
+        self.level, self.points = level, points
+        self.starts = self.ends = None
+        if level.across:
+            self.starts, self.ends = word_spans_within(data, sizes)
+            symbols = span_hashes(data, self.starts, self.ends)
+            sizes = np.diff(np.searchsorted(self.starts, np.r_[0, np.cumsum(sizes)]))
+        else:
+            symbols = data
+        self.sizes, self.doc_ends = sizes, np.cumsum(sizes)
+        self.n = len(symbols)
+        self.symbols = symbols
+        self.prints = Fingerprints(symbols, points[0])
+
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.doc_ends, at, side="right")
+
+    def sample(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled positions with depth symbols left in their document, and their keys."""
+        cover, depth = COVERS[self.level], self.level.depth
+        at = [np.zeros(0, np.int64)]
+        for start, n in zip((self.doc_ends - self.sizes).tolist(), self.sizes.tolist(), strict=True):
+            if n >= self.level.window:
+                at.append(start + np.flatnonzero(np.resize(cover, n - depth + 1)))
+        at = np.concatenate(at)
+        return at, self.prints.of(at, at + depth)
+
+    def once(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The keys to be sorted: where documents are to differ, each key once a document."""
+        if not self.level.across or not len(keys):
+            return keys
+        order = np.lexsort((keys, doc := self.doc(at)))
+        keys, doc = keys[order], doc[order]
+        return keys[np.r_[True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]]
+
+
+def word_spans_within(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of texts that lie end to end; a text's end ends a word."""
+    starts, ends = word_spans(data)
+    edges = np.cumsum(sizes)[:-1]
+    inner = edges[np.searchsorted(starts, edges, side="left") > np.searchsorted(ends, edges, side="right")]
+    if len(inner):
+        inner = np.unique(inner)
+        starts, ends = np.union1d(starts, inner), np.union1d(ends, inner)
+    return starts, ends
+
+
+class Runs(Chunk):
+    """A chunk's candidate suffixes, their keys, and the pieces of their runs."""
+
+    def __init__(self, sizes: np.ndarray, data: np.ndarray, level: Level, points: tuple[int, int], tied: np.ndarray):
+        super().__init__(sizes, data, level, points)
+        at, keys = self.sample()
+        at = at[_among(keys, tied)]
+        doc = self.doc(at)
+        first, last = (self.doc_ends - self.sizes)[doc], self.doc_ends[doc] - level.window
+        low, high = np.maximum(at - level.v + 1, first), np.minimum(at, last)
+        ok = low <= high
+        edge = np.bincount(low[ok], minlength=self.n + 2) - np.bincount(high[ok] + 1, minlength=self.n + 2)
+        self.at = np.flatnonzero(np.cumsum(edge) > 0)
+        self.keys = self.prints.of(self.at, self.at + level.window)
+        if not len(self.at):
+            self.piece_starts = self.piece_sizes = np.zeros(0, np.int64)
+            self.piece_keys = self.piece_checks = np.zeros(0, np.uint64)
+            return
+        cuts = (self.keys & np.uint64(PIECE - 1)) == 0
+        cuts[-1] = True
+        cuts[:-1] |= (np.diff(self.at) > 1) | (np.diff(self.doc(self.at)) > 0)
+        ends = np.flatnonzero(cuts) + 1
+        starts = np.r_[0, ends[:-1]]
+        self.piece_starts, self.piece_sizes = starts, ends - starts
+        # A piece stands for its symbols up to the end of its last suffix.
+        span = self.at[starts], self.at[ends - 1] + level.window
+        self.piece_keys = self.prints.of(*span)
+        self.checks = Fingerprints(self.symbols, points[1])
+        self.piece_checks = self.checks.of(*span)
+
+    def of_pieces(self, pieces: np.ndarray) -> np.ndarray:
+        """Which suffixes belong to pieces of a mask."""
+        return np.repeat(pieces, self.piece_sizes)
+
+
+def _among(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
+    if not len(told):
+        return np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(told, keys), len(told) - 1)
+    return told[at] == keys
+
+
+def _by_bucket(unit: int, kind: int, keys: np.ndarray, bits: int) -> pa.RecordBatch:
     """Sorted keys in rows by bucket, their leading bits; a key that came more than once comes twice."""
     keys, n = np.unique(keys, return_counts=True)
     keys = np.repeat(keys, np.minimum(n, 2))
@@ -107,151 +304,161 @@ def _by_bucket(unit: int, keys: np.ndarray, bits: int) -> pa.RecordBatch:
     ids, first = np.unique(bucket, return_index=True)
     ends = np.r_[first[1:], len(keys)].astype(int)[: len(ids)]
     blobs = [keys[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([unit] * len(ids), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "unit", "keys"])
+    rows = len(ids)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([kind] * rows, pa.int32()), pa.array([unit] * rows, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "kind", "unit", "keys"])
 
 
-def _sample(sizes: np.ndarray, data: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled positions of a chunk with DEPTH bytes left in their document, and their keys."""
-    at = [np.zeros(0, np.int64)]
-    start = 0
-    for n in sizes:
-        if n >= WINDOW:
-            at.append(start + np.flatnonzero(np.resize(COVER, n - DEPTH + 1)))
-        start += n
-    at = np.concatenate(at)
-    return at, mix64((sums[at + DEPTH] - sums[at]) * powers(_INVERSE, len(sums))[at])
+def _cover_keys(bits: int, points: tuple[int, int]) -> Callable:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, n = None, {k: [] for k in LEVELS}, 0
 
+        def out() -> Iterator[pa.RecordBatch]:
+            for level, own in held.items():
+                if own:
+                    yield _by_bucket(unit, level.kinds + TIED_SAMPLE, np.concatenate(own), bits)
+                    own.clear()
 
-def _cover_keys(bits: int) -> Callable:
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held, n = None, [], 0
         for batch in batches:
             for row_unit, sizes, data in zip(batch.column("unit").to_pylist(), batch.column("sizes"), batch.column("data"), strict=True):
-                if held and (row_unit != unit or n > 4 << 20):
-                    yield _by_bucket(unit, np.concatenate(held), bits)
-                    held, n = [], 0
+                if row_unit != unit or n > 1 << 20:
+                    yield from out()
+                    n = 0
                 unit = row_unit
-                text = np.frombuffer(data.as_buffer(), np.uint8)
-                held.append(_sample(sizes.values.to_numpy(), text, prefix_hashes(text))[1])
-                n += len(held[-1])
-        if held:
-            yield _by_bucket(unit, np.concatenate(held), bits)
+                for level in LEVELS:
+                    chunk = Chunk(sizes.values.to_numpy(), np.frombuffer(data.as_buffer(), np.uint8), level, points)
+                    at, own = chunk.sample()
+                    held[level].append(chunk.once(own, at))
+                    n += len(own)
+        yield from out()
 
     return keys
 
 
-def _ties(kind: int, owner_kind: int | None = None) -> Callable:
-    """Sorts one bucket and tells each unit which of its keys are tied; with owner_kind, one unit also which of these it stands for."""
-
-    def sort(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, own = [], []
-        for batch in batches:
-            units += batch.column("unit").to_pylist()
-            own += [np.frombuffer(k.as_buffer(), np.uint64) for k in batch.column("keys")]
-        whole = np.concatenate(own)
-        whole.sort(kind="stable")
-        tied = np.unique(whole[1:][whole[1:] == whole[:-1]])
-        free = np.ones(len(tied), bool)
-        out = []
-        for i in np.argsort(units, kind="stable"):
-            mine = np.unique(own[i])
-            at = np.searchsorted(tied, mine)
-            hit = at < len(tied)
-            hit[hit] = tied[at[hit]] == mine[hit]
-            if hit.any():
-                out.append((units[i], kind, mine[hit].tobytes()))
-                first = at[hit][free[at[hit]]]
-                if owner_kind is not None and len(first):
-                    out.append((units[i], owner_kind, tied[first].tobytes()))
-                    free[first] = False
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["unit", "kind", "keys"])
-
-    return sort
-
-
-def _among(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
-    if not len(told):
-        return np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(told, keys), len(told) - 1)
-    return told[at] == keys
-
-
-class _Runs:
-    """A chunk's candidate suffixes, their keys, and the pieces of their runs."""
-
-    def __init__(self, sizes: np.ndarray, data: np.ndarray, tied: np.ndarray):
-        sums = prefix_hashes(data)
-        at, keys = _sample(sizes, data, sums)
-        at = at[_among(keys, tied)]
-        ends = np.cumsum(sizes)
-        doc = np.searchsorted(ends, at, side="right")
-        low, high = np.maximum(at - V + 1, (ends - sizes)[doc]), np.minimum(at, ends[doc] - WINDOW)
-        ok = low <= high
-        edge = np.bincount(low[ok], minlength=len(data) + 2) - np.bincount(high[ok] + 1, minlength=len(data) + 2)
-        self.at = np.flatnonzero(np.cumsum(edge) > 0)
-        self.keys = mix64((sums[self.at + WINDOW] - sums[self.at]) * powers(_INVERSE, len(sums))[self.at])
-        last = (self.keys & np.uint64(PIECE - 1)) == 0
-        if len(last):
-            last[-1] = True
-            last[:-1] |= np.diff(self.at) > 1
-        ends = np.flatnonzero(last) + 1
-        starts = np.r_[0, ends[:-1]].astype(int) if len(ends) else ends
-        sums = np.zeros(len(self.keys) + 1, np.uint64)
-        np.cumsum(self.keys * powers(_BASE, len(self.keys)), out=sums[1:])
-        self.piece_keys = mix64((sums[ends] - sums[starts]) * powers(_INVERSE, len(sums))[starts] + (ends - starts).astype(np.uint64))
-        self.sizes = ends - starts
-
-
-def _visit(stage: int, bits: int) -> Callable:
-    """What a unit does with what it has been told so far: piece keys (1), suffix keys (2), results (3)."""
-
-    def visit(key: tuple[pa.Scalar, ...], chunks: pa.Table, told: pa.Table) -> pa.Table:
-        unit = key[0].as_py() if chunks.num_rows == 0 else chunks.column("unit")[0].as_py()
-        by_kind = {k: [np.zeros(0, np.uint64)] for k in range(4)}
-        for kind, keys in zip(told.column("kind").to_pylist(), told.column("keys"), strict=True):
-            by_kind[kind].append(np.frombuffer(keys.as_buffer(), np.uint64))
+def _ties(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorts one bucket of keys of one kind and tells each unit which of its keys are tied; of equal pieces, also one unit that it stands for them."""
+    units, own, what = [], [], key[1].as_py()
+    owners = what % WORDS == EQUAL_PIECE
+    for batch in batches:
+        units += batch.column("unit").to_pylist()
+        own += [np.frombuffer(k.as_buffer(), np.uint64) for k in batch.column("keys")]
+    whole = np.concatenate(own)
+    whole.sort(kind="stable")
+    tied = np.unique(whole[1:][whole[1:] == whole[:-1]])
+    free = np.ones(len(tied), bool)
+    out = []
+    for i in np.argsort(units, kind="stable"):
+        mine = np.unique(own[i])
+        at = np.searchsorted(tied, mine)
+        hit = at < len(tied)
+        hit[hit] = tied[at[hit]] == mine[hit]
+        if hit.any():
+            out.append((units[i], what, mine[hit].tobytes()))
+            first = at[hit][free[at[hit]]]
+            if owners and len(first):
+                out.append((units[i], what - EQUAL_PIECE + OWN_PIECE, tied[first].tobytes()))
+                free[first] = False
+    cols = list(zip(*out, strict=True)) or [[], [], []]
+    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["unit", "kind", "keys"])
+
+
+class Visit:
+    """What a unit does with what it has been told so far: piece keys (1), suffix keys (2), checks of tied suffixes (3), results (4)."""
+
+    def __init__(self, stage: int, bits: int, points: tuple[int, int]):
+        self.stage, self.bits, self.points = stage, bits, points
+
+    def function(self) -> Callable:
+        def run(key: tuple[pa.Scalar, ...], chunks: pa.Table, told: pa.Table) -> pa.Table:
+            return self.run(chunks, told)
+
+        return run
+
+    def run(self, chunks: pa.Table, told: pa.Table) -> pa.Table:
+        by_kind = {k: [np.zeros(0, np.uint64)] for k in range(2 * WORDS)}
+        for kind_, keys in zip(told.column("kind").to_pylist(), told.column("keys"), strict=True):
+            by_kind[kind_].append(np.frombuffer(keys.as_buffer(), np.uint64))
         known = {k: np.sort(np.concatenate(v)) for k, v in by_kind.items()}
-        held, rows = [np.zeros(0, np.uint64)], []
-        taken = np.zeros(0, np.uint64)
-        for ids, sizes, data in zip(chunks.column("doc_ids"), chunks.column("sizes"), chunks.column("data"), strict=True):
+        held: dict[int, list[np.ndarray]] = {}
+        taken = {level: np.zeros(0, np.uint64) for level in LEVELS}
+        rows, ids = [], []
+        for doc_ids, sizes, data in zip(chunks.column("doc_ids"), chunks.column("sizes"), chunks.column("data"), strict=True):
             sizes, text = sizes.values.to_numpy(), np.frombuffer(data.as_buffer(), np.uint8)
-            runs = _Runs(sizes, text, known[TIED_SAMPLE])
-            if stage == 1:
-                held.append(runs.piece_keys)
-                continue
-            equal = _among(runs.piece_keys, known[EQUAL_PIECE])
-            if stage == 2:
-                # One copy of each equal piece that this unit stands for, and all other pieces.
-                own = equal & _among(runs.piece_keys, known[OWN_PIECE]) & ~np.isin(runs.piece_keys, taken)
-                first = np.zeros(len(own), bool)
-                first[np.unique(runs.piece_keys, return_index=True)[1]] = True
-                own &= first
-                taken = np.concatenate([taken, runs.piece_keys[own]])
-                held.append(runs.keys[np.repeat(~equal | own, runs.sizes)])
-                continue
-            repeats = runs.at[np.repeat(equal, runs.sizes) | _among(runs.keys, known[TIED_WINDOW])]
-            edge = np.bincount(repeats, minlength=len(text) + WINDOW + 1) - np.bincount(repeats + WINDOW, minlength=len(text) + WINDOW + 1)
-            gone = np.cumsum(edge[: len(text)]) > 0
-            count = np.r_[0, np.cumsum(gone)]
-            start = 0
-            for doc_id, n in zip(ids.values.to_pylist(), sizes.tolist(), strict=True):
-                own, n_gone = gone[start : start + n], int(count[start + n] - count[start])
-                spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if n_gone else 0
-                kept = text[start : start + n][~own] if n_gone else text[start : start + n]
-                rows.append((doc_id, n, n_gone, spans, hashlib.sha256(kept.tobytes()).hexdigest()))
-                start += n
-        if stage < 3:
-            return pa.Table.from_batches([_by_bucket(unit, np.concatenate(held), bits)])
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = [pa.int64()] * 4 + [pa.string()]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return visit
-
-
-def _units(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The texts in chunks, as a table that is bucketed by unit, one unit for each partition of docs; and their bytes.
+            found = {}
+            for level in LEVELS:
+                told_of = {k - level.kinds: v for k, v in known.items() if level.kinds <= k < level.kinds + WORDS}
+                runs = Runs(sizes, text, level, self.points, told_of[TIED_SAMPLE])
+                for what, keys in self.keys(runs, told_of, taken):
+                    held.setdefault(level.kinds + what, []).append(keys)
+                if self.stage == 4:
+                    found[level] = runs, self.repeats(runs, told_of)
+            if self.stage == 4:
+                ids.append(doc_ids.values)
+                rows += self.results(sizes, text, found)
+        if self.stage < 4:
+            unit = chunks.column("unit")[0].as_py()
+            return pa.Table.from_batches([_by_bucket(unit, what, np.concatenate(keys), self.bits) for what, keys in held.items()], schema=KEYS_SCHEMA)
+        cols = list(zip(*rows, strict=True))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        return pa.table([pa.concat_arrays(ids), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
+
+    def keys(self, runs: Runs, told: dict[int, np.ndarray], taken: dict[Level, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        level = runs.level
+        if self.stage == 1:
+            yield EQUAL_PIECE, runs.once(runs.piece_keys, runs.at[runs.piece_starts])
+            yield SAME_PIECE, runs.once(runs.piece_checks, runs.at[runs.piece_starts])
+        elif self.stage == 2:
+            sent = self.sent(runs, told, taken)
+            yield TIED_WINDOW, runs.once(runs.keys[sent], runs.at[sent])
+        elif self.stage == 3 and len(runs.at):
+            at = runs.at[self.sent(runs, told, taken) & _among(runs.keys, told[TIED_WINDOW])]
+            yield SAME_WINDOW, runs.once(runs.checks.of(at, at + runs.level.window), at)
+
+    def sent(self, runs: Runs, told: dict[int, np.ndarray], taken: dict[Level, np.ndarray]) -> np.ndarray:
+        """The suffixes of one copy of each equal piece that this unit stands for, and of all other pieces."""
+        equal = self.equal(runs, told)
+        own = equal & _among(runs.piece_keys, told[OWN_PIECE]) & ~np.isin(runs.piece_keys, taken[runs.level])
+        first = np.zeros(len(own), bool)
+        first[np.unique(runs.piece_keys, return_index=True)[1]] = True
+        own &= first
+        taken[runs.level] = np.concatenate([taken[runs.level], runs.piece_keys[own]])
+        return runs.of_pieces(~equal | own)
+
+    @staticmethod
+    def equal(runs: Runs, told: dict[int, np.ndarray]) -> np.ndarray:
+        return _among(runs.piece_keys, told[EQUAL_PIECE]) & _among(runs.piece_checks, told[SAME_PIECE])
+
+    def repeats(self, runs: Runs, told: dict[int, np.ndarray]) -> np.ndarray:
+        """Positions of suffixes whose strings repeat."""
+        if not len(runs.at):
+            return runs.at
+        same = runs.of_pieces(self.equal(runs, told))
+        open_ = np.flatnonzero(~same & _among(runs.keys, told[TIED_WINDOW]))
+        at = runs.at[open_]
+        same[open_] = _among(runs.checks.of(at, at + runs.level.window), told[SAME_WINDOW])
+        return runs.at[same]
+
+    @staticmethod
+    def results(sizes: np.ndarray, text: np.ndarray, found: dict[Level, tuple[Runs, np.ndarray]]) -> Iterator[tuple]:
+        covered = {}
+        for level, (runs, at) in found.items():
+            edge = np.bincount(at, minlength=runs.n + level.window + 1) - np.bincount(at + level.window, minlength=runs.n + level.window + 1)
+            covered[level] = np.cumsum(edge[: runs.n]) > 0
+        gone = covered[BYTE_LEVEL]
+        count = np.r_[0, np.cumsum(gone)]
+        runs = found[WORD_LEVEL][0]
+        words = np.r_[0, np.cumsum(covered[WORD_LEVEL])]
+        ends = runs.doc_ends.tolist()
+        start = 0
+        for i, n in enumerate(sizes.tolist()):
+            own, n_gone = gone[start : start + n], int(count[start + n] - count[start])
+            spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if n_gone else 0
+            kept = text[start : start + n][~own] if n_gone else text[start : start + n]
+            yield n, n_gone, spans, hashlib.sha256(kept.tobytes()).hexdigest(), int(words[ends[i]] - words[ends[i] - int(runs.sizes[i])])
+            start += n
+
+
+def _units(docs: DataFrame) -> tuple[str, DataFrame, int]:
+    """The texts in chunks, as a table that is bucketed by unit, one unit for each partition of docs; its name, and the bytes of text.
 
     A unit's number is chosen so that its bucket is the number of its partition: each task
     writes one file, and no text is shuffled here or when units are joined with replies.
@@ -262,26 +469,57 @@ def _units(docs: DataFrame) -> tuple[DataFrame, int]:
     found = {r.b: r.id for r in spread.collect()}
     units = [found.get(b, -1 - b) for b in range(n)]
     name = f"units_{uuid.uuid4().hex}"
-    packed = docs.mapInArrow(_pack(units), "unit long, doc_ids array<long>, sizes array<long>, data binary")
+    packed = docs.mapInArrow(_pack(units), f"unit long, doc_ids array<{kind(docs, 'doc_id')}>, sizes array<long>, data binary")
     packed.write.bucketBy(n, "unit").option("compression", "zstd").option("path", fresh_path(spark, "units")).saveAsTable(name)
     table = spark.table(name)
     total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first().n or 0
-    return table, total
+    return name, table, total
+
+
+def _bytes(size: str) -> int:
+    """A size such as 16m, 128MB or 4096, in bytes."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", size.strip().lower()).groups()
+    return int(number) << 10 * ("kmgt".index(unit) + 1 if unit else 0)
+
+
+def _free(spark: SparkSession) -> None:
+    """Has Spark drop the shuffle files of finished steps now, and not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    text_batches(docs.sparkSession)
-    table, total = _units(docs.select(F.col("doc_id").cast("long"), "text"))
-    bits = max(4, min(24, (total * (ORDER + 1) // V // BUCKET_KEYS).bit_length()))
-    keys = table.select("unit", "sizes", "data").mapInArrow(_cover_keys(bits), KEYS)
-    told = cut(keys.groupBy("bucket").applyInArrow(_ties(TIED_SAMPLE), REPLY))
+    """One row per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words.
 
-    def visit(stage: int, known: DataFrame, schema: str) -> DataFrame:
-        return table.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(_visit(stage, bits), schema)
+    n_passage_words counts the words in runs of PASSAGE_WORDS words that another document has too.
+    """
+    spark = docs.sparkSession
+    text_batches(spark)
+    docs = docs.select("doc_id", "text")
+    # Files are read in parts that a task can hold.
+    split = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(split)
+    spark.conf.set(split, str(min(UNIT_BYTES, _bytes(before))))
+    try:
+        name, table, total = _units(docs)
+    finally:
+        spark.conf.set(split, before)
+    points = tuple(2 + secrets.randbelow(P - 3) for _ in range(2))
+    bits = max(4, min(24, (total * 18 // 307 // BUCKET_KEYS).bit_length()))
+    keys = table.select("unit", "sizes", "data").mapInArrow(_cover_keys(bits, points), KEYS)
+
+    def ties(keys: DataFrame) -> DataFrame:
+        done = cut(keys.groupBy("bucket", "kind").applyInArrow(_ties, REPLY))
+        _free(spark)
+        return done
 
-    pieces = visit(1, told, KEYS)
-    told = told.union(cut(pieces.groupBy("bucket").applyInArrow(_ties(EQUAL_PIECE, OWN_PIECE), REPLY)))
-    windows = visit(2, told, KEYS)
-    told = told.union(cut(windows.groupBy("bucket").applyInArrow(_ties(TIED_WINDOW), REPLY)))
-    return visit(3, told, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def visit(stage: int, known: DataFrame, schema: str) -> DataFrame:
+        return table.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(Visit(stage, bits, points).function(), schema)
+
+    told = ties(keys)
+    for stage in (1, 2, 3):
+        told = told.union(ties(visit(stage, told, KEYS)))
+    out = cut(visit(4, told, f"doc_id {kind(docs, 'doc_id')}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"))
+    spark.sql(f"DROP TABLE {name}")
+    _free(spark)
+    return out

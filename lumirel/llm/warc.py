@@ -58,8 +58,8 @@ def records(pages: DataFrame) -> DataFrame:
     many = cut(first.filter("rows > 1").select(F.col("digest").alias("_digest"), F.col("first.page_id").alias("first_id")))
     # Payloads that can't occur again pass by; only the others are shuffled.
     marked = route_mark(rows, F.col("digest"), many, F.col("_digest"))
-    alone = marked.filter("not _routed").select("page_id", "url", "payload", "digest", F.lit(False).alias("again"), F.lit(None).cast("long").alias("first_id"))
-    joined = marked.filter("_routed").join(many, F.col("digest") == F.col("_digest"), "left")
+    alone = marked.filter("not routed").select("row.*").select("page_id", "url", "payload", "digest", F.lit(False).alias("again"), F.lit(None).cast("long").alias("first_id"))
+    joined = marked.filter("routed").select("row.*").join(many, F.col("digest") == F.col("_digest"), "left")
     again = F.col("_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     rows = alone.unionByName(joined.select("page_id", "url", "payload", "digest", again.alias("again"), "first_id"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))

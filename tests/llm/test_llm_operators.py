@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumirel.llm import byte_bpe, compression_classifier, exact_dedup, html_text, language_id, minhash, mixing, quality_rules, suffix_dedup, warc
+from lumirel.llm.common import span_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, rep long, block string, fp string"
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -92,6 +93,47 @@ def test_near_dedup_of_a_group_of_edited_copies(spark):
     assert near_rows(frame(spark, texts)) == components_by_force(list(enumerate(texts)))
 
 
+def _groups(pairs):
+    groups = defaultdict(set)
+    for k, x in pairs:
+        groups[k].add(x)
+    return groups.values()
+
+
+def test_stars_pair_a_document_once_a_round(spark):
+    """A group of edited copies is joined by about one link a copy, whatever its size."""
+    rng = np.random.default_rng(8)
+    for n in (100, 400):
+        texts = []
+        for _ in range(n):
+            w = [f"w{i}" for i in range(200)]
+            for k in rng.choice(200, rng.integers(1, 6), replace=False):
+                w[k] = f"x{rng.integers(0, 1000)}"
+            texts.append(" ".join(w))
+        df = frame(spark, texts)
+        signed = df.select("doc_id", "text").withColumn("print", F.lit(0).cast("long")).mapInArrow(minhash._sign, "doc_id long, print long, key binary, n_shingles long, sig binary")
+        reps = signed.select(F.col("doc_id").alias("rep"), "doc_id", "key", "n_shingles", "sig")
+        links, comp = minhash.near_links(df.select("doc_id", "text"), reps)
+        assert links.count() <= 1.5 * n
+        force = components_by_force(list(enumerate(texts)))
+        assert {frozenset(g) for g in _groups((r.comp, r.rep) for r in comp.collect())} == {frozenset(g) for g in _groups((c, i) for i, (_, c) in force.items())}
+
+
+def test_rows_that_share_a_doc_id_are_documents(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = frame(spark, [one, two, one + " x", two + " y", one], [3, 3, 4, 5, 3])
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_dedup(df).collect()) == [(3, 3, True)] * 3 + [(4, 3, False), (5, 3, False)]
+
+
+def test_deduplication_keeps_columns_of_any_name(spark):
+    clash = ["_slot", "_bucket", "_id", "_sha", "_routed", "row", "routed", "own", "id", "slot", "bucket", "of", "print", "key"]
+    df = spark.createDataFrame([(i, t, *[7] * len(clash)) for i, t in enumerate(["a b c d e f", "a b c d e f", "q r s t u v"])], ", ".join(["doc_id int", "text string", *(f"{c} int" for c in clash)]))
+    for keep in (minhash.keep_one, exact_dedup.keep_first):
+        out = keep(df)
+        assert out.columns == df.columns
+        assert sorted(map(tuple, out.collect())) == [(0, "a b c d e f", *[7] * len(clash)), (2, "q r s t u v", *[7] * len(clash))]
+
+
 def test_near_dedup_nulls_repeats_and_empty(spark):
     out = minhash.near_dedup(frame(spark, ["a b c d e f", "a b c d e f", "q r s t u v", "a b c d e f"], [None, 5, None, 5])).collect()
     assert sorted((r.doc_id is None, r.component_id, r.kept) for r in out if r.component_id) == [(False, 5, True), (False, 5, True), (True, 5, False)]
@@ -295,8 +337,80 @@ def spans_by_force(texts, width=400):
 
 
 def test_difference_cover_has_every_difference():
-    cover = suffix_dedup.difference_cover(suffix_dedup.ORDER)
-    assert {(i - j) % suffix_dedup.V for i in cover for j in cover} == set(range(suffix_dedup.V))
+    for level in suffix_dedup.LEVELS:
+        cover = suffix_dedup.difference_cover(level.order)
+        assert {(i - j) % level.v for i in cover for j in cover} == set(range(level.v))
+        assert level.depth > 0
+
+
+def test_fingerprints_are_those_of_the_prime():
+    rng = np.random.default_rng(5)
+    a, b = (rng.integers(0, suffix_dedup.P, 2000).astype(np.uint64) for _ in range(2))
+    assert suffix_dedup.times(a, b).tolist() == [x * y % suffix_dedup.P for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    data = rng.integers(97, 100, 500).astype(np.uint8)
+    shifted = np.r_[rng.integers(97, 100, 77).astype(np.uint8), data]
+    at = np.arange(400)
+    for symbols in (data, span_hashes(data, np.arange(500), np.arange(500) + 1)):
+        own = symbols if symbols.dtype == np.uint8 else np.r_[symbols[:77], symbols]
+        moved = shifted if symbols.dtype == np.uint8 else own
+        x = suffix_dedup.Fingerprints(symbols, 12345678901).of(at, at + 50)
+        y = suffix_dedup.Fingerprints(moved, 12345678901).of(at + 77, at + 127)
+        assert (x == y).all()
+
+
+def passages_by_force(texts, width=51):
+    words = [words_of(t) for t in texts]
+    holders = defaultdict(set)
+    for i, w in enumerate(words):
+        for k in range(len(w) - width + 1):
+            holders[tuple(w[k : k + width])].add(i)
+    out = []
+    for w in words:
+        hit = np.zeros(len(w), bool)
+        for k in range(len(w) - width + 1):
+            if len(holders[tuple(w[k : k + width])]) > 1:
+                hit[k : k + width] = True
+        out.append(int(hit.sum()))
+    return out
+
+
+def thue_morse(n, a="a", b="b"):
+    """A word and its complement: sums of powers modulo 2**64 don't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_hashes_tell_spans_apart():
+    x, y = thue_morse(1024)
+    for one, other in ((x, y), ("a" * 9, "a" * 10), ("", "\0"), ("abcdefgh", "abcdefgh\0"), ("q" * 2000, "q" * 1999 + "r")):
+        data = np.frombuffer((one + other).encode(), np.uint8)
+        h = span_hashes(data, np.array([0, len(one)]), np.array([len(one), len(data)]))
+        assert h[0] != h[1]
+
+
+def test_texts_of_thue_morse_are_told_apart(spark):
+    x, y = thue_morse(1024)
+    rest = " ".join(f"w{i}" for i in range(30))
+    rows = quality_rules.quality_rules(frame(spark, [f"{x}\n{y}\n{x}"])).collect()
+    assert [(r.n_words, r.n_dup_lines) for r in rows] == [(3, 1)]
+    texts = [f"{x} {rest} {x}", f"{y} {rest} {y}", f"{x} a b c d {y} a b c d"]
+    assert near_rows(frame(spark, texts)) == components_by_force(list(enumerate(texts)))
+    found = suffix_dedup.repeated_spans(frame(spark, [x, y, x[:512] + "c"])).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in found} == dict(enumerate(spans_by_force([x, y, x[:512] + "c"])))
+
+
+def test_passages_equal_force(spark):
+    rng = np.random.default_rng(2)
+
+    def words(n):
+        return " ".join("".join(rng.choice(list("abcdef"), rng.integers(1, 9))) for _ in range(n))
+
+    shared, other = words(60), words(51)
+    texts = [None, "", words(80) + " " + shared, shared + "\n" + words(5), other, words(30) + "  " + other.replace(" ", "\t") + " " + words(9), words(50), "the " * 300, shared.rsplit(" ", 10)[0] + " x", "x" + other, words(400)]
+    texts += [f"{words(3)} {words(60)} {words(2)}"] * 2 + [" ".join([words(52)] * 2)]
+    for parts in (1, 3):
+        rows = suffix_dedup.repeated_spans(frame(spark, texts).repartition(parts)).collect()
+        assert {r.doc_id: r.n_passage_words for r in rows} == dict(enumerate(passages_by_force(texts)))
 
 
 def test_repeated_spans_equal_force(spark):
@@ -311,7 +425,7 @@ def test_repeated_spans_equal_force(spark):
     texts += [base, base, base[:2000] + "!" + base[2000:], text(100) + base[1000:1800] + text(100) + shared[100:650]]
     for parts in (1, 3):
         rows = suffix_dedup.repeated_spans(frame(spark, texts).repartition(parts)).collect()
-        assert {r.doc_id: tuple(r)[1:] for r in rows} == dict(enumerate(spans_by_force(texts)))
+        assert {r.doc_id: tuple(r)[1:5] for r in rows} == dict(enumerate(spans_by_force(texts)))
 
 
 def test_repeated_spans_null_ids_and_empty(spark):
