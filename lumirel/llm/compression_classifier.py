@@ -1,17 +1,18 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built, one from text labelled good and one from text labelled
-bad. A text is compressed with each; the difference of the two sizes, over their sum, is
-positive where the good dictionary serves it better. Labelled rows that built no dictionary
-then calibrate a score by logistic regression on that difference, on the redundancy (the size
-without a dictionary over the length, which a text that repeats itself has low) and on the
-length, with their products, as a difference means less in a short text.
+bad. A text is compressed with each, in segments, so that what repeats within a text counts as
+often as it comes; the difference of the two sizes over the text's length is
+positive where the good dictionary serves it better, and near zero where neither says much.
+Labelled rows that built no dictionary calibrate that difference to a score: by isotonic
+regression, apart for texts shorter than SHORT_BYTES, whose differences are few bytes. A share of TREND
+of the score is that of a logistic fit, which keeps the order within a step.
 
 Model fitting uses a bounded sample of labelled rows (SAMPLE_ROWS per dictionary and
 CALIBRATION_ROWS, of at most SAMPLE_CHARS characters each); scoring covers whole texts of all rows.
 
 Defined cases: null and empty texts get the score of an empty text; without labels of both
-kinds every score is the share of good labels, or 0.5; labels that are null, or of unknown
+kinds every score is the share of good labels, or 0.5; so is that of a length class without any label; labels that are null, or of unknown
 documents, teach nothing; where a document's labels differ, each counts.
 """
 
@@ -25,25 +26,42 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import text_batches, tidy
 
 SAMPLE_ROWS = 1200
 CALIBRATION_ROWS = 2400
 SAMPLE_CHARS = 20_000
-DICTIONARY_BYTES = 32 << 10
+DICTIONARY_BYTES = 64 << 10
+SEGMENT_BYTES = 1024
+SHORT_BYTES = 48
+TREND = 0.02
 LEVEL = 3
 CUT = 0.3
 FOLDS = 5
 
 
+@dataclass
+class Calibration:
+    """From differences to scores: steps of isotonic regression at knots, and a logistic fit."""
+
+    knots: list[float]
+    steps: list[float]
+    slope: float
+    offset: float
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        steps = np.interp(x, self.knots, self.steps) if self.knots else _logistic(np.full(len(x), self.offset))
+        return (1 - TREND) * steps + TREND * _logistic(self.slope * x + self.offset)
+
+
 @dataclass
 class Model:
     good: bytes
     bad: bytes
-    mean: list[float]
-    spread: list[float]
-    weights: list[float]
+    short: Calibration
+    long: Calibration
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -53,23 +71,27 @@ class Scorer:
     def __init__(self, model: Model):
         plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.model = model
-        self.plain = zstandard.ZstdCompressor(**plain)
-        self.good, self.bad = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **plain) if d else self.plain for d in (model.good, model.bad))
+        self.good, self.bad = (zstandard.ZstdCompressor(dict_data=_loaded(d), **plain) if d else zstandard.ZstdCompressor(**plain) for d in (model.good, model.bad))
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        rows = []
-        for t in texts:
+    def differences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Differences of compressed sizes over lengths, and lengths in bytes."""
+        x, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for k, t in enumerate(texts):
             data = (t or "").encode("utf-8", "surrogatepass")
-            g, b, p = (len(c.compress(data)) for c in (self.good, self.bad, self.plain))
-            rows.append((10 * (b - g) / (b + g), np.log((p + 8) / (len(data) + 8)), np.log(len(data) + 8) / 5))
-        x = np.array(rows, float).reshape(-1, 3)
-        products = [x[:, i] * x[:, j] for i in range(3) for j in range(i, 3)]
-        return np.c_[x, np.array(products).T.reshape(-1, 6)]
+            sizes[k] = len(data)
+            parts = [data[i : i + SEGMENT_BYTES] for i in range(0, len(data), SEGMENT_BYTES)]
+            x[k] = sum(len(self.bad.compress(p)) - len(self.good.compress(p)) for p in parts) / (len(data) + 1)
+        return x, sizes
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        m = self.model
-        x = (self.features(texts) - m.mean) / m.spread
-        return _logistic(np.c_[x, np.ones(len(x))] @ np.array(m.weights))
+        x, sizes = self.differences(texts)
+        return np.where(sizes < SHORT_BYTES, self.model.short.score(x), self.model.long.score(x))
+
+
+def _loaded(data: bytes) -> zstandard.ZstdCompressionDict:
+    d = zstandard.ZstdCompressionDict(data)
+    d.precompute_compress(level=LEVEL)
+    return d
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -99,6 +121,24 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray
     return w
 
 
+def _calibrated(x: np.ndarray, y: np.ndarray, share: float) -> Calibration:
+    """Neighbours that break the order are pooled; a step counts half a good label of one more row."""
+    if not len(y):
+        return Calibration([], [], 0.0, float(np.log(share / (1 - share))))
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []
+    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        pools.append([b, 1, a, a])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            good, n, _, end = pools.pop()
+            pools[-1] = [pools[-1][0] + good, pools[-1][1] + n, pools[-1][2], end]
+    knots = [k for _, _, first, last in pools for k in (first, last)]
+    steps = np.maximum.accumulate([(good + 0.5) / (n + 1) for good, n, _, _ in pools for _ in range(2)]).tolist()
+    mean, spread = float(x.mean()), float(x.std()) + 1e-9
+    slope, offset = _regression(((x - mean) / spread)[:, None], y)
+    return Calibration(knots, steps, float(slope / spread), float(offset - slope * mean / spread))
+
+
 def _dictionary(texts: list[str]) -> bytes:
     samples = [t.encode("utf-8", "surrogatepass") for t in texts if t]
     total = sum(map(len, samples))
@@ -125,24 +165,24 @@ def train(docs: DataFrame, labels: DataFrame, teaches: Column | None = None) ->
     parts = [own.filter(f"builds and quality = {q}").orderBy("order", "doc_id").limit(SAMPLE_ROWS) for q in (0, 1)]
     parts.append(own.filter("not builds").orderBy("order", "doc_id").limit(CALIBRATION_ROWS))
     chosen = parts[0].union(parts[1]).union(parts[2])
-    # At most 2 * SAMPLE_ROWS + CALIBRATION_ROWS ids, so they may be broadcast, and their texts collected.
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
+    # At most 2 * SAMPLE_ROWS + CALIBRATION_ROWS ids, so they may be broadcast, and their texts collected; of a long text its start.
+    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = texts.orderBy("order", "doc_id", "quality").limit(2 * (2 * SAMPLE_ROWS + CALIBRATION_ROWS)).collect()
     good, bad = (_dictionary([r.text for r in rows if r.builds and r.quality == q]) for q in (1, 0))
     held = [r for r in rows if not r.builds]
     y = np.array([r.quality for r in held], float)
+    every = [r.quality for r in rows]
+    share = min(1 - 1e-9, max(1e-9, sum(every) / len(every))) if every else 0.5
+    none = np.zeros(0)
     if not len(y) or y.min() == y.max() or not good or not bad:
-        every = [r.quality for r in rows]
-        share = min(1 - 1e-9, max(1e-9, sum(every) / len(every))) if every else 0.5
-        return Model(b"", b"", [0.0] * 9, [1.0] * 9, [0.0] * 9 + [float(np.log(share / (1 - share)))])
-    model = Model(good, bad, [], [], [])
-    x = model.scorer().features([r.text for r in held])
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Model(good, bad, mean.tolist(), spread.tolist(), _regression((x - mean) / spread, y).tolist())
+        return Model(b"", b"", _calibrated(none, none, share), _calibrated(none, none, share))
+    x, sizes = Scorer(Model(good, bad, None, None)).differences([r.text for r in held])
+    short = sizes < SHORT_BYTES
+    return Model(good, bad, _calibrated(x[short], y[short], share), _calibrated(x[~short], y[~short], share))
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1, higher: likelier good) and predicted (1 from CUT on) after its own columns."""
+    """docs with score (0 to 1, higher: likelier good) and predicted (1 from CUT on) after its own columns, which can't have these names."""
     names = docs.columns
     taken = {"score", "predicted"} & set(names)
     if taken:
@@ -156,8 +196,14 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= CUT).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     text_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema + ", score double, predicted int")
+    own = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *own]))
+
+
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs(text) that the model predicts to be good, with all their columns, whatever their names."""
+    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return classify(packed, model).filter("predicted = 1").select("row.*")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

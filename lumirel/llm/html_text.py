@@ -7,27 +7,30 @@ together with white space collapsed, blocks get lines of their own with blank li
 are, list items get markers and indents, and table cells are aligned in columns. All visible text
 is emitted, of navigation and footers too.
 
-Defined cases: a null or empty html renders to an empty text; markup without an end is text;
-unknown elements are inline; nesting of any depth is folded without recursion.
+Defined cases: a null or empty html renders to an empty text; rows are rendered one by one, so repeated rows
+and ids give equal texts, and an empty table no rows; other columns are left alone; markup without an end is text; if a quote in a tag never
+ends, tags end at their first ">" from there on; unknown elements are inline; nesting of any
+depth is folded without recursion, and time is in proportion to a page's length.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Generator, Iterator
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import kind, text_batches
 
 # Element names by what they do, fixed lists.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = set("head script style template noscript iframe noembed noframes object canvas svg audio video datalist title meta link base option".split())
+UNSEEN = set("head script style template noscript iframe noembed noframes object canvas defs symbol desc metadata audio video datalist title link base option".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr td th thead tbody tfoot caption".split()
 )
@@ -53,9 +56,13 @@ HOLDS_ROWS = {"td", "th", "tr", "caption", "ul", "ol", "menu", "dir"}
 #: Characters of the renderer's own, which texts can't have: a line break and a space to keep.
 BREAK, KEPT = "\x00", "\x01"
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+#: What a tag holds after its name; nothing is tried twice.
+_INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_STRING = re.compile(r"\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_BOX = re.compile(r"(?:^|[;{\s])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;{\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
 _SCREEN = re.compile(r"\s*(?:(?:only\s+)?(?:all|screen))?\s*", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -73,14 +80,14 @@ def _on_screen(media: str) -> bool:
     return any(_SCREEN.fullmatch(x) for x in media.split(","))
 
 
-def _hidden_by(sheet: str) -> set[str]:
-    """The simple selectors that a style sheet hides on any screen.
+def _hidden_by(sheet: str) -> tuple[set[str], set[str]]:
+    """The simple selectors that a style sheet gives no box on any screen, and those that it makes invisible.
 
     Of nested bodies only those of layers and of media for all screens count; a rule within
     another rule says nothing of its selector elsewhere.
     """
     sheet = re.sub(r"(?s)/\*.*?\*/", "", sheet)
-    found: set[str] = set()
+    found: tuple[set[str], set[str]] = (set(), set())
     # Open blocks: whether they hold, the selectors of a rule (None of an at-rule), and declarations before nested blocks.
     blocks: list[tuple[bool, str | None, list[str]]] = []
     at = 0
@@ -101,8 +108,12 @@ def _hidden_by(sheet: str) -> set[str]:
         elif m[0] == "}":
             if blocks:
                 holds, selectors, parts = blocks.pop()
-                if holds and selectors is not None and _HIDES.search("".join(parts) + text):
-                    found.update(x for x in (y.strip() for y in selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", x))
+                if holds and selectors is not None:
+                    declared = _STRING.sub("''", "".join(parts) + text)
+                    seen = _VISIBILITY.findall(declared)
+                    for own, hides in zip(found, (_NO_BOX.search(declared), seen and seen[-1].lower() != "visible"), strict=True):
+                        if hides:
+                            own.update(x for x in (y.strip() for y in selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", x))
         elif m[0] != ";" or not text.lstrip().startswith("@"):
             # A string, or the end of a declaration: part of what follows it.
             continue
@@ -110,64 +121,120 @@ def _hidden_by(sheet: str) -> set[str]:
     return found
 
 
-def tree(source: str) -> tuple[Node, set[str]]:
-    """The tree of a page, and the selectors (name, .class, #id) that its style sheets hide."""
+def _tags(source: str) -> Generator[tuple[str, re.Match | None, str, int], int | None, None]:
+    """(text, name match, inside, end) of a page: text before a tag, and the tag; the caller may send where to go on."""
+    at, start, end, quotes = 0, 0, len(source), True
+    last = source.rfind(">")
+    while at < end:
+        at = source.find("<", at)
+        if at < 0 or at > last:
+            break
+        if source.startswith("<!--", at):
+            stop = source.find("-->", at + 4)
+            name, inside, after = None, "", stop + 3 if stop >= 0 else end
+        elif source.startswith(("<!", "<?"), at):
+            name, inside, after = None, "", source.find(">", at) + 1
+        else:
+            name = _NAME.match(source, at + 1)
+            if not name:
+                at += 1
+                continue
+            inside = _INSIDE.match(source, name.end())[0] if quotes else ""
+            after = name.end() + len(inside)
+            if not quotes or not source.startswith(">", after):
+                quotes = False
+                after = source.find(">", name.end())
+                inside = source[name.end() : after]
+            after += 1
+        moved = yield source[start:at], name, inside, after
+        at = start = after if moved is None else moved
+    if start < end and not (source.startswith("<!--", start) and start > last):
+        yield source[start:], None, "", end
+
+
+def tree(source: str) -> tuple[Node, tuple[set[str], set[str]]]:
+    """The tree of a page, and the selectors (name, .class, #id) that its style sheets give no box, or make invisible."""
     source = source.replace(BREAK, "").replace(KEPT, "")
     root = Node("#root", {})
-    stack, hidden, at, end = [root], set(), 0, len(source)
+    stack = [root]
+    hidden: tuple[set[str], set[str]] = (set(), set())
+    # Where on the stack the open elements of each name are.
+    places: dict[str, list[int]] = {}
 
-    def close(names: set[str], stop: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in stop:
-                break
-            if stack[i].name in names:
-                del stack[i:]
+    def cut(i: int) -> None:
+        for node in stack[i:]:
+            places[node.name].pop()
+        del stack[i:]
 
-    while at < end:
-        m = _TOKEN.search(source, at)
-        if not m:
-            stack[-1].items.append(source[at:])
+    def close(names: set[str], stop: set[str]) -> None:
+        """Closes the outermost element of these names within the innermost of stop."""
+        within = max((own[-1] for x in stop if (own := places.get(x))), default=0)
+        first = min((own[k] for x in names if (own := places.get(x)) and (k := bisect_right(own, within)) < len(own)), default=0)
+        if first:
+            cut(first)
+
+    tags = _tags(source)
+    moved = None
+    while True:
+        try:
+            text, m, inside, after = tags.send(moved)
+        except StopIteration:
             break
-        if m.start() > at:
-            stack[-1].items.append(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        moved = None
+        if text:
+            stack[-1].items.append(text)
+        if m is None:
             continue
         name = m[2].lower()
         if m[1]:
+            own = places.get(name)
             if name == "br":
                 stack[-1].items.append(Node("br", {}))
-            elif any(n.name == name for n in stack[1:]):
-                close({name}, BARRIER - {name} if name in ("p", "li", "dd", "dt") else set())
+            elif own:
+                stop = BARRIER - {name} if name in ("p", "li", "dd", "dt") else set()
+                if own[-1] > max((places[x][-1] for x in stop if places.get(x)), default=0):
+                    cut(own[-1])
             continue
-        attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])} if m[3] else {}
+        attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(inside)} if inside else {}
         if name in CLOSES_P:
             close({"p"}, BARRIER)
         if name in IMPLIED:
             close(*IMPLIED[name])
         elif name in BLOCKS and len(stack) > 1 and stack[-1].name == "head":
-            stack.pop()
+            cut(len(stack) - 1)
         node = Node(name, attrs)
         stack[-1].items.append(node)
         if name in RAW:
-            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            body = source[at : stop.start() if stop else end]
-            at = stop.end() if stop else end
+            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, after)
+            body = source[after : stop.start() if stop else len(source)]
+            moved = stop.end() if stop else len(source)
             node.items.append(body)
             if name == "style" and _on_screen(attrs.get("media", "")):
-                hidden.update(_hidden_by(body))
+                for known, more in zip(hidden, _hidden_by(body), strict=True):
+                    known |= more
         elif name not in VOID:
+            places.setdefault(name, []).append(len(stack))
             stack.append(node)
     return root, hidden
 
 
-def visible(node: Node, hidden: set[str]) -> bool:
+def _selected(node: Node, selectors: set[str]) -> bool:
+    a = node.attrs
+    return bool(selectors) and (node.name in selectors or "#" + a.get("id", "") in selectors or any("." + c in selectors for c in a.get("class", "").split()))
+
+
+def boxed(node: Node, hidden: tuple[set[str], set[str]]) -> bool:
+    """Whether an element is rendered at all, its descendants included."""
     a = node.attrs
     if node.name in UNSEEN or "hidden" in a or (node.name == "dialog" and "open" not in a):
         return False
-    if "style" in a and _HIDES.search(a["style"]):
-        return False
-    return not (hidden and (node.name in hidden or "#" + a.get("id", "") in hidden or any("." + c in hidden for c in a.get("class", "").split())))
+    return not ("style" in a and _NO_BOX.search(_STRING.sub("''", a["style"]))) and not _selected(node, hidden[0])
+
+
+def invisible(node: Node, hidden: tuple[set[str], set[str]], inherited: bool) -> bool:
+    """Whether an element's own text leaves its place empty; a descendant may be visible again."""
+    own = _VISIBILITY.findall(_STRING.sub("''", node.attrs["style"])) if "style" in node.attrs else []
+    return own[-1].lower() != "visible" if own else inherited or _selected(node, hidden[1])
 
 
 class Block:
@@ -228,24 +295,44 @@ def _flow(items: list) -> list[str]:
     return lines
 
 
-def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table of (lines, columns spanned) cells, its columns padded to one width."""
-    width: dict[int, int] = {}
+def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table of (lines, columns spanned, rows spanned) cells, its columns padded to one width."""
+    # Columns that cells from rows above still fill, and for how many rows.
+    filled: dict[int, int] = {}
+    placed = []
     for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
+        at, own = 0, []
+        for lines, columns, height in row:
+            while at in filled:
+                at += 1
+            own.append((at, columns, lines))
+            for k in range(at, at + columns):
+                filled[k] = max(height, 1)
+            at += columns
+        filled = {k: n - 1 for k, n in filled.items() if n > 1}
+        placed.append(own)
+    width: dict[int, int] = {}
+    for own in placed:
+        for at, columns, lines in own:
+            if columns == 1:
                 width[at] = max(width.get(at, 0), *map(len, lines), 0)
-            at += span
+    for own in placed:
+        for at, columns, lines in own:
+            if columns > 1 and lines:
+                lack = max(map(len, lines)) - sum(width.get(k, 0) for k in range(at, at + columns)) - 2 * (columns - 1)
+                width[at + columns - 1] = width.get(at + columns - 1, 0) + max(0, lack)
+    left, x = {}, 0
+    for k in range(max(width, default=-1) + 1):
+        left[k] = x
+        x += width.get(k, 0) + 2
     out = []
-    for row in rows:
-        for i in range(max((len(c[0]) for c in row), default=0)):
-            at, parts = 0, []
-            for lines, span in row:
-                own = sum(width.get(k, 0) for k in range(at, at + span)) + 2 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(own))
-                at += span
-            out.append("  ".join(parts).rstrip(" "))
+    for own in placed:
+        for i in range(max((len(lines) for _, _, lines in own), default=0)):
+            line = ""
+            for at, _, lines in own:
+                if i < len(lines) and lines[i]:
+                    line = line.ljust(left.get(at, x)) + lines[i]
+            out.append(line.rstrip(" "))
     return out
 
 
@@ -259,7 +346,7 @@ def _fold(node: Node, items: list, in_table: bool) -> list:
     if name in ("td", "th"):
         return [Block(_flow(items), False, node)]
     if name == "tr":
-        cells = [(b.lines, _number(b.node.attrs.get("colspan", ""), 1, 100)) for b in items if isinstance(b, Block) and b.node and b.node.name in ("td", "th")]
+        cells = [(b.lines, _number(b.node.attrs.get("colspan", ""), 1, 100), _number(b.node.attrs.get("rowspan", ""), 1, 1000)) for b in items if isinstance(b, Block) and b.node and b.node.name in ("td", "th")]
         rest = [x for x in items if not (isinstance(x, Block) and x.node and x.node.name in ("td", "th"))]
         return [*rest, Block([], False, node, cells)]
     if name in ("thead", "tbody", "tfoot"):
@@ -294,28 +381,33 @@ def render(source: str | None) -> str:
     """The visible text of a page."""
     root, hidden = tree(source or "")
     # Folded from the leaves up: a node's frame collects what its children give.
-    frames: list[tuple[Node, Iterator, list, bool, bool]] = [(root, iter(root.items), [], False, False)]
+    frames: list[tuple[Node, Iterator, list, bool, bool, bool]] = [(root, iter(root.items), [], False, False, False)]
     while True:
-        node, rest, items, pre, in_table = frames[-1]
+        node, rest, items, pre, in_table, unseen = frames[-1]
         for x in rest:
             if isinstance(x, str):
+                if unseen:
+                    continue
                 text = html.unescape(x) if "&" in x else x
                 text = text.replace(BREAK, "").replace(KEPT, "")
                 items.append(text.replace("\r\n", "\n").replace("\n", BREAK).replace(" ", KEPT).replace("\t", KEPT * 4) if pre else text)
             elif x.name == "br":
                 items.append(BREAK)
             elif x.name == "input":
-                if visible(x, hidden) and x.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel"):
+                if boxed(x, hidden) and not invisible(x, hidden, unseen) and x.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel"):
                     items.append(x.attrs.get("value", ""))
-            elif visible(x, hidden) and not (node.name == "details" and "open" not in node.attrs and x.name != "summary"):
+            elif boxed(x, hidden) and not (node.name == "details" and "open" not in node.attrs and x.name != "summary"):
                 within = node.name == "table" or (in_table and node.name not in HOLDS_ROWS)
-                frames.append((x, iter(x.items), [], pre or x.name in ("pre", "textarea", "xmp"), within))
+                # What an inline element holds belongs to its parent's items at once.
+                own = [] if x.name in BLOCKS else items
+                frames.append((x, iter(x.items), own, pre or x.name in ("pre", "textarea", "xmp"), within, invisible(x, hidden, unseen)))
                 break
         else:
             frames.pop()
             if not frames:
                 return "\n".join(_flow(items))
-            frames[-1][2].extend(_fold(node, items, in_table) if node.name in BLOCKS else items)
+            if node.name in BLOCKS:
+                frames[-1][2].extend(_fold(node, items, in_table))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -328,4 +420,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
     text_batches(pages.sparkSession)
     rows = pages.select("page_id", "html", F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("n_html_chars"))
-    return rows.mapInArrow(run, "page_id long, n_html_chars long, n_chars long, text string")
+    return rows.mapInArrow(run, f"page_id {kind(pages, 'page_id')}, n_html_chars long, n_chars long, text string")

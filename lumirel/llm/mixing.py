@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-The words of each source, dealt into groups by doc_id and in order within, are packed into blocks of BLOCK_WORDS, which
+The words of each source, dealt into groups by doc_id and text and in order within, are packed into blocks of BLOCK_WORDS, which
 are numbered within their source. The mix has as many slots as blocks in its size, in output
 shards of SHARD_SLOTS. Each shard draws a multinomial count of slots per source from the target
 shares; running totals over shards number a source's slots. Slots that a source draws beyond its
@@ -13,6 +13,8 @@ Defined cases: a null text has no words; documents without words take part with
 nothing taken; a null source is a source, after all others; rows that share source and doc_id
 are packed one after the other in the order of their texts; an empty table gives an empty mix.
 All draws are from a fixed seed, so reruns agree.
+
+Sources are few, as the driver plans them: it holds one row a source, and a shard draws one count a source.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import cut, text_batches, tidy, word_spans
+from .common import cut, route_mark, text_batches, tidy, word_spans
 
 BLOCK_WORDS = 32
 SHARD_SLOTS = 4096
@@ -34,7 +37,7 @@ MIX_PERCENT = 150
 MAX_TIMES = 2
 SEED = 20240501
 #: Rows of a source that are numbered together.
-GROUP_ROWS = 1 << 13
+GROUP_ROWS = 1 << 10
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -128,7 +131,7 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     n_rows = sized.count()
     groups = max(1, n_rows // GROUP_ROWS)
     rows = sized.join(aims, sized["source"].eqNullSafe(aims["source"])).select("row_key", "doc_id", "text_key", "size", "source_no", "source_size", "target")
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(groups)))
     placed = cut(_offsets(rows).select("row_key", "doc_id", "text_key", "source_no", "size", "source_size", "target", "offset"))
 
     blocks = [-(-r.source_size // BLOCK_WORDS) for r in plan]
@@ -193,41 +196,54 @@ def taken(docs: DataFrame) -> DataFrame:
 
 @tidy
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that each row takes, with the white space between them; separate spans on lines of their own."""
+    """For each time that a row is taken, the words taken then with the white space between them; separate spans on lines of their own."""
     for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            data = (text or "").encode("utf-8", "surrogatepass")
+        rows, out = [], []
+        for i, (text, spans) in enumerate(zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True)):
+            data = text.as_buffer().to_pybytes() if text.is_valid else b""
             starts, ends = word_spans(np.frombuffer(data, np.uint8))
-            runs: list[list[int]] = []
-            for s in sorted((s["start"], s["words"]) for s in spans):
-                if runs and runs[-1][1] == s[0]:
-                    runs[-1][1] += s[1]
+            runs: dict[int, list[list[int]]] = {}
+            for s in sorted((s["times"], s["start"], s["words"]) for s in spans):
+                own = runs.setdefault(s[0], [])
+                if own and own[-1][1] == s[1]:
+                    own[-1][1] += s[2]
                 else:
-                    runs.append([s[0], s[0] + s[1]])
-            out.append(b"\n".join(data[starts[a] : ends[b - 1]] for a, b in runs).decode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_row", "_times", "doc_id")), pa.array(out, pa.string()), batch.column("rest")], ["_row", "_times", "doc_id", "text", "rest"])
+                    own.append([s[1], s[1] + s[2]])
+            for own in runs.values():
+                rows.append(i)
+                out.append(b"\n".join(data[starts[a] : ends[b - 1]] for a, b in own))
+        text = pa.array(out, pa.binary()).cast(pa.string(), safe=False) if out else pa.array([], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(rows, pa.int64())), text], ["row", "text"])
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents, with the columns of docs: a row for each time that a document is taken, with the words taken then.
+    """The mix as documents, with the columns of docs, whatever their names: a row for each time that a document is taken, with the words taken then.
 
-    n_chars, where there is such a column, is that of the new text.
+    n_chars, where there is such a column, is that of the new text. Rows that repeat doc_id and text
+    may change places with each other. Each text is shuffled once, to meet the spans that are taken of it.
     """
     text_batches(docs.sparkSession)
     placed, _, pieces = mix(docs)
-    spans = pieces.groupBy("row_key", "times").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
-    spans = spans.join(placed.select("row_key", "doc_id", "text_key"), "row_key").select(
-        F.col("row_key").alias("_row"), F.col("times").alias("_times"), F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "spans"
-    )
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    texts = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest")).withColumn("_key", F.xxhash64("text"))
-    # Rows that repeat share one text here; each of them has spans of its own.
-    texts = texts.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.lit(0)))).filter("_n = 1").drop("_n")
-    joined = texts.join(spans.withColumnRenamed("_key", "_key2"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_key2")))
-    schema = f"_row long, _times long, doc_id long, text string, rest {joined.schema['rest'].dataType.simpleString()}"
-    out = joined.select("_row", "_times", "doc_id", "text", "spans", "rest").mapInArrow(_cut_text, schema)
-    cols = {c: F.col("rest")[c] for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    spans = pieces.groupBy("row_key").agg(F.collect_list(F.struct("times", "start", "words")).alias("spans"))
+    spans = spans.join(placed.select("row_key", "doc_id", "text_key"), "row_key")
+    key = F.struct("doc_id", "text_key")
+    again = cut(placed.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key.alias("again")))
+    # Rows that repeat are numbered, on both sides; all others are the first of their kind without being looked at.
+    by_key = Window.partitionBy("key").orderBy("row_key")
+    marked = route_mark(spans.select(key.alias("key"), "row_key", "spans"), F.col("key"), again, F.col("again")).select("row.*", "routed")
+    spans = marked.filter("not routed").withColumn("nth", F.lit(1)).unionByName(marked.filter("routed").withColumn("nth", F.row_number().over(by_key)))
+    spans = spans.select(F.col("key.doc_id").alias("of"), F.col("key.text_key").alias("of_text"), F.col("nth").alias("of_nth"), "spans")
+    marked = route_mark(docs, F.struct("doc_id", F.xxhash64("text").alias("text_key")), again, F.col("again"))
+    texts = marked.select("row", "routed", F.col("row.doc_id").alias("doc"), F.xxhash64("row.text").alias("text_key"))
+    nth = F.row_number().over(Window.partitionBy("doc", "text_key").orderBy(F.lit(0)))
+    texts = texts.filter("not routed").withColumn("nth", F.lit(1)).unionByName(texts.filter("routed").withColumn("nth", nth))
+    # The text travels once: apart from the row, from which it is taken out.
+    rest = [c for c in docs.columns if c != "text"]
+    texts = texts.select("doc", "text_key", "nth", F.col("row.text").alias("text"), F.struct(*(F.col("row")[c].alias(c) for c in rest)).alias("row"))
+    joined = texts.join(spans, F.col("doc").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_text")) & (F.col("nth") == F.col("of_nth")))
+    joined = joined.select("row", "text", "spans")
+    out = joined.mapInArrow(_cut_text, StructType([joined.schema["row"], joined.schema["text"]]))
+    cols = {c: F.col("row")[c] for c in rest} | {"text": F.col("text")}
     if "n_chars" in rest:
         cols["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     return out.select(*(cols[c].alias(c) for c in docs.columns))

@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_path, route_mark
 
 REVISIT_BYTES = 100
-#: Records in an archive file.
-FILE_RECORDS = 3000
+#: Bytes of payload that an archive file holds at most, or one capture; and sizes of payloads up to which pages share files.
+FILE_BYTES = 64 << 20
+SIZES = (64 << 10, 1 << 20, 16 << 20)
+#: Records of a capture.
+RECORDS = 3
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
@@ -50,7 +53,7 @@ def _record(kind: Column | str, record_id: Column, target: Column, content_type:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """(record): three records for each row of pages(page_id, url, html)."""
+    """(record, html): RECORDS records for each row of pages(page_id, url, html)."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x1F]", " ").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     long = rows.select("page_id", "digest", F.octet_length("payload").alias("bytes")).filter(f"bytes >= {REVISIT_BYTES}")
@@ -85,12 +88,26 @@ def records(pages: DataFrame) -> DataFrame:
     joint = ("WARC-Concurrent-To", urn("response"))
     request = _record("request", urn("request"), F.col("url"), "application/http; msgtype=request", [joint], F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1" + CRLF + "Host: "), host, F.lit(CRLF + CRLF)))
     metadata = _record("metadata", urn("metadata"), F.col("url"), "application/warc-fields", [joint], F.concat(F.lit("fetchTimeMs: 0" + CRLF + "charset: utf-8" + CRLF)))
-    return rows.select(F.explode(F.array(request, response, metadata)).alias("record"))
+    return rows.select(F.explode(F.array(request, response, metadata)).alias("record"), F.col("payload").alias("html"))
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Archives of pages in a folder: text parts whose line end is the two CRLF that end a record."""
-    records(pages).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Archives of pages in a folder: text parts whose line end is the two CRLF that end a record.
+
+    Spark ends a file after so many records. So that files are bounded in bytes, pages of like
+    sizes go into files of their own, with as many captures as FILE_BYTES has room for. A payload
+    of more than the last of SIZES is a file of its own. Each file is one gzip member.
+    """
+    size = F.octet_length("html")
+    group = F.coalesce(sum((size > limit).cast("int") for limit in SIZES), F.lit(0))
+    found = records(pages).withColumn("group", group)
+    groups = pages.select(group.alias("group")).distinct().collect()
+    for row in groups:
+        captures = FILE_BYTES // SIZES[row.group] if row.group < len(SIZES) else 1
+        own = found.filter(F.col("group") == row.group).select("record")
+        own.write.mode("append").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS * captures).text(path)
+    if not groups:
+        found.select("record").write.text(path)
 
 
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*(.*?)[ \t]*\r\n")
