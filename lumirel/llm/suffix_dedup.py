@@ -12,14 +12,14 @@ any two positions i and j, a shift below V that moves both onto sampled position
    runs are settled together: all their suffixes repeat;
 4. the suffixes of the other pieces, and of one copy of each equal piece, are sorted one bucket
    at a time, and ties repeat;
-5. ties are verified, by fingerprints at a second point.
+5. the keys of pieces and suffixes are of 96 bits, from two points: ties are of both.
 
 Sorting is by fingerprints of the symbols to the depth in question, so a bucket is a range of
 fingerprints and not of the alphabet: the order among different strings plays no part in the
 result, and buckets are even for any text. Fingerprints are polynomials modulo the prime
-2**61 - 1 at points drawn for each run, so no text can be made to collide. A false tie has to be one under both:
-of n suffixes about n * (n / 2**61)**2, which is 1e-10 of 1e9 and 200 of 1e13. No bytes are compared, as
-strings of 400 bytes for each tied suffix would be many times the input.
+2**61 - 1 at points drawn for each run, so no text can be made to collide. Of n suffixes about n**2 / 2**94 are in a false tie,
+which is 5e-11 of 1e9 and 5e-3 of 1e13. No bytes are compared, as strings of 400 bytes for each
+tied suffix would be many times the input; sampled suffixes, which only say where to look, have keys of 64 bits.
 
 The same steps, on words instead of bytes, find passages of PASSAGE_WORDS words that another
 document has too; these are counted, and no byte is removed for them.
@@ -47,11 +47,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, cut, fresh_path, kind, mix64, span_hashes, text_batches, word_spans
+from .common import cut, fresh_path, kind, mix64, span_hashes, text_batches, word_spans
 
 WINDOW = 400
 #: Words of a passage that counts as repeated, from one document to another.
 PASSAGE_WORDS = 51
+#: Bytes of text that are handled at once, few enough for a processor's cache; a longer text alone.
+CHUNK_BYTES = 1 << 17
 #: Runs of candidates are cut after one position in so many, chosen by content.
 PIECE = 64
 #: Keys that a bucket is planned to hold.
@@ -59,8 +61,8 @@ BUCKET_KEYS = 1 << 19
 #: Bytes of a file that one unit holds at most, as far as the files can be split.
 UNIT_BYTES = 32 << 20
 #: What a unit is told about its keys; for words, WORDS more.
-TIED_SAMPLE, EQUAL_PIECE, OWN_PIECE, TIED_WINDOW, SAME_PIECE, SAME_WINDOW = range(6)
-WORDS = 6
+TIED_SAMPLE, EQUAL_PIECE, OWN_PIECE, TIED_WINDOW = range(4)
+WORDS = 4
 KEYS = "bucket int, kind int, unit long, keys binary"
 REPLY = "unit long, kind int, keys binary"
 KEYS_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("unit", pa.int64()), ("keys", pa.binary())])
@@ -114,19 +116,22 @@ for _level in LEVELS:
 # Arithmetic modulo P on arrays.
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    x = (x & np.uint64(P)) + (x >> np.uint64(61))
-    return np.where(x >= np.uint64(P), x - np.uint64(P), x)
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo P, up to a few more than P."""
+    return (x & np.uint64(P)) + (x >> np.uint64(61))
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2**32 modulo P, of folded x: what is above bit 29 moves to the front."""
+    return (x >> np.uint64(29)) + ((x & np.uint64((1 << 29) - 1)) << np.uint64(32))
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo P, of values below P, by halves of 32 and 29 bits."""
+    """a * b modulo P of folded values, folded, by halves of 32 and 29 bits."""
     low = np.uint64(0xFFFFFFFF)
     a0, a1, b0, b1 = a & low, a >> np.uint64(32), b & low, b >> np.uint64(32)
-    # 2**64 is 8 modulo P, and 2**32 * x moves what is above bit 29 of x to the front.
-    mid = _reduced(a0 * b1) + _reduced(a1 * b0)
-    front = (mid >> np.uint64(29)) + ((mid & np.uint64((1 << 29) - 1)) << np.uint64(32))
-    return _reduced(_reduced(a0 * b0) + _reduced(a1 * b1 * np.uint64(8)) + _reduced(front))
+    # 2**64 is 8 modulo P.
+    return _folded(_folded(a0 * b0) + _folded(a1 * b1 << np.uint64(3)) + _shifted(_folded(a0 * b1 + a1 * b0)))
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -155,24 +160,27 @@ class Fingerprints:
     def __init__(self, symbols: np.ndarray, point: int):
         n = len(symbols)
         self.back = powers(pow(point, -1, P), n + 1)
-        ahead = powers(point, n + 1)
+        ahead = powers(point, n + 1)[:n]
+        mask = np.uint64(0xFFFFFFFF)
         if symbols.dtype == np.uint8:
             # A byte times a power in halves, each of which adds up exactly.
-            b = symbols.astype(np.uint64) + np.uint64(1)
-            low, high = b * (ahead[:n] & np.uint64(0xFFFFFFFF)), b * (ahead[:n] >> np.uint64(32))
+            b = symbols.astype(np.uint64)
+            b += np.uint64(1)
+            low, high = b * (ahead & mask), b * (ahead >> np.uint64(32))
         else:
-            term = times(_reduced(symbols), ahead[:n])
-            low, high = term & np.uint64(0xFFFFFFFF), term >> np.uint64(32)
+            term = times(_folded(symbols), ahead)
+            low, high = term & mask, term >> np.uint64(32)
         self.low, self.high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
         np.cumsum(low, out=self.low[1:])
         np.cumsum(high, out=self.high[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Well mixed fingerprints of spans; the same symbols give the same one wherever they are."""
-        low, high = self.low[ends] - self.low[starts], self.high[ends] - self.high[starts]
-        whole = _reduced(_reduced(low) + times(_reduced(high), np.uint64(1 << 32)))
+        whole = _folded(_folded(self.low[ends] - self.low[starts]) + _shifted(_folded(self.high[ends] - self.high[starts])))
         # All spans are moved to the front of the sequence, so that their powers are the same.
-        return mix64(times(whole, self.back[starts]) + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        print_ = times(whole, self.back[starts])
+        print_ = np.where(print_ >= np.uint64(P), print_ - np.uint64(P), print_)
+        return mix64(print_ + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def _pack(units: list[int]) -> Callable:
@@ -204,43 +212,38 @@ def _pack(units: list[int]) -> Callable:
     return pack
 
 
+def _by_length(n: np.ndarray) -> np.ndarray:
+    """Positions within each of sequences of n symbols, end to end."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Chunk:
     """Texts end to end, as symbols of a level, with the fingerprints of their spans."""
 
-    def __init__(self, sizes: np.ndarray, data: np.ndarray, level: Level, points: tuple[int, int]):
-        self.level, self.points = level, points
-        self.starts = self.ends = None
-        if level.across:
-            self.starts, self.ends = word_spans_within(data, sizes)
-            symbols = span_hashes(data, self.starts, self.ends)
-            sizes = np.diff(np.searchsorted(self.starts, np.r_[0, np.cumsum(sizes)]))
-        else:
-            symbols = data
-        self.sizes, self.doc_ends = sizes, np.cumsum(sizes)
+    def __init__(self, sizes: np.ndarray, symbols: np.ndarray, level: Level, points: tuple[int, int]):
+        self.level, self.points, self.sizes, self.symbols = level, points, sizes, symbols
+        self.doc_ends = np.cumsum(sizes)
         self.n = len(symbols)
-        self.symbols = symbols
         self.prints = Fingerprints(symbols, points[0])
-
-    def doc(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.doc_ends, at, side="right")
+        self.docs = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     def sample(self) -> tuple[np.ndarray, np.ndarray]:
         """Sampled positions with depth symbols left in their document, and their keys."""
-        cover, depth = COVERS[self.level], self.level.depth
-        at = [np.zeros(0, np.int64)]
-        for start, n in zip((self.doc_ends - self.sizes).tolist(), self.sizes.tolist(), strict=True):
-            if n >= self.level.window:
-                at.append(start + np.flatnonzero(np.resize(cover, n - depth + 1)))
-        at = np.concatenate(at)
-        return at, self.prints.of(at, at + depth)
-
-    def once(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The keys to be sorted: where documents are to differ, each key once a document."""
-        if not self.level.across or not len(keys):
-            return keys
-        order = np.lexsort((keys, doc := self.doc(at)))
-        keys, doc = keys[order], doc[order]
-        return keys[np.r_[True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]]
+        cover, level = COVERS[self.level], self.level
+        long = np.flatnonzero(self.sizes >= level.window)
+        room = self.sizes[long] - level.depth + 1
+        within = _by_length(room)
+        hit = cover[within % level.v]
+        at = (np.repeat((self.doc_ends - self.sizes)[long], room) + within)[hit]
+        return at, self.prints.of(at, at + level.depth)
+
+
+def symbols_of(level: Level, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of texts in symbols of a level, and the symbols: bytes, or hashes of words."""
+    if not level.across:
+        return sizes, data
+    starts, ends = word_spans_within(data, sizes)
+    return np.diff(np.searchsorted(starts, np.r_[0, np.cumsum(sizes)])), span_hashes(data, starts, ends)
 
 
 def word_spans_within(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,45 +252,76 @@ def word_spans_within(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray,
     edges = np.cumsum(sizes)[:-1]
     inner = edges[np.searchsorted(starts, edges, side="left") > np.searchsorted(ends, edges, side="right")]
     if len(inner):
-        inner = np.unique(inner)
-        starts, ends = np.union1d(starts, inner), np.union1d(ends, inner)
+        inner = inner[np.r_[True, np.diff(inner) > 0]]
+        starts, ends = (np.insert(x, np.searchsorted(x, inner), inner) for x in (starts, ends))
     return starts, ends
 
 
-class Runs(Chunk):
-    """A chunk's candidate suffixes, their keys, and the pieces of their runs."""
+class Runs:
+    """The candidate suffixes of a chunk's documents, their keys, and the pieces of their runs.
+
+    Only documents with a tied sample are looked at; at and docs are places in the whole chunk.
+    """
 
     def __init__(self, sizes: np.ndarray, data: np.ndarray, level: Level, points: tuple[int, int], tied: np.ndarray):
-        super().__init__(sizes, data, level, points)
-        at, keys = self.sample()
+        self.level = level
+        whole = Chunk(*symbols_of(level, sizes, data), level, points)
+        self.n, self.sizes, self.doc_ends = whole.n, whole.sizes, whole.doc_ends
+        at, keys = whole.sample()
         at = at[_among(keys, tied)]
-        doc = self.doc(at)
-        first, last = (self.doc_ends - self.sizes)[doc], self.doc_ends[doc] - level.window
+        doc = whole.docs[at]
+        first, last = (whole.doc_ends - whole.sizes)[doc], whole.doc_ends[doc] - level.window
         low, high = np.maximum(at - level.v + 1, first), np.minimum(at, last)
         ok = low <= high
-        edge = np.bincount(low[ok], minlength=self.n + 2) - np.bincount(high[ok] + 1, minlength=self.n + 2)
-        self.at = np.flatnonzero(np.cumsum(edge) > 0)
-        self.keys = self.prints.of(self.at, self.at + level.window)
-        if not len(self.at):
-            self.piece_starts = self.piece_sizes = np.zeros(0, np.int64)
-            self.piece_keys = self.piece_checks = np.zeros(0, np.uint64)
+        doc, low, high = doc[ok], low[ok], high[ok]
+        self.at = self.docs = np.zeros(0, np.int64)
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.piece_keys, self.piece_checks, self.piece_sizes, self.piece_docs = self.keys, self.checks, self.at, self.docs
+        if not len(low):
             return
+        # The documents that matter, end to end.
+        active = np.zeros(len(whole.sizes), bool)
+        active[doc] = True
+        moved = (whole.doc_ends - whole.sizes) - np.cumsum(np.where(active, whole.sizes, 0)) + np.where(active, whole.sizes, 0)
+        part = Chunk(whole.sizes[active], whole.symbols[active[whole.docs]], level, points)
+        low, high = low - moved[doc], high - moved[doc]
+        edge = np.bincount(low, minlength=part.n + 2) - np.bincount(high + 1, minlength=part.n + 2)
+        at = np.flatnonzero(np.cumsum(edge) > 0)
+        second = Fingerprints(part.symbols, points[1])
+        self.docs = np.flatnonzero(active)[part.docs[at]]
+        self.at = at + moved[self.docs]
+        self.keys = part.prints.of(at, at + level.window)
+        self.checks = second.of(at, at + level.window).astype(np.uint32)
         cuts = (self.keys & np.uint64(PIECE - 1)) == 0
         cuts[-1] = True
-        cuts[:-1] |= (np.diff(self.at) > 1) | (np.diff(self.doc(self.at)) > 0)
+        cuts[:-1] |= (np.diff(at) > 1) | (np.diff(self.docs) > 0)
         ends = np.flatnonzero(cuts) + 1
         starts = np.r_[0, ends[:-1]]
-        self.piece_starts, self.piece_sizes = starts, ends - starts
+        self.piece_sizes, self.piece_docs = ends - starts, self.docs[starts]
         # A piece stands for its symbols up to the end of its last suffix.
-        span = self.at[starts], self.at[ends - 1] + level.window
-        self.piece_keys = self.prints.of(*span)
-        self.checks = Fingerprints(self.symbols, points[1])
-        self.piece_checks = self.checks.of(*span)
+        span = at[starts], at[ends - 1] + level.window
+        self.piece_keys, self.piece_checks = part.prints.of(*span), second.of(*span).astype(np.uint32)
 
     def of_pieces(self, pieces: np.ndarray) -> np.ndarray:
         """Which suffixes belong to pieces of a mask."""
         return np.repeat(pieces, self.piece_sizes)
 
+    def once(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Which keys are to be sorted: where documents are to differ, each key once a document."""
+        return _once(keys, docs) if self.level.across else np.ones(len(keys), bool)
+
+
+def _once(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    order = np.lexsort((keys, docs))
+    one, of = keys[order], docs[order]
+    first = np.zeros(len(keys), bool)
+    first[order] = np.r_[True, (one[1:] != one[:-1]) | (of[1:] != of[:-1])] if len(keys) else first
+    return first
+
+
+def _joint(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    return mix64(keys ^ (checks.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+
 
 def _among(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
     if not len(told):
@@ -296,16 +330,33 @@ def _among(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
     return told[at] == keys
 
 
-def _by_bucket(unit: int, kind: int, keys: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Sorted keys in rows by bucket, their leading bits; a key that came more than once comes twice."""
-    keys, n = np.unique(keys, return_counts=True)
-    keys = np.repeat(keys, np.minimum(n, 2))
+def _by_bucket(unit: int, kind: int, keys: np.ndarray, checks: np.ndarray | None, bits: int) -> pa.RecordBatch:
+    """Sorted keys, with their checks if they have any, in rows by bucket, their leading bits; what came more than once comes twice."""
+    order = np.argsort(keys) if checks is None else np.lexsort((checks, keys))
+    keys = keys[order]
+    new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+    if checks is not None:
+        checks = checks[order]
+        new[1:] |= checks[1:] != checks[:-1]
+    keep = new.copy()
+    keep[1:] |= new[:-1]
+    keys = keys[keep]
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
-    ids, first = np.unique(bucket, return_index=True)
-    ends = np.r_[first[1:], len(keys)].astype(int)[: len(ids)]
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    ends = np.r_[first[1:], len(keys)].astype(int)[: len(first)]
     blobs = [keys[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
-    rows = len(ids)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([kind] * rows, pa.int32()), pa.array([unit] * rows, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "kind", "unit", "keys"])
+    if checks is not None:
+        checks = checks[keep]
+        blobs = [x + checks[a:b].tobytes() for x, a, b in zip(blobs, first, ends, strict=True)]
+    rows = len(first)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array([kind] * rows, pa.int32()), pa.array([unit] * rows, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "kind", "unit", "keys"])
+
+
+def _apart(blob: pa.Buffer, checked: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a row, and their checks or zeros."""
+    n = blob.size // (12 if checked else 8)
+    checks = np.frombuffer(blob, np.uint32, n, 8 * n) if checked else np.zeros(n, np.uint32)
+    return np.frombuffer(blob, np.uint64, n), checks
 
 
 def _cover_keys(bits: int, points: tuple[int, int]) -> Callable:
@@ -315,7 +366,7 @@ def _cover_keys(bits: int, points: tuple[int, int]) -> Callable:
         def out() -> Iterator[pa.RecordBatch]:
             for level, own in held.items():
                 if own:
-                    yield _by_bucket(unit, level.kinds + TIED_SAMPLE, np.concatenate(own), bits)
+                    yield _by_bucket(unit, level.kinds + TIED_SAMPLE, np.concatenate(own), None, bits)
                     own.clear()
 
         for batch in batches:
@@ -325,9 +376,9 @@ def _cover_keys(bits: int, points: tuple[int, int]) -> Callable:
                     n = 0
                 unit = row_unit
                 for level in LEVELS:
-                    chunk = Chunk(sizes.values.to_numpy(), np.frombuffer(data.as_buffer(), np.uint8), level, points)
+                    chunk = Chunk(*symbols_of(level, sizes.values.to_numpy(), np.frombuffer(data.as_buffer(), np.uint8)), level, points)
                     at, own = chunk.sample()
-                    held[level].append(chunk.once(own, at))
+                    held[level].append(own[_once(own, chunk.docs[at])] if level.across else own)
                     n += len(own)
         yield from out()
 
@@ -337,32 +388,47 @@ def _cover_keys(bits: int, points: tuple[int, int]) -> Callable:
 def _ties(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorts one bucket of keys of one kind and tells each unit which of its keys are tied; of equal pieces, also one unit that it stands for them."""
     units, own, what = [], [], key[1].as_py()
-    owners = what % WORDS == EQUAL_PIECE
+    checked = what % WORDS != TIED_SAMPLE
     for batch in batches:
         units += batch.column("unit").to_pylist()
-        own += [np.frombuffer(k.as_buffer(), np.uint64) for k in batch.column("keys")]
-    whole = np.concatenate(own)
-    whole.sort(kind="stable")
-    tied = np.unique(whole[1:][whole[1:] == whole[:-1]])
+        own += [_apart(k.as_buffer(), checked) for k in batch.column("keys")]
+    keys, checks = (np.concatenate([x[i] for x in own]) for i in (0, 1))
+    if checked:
+        order = np.argsort(keys, kind="stable")
+        keys, checks = keys[order], checks[order]
+        same = keys[1:] == keys[:-1]
+        if (same & (checks[1:] != checks[:-1])).any():
+            # Different strings of one key: their checks are sorted too.
+            order = np.lexsort((checks, keys))
+            keys, checks = keys[order], checks[order]
+            same = keys[1:] == keys[:-1]
+        same &= checks[1:] == checks[:-1]
+    else:
+        keys.sort(kind="stable")
+        same = keys[1:] == keys[:-1]
+    tied = np.unique(_joint(keys[1:][same], checks[1:][same]) if checked else keys[1:][same])
     free = np.ones(len(tied), bool)
     out = []
     for i in np.argsort(units, kind="stable"):
-        mine = np.unique(own[i])
-        at = np.searchsorted(tied, mine)
-        hit = at < len(tied)
-        hit[hit] = tied[at[hit]] == mine[hit]
+        mine, its = own[i]
+        joint = _joint(mine, its) if checked else mine
+        hit = _among(joint, tied)
+        hit[1:] &= joint[1:] != joint[:-1]
         if hit.any():
-            out.append((units[i], what, mine[hit].tobytes()))
-            first = at[hit][free[at[hit]]]
-            if owners and len(first):
-                out.append((units[i], what - EQUAL_PIECE + OWN_PIECE, tied[first].tobytes()))
-                free[first] = False
+            mine, its = mine[hit], its[hit]
+            out.append((units[i], what, mine.tobytes() + (its.tobytes() if checked else b"")))
+            if what % WORDS == EQUAL_PIECE:
+                at = np.searchsorted(tied, joint[hit])
+                first = free[at]
+                if first.any():
+                    out.append((units[i], what - EQUAL_PIECE + OWN_PIECE, mine[first].tobytes() + its[first].tobytes()))
+                    free[at[first]] = False
     cols = list(zip(*out, strict=True)) or [[], [], []]
     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["unit", "kind", "keys"])
 
 
 class Visit:
-    """What a unit does with what it has been told so far: piece keys (1), suffix keys (2), checks of tied suffixes (3), results (4)."""
+    """What a unit does with what it has been told so far: piece keys (1), suffix keys (2), results (3)."""
 
     def __init__(self, stage: int, bits: int, points: tuple[int, int]):
         self.stage, self.bits, self.points = stage, bits, points
@@ -374,11 +440,13 @@ class Visit:
         return run
 
     def run(self, chunks: pa.Table, told: pa.Table) -> pa.Table:
-        by_kind = {k: [np.zeros(0, np.uint64)] for k in range(2 * WORDS)}
-        for kind_, keys in zip(told.column("kind").to_pylist(), told.column("keys"), strict=True):
-            by_kind[kind_].append(np.frombuffer(keys.as_buffer(), np.uint64))
-        known = {k: np.sort(np.concatenate(v)) for k, v in by_kind.items()}
-        held: dict[int, list[np.ndarray]] = {}
+        known: dict[int, list[np.ndarray]] = {k: [np.zeros(0, np.uint64)] for k in range(2 * WORDS)}
+        for what, blob in zip(told.column("kind").to_pylist(), told.column("keys"), strict=True):
+            checked = what % WORDS != TIED_SAMPLE
+            keys, checks = _apart(blob.as_buffer(), checked)
+            known[what].append(_joint(keys, checks) if checked else keys)
+        known = {k: np.sort(np.concatenate(v)) for k, v in known.items()}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         taken = {level: np.zeros(0, np.uint64) for level in LEVELS}
         rows, ids = [], []
         for doc_ids, sizes, data in zip(chunks.column("doc_ids"), chunks.column("sizes"), chunks.column("data"), strict=True):
@@ -387,55 +455,44 @@ class Visit:
             for level in LEVELS:
                 told_of = {k - level.kinds: v for k, v in known.items() if level.kinds <= k < level.kinds + WORDS}
                 runs = Runs(sizes, text, level, self.points, told_of[TIED_SAMPLE])
-                for what, keys in self.keys(runs, told_of, taken):
-                    held.setdefault(level.kinds + what, []).append(keys)
-                if self.stage == 4:
+                if self.stage == 1:
+                    sent = runs.once(runs.piece_keys, runs.piece_docs)
+                    held.setdefault(level.kinds + EQUAL_PIECE, []).append((runs.piece_keys[sent], runs.piece_checks[sent]))
+                elif self.stage == 2:
+                    sent = np.flatnonzero(self.sent(runs, told_of, taken))
+                    sent = sent[runs.once(runs.keys[sent], runs.docs[sent])]
+                    held.setdefault(level.kinds + TIED_WINDOW, []).append((runs.keys[sent], runs.checks[sent]))
+                else:
                     found[level] = runs, self.repeats(runs, told_of)
-            if self.stage == 4:
+            if self.stage == 3:
                 ids.append(doc_ids.values)
                 rows += self.results(sizes, text, found)
-        if self.stage < 4:
+        if self.stage < 3:
             unit = chunks.column("unit")[0].as_py()
-            return pa.Table.from_batches([_by_bucket(unit, what, np.concatenate(keys), self.bits) for what, keys in held.items()], schema=KEYS_SCHEMA)
+            parts = [_by_bucket(unit, what, *(np.concatenate([x[i] for x in own]) for i in (0, 1)), self.bits) for what, own in held.items()]
+            return pa.Table.from_batches(parts, schema=KEYS_SCHEMA)
         cols = list(zip(*rows, strict=True))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
         return pa.table([pa.concat_arrays(ids), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
 
-    def keys(self, runs: Runs, told: dict[int, np.ndarray], taken: dict[Level, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        level = runs.level
-        if self.stage == 1:
-            yield EQUAL_PIECE, runs.once(runs.piece_keys, runs.at[runs.piece_starts])
-            yield SAME_PIECE, runs.once(runs.piece_checks, runs.at[runs.piece_starts])
-        elif self.stage == 2:
-            sent = self.sent(runs, told, taken)
-            yield TIED_WINDOW, runs.once(runs.keys[sent], runs.at[sent])
-        elif self.stage == 3 and len(runs.at):
-            at = runs.at[self.sent(runs, told, taken) & _among(runs.keys, told[TIED_WINDOW])]
-            yield SAME_WINDOW, runs.once(runs.checks.of(at, at + runs.level.window), at)
+    @staticmethod
+    def equal(runs: Runs, told: dict[int, np.ndarray]) -> np.ndarray:
+        return _among(_joint(runs.piece_keys, runs.piece_checks), told[EQUAL_PIECE])
 
     def sent(self, runs: Runs, told: dict[int, np.ndarray], taken: dict[Level, np.ndarray]) -> np.ndarray:
         """The suffixes of one copy of each equal piece that this unit stands for, and of all other pieces."""
         equal = self.equal(runs, told)
-        own = equal & _among(runs.piece_keys, told[OWN_PIECE]) & ~np.isin(runs.piece_keys, taken[runs.level])
+        joint = _joint(runs.piece_keys, runs.piece_checks)
+        own = equal & _among(joint, told[OWN_PIECE]) & ~np.isin(joint, taken[runs.level])
         first = np.zeros(len(own), bool)
-        first[np.unique(runs.piece_keys, return_index=True)[1]] = True
+        first[np.unique(joint, return_index=True)[1]] = True
         own &= first
-        taken[runs.level] = np.concatenate([taken[runs.level], runs.piece_keys[own]])
+        taken[runs.level] = np.concatenate([taken[runs.level], joint[own]])
         return runs.of_pieces(~equal | own)
 
-    @staticmethod
-    def equal(runs: Runs, told: dict[int, np.ndarray]) -> np.ndarray:
-        return _among(runs.piece_keys, told[EQUAL_PIECE]) & _among(runs.piece_checks, told[SAME_PIECE])
-
     def repeats(self, runs: Runs, told: dict[int, np.ndarray]) -> np.ndarray:
         """Positions of suffixes whose strings repeat."""
-        if not len(runs.at):
-            return runs.at
-        same = runs.of_pieces(self.equal(runs, told))
-        open_ = np.flatnonzero(~same & _among(runs.keys, told[TIED_WINDOW]))
-        at = runs.at[open_]
-        same[open_] = _among(runs.checks.of(at, at + runs.level.window), told[SAME_WINDOW])
-        return runs.at[same]
+        return runs.at[runs.of_pieces(self.equal(runs, told)) | _among(_joint(runs.keys, runs.checks), told[TIED_WINDOW])]
 
     @staticmethod
     def results(sizes: np.ndarray, text: np.ndarray, found: dict[Level, tuple[Runs, np.ndarray]]) -> Iterator[tuple]:
@@ -517,9 +574,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return table.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(Visit(stage, bits, points).function(), schema)
 
     told = ties(keys)
-    for stage in (1, 2, 3):
+    for stage in (1, 2):
         told = told.union(ties(visit(stage, told, KEYS)))
-    out = cut(visit(4, told, f"doc_id {kind(docs, 'doc_id')}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"))
+    out = cut(visit(3, told, f"doc_id {kind(docs, 'doc_id')}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"))
     spark.sql(f"DROP TABLE {name}")
     _free(spark)
     return out
