@@ -1,7 +1,14 @@
 """From documents to tokens in five stages, each on all rows that its predecessor kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next stage's docs. All but the last return the columns of documents.
+read again as the next stage's docs. All but the last return the columns of docs, whatever further
+columns there are and whatever their names.
+
+Defined cases: a null text is empty. quality keeps or drops it by the score of an empty text; the two
+deduplications take empty texts for equal to each other (exact_dedup) and for linked with nothing
+(near_dedup); mixing takes nothing of a text without words; tokens gives empty lists. Rows that repeat are one
+after exact_dedup. Null doc_ids teach nothing, go where their group has an id, and
+stay otherwise. Empty tables go through all stages.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier predicts to be good; it learns from the labels of documents that it isn't judged on."""
     labels = read_table(spark, sf_dir, "labels")
     model = compression_classifier.train(docs, labels, compression_classifier.remainder(F.col("doc_id")) != 0)
-    return compression_classifier.classify(docs, model).filter("predicted = 1").select(*docs.columns)
+    return compression_classifier.keep_good(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
