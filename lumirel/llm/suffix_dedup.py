@@ -4,7 +4,7 @@ Two suffixes tie, for this purpose, when their first WINDOW symbols agree. Sorti
 to that depth is what the difference cover avoids: a cover D of the residues modulo V has, for
 any two positions i and j, a shift below V that moves both onto sampled positions. So
 
-1. the cover sample (about 6 % of the suffixes) is sorted to depth WINDOW - V + 1, one bucket
+1. the cover sample (about 9 % of the suffixes) is sorted to depth WINDOW - V + 1, one bucket
    at a time, and gets ranks: a suffix is alone, or tied with others;
 2. a suffix can be in a tie of WINDOW symbols only if, within its first V positions, there is a
    sampled one of a tied rank; all others are settled without being sorted;
@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, kind, mix64, span_hashes, text_batches, word_spans
+from .common import cut, fresh_path, kind, mix64, remove, span_hashes, text_batches, word_spans
 
 WINDOW = 400
 #: Words of a passage that counts as repeated, from one document to another.
@@ -104,7 +104,8 @@ class Level:
         return self.window - self.v + 1
 
 
-BYTE_LEVEL = Level(WINDOW, 17, False, 0)
+#: A shorter period samples more, and leaves fewer suffixes to be sorted that share a sample by chance or at the edge of a repeat.
+BYTE_LEVEL = Level(WINDOW, 11, False, 0)
 WORD_LEVEL = Level(PASSAGE_WORDS, 5, True, WORDS)
 LEVELS = (BYTE_LEVEL, WORD_LEVEL)
 COVERS = {}
@@ -183,10 +184,10 @@ class Fingerprints:
         return mix64(print_ + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def _pack(units: list[int]) -> Callable:
+def _pack(units) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of about CHUNK_BYTES of text: doc_ids, lengths and the bytes end to end."""
-        unit = units[TaskContext.get().partitionId() % len(units)]
+        unit = int(units.value[TaskContext.get().partitionId() % len(units.value)])
         ids, sizes, parts, held = [], [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -514,7 +515,7 @@ class Visit:
             start += n
 
 
-def _units(docs: DataFrame) -> tuple[str, DataFrame, int]:
+def _units(docs: DataFrame, scratch: list[str]) -> tuple[str, DataFrame, int]:
     """The texts in chunks, as a table that is bucketed by unit, one unit for each partition of docs; its name, and the bytes of text.
 
     A unit's number is chosen so that its bucket is the number of its partition: each task
@@ -524,10 +525,11 @@ def _units(docs: DataFrame) -> tuple[str, DataFrame, int]:
     n = docs.rdd.getNumPartitions()
     spread = spark.range(max(64, 40 * n)).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("b")).agg(F.min("id").alias("id"))
     found = {r.b: r.id for r in spread.collect()}
-    units = [found.get(b, -1 - b) for b in range(n)]
+    units = spark.sparkContext.broadcast(np.array([found.get(b, -1 - b) for b in range(n)]))
+    scratch.append(fresh_path(spark, "units"))
     name = f"units_{uuid.uuid4().hex}"
     packed = docs.mapInArrow(_pack(units), f"unit long, doc_ids array<{kind(docs, 'doc_id')}>, sizes array<long>, data binary")
-    packed.write.bucketBy(n, "unit").option("compression", "zstd").option("path", fresh_path(spark, "units")).saveAsTable(name)
+    packed.write.bucketBy(n, "unit").option("compression", "zstd").option("path", scratch[-1]).saveAsTable(name)
     table = spark.table(name)
     total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first().n or 0
     return name, table, total
@@ -553,30 +555,32 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     docs = docs.select("doc_id", "text")
+    scratch: list[str] = []
     # Files are read in parts that a task can hold.
     split = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(split)
     spark.conf.set(split, str(min(UNIT_BYTES, _bytes(before))))
     try:
-        name, table, total = _units(docs)
+        name, table, total = _units(docs, scratch)
     finally:
         spark.conf.set(split, before)
     points = tuple(2 + secrets.randbelow(P - 3) for _ in range(2))
-    bits = max(4, min(24, (total * 18 // 307 // BUCKET_KEYS).bit_length()))
-    keys = table.select("unit", "sizes", "data").mapInArrow(_cover_keys(bits, points), KEYS)
+    bits = max(4, min(24, (total * (BYTE_LEVEL.order + 1) // BYTE_LEVEL.v // BUCKET_KEYS).bit_length()))
 
     def ties(keys: DataFrame) -> DataFrame:
-        done = cut(keys.groupBy("bucket", "kind").applyInArrow(_ties, REPLY))
+        done = cut(keys.groupBy("bucket", "kind").applyInArrow(_ties, REPLY), scratch)
+        del keys
         _free(spark)
         return done
 
     def visit(stage: int, known: DataFrame, schema: str) -> DataFrame:
         return table.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(Visit(stage, bits, points).function(), schema)
 
-    told = ties(keys)
+    told = ties(table.select("unit", "sizes", "data").mapInArrow(_cover_keys(bits, points), KEYS))
     for stage in (1, 2):
         told = told.union(ties(visit(stage, told, KEYS)))
     out = cut(visit(3, told, f"doc_id {kind(docs, 'doc_id')}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"))
     spark.sql(f"DROP TABLE {name}")
+    remove(spark, scratch)
     _free(spark)
     return out
