@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pixel import PEAK
+from ..sources.images import to_pixels
 from . import kernels, lists, stencil, stretch
 from .geometry import _moved
 
@@ -24,12 +25,16 @@ def cutoff(pixels: DataFrame, low: float, high: float, low_fill: float = 0.0, hi
     return pixels.withColumn("v", F.when(F.col("v") <= low, F.lit(float(low_fill))).when(F.col("v") >= high, F.lit(float(high_fill))).otherwise(F.col("v")))
 
 
-def auto_contrast(pixels: DataFrame, cx: float, cy: float, radius: float, width: int, height: int, gamma: float = 1.5) -> DataFrame:
-    """Background neutralised, local contrast blended in at 0.6, then gamma."""
-    flat = stretch.linear_stretch(kernels.neutralize_bg(pixels, cx, cy, radius))
-    local = stretch.clahe(flat, width, height, max(2, width // 4), 64, 1.1)
-    blended = lists.arithmetic(flat, local, lambda a, b: 0.4 * a + 0.6 * b, ("image_id", "y", "x"))
-    return stretch.adjust_gamma(blended, gamma)
+def auto_contrast(images: DataFrame, width: int, height: int, gamma: float = 1.5, iterations: int = 25) -> DataFrame:
+    """Background neutralised again and again, two local contrasts blended in at 0.6, then gamma.
+
+    images are dense, with the columns of a disk.
+    """
+    flat = stretch.linear_stretch(to_pixels(kernels.neutralize_bg(images, iterations)))
+    fine, coarse = (stretch.clahe(flat, width, height, tile, 64, 1.1) for tile in (max(2, width // 8), max(2, width // 4)))
+    keys = ("image_id", "y", "x")
+    local = lists.arithmetic(fine, coarse, lambda a, b: (a + b) / 2, keys)
+    return stretch.adjust_gamma(lists.arithmetic(flat, local, lambda a, b: 0.4 * a + 0.6 * b, keys), gamma)
 
 
 def coronagraph(pixels: DataFrame, inside: Column) -> DataFrame:
@@ -98,6 +103,22 @@ def jagging(frames: DataFrame, around: int = 2) -> DataFrame:
     return centre.select("image_id", "y", (F.col("_c") - F.avg("_c").over(near)).alias("shift"))
 
 
+def jagging_corrected(frames: DataFrame, around: int = 2) -> DataFrame:
+    """Rows moved back by their shift (see jagging), interpolated between pixels; beyond an edge the row's own edge pixel counts."""
+    wide = frames.groupBy("image_id", "y").agg(F.max("x").alias("_w")).join(jagging(frames, around), ["image_id", "y"])
+    at = frames.select("image_id", "y", "x").join(wide, ["image_id", "y"]).withColumn("_at", F.least(F.greatest(F.col("x") + F.col("shift"), F.lit(0.0)), F.col("_w").cast("double")))
+    part = F.col("_at") - F.floor("_at")
+    taps = F.array(*(F.struct((F.floor("_at") + d).cast("int").alias("tx"), (part if d else 1 - part).alias("w")) for d in (0, 1)))
+    taps = at.select("image_id", "y", "x", F.explode(taps).alias("t")).filter("t.w > 0").select("image_id", "y", "x", "t.tx", "t.w")
+    source = frames.select("image_id", "y", F.col("x").alias("tx"), "v")
+    return taps.join(source, ["image_id", "y", "tx"]).groupBy("image_id", "y", "x").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+
+
+def flipped_where(pixels: DataFrame, horizontal: Column, vertical: Column, width: Column, height: Column) -> DataFrame:
+    """Images flipped by conditions on their own columns."""
+    return _moved(pixels, F.when(vertical, height - 1 - F.col("y")).otherwise(F.col("y")), F.when(horizontal, width - 1 - F.col("x")).otherwise(F.col("x")))
+
+
 def voigt_fit(profiles: DataFrame, rounds: int = 60) -> DataFrame:
     """(image_id, centre, depth, width, mix, continuum): a pseudo-Voigt line fitted to each profile (image_id, y, v) by damped least squares."""
 

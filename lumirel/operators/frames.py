@@ -61,6 +61,45 @@ def line_statistics(profiles: DataFrame) -> DataFrame:
     return own.groupBy("image_id", "continuum", "core").agg((F.sum(weight * F.col("y")) / F.nullif(F.sum(weight), F.lit(0.0))).alias("gravity")).withColumn("depth", (F.col("continuum") - F.col("core")) / F.col("continuum"))
 
 
+def fwhm(profiles: DataFrame) -> DataFrame:
+    """(image_id, fwhm): width of each profile's line at half of its depth, between the nearest crossings on both sides of the core; null if a side has none."""
+    ends = profiles.groupBy("image_id").agg(((F.max("v") + F.min("v")) / 2).alias("_half"), F.min(F.struct("v", "y"))["y"].alias("_core"))
+    w = Window.partitionBy("image_id").orderBy("y")
+    own = profiles.withColumn("_v2", F.lead("v").over(w)).withColumn("_y2", F.lead("y").over(w)).join(ends, "image_id")
+    cross = own.filter("_v2 is not null and (v > _half) <> (_v2 > _half)").withColumn("_at", F.col("y") + (F.col("_half") - F.col("v")) / (F.col("_v2") - F.col("v")) * (F.col("_y2") - F.col("y")))
+    left, right = F.max(F.when(F.col("_at") <= F.col("_core"), F.col("_at"))), F.min(F.when(F.col("_at") > F.col("_core"), F.col("_at")))
+    return cross.groupBy("image_id").agg((right - left).alias("fwhm"))
+
+
+def pixel_shift_range(line: DataFrame, height: int, margin: int = 0) -> DataFrame:
+    """(image_id, low, high): shifts at which a line(image_id, x, y) stays within its frames, a margin of rows apart from both edges."""
+    return line.groupBy("image_id").agg((margin - F.min("y")).alias("low"), (height - 1 - margin - F.max("y")).alias("high"))
+
+
+def polynomial_fit(points: DataFrame, order: int, key: str = "image_id", x: str = "x", y: str = "y") -> DataFrame:
+    """(key, coefficients): least-squares polynomial of each key's points, the constant first.
+
+    Only sums of powers are aggregated, which combine before the shuffle; each key's small
+    system is then solved. A key with too few different x gives null.
+    """
+    moments = [F.sum(F.pow(F.col(x).cast("double"), F.lit(float(k)))).alias(f"s{k}") for k in range(2 * order + 1)]
+    right = [F.sum(F.pow(F.col(x).cast("double"), F.lit(float(k))) * F.col(y)).alias(f"t{k}") for k in range(order + 1)]
+    sums = points.groupBy(key).agg(*moments, *right)
+
+    def solve(frames):
+        for pdf in frames:
+            s, t = (pdf[[f"{n}{k}" for k in range(m)]].to_numpy(float) for n, m in (("s", 2 * order + 1), ("t", order + 1)))
+            out = []
+            for a, b in zip(s, t, strict=True):
+                m = np.array([[a[i + j] for j in range(order + 1)] for i in range(order + 1)])
+                scale = np.sqrt(np.maximum(np.diag(m), 1e-300))
+                m = m / np.outer(scale, scale)
+                out.append((np.linalg.solve(m, b / scale) / scale).tolist() if np.linalg.matrix_rank(m) > order else None)
+            yield pd.DataFrame({key: pdf[key], "coefficients": out})
+
+    return sums.mapInPandas(solve, f"{key} {sums.schema[key].dataType.simpleString()}, coefficients array<double>")
+
+
 def column_outliers(frames: DataFrame, sigma: float) -> DataFrame:
     """Columns whose mean is sigma deviations above the mean of their frame's columns."""
     columns = frames.groupBy("image_id", "x").agg(F.avg("v").alias("mean"))

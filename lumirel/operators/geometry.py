@@ -34,10 +34,13 @@ def crop(pixels: DataFrame, left: int, top: int, width: int, height: int) -> Dat
     return _moved(inside, F.col("y") - top, F.col("x") - left)
 
 
-def autocrop(pixels: DataFrame, cx: float, cy: float, radius: float, factor: float = 1.1, rounding: int = 16) -> DataFrame:
-    """A centred square of factor times the disk's diameter, rounded up to a multiple."""
-    side = math.ceil(2 * radius * factor / rounding) * rounding
-    return crop(pixels, math.floor(cx - side / 2 + 0.5), math.floor(cy - side / 2 + 0.5), side, side)
+def autocrop(pixels: DataFrame, cx: Column | float, cy: Column | float, radius: Column | float, factor: float = 1.1, rounding: int = 16) -> DataFrame:
+    """A centred square of factor times the disk's diameter, rounded up to a multiple; the disk may be columns, and differ by image."""
+    cx, cy, radius = (c if isinstance(c, Column) else F.lit(float(c)) for c in (cx, cy, radius))
+    side = F.ceil(2 * radius * factor / rounding) * rounding
+    left, top = F.floor(cx - side / 2 + 0.5), F.floor(cy - side / 2 + 0.5)
+    inside = pixels.filter(F.col("x").between(left, left + side - 1) & F.col("y").between(top, top + side - 1))
+    return _moved(inside, F.col("y") - top, F.col("x") - left)
 
 
 def crop_rect(pixels: DataFrame, cx: float, cy: float, width: int, height: int, fill: float = 0.0) -> DataFrame:
@@ -151,6 +154,33 @@ def radius_rescale(pixels: DataFrame, width: int, height: int, radius: Column, t
     return gather(pixels, width, height, (F.col("y") - (height - 1) / 2) * scale + (height - 1) / 2, (F.col("x") - (width - 1) / 2) * scale + (width - 1) / 2)
 
 
+def rotate_and_scale(pixels: DataFrame, width: int, height: int, radians: float, scale: float, fill: float = 0.0) -> DataFrame:
+    """Rotation around the centre and scaling by a factor on the same canvas, by inverse mapping."""
+    cy, cx, c, s = (height - 1) / 2, (width - 1) / 2, math.cos(radians) / scale, math.sin(radians) / scale
+    dy, dx = F.col("y") - cy, F.col("x") - cx
+    return gather(pixels, width, height, dy * c - dx * s + cy, dx * c + dy * s + cx, fill)
+
+
+def radius_rescale2(pixels: DataFrame, width: int, height: int, radius: Column, target: float, new_width: int, new_height: int) -> DataFrame:
+    """Images whose disk (of a radius known by image) has the target radius, centred on a canvas of another size."""
+    scale = radius / target
+    return gather(pixels, new_width, new_height, (F.col("y") - (new_height - 1) / 2) * scale + (height - 1) / 2, (F.col("x") - (new_width - 1) / 2) * scale + (width - 1) / 2)
+
+
+def area_sum(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
+    """boxes(image_id, top, left, bottom, right), ends included, with total: the sum of the box by four corners of the integral image.
+
+    Boxes lie within their images.
+    """
+    names = ["image_id", "top", "left", "bottom", "right"]
+    corners = F.array(*(F.struct(y.alias("y"), x.alias("x"), F.lit(sign).alias("sign")) for y, x, sign in (
+        (F.col("bottom"), F.col("right"), 1), (F.col("top") - 1, F.col("right"), -1), (F.col("bottom"), F.col("left") - 1, -1), (F.col("top") - 1, F.col("left") - 1, 1)
+    )))
+    at = boxes.select(*names, F.explode(corners).alias("c")).filter("c.y >= 0 and c.x >= 0").select(*names, "c.y", "c.x", "c.sign")
+    sums = integral_image(pixels.select("image_id", "y", "x", "v"))
+    return at.join(sums, ["image_id", "y", "x"]).groupBy(*names).agg(F.sum(F.col("sign") * F.col("v")).alias("total"))
+
+
 def integral_image(pixels: DataFrame) -> DataFrame:
     """Sums of all pixels above and to the left, each included."""
     row = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)

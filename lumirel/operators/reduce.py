@@ -22,8 +22,37 @@ def clipped(pixels: DataFrame, keys: list[str], sigma: float, how: str = "avg")
     return out.select(*keys, F.coalesce("v", "_m").alias("v"))
 
 
+def checked_weight(weight: str = "w") -> Column:
+    """A weight that raises an error unless it is finite and not negative."""
+    w = F.col(weight).cast("double")
+    good = w.isNotNull() & ~F.isnan(w) & (w >= 0) & (w < float("inf"))
+    return F.when(good, w).otherwise(F.raise_error(F.lit("weights must be finite and not negative")))
+
+
+def same_dimensions(pixels: DataFrame, key: str = "grp") -> DataFrame:
+    """pixels, with an error where the images of a key differ in size; sizes are aggregates, one row a key."""
+    sizes = pixels.groupBy(key, "image_id").agg(F.max("y").alias("_h"), F.max("x").alias("_w"))
+    odd = sizes.groupBy(F.col(key).alias("_k")).agg(((F.min("_h") != F.max("_h")) | (F.min("_w") != F.max("_w"))).alias("_odd"))
+    out = pixels.join(odd, F.col(key).eqNullSafe(F.col("_k")))
+    return out.withColumn("v", F.when(F.col("_odd"), F.raise_error(F.lit("images must have the same dimensions"))).otherwise(F.col("v"))).drop("_k", "_odd")
+
+
+def stack_local(pixels: DataFrame, best: float, softness: float = 0.1, error: str = "err", key: str = "grp") -> DataFrame:
+    """Per pixel, the mean of a key's images weighted by how good each is there: a logistic step at the best share of the ranks of an error column."""
+    w = Window.partitionBy(key, "y", "x")
+    place = (F.row_number().over(w.orderBy(error, "image_id")) - 1) / F.greatest(F.count(F.lit(1)).over(w) - 1, F.lit(1))
+    own = pixels.withColumn("_w", 1 / (1 + F.exp((place - best) / softness)))
+    return own.groupBy(key, "y", "x").agg((F.sum(F.col("_w") * F.col("v")) / F.sum("_w")).alias("v"))
+
+
+def image_sketch(pixels: DataFrame, accuracy: int = 10000) -> DataFrame:
+    """Approximate quartiles and number of distinct values of each image, from sketches of bounded size that merge before the shuffle."""
+    return pixels.groupBy("image_id").agg(F.percentile_approx("v", [0.25, 0.5, 0.75], accuracy).alias("quartiles"), F.approx_count_distinct("v").alias("distinct"))
+
+
 def weighted_avg(pixels: DataFrame, weight: str = "w", key: str = "grp") -> DataFrame:
-    """sum(w * v) / sum(w) of each pixel; 0 where weights add up to 0. Weights are finite and not negative."""
+    """sum(w * v) / sum(w) of each pixel; 0 where weights add up to 0. A weight that is null, negative or not finite raises an error."""
+    pixels = pixels.withColumn(weight, checked_weight(weight))
     total = F.sum(weight)
     return pixels.groupBy(key, "y", "x").agg(F.when(total == 0, F.lit(0.0)).otherwise(F.sum(F.col(weight) * F.col("v")) / total).alias("v"))
 
@@ -31,6 +60,7 @@ def weighted_avg(pixels: DataFrame, weight: str = "w", key: str = "grp") -> Data
 def weighted_clipped_avg(pixels: DataFrame, sigma: float, weight: str = "w", key: str = "grp") -> DataFrame:
     """Weighted mean of the values within sigma weighted population deviations of the weighted mean, else that mean."""
     keys = [key, "y", "x"]
+    pixels = pixels.withColumn(weight, checked_weight(weight))
     w, v = F.col(weight), F.col("v")
     mean = pixels.groupBy(*keys).agg((F.sum(w * v) / F.sum(w)).alias("_m"))
     with_mean = pixels.join(mean, keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pixel
-from ..operators import frames, geometry, joins, reduce, stretch
+from ..operators import compose, frames, joins, stretch
 from ..sources.images import images, pixels, table
 from .registry import query, r4, s4
 
@@ -100,10 +100,10 @@ def linear_regression(spark, sf_dir):
     return out.select("image_id", *((F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in ("slope", "intercept")))
 
 
-@query("WITH {px} SELECT r.grp, r.image_id AS red_id, b.image_id AS blue_id, r.y, r.x, r.v - b.v AS v FROM px r JOIN px b ON r.grp = b.grp AND r.y = b.y AND r.x = b.x AND b.pixel_shift = -r.pixel_shift AND r.pixel_shift BETWEEN 13 AND 15")
+@query("WITH {px} SELECT r.grp, r.image_id AS red_id, b.image_id AS blue_id, r.y, r.x, r.v - b.v AS v FROM px r JOIN px b ON r.grp = b.grp AND r.y = b.y AND r.x = b.x AND b.pixel_shift = -r.pixel_shift AND r.pixel_shift > 0")
 def doppler_pairs(spark, sf_dir):
     px = pixels(spark, sf_dir)
-    red = px.filter("pixel_shift between 13 and 15").select("grp", F.col("image_id").alias("red_id"), "pixel_shift", "y", "x", F.col("v").alias("r"))
+    red = px.filter("pixel_shift > 0").select("grp", F.col("image_id").alias("red_id"), "pixel_shift", "y", "x", F.col("v").alias("r"))
     blue = px.select("grp", F.col("image_id").alias("blue_id"), F.negative("pixel_shift").alias("pixel_shift"), "y", "x", F.col("v").alias("b"))
     return red.join(blue, ["grp", "pixel_shift", "y", "x"]).select("grp", "red_id", "blue_id", "y", "x", (F.col("r") - F.col("b")).alias("v"))
 
@@ -137,35 +137,50 @@ def frame_rate(spark, sf_dir):
     return by.agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("a"), F.max(ts).alias("b")).filter("b > a").select("event_type", "day", ((F.col("n") - 1) / ((F.col("b") - F.col("a")) / 1e6)).alias("fps"))
 
 
-@query(f"WITH {{px}}, d AS (SELECT a.image_id, b.image_id AS other_id, corr(a.v, b.v) AS c FROM px a JOIN px b ON a.grp = b.grp AND a.y = b.y AND a.x = b.x AND b.image_id > a.image_id WHERE a.grp = 3 GROUP BY a.image_id, b.image_id) SELECT image_id, other_id, {s4('c')} AS c FROM d WHERE c > 0.25")
+@query(f"WITH {{px}}, d AS (SELECT a.image_id, b.image_id AS other_id, corr(a.v, b.v) AS c FROM px a JOIN px b ON a.grp = b.grp AND a.y = b.y AND a.x = b.x AND b.image_id > a.image_id GROUP BY a.image_id, b.image_id) SELECT image_id, other_id, {s4('c')} AS c FROM d WHERE c > 0.25")
 def correlated_images(spark, sf_dir):
-    return joins.correlated(images(spark, sf_dir).filter("grp = 3"), 0.25).withColumn("c", r4(F.col("c")))
+    return joins.correlated(images(spark, sf_dir), 0.25).withColumn("c", r4(F.col("c")))
 
 
-@query()
-def correlated_all_images(spark, sf_dir):
-    """correlated_images for the images of every group."""
-    return joins.correlated(images(spark, sf_dir), 0.25).withColumn("c", r4(F.col("c")))
+@query(
+    """WITH {px}, pr AS (SELECT image_id, y, avg(v) AS v FROM px GROUP BY image_id, y), e AS (SELECT image_id, (max(v) + min(v)) / 2 AS half, arg_min(y, (v, y)) AS core FROM pr GROUP BY image_id),
+n AS (SELECT image_id, y, v, lead(v) OVER w AS v2, lead(y) OVER w AS y2 FROM pr WINDOW w AS (PARTITION BY image_id ORDER BY y)),
+c AS (SELECT image_id, core, y + (half - v) / (v2 - v) * (y2 - y) AS at FROM n JOIN e USING (image_id) WHERE v2 IS NOT NULL AND (v > half) <> (v2 > half))
+SELECT image_id, floor((min(at) FILTER (at > core) - max(at) FILTER (at <= core)) * 10000 + 0.5) / 10000 AS fwhm FROM c GROUP BY image_id"""
+)
+def line_fwhm(spark, sf_dir):
+    return frames.fwhm(frames.profile(pixels(spark, sf_dir))).withColumn("fwhm", r4(F.col("fwhm")))
 
 
-@query()
-def clahe2(spark, sf_dir):
-    px = pixels(spark, sf_dir)
-    passes = stretch.clahe(px, 8, 8, 2, 64, 1.5).unionByName(stretch.clahe(px, 8, 8, 4, 64, 1.5)).unionByName(stretch.clahe(px, 8, 8, 8, 64, 1.5))
-    return passes.groupBy("image_id", "y", "x").agg(F.avg("v").alias("v"))
+@query("WITH {px}, l AS (SELECT image_id, x, arg_min(y, (v, y)) AS y FROM px GROUP BY image_id, x) SELECT image_id, 1 - min(y) AS low, 6 - max(y) AS high FROM l GROUP BY image_id")
+def pixel_shift_range(spark, sf_dir):
+    return frames.pixel_shift_range(frames.line_minimum(pixels(spark, sf_dir)), 8, 1)
 
 
 @query()
-def stack(spark, sf_dir):
-    from ..operators import kernels
+def polynomial_fit(spark, sf_dir):
+    """The line of each frame as a parabola over its columns."""
+    return frames.polynomial_fit(frames.line_minimum(pixels(spark, sf_dir)), 2)
 
-    px = pixels(spark, sf_dir)
-    moved = kernels.dedistort(px, px.filter("image_id = 0")).join(images(spark, sf_dir).select("image_id", "grp"), "image_id")
-    return reduce.reduce_pixels(moved, "avg")
+
+@query(f"WITH {{px}}, {_BEST} SELECT px.image_id, y, x, CASE WHEN (y BETWEEN cy - 1 AND cy + 1) AND (x BETWEEN cx - 1 AND cx + 1) AND (y IN (cy - 1, cy + 1) OR x IN (cx - 1, cx + 1)) THEN 65535.0 ELSE v END AS v FROM px JOIN best USING (image_id)")
+def ar_overlay(spark, sf_dir):
+    px = pixels(spark, sf_dir).select("image_id", "y", "x", "v")
+    return compose.overlay_regions(px, frames.regions(px))
+
+
+@query(
+    f"""WITH {{px}}, p AS (SELECT image_id, grp, CAST(image_id % 5 * 4 AS INT) AS top, CAST(image_id % 7 * 4 AS INT) AS "left" FROM (SELECT vec_id AS image_id, label AS grp FROM embeddings)),
+w AS (SELECT px.grp, y + top AS y, x + "left" AS x, v, least(y + 1, 8 - y) * least(x + 1, 8 - x) AS w FROM px JOIN p USING (image_id)) SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, {s4('sum(w * v) / sum(w)')} AS v FROM w GROUP BY y, x"""
+)
+def mosaic(spark, sf_dir):
+    px = pixels(spark, sf_dir).select("image_id", "y", "x", "v")
+    places = images(spark, sf_dir).select("image_id", (F.col("image_id") % 5 * 4).cast("int").alias("top"), (F.col("image_id") % 7 * 4).cast("int").alias("left"))
+    return compose.mosaic(px, places).withColumn("v", r4(F.col("v")))
 
 
 @query()
-def fix_geometry(spark, sf_dir):
-    tilt, ratio = 0.05, 1.1
-    y, x = F.col("y") - 3.5, F.col("x") - 3.5
-    return geometry.gather(pixels(spark, sf_dir), 8, 8, y / ratio + 3.5, x + tilt * y + 3.5)
+def clahe2(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    passes = stretch.clahe(px, 8, 8, 2, 64, 1.5).unionByName(stretch.clahe(px, 8, 8, 4, 64, 1.5)).unionByName(stretch.clahe(px, 8, 8, 8, 64, 1.5))
+    return passes.groupBy("image_id", "y", "x").agg(F.avg("v").alias("v"))

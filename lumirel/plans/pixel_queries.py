@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import color, pixel, spectral
-from ..operators import geometry, kernels, lists, reduce, stencil, stretch
-from ..sources.images import images, pixels, to_images
+from ..operators import compose, geometry, kernels, lists, reduce, stencil, stretch
+from ..sources.images import images, pixels, to_images, to_pixels
 from .registry import query, r4, s4
 
 KEYS = ["grp", "y", "x"]
@@ -259,10 +259,12 @@ def top_bottom(spark, sf_dir):
     return geometry.top_bottom(one, two, 8)
 
 
-@query("WITH {px} SELECT CAST(y + 1 + CASE image_id WHEN 2 THEN 9 ELSE 0 END AS INT) AS y, CAST(x + 1 + CASE image_id WHEN 1 THEN 9 WHEN 2 THEN 9 ELSE 0 END AS INT) AS x, v FROM px WHERE image_id < 3")
+@query(
+    """WITH {px}, o AS (SELECT vec_id AS image_id, row_number() OVER (ORDER BY vec_id) - 1 AS o FROM embeddings)
+SELECT o // 3 AS sheet, CAST(y + 1 + CASE o % 3 WHEN 2 THEN 9 ELSE 0 END AS INT) AS y, CAST(x + 1 + CASE o % 3 WHEN 0 THEN 0 ELSE 9 END AS INT) AS x, v FROM px JOIN o USING (image_id)"""
+)
 def collage(spark, sf_dir):
-    px = pixels(spark, sf_dir).withColumn("ordinal", F.col("image_id").cast("int"))
-    return geometry.collage(px, "XX/.X", 8, 8, 1, "ordinal")
+    return geometry.collages(pixels(spark, sf_dir).withColumn("list", F.lit(0)), "XX/.X", 8, 8, 1, "list").drop("list")
 
 
 @query(
@@ -283,9 +285,138 @@ _geometry("rotate_deg", lambda p: geometry.rotate(p, 8, 8, 0.5235987755982988).w
 _geometry("radius_rescale", lambda p: geometry.radius_rescale(p, 8, 8, F.lit(2.0) + F.col("image_id") % 2, 4.0).withColumn("v", r4(F.col("v"))), _taps("(y - 3.5) * ((2.0 + image_id % 2) / 4) + 3.5", "(x - 3.5) * ((2.0 + image_id % 2) / 4) + 3.5"))
 
 
-@query()
+_GRID = ", g AS (SELECT vec_id AS image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM embeddings, generate_series(0, {h}) a(y), generate_series(0, {w}) b(x))"
+
+
+@query("WITH {px}" + _GRID.format(h=11, w=11) + _taps("(y - 5.5) * (8 / 12) + 3.5", "(x - 5.5) * (8 / 12) + 3.5").replace("FROM px)", "FROM g)"))
 def rescale_rel(spark, sf_dir):
-    return geometry.rescale(pixels(spark, sf_dir), 8, 8, 12, 12)
+    return geometry.rescale(pixels(spark, sf_dir), 8, 8, 12, 12).withColumn("v", r4(F.col("v")))
+
+
+_geometry("rotate_and_scale", lambda p: geometry.rotate_and_scale(p, 8, 8, 0.5235987755982988, 2.0).withColumn("v", r4(F.col("v"))), _taps("(y - 3.5) * 0.43301270189221935 - (x - 3.5) * 0.24999999999999997 + 3.5", "(x - 3.5) * 0.43301270189221935 + (y - 3.5) * 0.24999999999999997 + 3.5"))
+
+
+@query("WITH {px}" + _GRID.format(h=5, w=9) + _taps("(y - 2.5) * ((2.0 + image_id % 2) / 4) + 3.5", "(x - 4.5) * ((2.0 + image_id % 2) / 4) + 3.5").replace("FROM px)", "FROM g)"))
+def radius_rescale2(spark, sf_dir):
+    return geometry.radius_rescale2(pixels(spark, sf_dir), 8, 8, F.lit(2.0) + F.col("image_id") % 2, 4.0, 10, 6).withColumn("v", r4(F.col("v")))
+
+
+#: A disk that differs by image, as columns and in SQL.
+_CX, _CY, _RADIUS = F.lit(3.0) + F.col("image_id") % 2, F.lit(3.5), F.lit(2.0) + F.col("image_id") % 3 / 2
+_DISK_SQL = "((x - (3.0 + image_id % 2)) * (x - (3.0 + image_id % 2)) + (y - 3.5) * (y - 3.5) <= (2.0 + (image_id % 3) / 2.0) * (2.0 + (image_id % 3) / 2.0))"
+
+
+@query(f"WITH {{px}} SELECT image_id, avg(v) AS mean, count(*) AS n FROM px WHERE {_DISK_SQL} GROUP BY image_id")
+def disk_by_image(spark, sf_dir):
+    return pixels(spark, sf_dir).filter(pixel.within_disk(_CX, _CY, _RADIUS)).groupBy("image_id").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH {px}, d AS (SELECT vec_id AS image_id, ceil(2 * (2.0 + (vec_id % 3) / 2.0) * 1.1 / 2) * 2 AS side, 3.0 + vec_id % 2 AS cx FROM embeddings),
+b AS (SELECT image_id, side, floor(cx - side / 2 + 0.5) AS l, floor(3.5 - side / 2 + 0.5) AS t FROM d)
+SELECT image_id, CAST(y - t AS INT) AS y, CAST(x - l AS INT) AS x, v FROM px JOIN b USING (image_id) WHERE x BETWEEN l AND l + side - 1 AND y BETWEEN t AND t + side - 1"""
+)
+def autocrop_by_image(spark, sf_dir):
+    return geometry.autocrop(pixels(spark, sf_dir).select(*IMG), _CX, _CY, _RADIUS, 1.1, 2)
+
+
+@query("WITH {px}, b AS (SELECT vec_id AS image_id, CAST(vec_id % 3 AS INT) AS top, CAST(vec_id % 4 AS INT) AS \"left\", 6 AS bottom, 7 AS \"right\" FROM embeddings) SELECT b.*, sum(v) AS total FROM b JOIN px USING (image_id) WHERE y BETWEEN top AND bottom AND x BETWEEN \"left\" AND \"right\" GROUP BY ALL")
+def area_sum(spark, sf_dir):
+    boxes = images(spark, sf_dir).select("image_id", (F.col("image_id") % 3).cast("int").alias("top"), (F.col("image_id") % 4).cast("int").alias("left"), F.lit(6).alias("bottom"), F.lit(7).alias("right"))
+    return geometry.area_sum(pixels(spark, sf_dir), boxes)
+
+
+@query(
+    f"""WITH {{px}}, k AS (SELECT * FROM (VALUES (-1, -1, 1.0), (-1, 0, 2.0), (-1, 1, -1.0), (0, -1, 0.5), (0, 0, 4.0), (0, 1, -2.0), (1, -1, 0.0), (1, 0, 1.0), (1, 1, 0.5)) k(dy, dx, w))
+SELECT a.image_id, a.y, a.x, {s4("least(greatest(sum(w / 6 * b.v), 0), 65535)")} AS v FROM px a, k, px b
+WHERE b.image_id = a.image_id AND b.y = least(greatest(a.y + dy, 0), 7) AND b.x = least(greatest(a.x + dx, 0), 7) GROUP BY a.image_id, a.y, a.x"""
+)
+def convolve(spark, sf_dir):
+    done = kernels.convolve(images(spark, sf_dir), [[1, 2, -1], [0.5, 4, -2], [0, 1, 0.5]], 1 / 6)
+    return to_pixels(done).select("image_id", "y", "x", r4(F.col("v")).alias("v"))
+
+
+@query(f"WITH {{px}}, e AS (SELECT *, row_number() OVER (PARTITION BY grp, y, x ORDER BY abs(v - 32768), image_id) - 1 AS r, count(*) OVER (PARTITION BY grp, y, x) AS n FROM px), w AS (SELECT *, 1 / (1 + exp((r / greatest(n - 1, 1) - 0.4) / 0.1)) AS w FROM e) SELECT grp, y, x, {s4('sum(w * v) / sum(w)')} AS v FROM w GROUP BY grp, y, x")
+def stack_local(spark, sf_dir):
+    own = pixels(spark, sf_dir).withColumn("err", F.abs(F.col("v") - 32768))
+    return reduce.stack_local(own, 0.4).withColumn("v", r4(F.col("v")))
+
+
+@query()
+def image_sketch(spark, sf_dir):
+    return reduce.image_sketch(pixels(spark, sf_dir))
+
+
+@query("WITH {px} SELECT image_id, CAST(CASE WHEN pixel_shift < 0 THEN 7 - y ELSE y END AS INT) AS y, CAST(CASE WHEN grp % 2 = 0 THEN 7 - x ELSE x END AS INT) AS x, v FROM px")
+def conditional_flip(spark, sf_dir):
+    out = compose.flipped_where(pixels(spark, sf_dir), F.col("grp") % 2 == 0, F.col("pixel_shift") < 0, F.lit(8), F.lit(8))
+    return out.select(*IMG)
+
+
+@query("WITH {px} SELECT image_id, y, x, CASE WHEN v <= 30000 THEN 0 WHEN v >= 36000 THEN 65535 ELSE v END AS v FROM px")
+def cutoff(spark, sf_dir):
+    return compose.cutoff(pixels(spark, sf_dir).select(*IMG), 30000, 36000)
+
+
+@query("WITH {px}, c AS (SELECT image_id, y, x, CASE WHEN v <= 30000 THEN 0 WHEN v >= 36000 THEN 65535 ELSE v END AS v FROM px), m AS (SELECT image_id, max(v) AS m FROM c GROUP BY image_id) SELECT image_id, y, x, m - v AS v FROM c JOIN m USING (image_id)")
+def stretching_chain(spark, sf_dir):
+    return compose.chain(pixels(spark, sf_dir).select(*IMG), lambda p: compose.cutoff(p, 30000, 36000), stretch.invert)
+
+
+_LINEAR = "CASE WHEN hi = lo THEN v ELSE 65535.0 / (hi - lo) * (v - lo) END"
+
+
+@query(f"WITH {{px}}, c AS (SELECT image_id, y, x, CASE WHEN {_DISK_SQL} THEN 0 ELSE v END AS v FROM px), m AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM c GROUP BY image_id) SELECT image_id, y, x, {s4(_LINEAR)} AS v FROM c JOIN m USING (image_id)")
+def coronagraph(spark, sf_dir):
+    return compose.coronagraph(pixels(spark, sf_dir).select(*IMG), pixel.within_disk(_CX, _CY, _RADIUS)).withColumn("v", r4(F.col("v")))
+
+
+@query(
+    f"""WITH {{px}}, d AS (SELECT a.image_id, a.y, a.x, a.v - b.v AS v FROM px a JOIN px b ON b.image_id = a.image_id + 1 AND a.y = b.y AND a.x = b.x),
+l AS (SELECT image_id, y, x, v - least(min(v) OVER (PARTITION BY image_id), 0) AS v FROM d), m AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM l GROUP BY image_id)
+SELECT image_id, y, x, {s4(_LINEAR)} AS v FROM l JOIN m USING (image_id)"""
+)
+def helium(spark, sf_dir):
+    return compose.helium(*_pairs(spark, sf_dir)).select("image_id", "y", "x", r4(F.col("v")).alias("v"))
+
+
+_SHIFT = "c AS (SELECT image_id, y, sum(v * x) / sum(v) AS c FROM px GROUP BY image_id, y), s AS (SELECT image_id, y, c - avg(c) OVER (PARTITION BY image_id ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS shift FROM c)"
+
+
+@query(f"WITH {{px}}, {_SHIFT} SELECT image_id, y, {s4('shift')} AS shift FROM s")
+def jagging(spark, sf_dir):
+    return compose.jagging(pixels(spark, sf_dir)).withColumn("shift", r4(F.col("shift")))
+
+
+@query(
+    f"""WITH {{px}}, {_SHIFT}, a AS (SELECT px.image_id, px.y, px.x, least(greatest(px.x + shift, 0), 7) AS at FROM px JOIN s USING (image_id, y)),
+t AS (SELECT image_id, y, x, floor(at) + d AS tx, CASE d WHEN 1 THEN at - floor(at) ELSE 1 - (at - floor(at)) END AS w FROM a, (VALUES (0), (1)) k(d))
+SELECT t.image_id, t.y, t.x, {s4('sum(w * p.v)')} AS v FROM t JOIN px p ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.tx WHERE w > 0 GROUP BY t.image_id, t.y, t.x"""
+)
+def jagging_corrected(spark, sf_dir):
+    return compose.jagging_corrected(pixels(spark, sf_dir)).withColumn("v", r4(F.col("v")))
+
+
+@query()
+def auto_contrast(spark, sf_dir):
+    return compose.auto_contrast(_disks(spark, sf_dir), 8, 8)
+
+
+@query()
+def demosaic(spark, sf_dir):
+    return compose.demosaic(pixels(spark, sf_dir))
+
+
+@query()
+def richest_focus(spark, sf_dir):
+    return compose.richest_focus(pixels(spark, sf_dir))
+
+
+@query()
+def voigt_fit(spark, sf_dir):
+    from ..operators import frames
+
+    return compose.voigt_fit(frames.profile(pixels(spark, sf_dir)))
 
 
 @query("SELECT vec_id AS image_id, 8 AS width, 8 AS height, list_transform(embedding, lambda e: floor((CAST(e AS DOUBLE) + 1) * 32767.5)) AS data FROM embeddings")
@@ -336,22 +467,38 @@ def colorize2(spark, sf_dir):
     return pixels(spark, sf_dir).select("image_id", "y", "x", *(r4(c).alias(n) for c, n in zip(channels, "rgb", strict=True)))
 
 
-def _kernel(name: str, operator) -> None:
+def _disks(spark, sf_dir):
+    """Dense images with a disk that differs by image."""
+    return kernels.with_disk(images(spark, sf_dir), _CX, _CY, _RADIUS)
+
+
+def _kernel(name: str, operator, source=images, flat: bool = True) -> None:
     def f(spark, sf_dir):
-        return operator(pixels(spark, sf_dir))
+        out = operator(source(spark, sf_dir))
+        return to_pixels(out) if flat else out
 
     f.__name__ = name
     query()(f)
 
 
-_kernel("poly_fit_2d", lambda p: kernels.poly_fit_2d(p, 3.5, 3.5, 3.0))
-_kernel("bg_model", lambda p: kernels.bg_model(p, 3.5, 3.5, 3.0))
-_kernel("neutralize_bg", lambda p: kernels.neutralize_bg(p, 3.5, 3.5, 3.0))
+def _first(dense):
+    return dense.filter("image_id = 0")
+
+
+_kernel("poly_fit_2d", kernels.poly_fit_2d, _disks)
+_kernel("bg_model", kernels.bg_model, _disks)
+_kernel("neutralize_bg", kernels.neutralize_bg, _disks)
 _kernel("rl_decon", kernels.rl_decon)
-_kernel("flat_correction", lambda p: kernels.flat_correction(p, 3.5, 3.5, 3.0))
-_kernel("ellipse_fit", kernels.ellipse_fit)
-_kernel("displacement", lambda p: kernels.displacement(p, p.filter("image_id = 0")))
-_kernel("dedistort", lambda p: kernels.dedistort(p, p.filter("image_id = 0")))
+_kernel("flat_correction", kernels.flat_correction, _disks)
+_kernel("fix_geometry", kernels.fix_geometry)
+_kernel("resample", lambda d: kernels.resample(d, 12, 10))
+_kernel("dedistort", lambda d: kernels.dedistort(d, _first(d), 8, 4))
+_kernel("laplacian_blend", lambda d: kernels.laplacian_blend(d, d.withColumn("image_id", F.col("image_id") - 1)))
+_kernel("ellipse_fit", kernels.ellipse_fit, flat=False)
+_kernel("displacement", lambda d: kernels.displacement(d, _first(d)), flat=False)
+_kernel("tile_displacement", lambda d: kernels.tile_displacement(d, _first(d), 4, 2), flat=False)
+_kernel("angular_correlation", lambda d: kernels.angular_correlation(d, _first(d)), flat=False)
+_kernel("stack", lambda d: kernels.stack_images(d, _first(d), "grp", 8, 4), flat=False)
 
 
 @query(f"WITH {{px}}, r AS (SELECT image_id, y, avg(v) AS m FROM px GROUP BY image_id, y), f AS (SELECT image_id, y, avg(m) OVER (PARTITION BY image_id ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / m AS f FROM r) SELECT image_id, y, x, {s4('v * f')} AS v FROM px JOIN f USING (image_id, y)")

@@ -11,8 +11,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 #: The pixel relation in SQL: each embedding is an image of 8 by 8 pixels.
-PX = """px AS (SELECT vec_id AS image_id, label AS grp, CAST(vec_id % 31 - 15 AS DOUBLE) AS pixel_shift, CAST((i - 1) // 8 AS INT) AS y,
-  CAST((i - 1) % 8 AS INT) AS x, floor((CAST(embedding[i] AS DOUBLE) + 1) * 32767.5) AS v FROM embeddings, generate_series(1, 64) g(i))"""
+PX = """px AS (SELECT image_id, grp, pixel_shift, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, floor((CAST(e AS DOUBLE) + 1) * 32767.5) AS v
+  FROM (SELECT vec_id AS image_id, label AS grp, CAST(vec_id % 31 - 15 AS DOUBLE) AS pixel_shift, unnest(embedding) AS e, unnest(range(0, 64)) AS i FROM embeddings))"""
 #: Edge-clamped 3 by 3 boxes in SQL.
 BOX = """box AS (SELECT a.image_id, a.y, a.x, a.v, sum(b.v) AS s FROM px a, (VALUES (-1), (0), (1)) dy(dy), (VALUES (-1), (0), (1)) dx(dx), px b
   WHERE b.image_id = a.image_id AND b.y = least(greatest(a.y + dy, 0), 7) AND b.x = least(greatest(a.x + dx, 0), 7) GROUP BY ALL)"""

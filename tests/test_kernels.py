@@ -23,38 +23,132 @@ def dense(df):
     return out
 
 
-def test_poly_fit_restores_a_polynomial(spark):
-    y, x = np.indices((9, 9))
+def stack_of(spark, *data):
+    rows = [(i, len(d[0]), len(d), [float(v) for row in d for v in row]) for i, d in enumerate(data)]
+    return spark.createDataFrame(rows, "image_id long, width int, height int, data array<double>")
+
+
+def arrays(df):
+    return {r.image_id: np.array(r.data).reshape(r.height, r.width) for r in df.collect()}
+
+
+def test_poly_fit_restores_a_polynomial_by_disks_of_their_own(spark):
+    y, x = np.indices((9, 12))
     data = 100 + 3 * x - 2 * y + 0.5 * x * y
-    out = dense(kernels.poly_fit_2d(image(spark, data), 4, 4, 4.5, degree=2))
-    inside = (x - 4) ** 2 + (y - 4) ** 2 <= 4.5**2
-    assert np.allclose(out[inside], data[inside])
-    assert (out[~inside] == 0).all()
+    own = kernels.with_disk(stack_of(spark, data, data, data[:7, :7]), F.lit(4.0) + F.col("image_id") % 2, 3.0, 3.5)
+    for i, out in arrays(kernels.poly_fit_2d(own, degree=2)).items():
+        h, w = out.shape
+        inside = (x[:h, :w] - 4 - i % 2) ** 2 + (y[:h, :w] - 3) ** 2 <= 3.5**2
+        assert np.allclose(out[inside], data[:h, :w][inside]) and (out[~inside] == 0).all()
 
 
 def test_bg_model_restores_a_plane(spark):
     y, x = np.indices((16, 16))
     data = 500 + 4.0 * x + 2.0 * y
-    out = dense(kernels.bg_model(image(spark, data), 8, 8, 5, sigma=10))
-    assert np.allclose(out, data, rtol=1e-3)
-
-
-def test_displacement_and_dedistort(spark):
-    rng = np.random.default_rng(5)
-    base = rng.random((16, 16)) * 1000
-    shifted = np.roll(base, (2, -1), axis=(0, 1))
-    both = image(spark, base).union(image(spark, shifted, 1))
-    found = {r.image_id: (r.dy, r.dx) for r in kernels.displacement(both, image(spark, base)).collect()}
-    assert found == {0: (0, 0), 1: (2, -1)}
-    moved = dense(kernels.dedistort(both, image(spark, base)).filter("image_id = 1"))
-    assert np.allclose(moved[:13, 2:], base[:13, 2:])
+    own = kernels.with_disk(stack_of(spark, data), 8, 8, 5)
+    assert np.allclose(arrays(kernels.bg_model(own, sigma=10))[0], data, rtol=1e-3)
+    assert np.allclose(arrays(kernels.bg_model(own, sigma=10, step=2))[0], data, rtol=1e-3)
+    assert arrays(kernels.neutralize_bg(own, 3))[0].max() < 20
+
+
+def smooth(seed, n=64):
+    rng = np.random.default_rng(seed)
+    f = np.fft.fft2(rng.random((n, n)))
+    k = np.hypot(*np.meshgrid(np.fft.fftfreq(n), np.fft.fftfreq(n)))
+    out = np.real(np.fft.ifft2(f * np.exp(-((k / 0.12) ** 2))))
+    return (out - out.min()) / np.ptp(out) * 60000
+
+
+def test_displacement_between_pixels(spark):
+    base = smooth(5)
+    y, x = np.indices(base.shape).astype(float)
+    moved = kernels.sample(base, y - 2.3, x + 1.4)
+    found = {r.image_id: (r.dy, r.dx) for r in kernels.displacement(stack_of(spark, base, moved), stack_of(spark, base)).collect()}
+    assert np.allclose(found[0], (0, 0), atol=0.02) and np.allclose(found[1], (2.3, -1.4), atol=0.3)
+
+
+def test_dedistort_follows_a_field(spark):
+    base = smooth(6)
+    y, x = np.indices(base.shape).astype(float)
+    bent = kernels.sample(base, y + 2 * np.sin(x / 20), x + 1.5 * np.cos(y / 25))
+    out = arrays(kernels.dedistort(stack_of(spark, base, bent), stack_of(spark, base), 24, 8))
+    inner = np.s_[8:-8, 8:-8]
+    assert np.abs(out[0] - base).max() < 1e-6
+    assert np.abs(out[1] - base)[inner].mean() < 0.5 * np.abs(bent - base)[inner].mean()
+    with pytest.raises(Exception, match="same dimensions"):
+        kernels.dedistort(stack_of(spark, base[:32]), stack_of(spark, base)).collect()
+
+
+def test_resampling_keeps_smooth_images(spark):
+    base = smooth(7)
+    for kind in ("bilinear", "bicubic", "lanczos"):
+        big = kernels.resample(stack_of(spark, base), 128, 128, kind)
+        back = arrays(kernels.resample(big, 64, 64, kind))[0]
+        assert np.abs(back - base)[6:-6, 6:-6].mean() < 400
+    y, x = np.indices((5, 5)).astype(float)
+    assert np.allclose(kernels.sample(base, y, x), base[:5, :5])
+
+
+def ellipse_image(cx, cy, rx, ry, angle, n=96):
+    y, x = np.indices((n, n))
+    u = (x - cx) * np.cos(angle) + (y - cy) * np.sin(angle)
+    v = (y - cy) * np.cos(angle) - (x - cx) * np.sin(angle)
+    return 50000 / (1 + np.exp((np.hypot(u / rx, v / ry) - 1) * 40))
+
+
+def test_ellipse_fit_drops_outliers_and_geometry_is_fixed(spark):
+    data = ellipse_image(50, 44, 36, 27, 0.4)
+    dirty = data.copy()
+    dirty[5:8, 80:86] = 65000
+    found = {r.image_id: r for r in kernels.ellipse_fit(stack_of(spark, data, dirty), share=0.06).collect()}
+    for r in found.values():
+        assert np.allclose((r.cx, r.cy, r.rx, r.ry), (50, 44, 36, 27), atol=0.6) and abs(r.angle - 0.4) < 0.03
+    images = stack_of(spark, data)
+    again = kernels.ellipse_fit(kernels.fix_geometry(images, kernels.ellipse_fit(images, share=0.06)), share=0.06).first()
+    assert abs(again.rx - again.ry) < 0.7 and abs(again.rx - 36) < 0.8
+
+
+def test_blend_takes_the_stronger_detail(spark):
+    base = smooth(8)
+    flat = np.full_like(base, base.mean())
+    assert np.allclose(arrays(kernels.laplacian_blend(stack_of(spark, base), stack_of(spark, base)))[0], base)
+    out = arrays(kernels.laplacian_blend(stack_of(spark, base), stack_of(spark, flat)))[0]
+    assert np.corrcoef(out.ravel(), base.ravel())[0, 1] > 0.9
+
+
+def test_angular_correlation_finds_a_rotation(spark):
+    base = smooth(9)
+    y, x = np.indices(base.shape) - 31.5
+    t = np.radians(7)
+    turned = kernels.sample(base, y * np.cos(t) - x * np.sin(t) + 31.5, x * np.cos(t) + y * np.sin(t) + 31.5)
+    got = {r.image_id: r.degrees for r in kernels.angular_correlation(stack_of(spark, base, turned), stack_of(spark, base), 12).collect()}
+    assert got == {0: 0.0, 1: 7.0}
 
 
 def test_rl_decon_sharpens(spark):
     data = np.full((11, 11), 100.0)
     data[5, 5] = 5000
-    soft = stencil.gaussian_blur(image(spark, data), 1.0, 2)
-    assert dense(kernels.rl_decon(soft))[5, 5] > dense(soft)[5, 5]
+    soft = kernels.convolved(data[None], np.outer([0.25, 0.5, 0.25], [0.25, 0.5, 0.25]))[0]
+    assert arrays(kernels.rl_decon(stack_of(spark, soft)))[0][5, 5] > soft[5, 5]
+
+
+def test_weights_and_sizes_are_checked(spark):
+    two = image(spark, np.ones((2, 2))).withColumn("grp", F.lit(0))
+    for bad in (-1.0, float("nan"), float("inf"), None):
+        with pytest.raises(Exception, match="weights must be"):
+            reduce.weighted_avg(two.withColumn("w", F.lit(bad).cast("double"))).collect()
+    mixed = two.union(image(spark, np.ones((3, 2)), 1).withColumn("grp", F.lit(0)))
+    with pytest.raises(Exception, match="same dimensions"):
+        reduce.same_dimensions(mixed).collect()
+    assert reduce.same_dimensions(two).count() == 4
+
+
+def test_polynomial_fit_restores_coefficients(spark):
+    from lumirel.operators import frames as profiles
+
+    rows = [(k, float(x), 3.0 - 2.0 * x + 0.25 * k * x * x) for k in (1, 2) for x in range(12)] + [(3, 1.0, 1.0)]
+    got = {r.image_id: r.coefficients for r in profiles.polynomial_fit(spark.createDataFrame(rows, "image_id long, x double, y double"), 2).collect()}
+    assert np.allclose(got[1], [3, -2, 0.25]) and np.allclose(got[2], [3, -2, 0.5]) and got[3] is None
 
 
 def test_gaussian_blur_keeps_a_constant(spark):
