@@ -145,8 +145,8 @@ def correlated_images(spark, sf_dir):
 @query(
     """WITH {px}, pr AS (SELECT image_id, y, avg(v) AS v FROM px GROUP BY image_id, y), e AS (SELECT image_id, (max(v) + min(v)) / 2 AS half, arg_min(y, (v, y)) AS core FROM pr GROUP BY image_id),
 n AS (SELECT image_id, y, v, lead(v) OVER w AS v2, lead(y) OVER w AS y2 FROM pr WINDOW w AS (PARTITION BY image_id ORDER BY y)),
-c AS (SELECT image_id, core, y + (half - v) / (v2 - v) * (y2 - y) AS at FROM n JOIN e USING (image_id) WHERE v2 IS NOT NULL AND (v > half) <> (v2 > half))
-SELECT image_id, floor((min(at) FILTER (at > core) - max(at) FILTER (at <= core)) * 10000 + 0.5) / 10000 AS fwhm FROM c GROUP BY image_id"""
+c AS (SELECT image_id, core, y + (half - v) / (v2 - v) * (y2 - y) AS pos FROM n JOIN e USING (image_id) WHERE v2 IS NOT NULL AND (v > half) <> (v2 > half))
+SELECT image_id, floor((min(pos) FILTER (pos > core) - max(pos) FILTER (pos <= core)) * 10000 + 0.5) / 10000 AS fwhm FROM c GROUP BY image_id"""
 )
 def line_fwhm(spark, sf_dir):
     return frames.fwhm(frames.profile(pixels(spark, sf_dir))).withColumn("fwhm", r4(F.col("fwhm")))

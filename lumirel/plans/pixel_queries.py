@@ -301,14 +301,17 @@ def radius_rescale2(spark, sf_dir):
     return geometry.radius_rescale2(pixels(spark, sf_dir), 8, 8, F.lit(2.0) + F.col("image_id") % 2, 4.0, 10, 6).withColumn("v", r4(F.col("v")))
 
 
-#: A disk that differs by image, as columns and in SQL.
-_CX, _CY, _RADIUS = F.lit(3.0) + F.col("image_id") % 2, F.lit(3.5), F.lit(2.0) + F.col("image_id") % 3 / 2
+def _disk():
+    """A disk that differs by image, as columns; _DISK_SQL has the same."""
+    return F.lit(3.0) + F.col("image_id") % 2, F.lit(3.5), F.lit(2.0) + F.col("image_id") % 3 / 2
+
+
 _DISK_SQL = "((x - (3.0 + image_id % 2)) * (x - (3.0 + image_id % 2)) + (y - 3.5) * (y - 3.5) <= (2.0 + (image_id % 3) / 2.0) * (2.0 + (image_id % 3) / 2.0))"
 
 
 @query(f"WITH {{px}} SELECT image_id, avg(v) AS mean, count(*) AS n FROM px WHERE {_DISK_SQL} GROUP BY image_id")
 def disk_by_image(spark, sf_dir):
-    return pixels(spark, sf_dir).filter(pixel.within_disk(_CX, _CY, _RADIUS)).groupBy("image_id").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return pixels(spark, sf_dir).filter(pixel.within_disk(*_disk())).groupBy("image_id").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -317,7 +320,7 @@ b AS (SELECT image_id, side, floor(cx - side / 2 + 0.5) AS l, floor(3.5 - side /
 SELECT image_id, CAST(y - t AS INT) AS y, CAST(x - l AS INT) AS x, v FROM px JOIN b USING (image_id) WHERE x BETWEEN l AND l + side - 1 AND y BETWEEN t AND t + side - 1"""
 )
 def autocrop_by_image(spark, sf_dir):
-    return geometry.autocrop(pixels(spark, sf_dir).select(*IMG), _CX, _CY, _RADIUS, 1.1, 2)
+    return geometry.autocrop(pixels(spark, sf_dir).select(*IMG), *_disk(), 1.1, 2)
 
 
 @query("WITH {px}, b AS (SELECT vec_id AS image_id, CAST(vec_id % 3 AS INT) AS top, CAST(vec_id % 4 AS INT) AS \"left\", 6 AS bottom, 7 AS \"right\" FROM embeddings) SELECT b.*, sum(v) AS total FROM b JOIN px USING (image_id) WHERE y BETWEEN top AND bottom AND x BETWEEN \"left\" AND \"right\" GROUP BY ALL")
@@ -368,7 +371,7 @@ _LINEAR = "CASE WHEN hi = lo THEN v ELSE 65535.0 / (hi - lo) * (v - lo) END"
 
 @query(f"WITH {{px}}, c AS (SELECT image_id, y, x, CASE WHEN {_DISK_SQL} THEN 0 ELSE v END AS v FROM px), m AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM c GROUP BY image_id) SELECT image_id, y, x, {s4(_LINEAR)} AS v FROM c JOIN m USING (image_id)")
 def coronagraph(spark, sf_dir):
-    return compose.coronagraph(pixels(spark, sf_dir).select(*IMG), pixel.within_disk(_CX, _CY, _RADIUS)).withColumn("v", r4(F.col("v")))
+    return compose.coronagraph(pixels(spark, sf_dir).select(*IMG), pixel.within_disk(*_disk())).withColumn("v", r4(F.col("v")))
 
 
 @query(
@@ -389,8 +392,8 @@ def jagging(spark, sf_dir):
 
 
 @query(
-    f"""WITH {{px}}, {_SHIFT}, a AS (SELECT px.image_id, px.y, px.x, least(greatest(px.x + shift, 0), 7) AS at FROM px JOIN s USING (image_id, y)),
-t AS (SELECT image_id, y, x, floor(at) + d AS tx, CASE d WHEN 1 THEN at - floor(at) ELSE 1 - (at - floor(at)) END AS w FROM a, (VALUES (0), (1)) k(d))
+    f"""WITH {{px}}, {_SHIFT}, a AS (SELECT px.image_id, px.y, px.x, least(greatest(px.x + shift, 0), 7) AS pos FROM px JOIN s USING (image_id, y)),
+t AS (SELECT image_id, y, x, floor(pos) + d AS tx, CASE d WHEN 1 THEN pos - floor(pos) ELSE 1 - (pos - floor(pos)) END AS w FROM a, (VALUES (0), (1)) k(d))
 SELECT t.image_id, t.y, t.x, {s4('sum(w * p.v)')} AS v FROM t JOIN px p ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.tx WHERE w > 0 GROUP BY t.image_id, t.y, t.x"""
 )
 def jagging_corrected(spark, sf_dir):
@@ -469,7 +472,7 @@ def colorize2(spark, sf_dir):
 
 def _disks(spark, sf_dir):
     """Dense images with a disk that differs by image."""
-    return kernels.with_disk(images(spark, sf_dir), _CX, _CY, _RADIUS)
+    return kernels.with_disk(images(spark, sf_dir), *_disk())
 
 
 def _kernel(name: str, operator, source=images, flat: bool = True) -> None:
