@@ -41,3 +41,23 @@ def test_stages_follow_each_other(spark):
 
 def test_run_gives_rows(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_stages_take_odd_rows_and_names(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = [(None, None), (900001, None), (900002, ""), (900003, " \n"), (900004, "word " * 40000), (900005, "same words in two rows"), (900005, "same words in two rows"), (None, "no id at all"), (900006, "no id at all")]
+    rows = spark.createDataFrame([(i, t, None, None, 0) for i, t in odd], plain.schema)
+    docs = plain.union(rows).withColumns({c: F.lit(7) for c in ("score", "predicted", "row", "routed", "kept", "key", "ids")})
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, docs.limit(0)):
+            out = stage(spark, some, sf_dir)
+            if name == "tokens":
+                assert out.count() == some.count()
+            else:
+                assert out.columns == docs.columns
+                kept = out.collect()
+                assert (some is docs) == bool(kept) and all(r.row == r.key == r.score == 7 for r in kept)
+        if name == "exact_dedup":
+            ids = [r.doc_id for r in stage(spark, docs, sf_dir).collect()]
+            assert ids.count(900005) == 1 and ids.count(None) == 0

@@ -1,10 +1,12 @@
 """Cases that the operators' docstrings define: nulls, long texts, repeats, empty tables, names that clash; and bounds that they state."""
 
+import itertools
 import time
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lumirel.llm import compression_classifier, html_text, language_id, mixing, quality_rules, warc
@@ -32,6 +34,48 @@ def test_score_is_by_the_difference_of_sizes_alone(spark):
     assert np.mean([r.predicted for r, t in zip(out, y, strict=True) if t == 1]) > 0.99
 
 
+def test_calibration_is_isotonic_regression_by_force():
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.normal(size=60))
+    y = (rng.random(60) < 1 / (1 + np.exp(-2 * x))).astype(float)
+    want = np.array([max(min(y[a : b + 1].mean() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)])
+    found = compression_classifier._calibrated(x, y, 0.5)
+    steps = np.array(found.steps)[np.searchsorted(found.knots, x)]
+    # Pools are those of the regression; each is counted with half a good label of one more row.
+    pools = np.r_[0, np.cumsum(np.diff(want) > 1e-12)]
+    for k in range(pools[-1] + 1):
+        own = y[pools == k]
+        assert len(set(steps[pools == k])) == 1
+        if k in (0, pools[-1]):
+            assert steps[pools == k][0] == pytest.approx((own.sum() + 0.5) / (len(own) + 1), abs=0.05)
+
+
+def test_differences_are_of_compressed_segments():
+    good, bad = (compression_classifier._dictionary([f"{w} and more {w} of it {i} " * 9 for i in range(60)]) for w in ("fine prose", "$$ junk"))
+    scorer = compression_classifier.Scorer(compression_classifier.Model(good, bad, None, None))
+    texts = [None, "", "fine prose and more " * 200, "$$ junk $$ junk", "é" * 3000]
+    x, sizes = scorer.differences(texts)
+    plain = {"level": compression_classifier.LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    for t, got, size in zip(texts, x, sizes, strict=True):
+        data = (t or "").encode()
+        parts = [data[i : i + 1024] for i in range(0, len(data), 1024)]
+        by = [sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **plain).compress(p)) for p in parts) for d in (good, bad)]
+        assert size == len(data) and got == pytest.approx((by[1] - by[0]) / (len(data) + 1), abs=0.02)
+
+
+def test_marginals_equal_a_sum_over_all_paths():
+    rng = np.random.default_rng(4)
+    k, n = 3, 6
+    crf = language_id.Crf(["a", "b", "c"], np.zeros((1, k)), rng.normal(size=(k, k)), rng.normal(size=k))
+    emit = rng.normal(size=(n, k))
+    got = language_id.Tagger(crf)._exact(np.exp(emit), np.array([n]))
+    want = np.zeros((n, k))
+    for path in itertools.product(range(k), repeat=n):
+        weight = np.exp(crf.start[path[0]] + sum(emit[i, p] for i, p in enumerate(path)) + sum(crf.transitions[p, q] for p, q in itertools.pairwise(path)))
+        want[np.arange(n), list(path)] += weight
+    assert np.allclose(got, want / want.sum(axis=1, keepdims=True))
+
+
 def test_isotonic_steps_rise():
     rng = np.random.default_rng(3)
     x = rng.normal(size=300)
