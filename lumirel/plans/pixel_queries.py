@@ -180,9 +180,22 @@ def histogram_cdf(spark, sf_dir):
     return stretch.histogram(pixels(spark, sf_dir), 64)
 
 
-@query()
+def _clahe(tile: int, clip: float, bins: int = 64) -> str:
+    """The clipped and running shares of each tile's histogram, and their blend between the centres of tiles."""
+    n = 8 // tile
+    return f"""b AS (SELECT *, least(floor(v * {bins} / 65536), {bins - 1}) AS b FROM px), c AS (SELECT image_id, y // {tile} AS ty, x // {tile} AS tx, b, count(*) AS n FROM b GROUP BY ALL),
+f AS (SELECT t.image_id, t.ty, t.tx, g.b, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT image_id, ty, tx FROM c) t CROSS JOIN generate_series(0, {bins - 1}) g(b) LEFT JOIN c ON c.image_id = t.image_id AND c.ty = t.ty AND c.tx = t.tx AND c.b = g.b),
+k AS (SELECT *, least(n, {clip} * t / {bins}) AS k FROM (SELECT *, sum(n) OVER (PARTITION BY image_id, ty, tx) AS t FROM f)),
+s AS (SELECT image_id, ty, tx, b, sum(k + e) OVER (PARTITION BY image_id, ty, tx ORDER BY b) / t AS share FROM (SELECT *, (t - sum(k) OVER (PARTITION BY image_id, ty, tx)) / {bins} AS e FROM k)),
+p AS (SELECT image_id, y, x, b, (y + 0.5) / {tile} - 0.5 AS fy, (x + 0.5) / {tile} - 0.5 AS fx FROM b),
+w AS (SELECT image_id, y, x, b, least(greatest(floor(fy) + dy, 0), {n - 1}) AS ty, least(greatest(floor(fx) + dx, 0), {n - 1}) AS tx,
+  (CASE dy WHEN 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE dx WHEN 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS w FROM p, (VALUES (0), (1)) i(dy), (VALUES (0), (1)) j(dx))
+SELECT w.image_id, w.y, w.x, {s4("65535 * sum(w.w * s.share)")} AS v FROM w JOIN s ON s.image_id = w.image_id AND s.ty = w.ty AND s.tx = w.tx AND s.b = w.b GROUP BY w.image_id, w.y, w.x"""
+
+
+@query("WITH {px}, " + _clahe(4, 2.0))
 def clahe(spark, sf_dir):
-    return stretch.clahe(pixels(spark, sf_dir), 8, 8, 4, 64, 2.0)
+    return stretch.clahe(pixels(spark, sf_dir), 8, 8, 4, 64, 2.0).withColumn("v", r4(F.col("v")))
 
 
 _stretch("box_blur3", stencil.blur, f"WITH {{px}}, {{box}} SELECT image_id, y, x, {s4('least(greatest(s / 9, 0), 65535)')} AS v FROM box", False)
@@ -216,9 +229,13 @@ def integral_image(spark, sf_dir):
     return geometry.integral_image(pixels(spark, sf_dir)).select(*IMG)
 
 
-@query()
+@query(
+    f"""WITH {{px}}, d AS (SELECT d, exp(-d * d / 2.0) AS w FROM generate_series(-2, 2) g(d))
+SELECT a.image_id, a.y, a.x, {s4("sum(p.w * q.w * b.v) / (SELECT sum(w) * sum(w) FROM d)")} AS v FROM px a, d p, d q, px b
+WHERE b.image_id = a.image_id AND b.y = least(greatest(a.y + p.d, 0), 7) AND b.x = least(greatest(a.x + q.d, 0), 7) GROUP BY a.image_id, a.y, a.x"""
+)
 def gaussian_blur(spark, sf_dir):
-    return stencil.gaussian_blur(pixels(spark, sf_dir), 1.0, 2).select(*IMG)
+    return stencil.gaussian_blur(pixels(spark, sf_dir), 1.0, 2).select("image_id", "y", "x", r4(F.col("v")).alias("v"))
 
 
 def _geometry(name: str, operator, sql: str) -> None:
@@ -453,12 +470,22 @@ def rgb_mono(spark, sf_dir):
     return rgb.select("image_id", "y", "x", r4(color.mono(F.col("r"), F.col("g"), F.col("b"))).alias("v"))
 
 
-@query()
+#: Hue, saturation and lightness of three neighbours as a colour, the saturation raised to a power, and back.
+_SATURATE = """c AS (SELECT a.image_id, a.y, a.x, a.v / 65535 AS r, b.v / 65535 AS g, c.v / 65535 AS b FROM px a JOIN px b ON b.image_id = a.image_id + 1 AND a.y = b.y AND a.x = b.x JOIN px c ON c.image_id = a.image_id + 2 AND a.y = c.y AND a.x = c.x),
+m AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM c),
+h AS (SELECT image_id, y, x, (hi + lo) / 2 AS l, CASE WHEN hi = lo THEN 0 WHEN hi + lo > 1 THEN (hi - lo) / (2 - hi - lo) ELSE (hi - lo) / (hi + lo) END AS s,
+  CASE WHEN hi = lo THEN 0 WHEN hi = r THEN (g - b) / (hi - lo) + CASE WHEN g < b THEN 6 ELSE 0 END WHEN hi = g THEN (b - r) / (hi - lo) + 2 ELSE (r - g) / (hi - lo) + 4 END / 6 AS h FROM m),
+q AS (SELECT image_id, y, x, h, l, CASE WHEN l < 0.5 THEN l * (1 + z) ELSE l + z - l * z END AS q FROM (SELECT *, pow(s, pow(2, -1.5)) AS z FROM h)),
+t AS (SELECT image_id, y, x, q, 2 * l - q AS p, n, CASE WHEN t < 0 THEN t + 1 WHEN t >= 1 THEN t - 1 ELSE t END AS t FROM (SELECT *, h + d AS t FROM q, (VALUES ('r', 1 / 3), ('g', 0), ('b', -1 / 3)) k(n, d))),
+v AS (SELECT image_id, y, x, n, CASE WHEN t < 1 / 6 THEN p + (q - p) * 6 * t WHEN t < 1 / 2 THEN q WHEN t < 2 / 3 THEN p + (q - p) * (2 / 3 - t) * 6 ELSE p END AS v FROM t)"""
+
+
+@query(f"WITH {{px}}, {_SATURATE} SELECT image_id, y, x, {', '.join(s4('max(v) FILTER (n = ' + repr(c) + ')') + f' AS {c}' for c in 'rgb')} FROM v GROUP BY image_id, y, x")
 def saturate(spark, sf_dir):
     px = pixels(spark, sf_dir).select("image_id", "y", "x", (F.col("v") / 65535).alias("r"))
     g, b = (px.select((F.col("image_id") - k).alias("image_id"), "y", "x", F.col("r").alias(n)) for k, n in ((1, "g"), (2, "b")))
     rgb = px.join(g, ["image_id", "y", "x"]).join(b, ["image_id", "y", "x"])
-    return rgb.select("image_id", "y", "x", *(c.alias(n) for c, n in zip(color.saturate(F.col("r"), F.col("g"), F.col("b"), 1.5), "rgb", strict=True)))
+    return rgb.select("image_id", "y", "x", *(r4(c).alias(n) for c, n in zip(color.saturate(F.col("r"), F.col("g"), F.col("b"), 1.5), "rgb", strict=True)))
 
 
 _CURVE = "least(greatest(({to} - {at}) * 256.0 / (({at} * 256.0) * ({at} * 256.0) - ({at} * 256.0) * 65535) * v * v + (1 - ({to} - {at}) * 256.0 / (({at} * 256.0) * ({at} * 256.0) - ({at} * 256.0) * 65535) * 65535) * v, 0), 65535)"
@@ -522,12 +549,17 @@ def carrington_rotation(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", r4(spectral.julian_date(ts)).alias("jd"), spectral.carrington_rotation(ts).alias("rotation"))
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT o_orderkey, jd, (jd - 2451545.0) / 36525 AS t FROM (SELECT o_orderkey, epoch_us(o_orderdate) / 86400e6 + 2440587.5 AS jd FROM orders)),
+a AS (SELECT *, radians(357.52911 + 35999.05029 * t) AS m, radians(73.6667 + 1.3958333 * (jd - 2396758) / 36525) AS node, radians(23.4392911 - 0.0130042 * t) AS obliquity FROM t),
+l AS (SELECT *, radians(280.46646 + 36000.76983 * t + (1.914602 - 0.004817 * t) * sin(m) + 0.019993 * sin(2 * m) - 0.00569) AS lon FROM a)
+SELECT o_orderkey, {s4("degrees(atan(-cos(lon) * tan(obliquity)) + atan(-cos(lon - node) * tan(radians(7.25))))")} AS p, {s4("degrees(asin(sin(lon - node) * sin(radians(7.25))))")} AS b0 FROM l"""
+)
 def solar_angles(spark, sf_dir):
     from ..sources.images import table
 
     p, b0 = spectral.solar_angles(F.col("o_orderdate"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", p.alias("p"), b0.alias("b0"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", r4(p).alias("p"), r4(b0).alias("b0"))
 
 
 @query("SELECT vec_id AS image_id, floor((656.2808 + (vec_id % 31 - 15) * 0.0183) * 100 + 0.5) / 100 AS wave, floor((vec_id % 31 - 15) * 0.0183 * 100 + 0.5) / 100 AS px2a, floor((vec_id % 7) / 0.183 * 100 + 0.5) / 100 AS a2px, floor((656.5 - 656.2808) / 0.0183 * 100 + 0.5) / 100 AS found FROM embeddings")
