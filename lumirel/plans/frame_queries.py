@@ -142,6 +142,12 @@ def correlated_images(spark, sf_dir):
     return joins.correlated(images(spark, sf_dir), 0.25).withColumn("c", r4(F.col("c")))
 
 
+@query()
+def correlated_all_images(spark, sf_dir):
+    """correlated_images under the name that it had when that was of one group."""
+    return joins.correlated(images(spark, sf_dir), 0.25).withColumn("c", r4(F.col("c")))
+
+
 @query(
     """WITH {px}, pr AS (SELECT image_id, y, avg(v) AS v FROM px GROUP BY image_id, y), e AS (SELECT image_id, (max(v) + min(v)) / 2 AS half, arg_min(y, (v, y)) AS core FROM pr GROUP BY image_id),
 n AS (SELECT image_id, y, v, lead(v) OVER w AS v2, lead(y) OVER w AS y2 FROM pr WINDOW w AS (PARTITION BY image_id ORDER BY y)),

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumirel.operators import compose, stretch
+from lumirel.operators import compose, kernels, stretch
 
 
 def image(spark, data, image_id=0):
@@ -58,7 +58,7 @@ def test_chain_and_cutoff(spark):
 
 def test_contrast_and_coronagraph_stay_in_range(spark):
     data = 20000 + np.random.default_rng(4).random((8, 8)) * 20000
-    for out in (compose.auto_contrast(image(spark, data), 3.5, 3.5, 3, 8, 8), compose.coronagraph(image(spark, data), F.col("x") < 4)):
+    for out in (compose.auto_contrast(kernels.with_disk(kernels.from_pixels(image(spark, data)), 3.5, 3.5, 3), 8, 8), compose.coronagraph(image(spark, data), F.col("x") < 4)):
         got = dense(out)
         assert got.min() >= 0 and got.max() <= 65535.0001
 
