@@ -49,6 +49,8 @@ MATCHES = 28
 THRESHOLD = 75
 #: Rounds in which a document is paired with one lead of its lists; fewer if a round finds no link.
 STAR_ROUNDS = 3
+#: Links between components that are few enough for one task; more are dealt over tasks.
+FEW_LINKS = 1 << 16
 #: Star rounds go on while one document in so many finds a link.
 STAR_YIELD = 20
 _RANDOM = np.random.RandomState(20240501)
@@ -158,6 +160,13 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     kept: list[str] = []
     both = cut(links.select("u", "v").union(links.select("v", "u")).distinct(), kept)
+    few = both.count() <= FEW_LINKS
+
+    def dealt(df: DataFrame) -> DataFrame:
+        # Of a bounded number of links, a pass is one task without a shuffle.
+        return df.coalesce(1) if few else df
+
+    both = dealt(both)
     touched, changed, before = both.select(F.col("u").alias("rep")).distinct().withColumn("comp", F.col("rep")), 1, None
     while changed:
         low = both.join(touched, F.col("v") == F.col("rep")).groupBy("u").agg(F.min("comp").alias("low"))
@@ -165,7 +174,8 @@ def components(links: DataFrame) -> DataFrame:
         # Only labels that are nodes with another label by now say anything.
         far = touched.filter("rep <> comp").select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
         now: list[str] = []
-        step = cut(join_hot(near, far, ["comp"], "rep", "left", 8).select("rep", "was", F.least("comp", "next").alias("comp")), now)
+        joined = near.join(far, "comp", "left") if few else join_hot(near, far, ["comp"], "rep", "left", 8)
+        step = dealt(cut(joined.select("rep", "was", F.least("comp", "next").alias("comp")), now))
         changed = step.filter("comp <> was").count()
         touched = step.select("rep", "comp")
         remove(spark, before or [])
