@@ -213,9 +213,17 @@ def _pack(units) -> Callable:
     return pack
 
 
-def _by_length(n: np.ndarray) -> np.ndarray:
-    """Positions within each of sequences of n symbols, end to end."""
-    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+_PLACES: dict[Level, np.ndarray] = {}
+
+
+def sampled(level: Level, n: int) -> np.ndarray:
+    """The places of the cover's residues below n, or some more of them."""
+    have = _PLACES.get(level)
+    if have is None or have[-1] < n:
+        size = 1 << max(17, n.bit_length())
+        have = np.flatnonzero(np.resize(COVERS[level], size + level.v))
+        _PLACES[level] = have
+    return have
 
 
 class Chunk:
@@ -226,17 +234,16 @@ class Chunk:
         self.doc_ends = np.cumsum(sizes)
         self.n = len(symbols)
         self.prints = Fingerprints(symbols, points[0])
-        self.docs = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
-    def sample(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled positions with depth symbols left in their document, and their keys."""
-        cover, level = COVERS[self.level], self.level
+    def sample(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sampled positions with depth symbols left in their document, their keys, and their documents."""
+        level = self.level
+        places = sampled(level, int(self.sizes.max(initial=0)))
         long = np.flatnonzero(self.sizes >= level.window)
-        room = self.sizes[long] - level.depth + 1
-        within = _by_length(room)
-        hit = cover[within % level.v]
-        at = (np.repeat((self.doc_ends - self.sizes)[long], room) + within)[hit]
-        return at, self.prints.of(at, at + level.depth)
+        counts = np.searchsorted(places, self.sizes[long] - level.depth, side="right")
+        starts = (self.doc_ends - self.sizes)[long]
+        at = np.concatenate([start + places[:n] for start, n in zip(starts.tolist(), counts.tolist(), strict=True)] or [np.zeros(0, np.int64)])
+        return at, self.prints.of(at, at + level.depth), np.repeat(long, counts)
 
 
 def symbols_of(level: Level, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,9 +275,9 @@ class Runs:
         self.level = level
         whole = Chunk(*symbols_of(level, sizes, data), level, points)
         self.n, self.sizes, self.doc_ends = whole.n, whole.sizes, whole.doc_ends
-        at, keys = whole.sample()
-        at = at[_among(keys, tied)]
-        doc = whole.docs[at]
+        at, keys, doc = whole.sample()
+        hit = _among(keys, tied)
+        at, doc = at[hit], doc[hit]
         first, last = (whole.doc_ends - whole.sizes)[doc], whole.doc_ends[doc] - level.window
         low, high = np.maximum(at - level.v + 1, first), np.minimum(at, last)
         ok = low <= high
@@ -280,16 +287,17 @@ class Runs:
         self.piece_keys, self.piece_checks, self.piece_sizes, self.piece_docs = self.keys, self.checks, self.at, self.docs
         if not len(low):
             return
-        # The documents that matter, end to end.
-        active = np.zeros(len(whole.sizes), bool)
-        active[doc] = True
-        moved = (whole.doc_ends - whole.sizes) - np.cumsum(np.where(active, whole.sizes, 0)) + np.where(active, whole.sizes, 0)
-        part = Chunk(whole.sizes[active], whole.symbols[active[whole.docs]], level, points)
+        # The documents that matter, end to end, and how far each is moved for that.
+        active = np.unique(doc)
+        starts, own = (whole.doc_ends - whole.sizes)[active], whole.sizes[active]
+        part = Chunk(own, np.concatenate([whole.symbols[a : a + n] for a, n in zip(starts.tolist(), own.tolist(), strict=True)]), level, points)
+        moved = np.zeros(len(whole.sizes), np.int64)
+        moved[active] = starts - (part.doc_ends - own)
         low, high = low - moved[doc], high - moved[doc]
         edge = np.bincount(low, minlength=part.n + 2) - np.bincount(high + 1, minlength=part.n + 2)
         at = np.flatnonzero(np.cumsum(edge) > 0)
         second = Fingerprints(part.symbols, points[1])
-        self.docs = np.flatnonzero(active)[part.docs[at]]
+        self.docs = active[np.searchsorted(part.doc_ends, at, side="right")]
         self.at = at + moved[self.docs]
         self.keys = part.prints.of(at, at + level.window)
         self.checks = second.of(at, at + level.window).astype(np.uint32)
@@ -378,8 +386,8 @@ def _cover_keys(bits: int, points: tuple[int, int]) -> Callable:
                 unit = row_unit
                 for level in LEVELS:
                     chunk = Chunk(*symbols_of(level, sizes.values.to_numpy(), np.frombuffer(data.as_buffer(), np.uint8)), level, points)
-                    at, own = chunk.sample()
-                    held[level].append(own[_once(own, chunk.docs[at])] if level.across else own)
+                    _, own, docs = chunk.sample()
+                    held[level].append(own[_once(own, docs)] if level.across else own)
                     n += len(own)
         yield from out()
 
