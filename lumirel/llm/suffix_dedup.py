@@ -276,7 +276,7 @@ class Runs:
         whole = Chunk(*symbols_of(level, sizes, data), level, points)
         self.n, self.sizes, self.doc_ends = whole.n, whole.sizes, whole.doc_ends
         at, keys, doc = whole.sample()
-        hit = _among(keys, tied)
+        hit = _among(keys.astype(np.uint32), tied)
         at, doc = at[hit], doc[hit]
         first, last = (whole.doc_ends - whole.sizes)[doc], whole.doc_ends[doc] - level.window
         low, high = np.maximum(at - level.v + 1, first), np.minimum(at, last)
@@ -424,13 +424,13 @@ def _ties(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iter
         hit = _among(joint, tied)
         hit[1:] &= joint[1:] != joint[:-1]
         if hit.any():
-            mine, its = mine[hit], its[hit]
-            out.append((units[i], what, mine.tobytes() + (its.tobytes() if checked else b"")))
+            # Of a sampled key the lower half is enough to find it again among a unit's own.
+            out.append((units[i], what, (joint[hit] if checked else mine[hit].astype(np.uint32)).tobytes()))
             if what % WORDS == EQUAL_PIECE:
                 at = np.searchsorted(tied, joint[hit])
                 first = free[at]
                 if first.any():
-                    out.append((units[i], what - EQUAL_PIECE + OWN_PIECE, mine[first].tobytes() + its[first].tobytes()))
+                    out.append((units[i], what - EQUAL_PIECE + OWN_PIECE, joint[hit][first].tobytes()))
                     free[at[first]] = False
     cols = list(zip(*out, strict=True)) or [[], [], []]
     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["unit", "kind", "keys"])
@@ -449,11 +449,10 @@ class Visit:
         return run
 
     def run(self, chunks: pa.Table, told: pa.Table) -> pa.Table:
-        known: dict[int, list[np.ndarray]] = {k: [np.zeros(0, np.uint64)] for k in range(2 * WORDS)}
+        types = {k: np.uint32 if k % WORDS == TIED_SAMPLE else np.uint64 for k in range(2 * WORDS)}
+        known: dict[int, list[np.ndarray]] = {k: [np.zeros(0, t)] for k, t in types.items()}
         for what, blob in zip(told.column("kind").to_pylist(), told.column("keys"), strict=True):
-            checked = what % WORDS != TIED_SAMPLE
-            keys, checks = _apart(blob.as_buffer(), checked)
-            known[what].append(_joint(keys, checks) if checked else keys)
+            known[what].append(np.frombuffer(blob.as_buffer(), types[what]))
         known = {k: np.sort(np.concatenate(v)) for k, v in known.items()}
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         taken = {level: np.zeros(0, np.uint64) for level in LEVELS}
