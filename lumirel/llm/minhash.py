@@ -150,23 +150,42 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(hit) for c in ("u", "v")], ["u", "v"])
 
 
+@tidy
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of all links in the batches, which are few."""
+    held = list(batches)
+    u, v = (np.concatenate([b.column(c).to_numpy() for b in held] or [np.zeros(0, np.int64)]) for c in ("u", "v"))
+    nodes, at = np.unique(np.r_[u, v], return_inverse=True)
+    parent = list(range(len(nodes)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    comp = nodes[[root(i) for i in range(len(nodes))]] if len(nodes) else nodes
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(comp, pa.int64())], ["rep", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(rep, comp) for the nodes of links(u, v): comp is the smallest rep reachable.
 
-    Each pass gives a node the smallest label among itself and its neighbours, then the
-    label of that label; passes end when none changes. Every pass is written to the shared folder.
+    Up to FEW_LINKS links are united in one task. With more, each pass gives a node the smallest label among itself and its
+    neighbours, then the label of that label; passes end when none changes. Every pass is written to the shared folder.
     A label that a large component shares is looked up from many tasks.
     """
     spark = links.sparkSession
     kept: list[str] = []
-    both = cut(links.select("u", "v").union(links.select("v", "u")).distinct(), kept)
-    few = both.count() <= FEW_LINKS
-
-    def dealt(df: DataFrame) -> DataFrame:
-        # Of a bounded number of links, a pass is one task without a shuffle.
-        return df.coalesce(1) if few else df
-
-    both = dealt(both)
+    links = cut(links.select("u", "v").distinct(), kept)
+    if links.count() <= FEW_LINKS:
+        done = cut(links.coalesce(1).mapInArrow(_forest, "rep long, comp long"))
+        remove(spark, kept)
+        return done
+    both = links.union(links.select("v", "u"))
     touched, changed, before = both.select(F.col("u").alias("rep")).distinct().withColumn("comp", F.col("rep")), 1, None
     while changed:
         low = both.join(touched, F.col("v") == F.col("rep")).groupBy("u").agg(F.min("comp").alias("low"))
@@ -174,8 +193,7 @@ def components(links: DataFrame) -> DataFrame:
         # Only labels that are nodes with another label by now say anything.
         far = touched.filter("rep <> comp").select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
         now: list[str] = []
-        joined = near.join(far, "comp", "left") if few else join_hot(near, far, ["comp"], "rep", "left", 8)
-        step = dealt(cut(joined.select("rep", "was", F.least("comp", "next").alias("comp")), now))
+        step = cut(join_hot(near, far, ["comp"], "rep", "left", 8).select("rep", "was", F.least("comp", "next").alias("comp")), now)
         changed = step.filter("comp <> was").count()
         touched = step.select("rep", "comp")
         remove(spark, before or [])
