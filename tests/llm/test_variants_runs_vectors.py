@@ -139,8 +139,7 @@ def test_runs_and_what_is_kept_by_force(spark):
     assert len(got) == len(digests) == len(rows)
     total = 0
     for (_, text, _), r, d in zip(rows, got, digests, strict=True):
-        w = text.split(" ") if text and " " in text else (text or "").split()
-        w = [x for x in w if x]
+        w = (text or "").split()
         want = sorted(runs_by_force(w), key=lambda x: (x[0], x[2]))
         gone = {i for s, n, p in want for i in range(s + p, s + n)}
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
