@@ -76,14 +76,15 @@ def pixel_shift_range(line: DataFrame, height: int, margin: int = 0) -> DataFram
     return line.groupBy("image_id").agg((margin - F.min("y")).alias("low"), (height - 1 - margin - F.max("y")).alias("high"))
 
 
-def polynomial_fit(points: DataFrame, order: int, key: str = "image_id", x: str = "x", y: str = "y") -> DataFrame:
-    """(key, coefficients): least-squares polynomial of each key's points, the constant first.
+def polynomial_fit(points: DataFrame, order: int, key: str = "image_id", x: str = "x", y: str = "y", weight: str | None = None) -> DataFrame:
+    """(key, coefficients): least-squares polynomial of each key's points, the constant first, weighted by a column if one is named.
 
     Only sums of powers are aggregated, which combine before the shuffle; each key's small
     system is then solved. A key with too few different x gives null.
     """
-    moments = [F.sum(F.pow(F.col(x).cast("double"), F.lit(float(k)))).alias(f"s{k}") for k in range(2 * order + 1)]
-    right = [F.sum(F.pow(F.col(x).cast("double"), F.lit(float(k))) * F.col(y)).alias(f"t{k}") for k in range(order + 1)]
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    moments = [F.sum(w * F.pow(F.col(x).cast("double"), F.lit(float(k)))).alias(f"s{k}") for k in range(2 * order + 1)]
+    right = [F.sum(w * F.pow(F.col(x).cast("double"), F.lit(float(k))) * F.col(y)).alias(f"t{k}") for k in range(order + 1)]
     sums = points.groupBy(key).agg(*moments, *right)
 
     def solve(frames):

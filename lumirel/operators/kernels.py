@@ -361,14 +361,23 @@ def _peak(corr: np.ndarray) -> tuple[float, float, float]:
     return dy - h if dy > h / 2 else dy, dx - w if dx > w / 2 else dx, float(corr[y, x])
 
 
-def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-    """How far a is moved against b, and the height of the correlation's peak."""
+def spectrum(a: np.ndarray) -> np.ndarray:
+    """The Fourier transform of an image less its mean, faded out at the edges."""
     window = np.hanning(a.shape[0] + 2)[1:-1, None] * np.hanning(a.shape[1] + 2)[None, 1:-1]
-    fa, fb = np.fft.fft2((a - a.mean()) * window), np.fft.fft2((b - b.mean()) * window)
+    return np.fft.fft2((a - a.mean()) * window)
+
+
+def spectral_shift(fa: np.ndarray, fb: np.ndarray) -> tuple[float, float, float]:
+    """phase_shift of the images whose spectra these are."""
     cross = np.conj(fb) * fa
     return _peak(np.real(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12))))
 
 
+def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
+    """How far a is moved against b, and the height of the correlation's peak."""
+    return spectral_shift(spectrum(a), spectrum(b))
+
+
 def displacement(images: DataFrame, reference: DataFrame) -> DataFrame:
     """(image_id, dy, dx, confidence): shift of each whole image against one reference image, between pixels, by phase correlation."""
     return per_pair(with_reference(images, reference), lambda a, b: [phase_shift(a, b)], "image_id long, dy double, dx double, confidence double", ["dy", "dx", "confidence"])

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lumirel.plans import frame_queries, list_queries, pixel_queries, registry  # noqa: F401
+from lumirel.plans import analysis_queries, frame_queries, list_queries, pixel_queries, registry  # noqa: F401
 
 
 @pytest.fixture(scope="module")
