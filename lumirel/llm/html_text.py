@@ -59,12 +59,14 @@ BREAK, KEPT = "\x00", "\x01"
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 #: What a tag holds after its name; nothing is tried twice.
 _INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
-_STRING = re.compile(r"\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'", re.S)
+#: A string that doesn't end goes to the end of what holds it, or in a sheet to the end of its line.
+_STRING = re.compile(r"\"(?:[^\"\\]|\\.)*+(?:\"|\\?\Z)|'(?:[^'\\]|\\.)*+(?:'|\\?\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NO_BOX = re.compile(r"(?:^|[;{\s])display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"(?:^|[;{\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
-_CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
-_SCREEN = re.compile(r"\s*(?:(?:only\s+)?(?:all|screen))?\s*", re.I)
+_CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*+(?:\"|(?=\n)|\\?\Z)|'(?:[^'\\\n]|\\.)*+(?:'|(?=\n)|\\?\Z)|[{};]", re.S)
+_AT_RULE = re.compile(r"\s*+@")
+_SCREEN = re.compile(r"(?:(?:only\s+)?(?:all|screen))?", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -77,7 +79,17 @@ class Node:
 
 def _on_screen(media: str) -> bool:
     """Whether a list of media holds on any screen, whatever its size."""
-    return any(_SCREEN.fullmatch(x) for x in media.split(","))
+    return any(_SCREEN.fullmatch(x.strip()) for x in media.split(","))
+
+
+def _uncommented(sheet: str) -> str:
+    """A style sheet without its comments; one that doesn't end goes to the sheet's end."""
+    parts, at = [], 0
+    while (start := sheet.find("/*", at)) >= 0:
+        parts.append(sheet[at:start])
+        end = sheet.find("*/", start + 2)
+        at = end + 2 if end >= 0 else len(sheet)
+    return "".join([*parts, sheet[at:]])
 
 
 def _hidden_by(sheet: str) -> tuple[set[str], set[str]]:
@@ -86,12 +98,19 @@ def _hidden_by(sheet: str) -> tuple[set[str], set[str]]:
     Of nested bodies only those of layers and of media for all screens count; a rule within
     another rule says nothing of its selector elsewhere.
     """
-    sheet = re.sub(r"(?s)/\*.*?\*/", "", sheet)
+    sheet = _uncommented(sheet)
     found: tuple[set[str], set[str]] = (set(), set())
     # Open blocks: whether they hold, the selectors of a rule (None of an at-rule), and declarations before nested blocks.
     blocks: list[tuple[bool, str | None, list[str]]] = []
-    at = 0
+    at, rule = 0, None
     for m in _CSS.finditer(sheet):
+        if m[0] not in "{}":
+            # A string, or the end of a declaration: part of what follows it, unless an at-rule ends.
+            if rule is None:
+                rule = _AT_RULE.match(sheet, at) is not None
+            if m[0] == ";" and rule:
+                at, rule = m.end(), None
+            continue
         text = sheet[at : m.start()]
         if m[0] == "{":
             holds = not blocks or (blocks[-1][0] and blocks[-1][1] is None)
@@ -105,7 +124,7 @@ def _hidden_by(sheet: str) -> tuple[set[str], set[str]]:
                 blocks.append((holds, None, []))
             else:
                 blocks.append((holds, text, []))
-        elif m[0] == "}":
+        else:
             if blocks:
                 holds, selectors, parts = blocks.pop()
                 if holds and selectors is not None:
@@ -114,10 +133,7 @@ def _hidden_by(sheet: str) -> tuple[set[str], set[str]]:
                     for own, hides in zip(found, (_NO_BOX.search(declared), seen and seen[-1].lower() != "visible"), strict=True):
                         if hides:
                             own.update(x for x in (y.strip() for y in selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", x))
-        elif m[0] != ";" or not text.lstrip().startswith("@"):
-            # A string, or the end of a declaration: part of what follows it.
-            continue
-        at = m.end()
+        at, rule = m.end(), None
     return found
 
 
@@ -205,9 +221,11 @@ def tree(source: str) -> tuple[Node, tuple[set[str], set[str]]]:
         node = Node(name, attrs)
         stack[-1].items.append(node)
         if name in RAW:
-            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, after)
-            body = source[after : stop.start() if stop else len(source)]
-            moved = stop.end() if stop else len(source)
+            stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, after)
+            # Behind an end tag without its bracket there is no other one.
+            shut = source.find(">", stop.end()) if stop else -1
+            body = source[after : stop.start() if shut >= 0 else len(source)]
+            moved = shut + 1 if shut >= 0 else len(source)
             node.items.append(body)
             if name == "style" and _on_screen(attrs.get("media", "")):
                 for known, more in zip(hidden, _hidden_by(body), strict=True):

@@ -134,6 +134,41 @@ def test_rendering_takes_time_in_proportion(unit, n):
     assert time.time() - began < 15
 
 
+ODD_SHEETS = [
+    ("<style>", "/*a", ""),
+    ("<style>", "/*a", "</style>x"),
+    ("<script>", "</script ", ""),
+    ("<script>", "</script ", "</script>x"),
+    ("<style media='x", " ", "y'>p{display:none}</style><p>x"),
+    ("<p style='a:\"", '\\"', "'>x"),
+    ('<style>a:"', '\\"', "</style>x"),
+    ("<style>", '"\n', "</style>x"),
+    ("<style>", "a;", "</style>x"),
+    ("<style>", "@media a{", "</style>x"),
+    ("<style>", "{", "</style>x"),
+    ("<p style='", "visibility : ", "'>x"),
+]
+
+
+@pytest.mark.parametrize(("head", "unit", "tail"), ODD_SHEETS)
+def test_odd_sheets_take_time_in_proportion(head, unit, tail):
+    times = []
+    for size in (250_000, 1_000_000):
+        began = time.process_time()
+        assert html_text.render(head + unit * (size // len(unit)) + tail) == tail[-1:]
+        times.append(time.process_time() - began)
+    assert times[1] < 4 and times[1] < 8 * times[0] + 0.5
+
+
+def test_sheets_by_their_parts():
+    render = html_text.render
+    for sheet in ("/* .a{} */.x{display:none}", "@import 'a';.x{display:none}", ".y{a:'}';b:1}.x{display:none}", ".x{color:red;display:none;}", "@media screen , all{.x{display:none}}", "@media ONLY   screen{.x{display:none}}", "@charset \"u\"; /**/ .x{display:none}/* open"):
+        assert render(f"<style>{sheet}</style><p class=x>no<p>yes") == "yes", sheet
+    for sheet in ("/* .x{display:none}", ".x{content:'display:none", "@media print{.x{display:none}}", "@x .x{display:none}", ".y .x{display:none}", ".y{.x{display:none}}"):
+        assert render(f"<style>{sheet}</style><p class=x>seen") == "seen", sheet
+    assert render("<script>a</script x>b") == "b" and render("<script>a</scripts></script\n>b") == "b" and render("<script>a</script b") == ""
+
+
 def test_rendering_of_visibility_and_tables():
     render = html_text.render
     assert render("<style>@media print{.x{display:none}}</style><p class=x>keep me</p>") == "keep me"
