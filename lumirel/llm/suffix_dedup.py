@@ -24,8 +24,8 @@ tied suffix would be many times the input; sampled suffixes, which only say wher
 The same steps, on words instead of bytes, find passages of PASSAGE_WORDS words that another
 document has too; these are counted, and no byte is removed for them.
 
-Texts are packed into units which stay where they are (a table
-bucketed by unit in the shared folder); only keys move, in sorted arrays per bucket.
+Texts are packed into units which stay where they are (a table bucketed by slot in the
+shared folder, of one slot for each partition up to Spark's limit of buckets); only keys move, in sorted arrays per bucket.
 
 Defined cases: a null text is empty; texts shorter than WINDOW bytes lose nothing; each row is
 a document of its own, repeated rows and null doc_ids included; an empty table gives no rows.
@@ -60,6 +60,10 @@ PIECE = 64
 BUCKET_KEYS = 1 << 19
 #: Bytes of a file that one unit holds at most, as far as the files can be split.
 UNIT_BYTES = 32 << 20
+#: Bytes of text after which a partition starts another unit, as a row group that isn't split may hold many.
+UNIT_TEXT = 128 << 20
+#: Units of one slot are numbered by so many bits.
+SLOT_BITS = 32
 #: What a unit is told about its keys; for words, WORDS more.
 TIED_SAMPLE, EQUAL_PIECE, OWN_PIECE, TIED_WINDOW = range(4)
 WORDS = 4
@@ -184,17 +188,21 @@ class Fingerprints:
         return mix64(print_ + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def _pack(units) -> Callable:
+def _pack(slots) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of about CHUNK_BYTES of text: doc_ids, lengths and the bytes end to end."""
-        unit = int(units.value[TaskContext.get().partitionId() % len(units.value)])
-        ids, sizes, parts, held = [], [], [], 0
+        """Rows of about CHUNK_BYTES of text: slot, unit, doc_ids, lengths and the bytes end to end."""
+        turn, at = divmod(TaskContext.get().partitionId(), len(slots.value))
+        slot, own_units = int(slots.value[at]), 0
+        ids, sizes, parts, held, packed = [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
+            nonlocal own_units, packed
+            own_units, packed = (own_units + 1, held) if packed and packed + held > UNIT_TEXT else (own_units, packed + held)
             own = pa.concat_arrays(ids)
+            unit = (slot << SLOT_BITS) + (turn << SLOT_BITS // 2) + own_units
             return pa.RecordBatch.from_arrays(
-                [pa.array([unit], pa.int64()), pa.ListArray.from_arrays([0, len(own)], own), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())],
-                ["unit", "doc_ids", "sizes", "data"],
+                [pa.array([slot], pa.int64()), pa.array([unit], pa.int64()), pa.ListArray.from_arrays([0, len(own)], own), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())],
+                ["slot", "unit", "doc_ids", "sizes", "data"],
             )
 
         for batch in batches:
@@ -522,24 +530,24 @@ class Visit:
             start += n
 
 
-def _units(docs: DataFrame, scratch: list[str]) -> tuple[str, DataFrame, int]:
-    """The texts in chunks, as a table that is bucketed by unit, one unit for each partition of docs; its name, and the bytes of text.
+def _units(docs: DataFrame, scratch: list[str], name: str) -> tuple[DataFrame, int]:
+    """The texts in chunks, as a table of this name that is bucketed by slot, one or a few units for each partition of docs; and the bytes of text.
 
-    A unit's number is chosen so that its bucket is the number of its partition: each task
-    writes one file, and no text is shuffled here or when units are joined with replies.
+    There are as many slots as partitions, or as buckets may be if these are fewer, and a slot's number is chosen so that
+    its bucket is that of its place among them: each task writes one file, and no text is shuffled here or when
+    units are joined with replies. What the driver collects is a number for each slot.
     """
     spark = docs.sparkSession
-    n = docs.rdd.getNumPartitions()
+    n = min(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     spread = spark.range(max(64, 40 * n)).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("b")).agg(F.min("id").alias("id"))
     found = {r.b: r.id for r in spread.collect()}
-    units = spark.sparkContext.broadcast(np.array([found.get(b, -1 - b) for b in range(n)]))
+    slots = spark.sparkContext.broadcast(np.array([found[b] for b in sorted(found)]))
     scratch.append(fresh_path(spark, "units"))
-    name = f"units_{uuid.uuid4().hex}"
-    packed = docs.mapInArrow(_pack(units), f"unit long, doc_ids array<{kind(docs, 'doc_id')}>, sizes array<long>, data binary")
-    packed.write.bucketBy(n, "unit").option("compression", "zstd").option("path", scratch[-1]).saveAsTable(name)
+    packed = docs.mapInArrow(_pack(slots), f"slot long, unit long, doc_ids array<{kind(docs, 'doc_id')}>, sizes array<long>, data binary")
+    packed.write.bucketBy(n, "slot").option("compression", "zstd").option("path", scratch[-1]).saveAsTable(name)
     table = spark.table(name)
     total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first().n or 0
-    return name, table, total
+    return table, total
 
 
 def _bytes(size: str) -> int:
@@ -563,14 +571,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     text_batches(spark)
     docs = docs.select("doc_id", "text")
     scratch: list[str] = []
-    # Files are read in parts that a task can hold.
-    split = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(split)
-    spark.conf.set(split, str(min(UNIT_BYTES, _bytes(before))))
+    # Files are read in parts that a task can hold; units of a slot stay in its bucket when they meet their replies.
+    settings = {"spark.sql.files.maxPartitionBytes": str(min(UNIT_BYTES, _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))), "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    name = f"units_{uuid.uuid4().hex}"
     try:
-        name, table, total = _units(docs, scratch)
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return _spans(docs, scratch, name)
     finally:
-        spark.conf.set(split, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, scratch)
+        _free(spark)
+
+
+def _spans(docs: DataFrame, scratch: list[str], name: str) -> DataFrame:
+    spark = docs.sparkSession
+    table, total = _units(docs, scratch, name)
     points = tuple(2 + secrets.randbelow(P - 3) for _ in range(2))
     bits = max(4, min(24, (total * (BYTE_LEVEL.order + 1) // BYTE_LEVEL.v // BUCKET_KEYS).bit_length()))
 
@@ -581,13 +600,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return done
 
     def visit(stage: int, known: DataFrame, schema: str) -> DataFrame:
-        return table.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(Visit(stage, bits, points).function(), schema)
+        told_slots = known.withColumn("slot", F.shiftright("unit", SLOT_BITS))
+        return table.groupBy("slot", "unit").cogroup(told_slots.groupBy("slot", "unit")).applyInArrow(Visit(stage, bits, points).function(), schema)
 
     told = ties(table.select("unit", "sizes", "data").mapInArrow(_cover_keys(bits, points), KEYS))
     for stage in (1, 2):
         told = told.union(ties(visit(stage, told, KEYS)))
-    out = cut(visit(3, told, f"doc_id {kind(docs, 'doc_id')}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"))
-    spark.sql(f"DROP TABLE {name}")
-    remove(spark, scratch)
-    _free(spark)
-    return out
+    return cut(visit(3, told, f"doc_id {kind(docs, 'doc_id')}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"))

@@ -429,6 +429,25 @@ def test_repeated_spans_equal_force(spark):
         assert {r.doc_id: tuple(r)[1:5] for r in rows} == dict(enumerate(spans_by_force(texts)))
 
 
+def test_repeated_spans_of_more_partitions_than_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    shared = "".join(rng.choice(list("abcdefgh"), 900))
+    texts = ["".join(rng.choice(list("abcdefgh"), 700)) + (shared if i % 3 == 0 else "") for i in range(40)]
+    limit = "spark.sql.sources.bucketing.maxBuckets"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "4")
+        for parts, unit in ((5, 128 << 20), (40, 128 << 20), (6, 2000)):
+            monkeypatch.setattr(suffix_dedup, "UNIT_TEXT", unit)
+            rows = suffix_dedup.repeated_spans(frame(spark, texts).repartition(parts)).collect()
+            assert {r.doc_id: tuple(r)[1:5] for r in rows} == dict(enumerate(spans_by_force(texts)))
+        with pytest.raises(Exception, match="nothing of the kind"):
+            suffix_dedup.repeated_spans(frame(spark, texts).withColumn("text", F.raise_error(F.lit("nothing of the kind")))).collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("units_")]
+
+
 def test_repeated_spans_null_ids_and_empty(spark):
     long = "".join(chr(97 + (i * i * 7 + i // 13) % 26) for i in range(900))
     rows = suffix_dedup.repeated_spans(frame(spark, [long, long, "x"], [None, 1, 1])).collect()
