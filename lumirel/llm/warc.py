@@ -2,8 +2,9 @@
 
 Every page becomes a transaction of a request, a response (or a revisit, where an equal payload
 is archived elsewhere) and a metadata record. The request and the metadata name the response they
-belong to in WARC-Concurrent-To. Archives are written and read by Spark in parts of a bounded
-number of records; a record is found by its Content-Length, so payloads may hold anything.
+belong to in WARC-Concurrent-To. Captures are written once as a table, with identifiers of their own
+and by classes of size, and each class becomes archives of a bounded number of records; a record is found by its
+Content-Length, so payloads may hold anything. Ids may be of any type that text can stand for.
 
 Assembly joins request and metadata records to the response by that identifier, and emits one
 nested row per capture. Records whose identifier matches no response make no capture.
@@ -19,12 +20,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, route_mark
+from .common import cut, fresh_path, kind, remove, route_mark
 
 REVISIT_BYTES = 100
 #: Bytes of payload that an archive file holds at most, or one capture; and sizes of payloads up to which pages share files.
@@ -52,8 +54,8 @@ def _record(kind: Column | str, record_id: Column, target: Column, content_type:
     return F.concat(F.lit(VERSION + CRLF), *lines, F.lit(CRLF), block)
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(record, html): RECORDS records for each row of pages(page_id, url, html)."""
+def transactions(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload, bytes, digest, again, first_id, capture, group) for each row of pages(page_id, url, html): ids as text, what it refers to, an identifier and a class of size."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x1F]", " ").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     long = rows.select("page_id", "digest", F.octet_length("payload").alias("bytes")).filter(f"bytes >= {REVISIT_BYTES}")
@@ -61,22 +63,29 @@ def records(pages: DataFrame) -> DataFrame:
     many = cut(first.filter("rows > 1").select(F.col("digest").alias("_digest"), F.col("first.page_id").alias("first_id")))
     # Payloads that can't occur again pass by; only the others are shuffled.
     marked = route_mark(rows, F.col("digest"), many, F.col("_digest"))
-    alone = marked.filter("not routed").select("row.*").select("page_id", "url", "payload", "digest", F.lit(False).alias("again"), F.lit(None).cast("long").alias("first_id"))
+    alone = marked.filter("not routed").select("row.*").select("page_id", "url", "payload", "digest", F.lit(False).alias("again"), F.lit(None).cast(kind(pages, "page_id")).alias("first_id"))
     joined = marked.filter("routed").select("row.*").join(many, F.col("digest") == F.col("_digest"), "left")
     again = F.col("_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     rows = alone.unionByName(joined.select("page_id", "url", "payload", "digest", again.alias("again"), "first_id"))
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    capture = F.concat(page, F.lit(":"), F.monotonically_increasing_id().cast("string"))
-    rows = rows.withColumn("capture", capture)
+    page, first = (F.url_encode(F.col(c).cast("string")) for c in ("page_id", "first_id"))
+    capture = F.concat(F.coalesce(page, F.lit("")), F.lit(":"), F.monotonically_increasing_id().cast("string"))
+    # A revisit has no payload, and is small.
+    size = F.octet_length("payload")
+    group = F.when(F.col("again"), 0).otherwise(sum((size > limit).cast("int") for limit in SIZES))
+    return rows.select(page.alias("page_id"), "url", F.when(~F.col("again"), F.col("payload")).alias("payload"), size.cast("long").alias("bytes"), "digest", "again", first.alias("first_id"), capture.alias("capture"), group.alias("group"))
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """(record): RECORDS records for each of the transactions."""
 
     def urn(role: str, page: Column = F.col("capture")) -> Column:
         return F.concat(F.lit(f"<urn:capture:{role}:"), page, F.lit(">"))
 
     host = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
-    page_field = ("X-Page-Id", F.when(F.col("page_id").isNotNull(), page))
-    head = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "X-Payload-Length: "), F.octet_length("payload").cast("string"), F.lit(CRLF + CRLF))
-    refers = F.when(F.col("again"), F.concat(F.lit("<urn:page:"), F.coalesce(F.col("first_id").cast("string"), F.lit("")), F.lit(">")))
+    page_field = ("X-Page-Id", F.col("page_id"))
+    head = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "X-Payload-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
+    refers = F.when(F.col("again"), F.concat(F.lit("<urn:page:"), F.coalesce("first_id", F.lit("")), F.lit(">")))
     response = _record(
         F.when(F.col("again"), "revisit").otherwise("response"),
         urn("response"),
@@ -88,7 +97,7 @@ def records(pages: DataFrame) -> DataFrame:
     joint = ("WARC-Concurrent-To", urn("response"))
     request = _record("request", urn("request"), F.col("url"), "application/http; msgtype=request", [joint], F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1" + CRLF + "Host: "), host, F.lit(CRLF + CRLF)))
     metadata = _record("metadata", urn("metadata"), F.col("url"), "application/warc-fields", [joint], F.concat(F.lit("fetchTimeMs: 0" + CRLF + "charset: utf-8" + CRLF)))
-    return rows.select(F.explode(F.array(request, response, metadata)).alias("record"), F.col("payload").alias("html"))
+    return rows.select(F.explode(F.array(request, response, metadata)).alias("record"))
 
 
 def write(pages: DataFrame, path: str) -> None:
@@ -98,20 +107,28 @@ def write(pages: DataFrame, path: str) -> None:
     sizes go into files of their own, with as many captures as FILE_BYTES has room for. A payload
     of more than the last of SIZES is a file of its own. Each file is one gzip member.
     """
-    size = F.octet_length("html")
-    group = F.coalesce(sum((size > limit).cast("int") for limit in SIZES), F.lit(0))
-    found = records(pages).withColumn("group", group)
-    groups = pages.select(group.alias("group")).distinct().collect()
-    for row in groups:
-        captures = FILE_BYTES // SIZES[row.group] if row.group < len(SIZES) else 1
-        own = found.filter(F.col("group") == row.group).select("record")
-        own.write.mode("append").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS * captures).text(path)
-    if not groups:
-        found.select("record").write.text(path)
+    spark = pages.sparkSession
+    scratch = [fresh_path(spark, "captures")]
+    found = transactions(pages)
+    found.write.partitionBy("group").parquet(scratch[0])
+    rows = spark.read.schema(found.schema).parquet(scratch[0])
+    groups = sorted(r.group for r in rows.select("group").distinct().collect())
+    # Files of less than a partition stay whole: a part of one may hold no rows, and would be an archive without records.
+    parts = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(parts, None)
+    spark.conf.set(parts, "1")
+    try:
+        for group in groups or [0]:
+            captures = FILE_BYTES // SIZES[group] if group < len(SIZES) else 1
+            own = records(rows.filter(F.col("group") == group))
+            own.write.mode("append").options(**{"lineSep": CRLF + CRLF, "compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": RECORDS * captures}).text(path)
+    finally:
+        spark.conf.unset(parts) if before is None else spark.conf.set(parts, before)
+        remove(spark, scratch)
 
 
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*(.*?)[ \t]*\r\n")
-FIELDS = "type string, record_id string, concurrent_to string, target string, page_id long, digest string, refers_to long, content_type string, payload binary, payload_bytes long, head string"
+FIELDS = "type string, record_id string, concurrent_to string, target string, page_id string, digest string, refers_to string, content_type string, payload binary, payload_bytes long, head string"
 
 
 def parse(data: bytes) -> Iterator[tuple]:
@@ -145,15 +162,15 @@ def parse(data: bytes) -> Iterator[tuple]:
             elif fields.get("warc-payload-digest", "") != "sha256:" + hashlib.sha256(payload).hexdigest():
                 raise ValueError(f"payload of {fields['warc-record-id']} doesn't match its digest")
         page = fields.get("x-page-id")
-        refers = re.fullmatch(r"<urn:page:(-?\d+)>", fields.get("warc-refers-to", ""))
+        refers = re.fullmatch(r"<urn:page:(.*)>", fields.get("warc-refers-to", ""))
         yield (
             kind,
             fields["warc-record-id"],
             fields.get("warc-concurrent-to"),
             fields.get("warc-target-uri"),
-            int(page) if page else None,
+            unquote_plus(page) if page is not None else None,
             fields.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-            int(refers[1]) if refers else None,
+            unquote_plus(refers[1]) if refers else None,
             fields.get("content-type"),
             payload,
             length,
@@ -161,8 +178,8 @@ def parse(data: bytes) -> Iterator[tuple]:
         )
 
 
-def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of the archives in a folder, as FIELDS; without payloads these are null, and still checked."""
+def read(spark: SparkSession, path: str, payloads: bool = True, ids: str = "long") -> DataFrame:
+    """The records of the archives in a folder, as FIELDS with ids of a type; without payloads these are null, and still checked."""
     import gzip
 
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
@@ -177,7 +194,8 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, [n for n, _ in names])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, FIELDS)
+    found = files.mapInArrow(run, FIELDS)
+    return found.withColumns({c: F.col(c).cast(ids) for c in ("page_id", "refers_to")})
 
 
 def captures(found: DataFrame) -> DataFrame:
@@ -208,7 +226,7 @@ def archive_and_assemble(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write(pages, path)
-    done = captures(read(spark, path, payloads=False))
+    done = captures(read(spark, path, payloads=False, ids=kind(pages, "page_id")))
     return done.select(
         "page_id",
         F.col("response.payload_bytes").alias("payload_bytes"),

@@ -540,6 +540,21 @@ def test_warc_round_trip_and_revisits(spark, tmp_path):
         assert out[page] == (len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", 1 if again else None)
 
 
+def test_warc_ids_of_any_type_and_clashing_columns(spark):
+    same, big = "x" * 200, "y" * 70_000
+    rows = [("a b:1>\r\n", same), ("", same), ("é", "tiny"), (None, same), ("z", big), ("z", same), ("zz", big)]
+    pages = spark.createDataFrame([(i, "u", h, "c", 1, "d") for i, h in rows], "page_id string, url string, html string, digest string, group int, capture string")
+    got = Counter(tuple(r) for r in warc.archive_and_assemble(pages).collect())
+    digest = lambda h: hashlib.sha256(h.encode()).hexdigest()
+    want = Counter()
+    for i, h in rows:
+        first = "" if h == same else "z"
+        again = len(h) >= 100 and i != first
+        want[i, len(h), digest(h), "revisit" if again else "response", first if again else None] += 1
+    assert got == want
+    assert warc.archive_and_assemble(pages).schema["refers_to"].dataType.simpleString() == "string"
+
+
 def test_warc_edges(spark):
     assert warc.archive_and_assemble(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     odd = spark.createDataFrame([(None, None, None), (4, "u", "x" * 200), (4, "u", "x" * 200)], "page_id long, url string, html string")
