@@ -3,6 +3,9 @@
 Kernels run on stacks: the images of a batch that agree in size and in the columns that a kernel goes
 by are one array, and no pixel is shuffled. Sizes and disks (cx, cy, radius) are columns, so
 images of different sizes and disks may be in one relation. An image must fit one task.
+
+Images whose data or size is null give no rows, and so do pairs with such a reference; data that
+don't have width times height pixels raise an error that names the image. A null pixel is NaN, and makes NaN of what it takes part in.
 """
 
 from __future__ import annotations
@@ -27,12 +30,15 @@ def with_disk(images: DataFrame, cx: Column | float, cy: Column | float, radius:
 
 
 def _stacks(batch: pa.RecordBatch, by: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, tuple]]:
-    """(row numbers, stack, values of by) for the images of a batch that have those in common; null data are left out."""
+    """(row numbers, stack, values of by) for the images of a batch that have those in common; images with null data or sizes are left out, and data of another size raise an error."""
     names = ("width", "height", *by)
     keys = list(zip(*(batch.column(n).to_pylist() for n in names), strict=True))
     groups: dict[tuple, list[int]] = {}
     for i, k in enumerate(keys):
-        if batch.column("data")[i].is_valid:
+        data = batch.column("data")[i]
+        if data.is_valid and None not in k[:2]:
+            if len(data) != k[0] * k[1]:
+                raise ValueError(f"image {batch.column('image_id')[i].as_py()} has {len(data)} pixels, not {k[0]} x {k[1]}")
             groups.setdefault(k, []).append(i)
     for k, rows in groups.items():
         data = batch.column("data").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
@@ -59,11 +65,11 @@ def per_stack(images: DataFrame, kernel: Callable, by: tuple[str, ...] = ()) ->
 def with_reference(images: DataFrame, reference: DataFrame) -> DataFrame:
     """images with the data of one image as column ref; the reference is limited to one row, so it is bounded.
 
-    An image of another size than the reference raises an error when it is read.
+    An image of another size than the reference raises an error when it is read; one of unknown size has no reference.
     """
     one = reference.select(F.lit(1).alias("_one"), F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("data").alias("_ref")).limit(1)
     same = (F.col("width") == F.col("_w")) & (F.col("height") == F.col("_h"))
-    out = images.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").withColumn("ref", F.when(same, F.col("_ref")).otherwise(F.raise_error(F.lit("images must have the same dimensions"))))
+    out = images.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").withColumn("ref", F.when(F.col("width").isNull() | F.col("height").isNull(), None).when(same, F.col("_ref")).otherwise(F.raise_error(F.lit("images must have the same dimensions"))))
     return out.drop("_one", "_w", "_h", "_ref")
 
 
@@ -74,6 +80,11 @@ def per_pair(images: DataFrame, kernel: Callable, schema: str, names: list[str])
         for batch in batches:
             w, h = (batch.column(n).to_pylist() for n in ("width", "height"))
             for i in range(batch.num_rows):
+                sizes = [len(batch.column(c)[i]) if batch.column(c)[i].is_valid else None for c in ("data", "ref")]
+                if None in (*sizes, w[i], h[i]):
+                    continue
+                if set(sizes) != {w[i] * h[i]}:
+                    raise ValueError(f"image {batch.column('image_id')[i].as_py()} and its reference have {sizes} pixels, not {w[i]} x {h[i]}")
                 a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(h[i], w[i]) for c in ("data", "ref"))
                 out = kernel(a, b)
                 ids = batch.column("image_id").slice(i, 1)
@@ -112,10 +123,13 @@ def poly_fit_2d(images: DataFrame, degree: int = 3) -> DataFrame:
     return per_stack(images, kernel, DISK)
 
 
-def _background(stack: np.ndarray, cx: float, cy: float, radius: float, order: int, sigma: float, ridge: float, step: int = 1) -> np.ndarray:
+def _background(stack: np.ndarray, cx: float, cy: float, radius: float, order: int, sigma: float, ridge: float, step: int = 1, ring: tuple[float, float] | None = None) -> np.ndarray:
     y, x = _grid(stack)
     flat = stack.reshape(len(stack), -1)
-    use = np.broadcast_to((((x - cx) ** 2 + (y - cy) ** 2 > radius * radius) & (y % step == 0) & (x % step == 0)).reshape(-1), flat.shape) & (flat > 0)
+    r2 = ((x - cx) ** 2 + (y - cy) ** 2) / (radius * radius)
+    where = r2 > 1 if ring is None else (r2 >= ring[0] ** 2) & (r2 <= ring[1] ** 2)
+    # Below 0 is no light outside of a disk, but may be the background of what a ring was chosen for.
+    use = np.broadcast_to((where & (y % step == 0) & (x % step == 0)).reshape(-1), flat.shape) & ((flat > 0) | (ring is not None))
     n = use.sum(axis=1, keepdims=True)
     mean = (flat * use).sum(axis=1, keepdims=True) / np.maximum(n, 1)
     sd = np.sqrt((((flat - mean) ** 2) * use).sum(axis=1, keepdims=True) / np.maximum(n - 1, 1))
@@ -126,9 +140,9 @@ def _background(stack: np.ndarray, cx: float, cy: float, radius: float, order: i
     return (np.linalg.solve(left, right[:, :, None])[:, :, 0] @ basis.T).reshape(stack.shape)
 
 
-def bg_model(images: DataFrame, order: int = 2, sigma: float = 2.5, ridge: float = 1e-6, step: int = 1) -> DataFrame:
-    """Polynomial surface of the background: pixels outside the disk on a grid of a step, filtered once by sigma, with a ridge penalty."""
-    return per_stack(images, lambda stack, *disk: _background(stack, *disk, order, sigma, ridge, step), DISK)
+def bg_model(images: DataFrame, order: int = 2, sigma: float = 2.5, ridge: float = 1e-6, step: int = 1, ring: tuple[float, float] | None = None) -> DataFrame:
+    """Polynomial surface of the background: pixels outside the disk, or in a ring around its centre between two radii of it, on a grid of a step, filtered once by sigma, with a ridge penalty."""
+    return per_stack(images, lambda stack, *disk: _background(stack, *disk, order, sigma, ridge, step, ring), DISK)
 
 
 def neutralize_bg(images: DataFrame, iterations: int = 1, order: int = 2) -> DataFrame:
@@ -173,11 +187,13 @@ def rl_decon(images: DataFrame, radius: float = 2.5, sigma: float = 2.5, iterati
 
 
 def flat_correction(images: DataFrame, low: float = 0.1, high: float = 0.95, order: int = 2) -> DataFrame:
-    """Divides rows by a polynomial over y that is fitted to their means of disk pixels between two percentiles."""
+    """Divides rows by a polynomial over y that is fitted to their means of disk pixels between two percentiles; images whose disk holds no pixel stay."""
 
     def kernel(stack: np.ndarray, cx: float, cy: float, radius: float) -> np.ndarray:
         y, x = _grid(stack)
         disk = (x - cx) ** 2 + (y - cy) ** 2 <= radius * radius
+        if not disk.any():
+            return stack
         lo, hi = np.quantile(stack[:, disk], [low, high], axis=1)
         use = disk & (stack >= lo[:, None, None]) & (stack <= hi[:, None, None])
         n = use.sum(axis=2)
@@ -341,7 +357,7 @@ def fix_geometry(images: DataFrame, ellipses: DataFrame | None = None) -> DataFr
         u, v = u * rx / max(rx, ry), v * ry / max(rx, ry)
         return np.stack([sample(image, u * s + v * c + cy, u * c - v * s + cx) for image in stack])
 
-    return per_stack(images.join(found, "image_id", "left"), kernel, names)
+    return per_stack(images.drop(*names).join(found, "image_id", "left"), kernel, names)
 
 
 # Registration
@@ -490,7 +506,8 @@ def laplacian_blend(images: DataFrame, others: DataFrame, levels: int = 3) -> Da
     """Images blended with the image of the same image_id in others, by Laplacian pyramids; sizes must agree."""
     both = images.join(others.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("data").alias("_d")), "image_id")
     same = (F.col("width") == F.col("_w")) & (F.col("height") == F.col("_h"))
-    both = both.withColumn("ref", F.when(same, F.col("_d")).otherwise(F.raise_error(F.lit("images must have the same dimensions"))))
+    unknown = F.col("width").isNull() | F.col("height").isNull() | F.col("_w").isNull() | F.col("_h").isNull()
+    both = both.withColumn("ref", F.when(unknown, None).when(same, F.col("_d")).otherwise(F.raise_error(F.lit("images must have the same dimensions"))))
     return per_pair(both, lambda a, b: pyramid_blend(a, b, levels), DENSE, [])
 
 

@@ -71,9 +71,21 @@ def choose(pixels: DataFrame, test: Column, then: Column, other: Column) -> Data
 
 
 def arithmetic(a: DataFrame, b: DataFrame, how, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
-    """Two images pixel by pixel; how makes a Column of the two values."""
+    """Two images pixel by pixel; how makes a Column of the two values.
+
+    With only y and x as keys, b is one image and each image of a meets it; with more keys images meet by those, and images without a
+    partner are left out. Images that meet and differ in size raise an error: sizes are aggregates of one row an
+    image, and whether any differ is one row, so no pixel is shuffled for it.
+    """
     left, right = a.withColumnRenamed("v", "_a"), b.select(*keys, F.col("v").alias("_b"))
-    return left.join(right, list(keys)).withColumn("v", how(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    by = [k for k in keys if k not in ("y", "x")]
+    size = lambda df, names, side: df.groupBy(*names).agg(F.max("y").alias(f"_{side}y"), F.max("x").alias(f"_{side}x"))
+    own = size(a, by or [c for c in ("image_id",) if c in a.columns], "l")
+    other = size(b, by, "r")
+    met = own.join(other, by) if by else own.join(F.broadcast(other))
+    odd = met.agg(F.coalesce(F.max((F.col("_ly") != F.col("_ry")) | (F.col("_lx") != F.col("_rx"))), F.lit(False)).alias("_odd"))
+    checked = F.when(F.col("_odd"), F.raise_error(F.lit("images must have the same dimensions"))).otherwise(how(F.col("_a"), F.col("_b")))
+    return left.join(F.broadcast(odd)).join(right, list(keys)).withColumn("v", checked).drop("_a", "_b", "_odd")
 
 
 def continuum(pixels: DataFrame, least_shift: float = 8.0, saturated: float = 60000.0, keep: float = 0.8) -> DataFrame:
@@ -81,7 +93,7 @@ def continuum(pixels: DataFrame, least_shift: float = 8.0, saturated: float = 60
 
     Per-image aggregates come first, so that the cut is found among images and not pixels:
     their means are counted by bucket, buckets above the cut are taken whole, and only the
-    images of the bucket that holds it are ranked.
+    images of the bucket that holds it are ranked. Where no image is kept, it is the median of all.
     """
     far = pixels.filter(F.abs("pixel_shift") >= least_shift)
     stats = far.groupBy("image_id").agg(F.avg("v").alias("mean"), F.avg((F.col("v") >= saturated).cast("double")).alias("burnt"))
@@ -97,8 +109,11 @@ def continuum(pixels: DataFrame, least_shift: float = 8.0, saturated: float = 60
     placed = dealt.join(F.broadcast(counts.join(F.broadcast(cut)).filter("_above < _cut")), "_b")
     place = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("mean"), "image_id"))
     ranked = placed.filter("_above + _n > _cut").withColumn("_place", place).filter("_above + _place <= _cut")
-    best = placed.filter("_above + _n <= _cut").select("image_id").union(ranked.select("image_id"))
-    return far.join(best, "image_id", "left_semi").groupBy("y", "x").agg(F.median("v").alias("v"))
+    best = placed.filter("_above + _n <= _cut").select("image_id").union(ranked.select("image_id")).withColumn("_kept", F.lit(True))
+    kept = best.agg(F.count(F.lit(1)).alias("_total"))
+    own = pixels.join(best, "image_id", "left").join(F.broadcast(kept))
+    chosen = own.filter(((F.abs("pixel_shift") >= least_shift) & F.col("_kept")) | (F.col("_total") == 0))
+    return chosen.groupBy("y", "x").agg(F.median("v").alias("v"))
 
 
 def reference_image(scores: DataFrame, column: str, key: str, most: bool = True) -> DataFrame:

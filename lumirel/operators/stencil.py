@@ -80,9 +80,10 @@ def laplacian(pixels: DataFrame, out: str = "v") -> DataFrame:
     return rows.withColumn(out, a - 2 * b + c).drop("_r").filter(F.col(out).isNotNull())
 
 
-def noise_sigma(pixels: DataFrame) -> DataFrame:
-    """1.4826 times the upper median of the Laplacian's nonzero responses, over 6."""
-    response = laplacian(pixels, "r").select("image_id", F.abs("r").alias("r")).filter("r > 0")
+def noise_sigma(pixels: DataFrame, mask: Column | None = None) -> DataFrame:
+    """1.4826 times the upper median of the Laplacian's nonzero responses, over 6; of those at pixels of a mask, if there is one."""
+    response = laplacian(pixels, "r")
+    response = (response if mask is None else response.filter(mask)).select("image_id", F.abs("r").alias("r")).filter("r > 0")
     w = Window.partitionBy("image_id")
     ranked = response.select("image_id", "r", F.row_number().over(w.orderBy("r")).alias("_k"), F.count(F.lit(1)).over(w).alias("_n"))
     middle = ranked.filter(F.col("_k") == F.floor(F.col("_n") / 2) + 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pixel import PEAK, asinh, limit, mtf_unit
@@ -53,24 +53,35 @@ def equalize(pixels: DataFrame) -> DataFrame:
     return own.withColumn("v", limit((F.col("v") - F.col("_m")) * ratio + F.col("_gm"))).drop("_m", "_s", "_gm", "_gs")
 
 
-def percentile_stretch(pixels: DataFrame, low: float, high: float, clip: int = 1) -> DataFrame:
-    """Linear between two nearest-rank percentiles; clip 0 keeps values beyond, 1 limits them to 0..PEAK."""
-    own = pixels.join(nearest_rank(pixels, low, high), "image_id")
+def percentile_stretch(pixels: DataFrame, low: float, high: float, clip: int = 1, mask: Column | None = None) -> DataFrame:
+    """Linear between two nearest-rank percentiles, of the pixels of a mask if there is one; an image that the mask has no pixel of stays.
+
+    clip 0 keeps values beyond, 1 limits them to 0..PEAK, and 2 too, but with the image's brightest pixel as its white point if that is brighter.
+    """
+    found = nearest_rank(pixels if mask is None else pixels.filter(mask), low, high)
+    own = pixels.join(found, "image_id", "inner" if mask is None else "left")
+    if clip == 2:
+        own = with_image(own, _top=F.max("v")).withColumn("p1", F.when(F.col("p1").isNotNull(), F.greatest("p1", "_top"))).drop("_top")
     span = F.when(F.col("p1") > F.col("p0"), F.col("p1") - F.col("p0")).otherwise(F.lit(1.0))
     v = (F.col("v") - F.col("p0")) * (PEAK / span)
-    return own.withColumn("v", limit(v) if clip else v).drop("p0", "p1")
+    return own.withColumn("v", F.when(F.col("p0").isNull(), F.col("v")).otherwise(limit(v) if clip else v)).drop("p0", "p1")
+
 
+def mtf_autostretch(pixels: DataFrame, shadows_clip: float = -2.8, target: float = 0.25, mask: Column | None = None) -> DataFrame:
+    """Midtone transfer whose shadows and midtones follow from each image's median and absolute deviation, of the pixels of a mask if there is one.
 
-def mtf_autostretch(pixels: DataFrame, shadows_clip: float = -2.8, target: float = 0.25) -> DataFrame:
-    """Midtone transfer whose shadows and midtones follow from each image's median and absolute deviation."""
-    middle = pixels.groupBy("image_id").agg((F.median("v") / PEAK).alias("_med"))
+    An image that the mask has no pixel of stays as it is.
+    """
+    use = lambda c: c if mask is None else F.when(mask, c)
+    middle = pixels.groupBy("image_id").agg((F.median(use(F.col("v"))) / PEAK).alias("_med"))
     own = pixels.join(middle, "image_id").withColumn("_x", F.col("v") / PEAK)
-    mad = own.groupBy("image_id").agg((1.4826 * F.median(F.abs(F.col("_x") - F.col("_med")))).alias("_mad"))
+    mad = own.groupBy("image_id").agg((1.4826 * F.median(use(F.abs(F.col("_x") - F.col("_med"))))).alias("_mad"))
     own = own.join(mad, "image_id")
     shadow = F.least(F.greatest(F.col("_med") + shadows_clip * F.col("_mad"), F.lit(0.0)), F.lit(1.0))
     own = own.withColumn("_lo", shadow).withColumn("_mid", mtf_unit(F.col("_med") - F.col("_lo"), target))
     span = F.when(F.col("_lo") < 1, 1 - F.col("_lo")).otherwise(F.lit(1.0))
-    return own.withColumn("v", PEAK * mtf_unit((F.col("_x") - F.col("_lo")) / span, F.col("_mid"))).drop("_med", "_x", "_mad", "_lo", "_mid")
+    stretched = PEAK * mtf_unit((F.col("_x") - F.col("_lo")) / span, F.col("_mid"))
+    return own.withColumn("v", F.when(F.col("_med").isNull(), F.col("v")).otherwise(stretched)).drop("_med", "_x", "_mad", "_lo", "_mid")
 
 
 def histogram(pixels: DataFrame, bins: int = 256, key: str = "image_id") -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import atlas, consensus, frames, lines, oscillation
-from ..sources.images import images, pixels, table
+from ..functions.pixel import annulus
+from ..operators import atlas, consensus, frames, kernels, lines, lists, oscillation, scatter, stencil, stretch
+from ..sources.images import images, pixels, table, to_pixels
 from .registry import query, r4, s4
 
 
@@ -88,3 +89,71 @@ def consensus_positions(spark, sf_dir):
 def consensus_reference(spark, sf_dir):
     """The mean image of each group, of images moved to where they agree to lie."""
     return consensus.consensus(images(spark, sf_dir))
+
+
+_RING = "((x - 3.5) * (x - 3.5) + (y - 3.5) * (y - 3.5)) / 9.0 BETWEEN 0.25 AND 1"
+_LAP = """lap AS (SELECT a.image_id, a.y, a.x, sum(b.v * (CASE WHEN dy = 0 THEN -2 ELSE 1 END) * (CASE WHEN dx = 0 THEN -2 ELSE 1 END)) AS r FROM px a, (VALUES (-1), (0), (1)) dy(dy), (VALUES (-1), (0), (1)) dx(dx), px b
+  WHERE b.image_id = a.image_id AND b.y = a.y + dy AND b.x = a.x + dx AND a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 GROUP BY ALL)"""
+
+
+def _ring():
+    return annulus(3.5, 3.5, 3.0, 0.5, 1.0)
+
+
+@query(f"WITH {{px}}, {_LAP}, k AS (SELECT image_id, abs(r) AS r, row_number() OVER (PARTITION BY image_id ORDER BY abs(r)) AS k, count(*) OVER (PARTITION BY image_id) AS n FROM lap WHERE r <> 0 AND {_RING}) SELECT image_id, {s4('1.4826 * r / 6')} AS sigma FROM k WHERE k = n // 2 + 1")
+def noise_sigma_masked(spark, sf_dir):
+    return stencil.noise_sigma(pixels(spark, sf_dir), _ring()).withColumn("sigma", r4(F.col("sigma")))
+
+
+@query(
+    f"""WITH {{px}}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS n FROM px WHERE {_RING}),
+q AS (SELECT image_id, max(v) FILTER (k = floor(0.05 * (n - 1) + 0.5)) AS p0, max(v) FILTER (k = floor(0.95 * (n - 1) + 0.5)) AS p1 FROM r GROUP BY image_id),
+t AS (SELECT image_id, max(v) AS top FROM px GROUP BY image_id)
+SELECT image_id, y, x, {s4('least(greatest((v - p0) * (65535 / (greatest(p1, top) - p0)), 0), 65535)')} AS v FROM px JOIN q USING (image_id) JOIN t USING (image_id)"""
+)
+def percentile_stretch_masked(spark, sf_dir):
+    out = stretch.percentile_stretch(pixels(spark, sf_dir), 5, 95, 2, _ring())
+    return out.select("image_id", "y", "x", r4(F.col("v")).alias("v"))
+
+
+_UNIT = "CASE WHEN {x} <= 0 THEN 0 WHEN {x} >= 1 THEN 1 ELSE ({m} - 1) * {x} / ((2 * {m} - 1) * {x} - {m}) END"
+
+
+@query(
+    f"WITH {{px}}, a AS (SELECT image_id, median(v) / 65535 AS med FROM px WHERE {_RING} GROUP BY image_id), b AS (SELECT image_id, any_value(med) AS med, 1.4826 * median(abs(v / 65535 - med)) AS mad FROM px JOIN a USING (image_id) WHERE {_RING} GROUP BY image_id), "
+    f"c AS (SELECT image_id, least(greatest(med - 2.8 * mad, 0), 1) AS lo, med FROM b), d AS (SELECT image_id, lo, {_UNIT.format(x='(med - lo)', m='0.25')} AS mid FROM c) "
+    f"SELECT image_id, y, x, {s4('65535 * ' + _UNIT.format(x='((v / 65535 - lo) / (1 - lo))', m='mid'))} AS v FROM px JOIN d USING (image_id)"
+)
+def mtf_autostretch_masked(spark, sf_dir):
+    out = stretch.mtf_autostretch(pixels(spark, sf_dir), mask=_ring())
+    return out.select("image_id", "y", "x", r4(F.col("v")).alias("v"))
+
+
+@query("WITH {px} SELECT y, x, median(v) AS v FROM px GROUP BY y, x")
+def continuum_where_nothing_is_kept(spark, sf_dir):
+    """No image is so far from the line, so it is the median of all."""
+    return lists.continuum(pixels(spark, sf_dir), least_shift=100.0)
+
+
+def _disks(spark, sf_dir):
+    return kernels.with_disk(images(spark, sf_dir), 3.5, 3.5, 2.5)
+
+
+@query(
+    f"""WITH {{px}}, w AS (SELECT i, [1, 3, 5, 3, 1][i + 3] AS w FROM generate_series(-2, 2) s(i))
+SELECT a.image_id, a.y, a.x, {s4("sum(b.v * p.w * q.w) / 169")} AS v FROM px a, w p, w q, px b WHERE b.image_id = a.image_id AND b.y = least(greatest(a.y + p.i, 0), 7) AND b.x = least(greatest(a.x + q.i, 0), 7) GROUP BY a.image_id, a.y, a.x"""
+)
+def convolve_wide(spark, sf_dir):
+    one = [1, 3, 5, 3, 1]
+    out = to_pixels(scatter.convolve_wide(images(spark, sf_dir), [[a * b / 169 for a in one] for b in one]))
+    return out.withColumn("v", r4(F.col("v")))
+
+
+@query()
+def deghost(spark, sf_dir):
+    return to_pixels(scatter.deghost(_disks(spark, sf_dir)))
+
+
+@query()
+def descatter(spark, sf_dir):
+    return to_pixels(scatter.descatter(_disks(spark, sf_dir)))
