@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.pixel import annulus
-from ..operators import atlas, consensus, frames, kernels, lines, lists, oscillation, scatter, stencil, stretch
+from ..operators import atlas, consensus, evolution, frames, kernels, lines, lists, oscillation, scatter, stencil, stretch
 from ..sources.images import images, pixels, table, to_pixels
 from .registry import query, r4, s4
 
@@ -157,3 +157,43 @@ def deghost(spark, sf_dir):
 @query()
 def descatter(spark, sf_dir):
     return to_pixels(scatter.descatter(_disks(spark, sf_dir)))
+
+
+_SURFACE = """l AS (SELECT image_id, x, y, v, s, 1 - abs(y - (3.2 + 0.1 * x) - s) AS w FROM px, (VALUES (-1.0), (0.0), (1.5), (6.0)) t(s)),
+f AS (SELECT image_id, x, s, CASE WHEN sum(w) > 0.999999 THEN sum(w * v) END AS v FROM l WHERE w > 0 GROUP BY image_id, x, s)"""
+_SHIFTS = [-1.0, 0.0, 1.5, 6.0]
+
+
+def _surface(spark, sf_dir):
+    return evolution.line_surface(pixels(spark, sf_dir), F.lit(3.2) + 0.1 * F.col("x"), _SHIFTS, 6562.8, 0.05)
+
+
+@query(f"WITH {{px}}, {_SURFACE} SELECT image_id, x, s::DOUBLE AS shift, floor((6562.8 + s * 0.05) * 10000 + 0.5) / 10000 AS wavelength, {s4('v')} AS v FROM f WHERE v IS NOT NULL")
+def line_surface(spark, sf_dir):
+    rows = _surface(spark, sf_dir).select("image_id", "x", F.explode(F.arrays_zip("shifts", "wavelengths", "values")).alias("p"))
+    return rows.filter("p.values is not null").select("image_id", "x", F.col("p.shifts").alias("shift"), r4(F.col("p.wavelengths")).alias("wavelength"), r4(F.col("p.values")).alias("v"))
+
+
+@query(f"WITH {{px}}, {_SURFACE} SELECT image_id, s::DOUBLE AS shift, {s4('avg(v)')} AS v, count(v) AS n FROM f WHERE x BETWEEN 2 AND 5 GROUP BY image_id, s HAVING count(v) > 0")
+def profile_evolution(spark, sf_dir):
+    out = evolution.profile_evolution(_surface(spark, sf_dir), 2, 5)
+    return out.filter("n > 0").select("image_id", "shift", r4(F.col("v")).alias("v"), "n")
+
+
+@query(f"WITH {{px}}, {_SURFACE}, a AS (SELECT abs(s) AS shell, image_id AS y, x, avg(v) AS v FROM f GROUP BY abs(s), image_id, x) SELECT shell::DOUBLE AS shell, {s4('1 + 0.2 * (1 - shell / 6.0)')} AS radius, y, x, {s4('v')} AS v FROM a WHERE v IS NOT NULL")
+def shells(spark, sf_dir):
+    out = evolution.shells(_surface(spark, sf_dir), 0.2).filter("v is not null")
+    return out.select("shell", r4(F.col("radius")).alias("radius"), "y", "x", r4(F.col("v")).alias("v"))
+
+
+@query()
+def detection_tracks(spark, sf_dir):
+    """What stands out in images of a group that follow each other, of all groups in one plan."""
+    return evolution.tracks(pixels(spark, sf_dir).select("image_id", "y", "x", "v"), 3.0)
+
+
+@query("WITH {px}, l AS (SELECT grp, y, x, image_id, v, lead(v) OVER (PARTITION BY grp, y, x ORDER BY image_id) AS n FROM px) SELECT CAST(s AS INT) AS step, y, x, v + (n - v) * s / 4.0 AS v FROM l, generate_series(1, 3) t(s) WHERE n IS NOT NULL")
+def transition_table(spark, sf_dir):
+    """Transitions by a table function of SQL."""
+    evolution.register(spark)
+    return spark.sql("SELECT step, y, x, v FROM transition(TABLE({px}) PARTITION BY (grp, y, x) ORDER BY (image_id), 3)", px=pixels(spark, sf_dir))
