@@ -80,13 +80,13 @@ def _tent(pixels: DataFrame) -> DataFrame:
     return rows.withColumn("s", along("_r", Window.partitionBy("image_id", "x").orderBy("y"))).select("image_id", "y", "x", "s")
 
 
-def mosaic(panels: DataFrame, places: DataFrame) -> DataFrame:
-    """Panels at their places (image_id, top, left) on one canvas; where they overlap, the mean weighted by nearness to a panel's centre."""
+def mosaic(panels: DataFrame, places: DataFrame, key: str | None = None) -> DataFrame:
+    """Panels at their places (image_id, top, left) on one canvas, or one for each key; where they overlap, the mean weighted by nearness to a panel's centre."""
     sizes = panels.groupBy("image_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
     own = panels.join(sizes.join(places, "image_id"), "image_id")
     weight = F.least(F.col("y") + 1, F.col("_h") - F.col("y")) * F.least(F.col("x") + 1, F.col("_w") - F.col("x"))
     put = _moved(own.withColumn("_weight", weight), F.col("y") + F.col("top"), F.col("x") + F.col("left"))
-    return put.groupBy("y", "x").agg((F.sum(F.col("_weight") * F.col("v")) / F.sum("_weight")).alias("v"))
+    return put.groupBy(*([key] if key else []), "y", "x").agg((F.sum(F.col("_weight") * F.col("v")) / F.sum("_weight")).alias("v"))
 
 
 def helium(line: DataFrame, continuum: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.pixel import annulus
-from ..operators import atlas, consensus, evolution, frames, kernels, lines, lists, oscillation, scatter, stencil, stretch
+from ..operators import atlas, consensus, evolution, frames, kernels, lines, lists, mosaics, oscillation, scatter, stencil, stretch
 from ..sources.images import images, pixels, table, to_pixels
 from .registry import query, r4, s4
 
@@ -197,3 +197,9 @@ def transition_table(spark, sf_dir):
     """Transitions by a table function of SQL."""
     evolution.register(spark)
     return spark.sql("SELECT step, y, x, v FROM transition(TABLE({px}) PARTITION BY (grp, y, x) ORDER BY (image_id), 3)", px=pixels(spark, sf_dir))
+
+
+@query()
+def mosaic_places(spark, sf_dir):
+    """Where the images of each group would lie on one canvas, by the overlaps that agree."""
+    return mosaics.places(images(spark, sf_dir))
