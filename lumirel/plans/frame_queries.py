@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import pixel
 from ..operators import compose, frames, joins, stretch
 from ..sources.images import images, pixels, table
+from .pixel_queries import _clahe
 from .registry import query, r4, s4
 
 
@@ -185,8 +186,12 @@ def mosaic(spark, sf_dir):
     return compose.mosaic(px, places).withColumn("v", r4(F.col("v")))
 
 
-@query()
+_SHARE = "65535 * sum(w.w * s.share)"
+_PASSES = " UNION ALL ".join(f"(WITH {{px}}, {_clahe(tile, 1.5).replace(s4(_SHARE), _SHARE)})" for tile in (2, 4, 8))
+
+
+@query(f"SELECT image_id, y, x, {s4('avg(v)')} AS v FROM ({_PASSES}) GROUP BY image_id, y, x")
 def clahe2(spark, sf_dir):
     px = pixels(spark, sf_dir)
     passes = stretch.clahe(px, 8, 8, 2, 64, 1.5).unionByName(stretch.clahe(px, 8, 8, 4, 64, 1.5)).unionByName(stretch.clahe(px, 8, 8, 8, 64, 1.5))
-    return passes.groupBy("image_id", "y", "x").agg(F.avg("v").alias("v"))
+    return passes.groupBy("image_id", "y", "x").agg(r4(F.avg("v")).alias("v"))

@@ -151,7 +151,10 @@ def knn_images(spark, sf_dir):
     return joins.nearest_images(all_images.filter("image_id < 5"), all_images, 3).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+@query(
+    """WITH {px} SELECT a.image_id AS q_id, b.image_id, sum((a.v - b.v) * (a.v - b.v)) AS d2, row_number() OVER (PARTITION BY a.image_id ORDER BY sum((a.v - b.v) * (a.v - b.v)), b.image_id) AS place
+FROM px a JOIN px b ON a.y = b.y AND a.x = b.x AND a.image_id <> b.image_id WHERE a.image_id % 100 = 0 GROUP BY a.image_id, b.image_id QUALIFY place <= 3"""
+)
 def knn_all_images(spark, sf_dir):
     """knn_images for every hundredth image of a table, whose number grows with the table."""
     all_images = images(spark, sf_dir)

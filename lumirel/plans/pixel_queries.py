@@ -422,12 +422,25 @@ def auto_contrast(spark, sf_dir):
     return compose.auto_contrast(_disks(spark, sf_dir), 8, 8)
 
 
-@query()
+_BAYER = {"r": "y % 2 = 0 AND x % 2 = 0", "g": "y % 2 <> x % 2", "b": "y % 2 = 1 AND x % 2 = 1"}
+
+
+def _plane(c: str) -> str:
+    known = _BAYER[c]
+    near = known.replace("y", "b.y").replace("x", "b.x")
+    own = known.replace("y", "a.y").replace("x", "a.x")
+    return f"CASE WHEN {own} THEN any_value(a.v) ELSE sum(b.v * w) FILTER ({near}) / sum(w) FILTER ({near}) END AS {c}"
+
+
+@query(
+    f"""WITH {{px}}, n AS (SELECT a.image_id, a.y, a.x, a.v, b.y AS ny, b.x AS nx, b.v AS nv FROM px a JOIN px b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1)
+SELECT a.image_id, a.y, a.x, {", ".join(map(_plane, "rgb"))} FROM (SELECT image_id, y, x, v FROM px) a JOIN (SELECT image_id, y AS ay, x AS ax, ny AS y, nx AS x, nv AS v, (2.0 - abs(y - ny)) * (2 - abs(x - nx)) AS w FROM n) b ON a.image_id = b.image_id AND a.y = b.ay AND a.x = b.ax GROUP BY a.image_id, a.y, a.x"""
+)
 def demosaic(spark, sf_dir):
     return compose.demosaic(pixels(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {{px}}, {_LAP} SELECT image_id, avg(r * r) AS sharpness FROM lap GROUP BY image_id ORDER BY sharpness DESC, image_id LIMIT 1")
 def richest_focus(spark, sf_dir):
     return compose.richest_focus(pixels(spark, sf_dir))
 
