@@ -1,10 +1,13 @@
 """SER videos as a Spark data source: byte ranges as partitions, frames pruned when they are planned, a writer that commits.
 
     spark.dataSource.register(SerSource)
-    frames = spark.read.format("ser").load("/data/videos")                 # a folder, or one file
-    frames.filter("frame_id between 1000 and 1999")                        # opens these frames' bytes only, with PUSHDOWN set
+    frames = spark.read.format("ser").load("/data/videos")                                              # a folder, or one file
+    some = spark.read.format("ser").option("first", 1000).option("last", 1999).load("/data/videos")     # opens these frames' bytes only
     frames.write.format("ser").mode("append").save("/data/segments")
 
+What is opened is said by options and not by filters: Spark 4.1 keeps what one query pushed down
+to a Python data source for later queries on the same DataFrame, which would then miss rows.
+
 Planning reads the 178 bytes of each file's header; a partition is a file's frames of about partBytes bytes, and a task
 reads them by chunks of BATCH_BYTES, so a file may be larger than any task's memory. Paths may be local (shared by all executors) or of
 any scheme that Arrow's file systems know (hdfs, s3, gs).
@@ -12,6 +15,7 @@ any scheme that Arrow's file systems know (hdfs, s3, gs).
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -23,15 +27,13 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.spectral import ticks_to_timestamp
 from ..operators import compose
 from . import ser
 from .images import to_pixels
 
-#: The setting that lets Spark hand filters to a Python data source.
-PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 PART_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 #: The numbers of colour modes in headers.
@@ -64,25 +66,8 @@ class SerReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.part_bytes = int(options.get("partbytes", PART_BYTES))
-        self.low, self.high, self.paths = 0, 2**31, None
-        self.only: set[int] | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            column = getattr(f, "attribute", None)
-            if column == ("frame_id",) and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
-                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
-                    self.high = min(self.high, f.value + 1 - isinstance(f, LessThan))
-            elif column == ("frame_id",) and isinstance(f, In):
-                own = {v for v in f.value if v is not None}
-                self.only = own if self.only is None else self.only & own
-            elif column == ("path",) and isinstance(f, EqualTo | In):
-                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.paths = own if self.paths is None else self.paths & own
-            else:
-                yield f
+        self.low, self.high = int(options.get("first", 0)), int(options.get("last", 2**31 - 2)) + 1
+        self.names = options.get("files")
 
     def _file(self, file: tuple[str, int]) -> list[Frames]:
         name, size = file
@@ -94,10 +79,7 @@ class SerReader(DataSourceReader):
         one = frame_bytes(head)
         # A file that was cut holds fewer frames than its header says.
         count = min(head["frames"], (size - ser.HEADER_BYTES) // max(one, 1))
-        low, high = self.low, min(self.high, count)
-        if self.only is not None:
-            inside = [i for i in self.only if low <= i < high]
-            low, high = (min(inside), max(inside) + 1) if inside else (0, 0)
+        low, high = max(self.low, 0), min(self.high, count)
         step = max(1, self.part_bytes // max(one, 1))
         return [Frames(name, a, min(a + step, high), head, size) for a in range(low, high, step)]
 
@@ -107,7 +89,7 @@ class SerReader(DataSourceReader):
         if info.type == pafs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         found = [info] if info.type == pafs.FileType.File else [x for x in fs.get_file_info(pafs.FileSelector(where, recursive=True)) if x.type == pafs.FileType.File and x.path.endswith(".ser") and "/_temporary/" not in x.path]
-        files = sorted((x.path, x.size) for x in found if self.paths is None or x.path in self.paths)
+        files = sorted((x.path, x.size) for x in found if self.names is None or re.fullmatch(self.names, x.path.rsplit("/", 1)[-1]))
         with ThreadPoolExecutor(32) as pool:
             parts = [p for own in pool.map(self._file, files) for p in own]
         # Spark asks for one partition at least.
@@ -128,16 +110,12 @@ class SerReader(DataSourceReader):
                 n = min(step, part.last - a)
                 raw = np.frombuffer(f.read_at(n * one, ser.HEADER_BYTES + a * one), kind).astype(np.float32)
                 ticks = np.frombuffer(f.read_at(8 * n, tail + 8 * a), "<i8") if stamped else np.zeros(n, np.int64)
-                keep = np.array([self.only is None or a + i in self.only for i in range(n)])
-                values = raw.reshape(n, -1)[keep]
+                values = raw.reshape(n, -1)
                 if color == "BGR":
                     values = values.reshape(len(values), -1, 3)[:, :, ::-1].reshape(len(values), -1)
-                m = len(values)
-                if not m:
-                    continue
-                data = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * values.shape[1]), pa.array(np.ascontiguousarray(values).reshape(-1)))
-                same = [pa.array([v] * m, t) for v, t in ((head["width"], pa.int32()), (head["height"], pa.int32()), ("RGB" if color == "BGR" else color, pa.string()), (head["depth"], pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array([part.path] * m, pa.string()), pa.array(np.flatnonzero(keep) + a, pa.int32()), *same, pa.array(ticks[keep], pa.int64()), data], schema=ARROW)
+                data = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * values.shape[1]), pa.array(np.ascontiguousarray(values).reshape(-1)))
+                same = [pa.array([v] * n, t) for v, t in ((head["width"], pa.int32()), (head["height"], pa.int32()), ("RGB" if color == "BGR" else color, pa.string()), (head["depth"], pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array([part.path] * n, pa.string()), pa.array(np.arange(a, a + n), pa.int32()), *same, pa.array(ticks, pa.int64()), data], schema=ARROW)
 
 
 @dataclass
@@ -216,7 +194,7 @@ class SerWriter(DataSourceWriter):
 
 
 class SerSource(DataSource):
-    """Options: path; partBytes, the bytes of frames that a partition reads or a file holds."""
+    """Options: path; partBytes, the bytes of frames that a partition reads or a file holds; first and last, the frames of each file that are read; files, a pattern of the whole names of files that are."""
 
     @classmethod
     def name(cls) -> str:
@@ -232,14 +210,11 @@ class SerSource(DataSource):
         return SerWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
-def frames(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
-    """SCHEMA and ts of the videos at a path, planned by byte ranges; filters on frame_id and path decide what is opened.
-
-    The session's PUSHDOWN is set, as Spark keeps filters from Python data sources without it.
-    """
-    spark.conf.set(PUSHDOWN, "true")
+def frames(spark: SparkSession, path: str, part_bytes: int = PART_BYTES, first: int = 0, last: int | None = None, files: str | None = None) -> DataFrame:
+    """SCHEMA and ts of the videos at a path, planned by byte ranges: of each file the frames from first to last, of files whose whole name matches a pattern."""
     spark.dataSource.register(SerSource)
-    return spark.read.format("ser").option("partBytes", str(part_bytes)).load(path).withColumn("ts", ticks_to_timestamp(F.col("ticks")))
+    options = {"partBytes": part_bytes, "first": first, "last": last, "files": files}
+    return spark.read.format("ser").options(**{k: str(v) for k, v in options.items() if v is not None}).load(path).withColumn("ts", ticks_to_timestamp(F.col("ticks")))
 
 
 def save(videos: DataFrame, path: str, part_bytes: int = PART_BYTES, overwrite: bool = False) -> None:
