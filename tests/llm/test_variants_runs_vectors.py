@@ -4,6 +4,7 @@ import glob
 import hashlib
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -132,14 +133,15 @@ def odd_words(rng):
 def test_runs_and_what_is_kept_by_force(spark):
     rng = random.Random(2)
     texts = [[f"w{x}" for x in odd_words(rng)] for _ in range(150)] + [["x"] * 5000, [], [str(i) for i in range(600)] * 2]
-    rows = [(i, "\n ".join(t), "c") for i, t in enumerate(texts)] + [(None, None, "c"), (None, "x " * 12, "c"), (7, "x y " * 12, "c"), (7, "x y " * 12, "c")]
+    rows = [(i, "\n ".join(t), "c") for i, t in enumerate(texts)] + [(None, None, "c"), (None, "x " * 12, "c"), (7, "x\u00a0y " * 12, "c"), (7, "x\u00a0y " * 12, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, runs string")
     got = periodic.periodic_runs(docs).collect()
     digests = periodic.run_digests(docs).collect()
     assert len(got) == len(digests) == len(rows)
     total = 0
     for (_, text, _), r, d in zip(rows, got, digests, strict=True):
-        w = (text or "").split()
+        # A no-break space is part of a word.
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
         want = sorted(runs_by_force(w), key=lambda x: (x[0], x[2]))
         gone = {i for s, n, p in want for i in range(s + p, s + n)}
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
