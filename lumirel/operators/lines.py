@@ -172,6 +172,8 @@ def realigned(frames: DataFrame, fits: DataFrame, reference: DataFrame, window:
     The straightened profile of each frame is held against the reference at up to reach rows to both sides; if it agrees best least rows away
     or more, the line is followed again from there. Frames without a profile, and those that the new place lies outside of, keep their fit.
     """
+    # Read several times below; a plan that holds them each time would be many times as large.
+    fits = written(fits, "fits")
     found = frame_ops.locate(straightened(frames, fits, window + reach), reference, list(range(-reach, reach + 1)))
     middle = F.expr("(coalesce(left, 0) + coalesce(right, 0)) / 2")
     line = F.expr("aggregate(reverse(coefficients), 0d, (a, c) -> a * _mid + c)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.pixel import annulus
 from ..operators import atlas, consensus, evolution, frames, kernels, lines, lists, mosaics, oscillation, scatter, stencil, stretch
 from ..sources.images import images, pixels, table, to_pixels
+from ..sources.tables import written
 from .registry import query, r4, s4
 
 
@@ -52,9 +53,9 @@ def frame_analysis(spark, sf_dir):
 def frame_realignment(spark, sf_dir):
     """Frames whose line lies a pixel or more off the mean profile of all frames, followed anew."""
     px = pixels(spark, sf_dir).select("image_id", "y", "x", "v")
-    fits = lines.analyzed(px)
+    fits = written(lines.analyzed(px), "fits")
     mean = lines.straightened(px, fits, 3).groupBy("y").agg(F.avg("v").alias("v"))
-    return lines.realigned(px, fits, mean, 3, 2)
+    return lines.realigned(px, fits, written(mean, "mean"), 3, 2)
 
 
 @query()
