@@ -88,12 +88,12 @@ def arithmetic(a: DataFrame, b: DataFrame, how, keys: tuple[str, ...] = ("y", "x
     return left.join(F.broadcast(odd)).join(right, list(keys)).withColumn("v", checked).drop("_a", "_b", "_odd")
 
 
-def continuum(pixels: DataFrame, least_shift: float = 8.0, saturated: float = 60000.0, keep: float = 0.8) -> DataFrame:
+def continuum(pixels: DataFrame, least_shift: float = 8.0, saturated: float = 60000.0, keep: float = 0.8, or_all: bool = False) -> DataFrame:
     """The pixel-wise median of images far from the line, without those that are saturated or dark.
 
     Per-image aggregates come first, so that the cut is found among images and not pixels:
     their means are counted by bucket, buckets above the cut are taken whole, and only the
-    images of the bucket that holds it are ranked. Where no image is kept, it is the median of all.
+    images of the bucket that holds it are ranked. Where no image is kept there are no rows, or with or_all the median of all images.
     """
     far = pixels.filter(F.abs("pixel_shift") >= least_shift)
     stats = far.groupBy("image_id").agg(F.avg("v").alias("mean"), F.avg((F.col("v") >= saturated).cast("double")).alias("burnt"))
@@ -109,7 +109,10 @@ def continuum(pixels: DataFrame, least_shift: float = 8.0, saturated: float = 60
     placed = dealt.join(F.broadcast(counts.join(F.broadcast(cut)).filter("_above < _cut")), "_b")
     place = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("mean"), "image_id"))
     ranked = placed.filter("_above + _n > _cut").withColumn("_place", place).filter("_above + _place <= _cut")
-    best = placed.filter("_above + _n <= _cut").select("image_id").union(ranked.select("image_id")).withColumn("_kept", F.lit(True))
+    best = placed.filter("_above + _n <= _cut").select("image_id").union(ranked.select("image_id"))
+    if not or_all:
+        return far.join(best, "image_id", "left_semi").groupBy("y", "x").agg(F.median("v").alias("v"))
+    best = best.withColumn("_kept", F.lit(True))
     kept = best.agg(F.count(F.lit(1)).alias("_total"))
     own = pixels.join(best, "image_id", "left").join(F.broadcast(kept))
     chosen = own.filter(((F.abs("pixel_shift") >= least_shift) & F.col("_kept")) | (F.col("_total") == 0))

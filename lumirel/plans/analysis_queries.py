@@ -133,7 +133,7 @@ def mtf_autostretch_masked(spark, sf_dir):
 @query("WITH {px} SELECT y, x, median(v) AS v FROM px GROUP BY y, x")
 def continuum_where_nothing_is_kept(spark, sf_dir):
     """No image is so far from the line, so it is the median of all."""
-    return lists.continuum(pixels(spark, sf_dir), least_shift=100.0)
+    return lists.continuum(pixels(spark, sf_dir), least_shift=100.0, or_all=True)
 
 
 def _disks(spark, sf_dir):
