@@ -9,7 +9,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from lumirel.llm import compression_classifier, html_text, language_id, mixing, quality_rules, warc
+from lumirel.llm import byte_bpe, compression_classifier, html_text, language_id, mixing, quality_rules, warc
 
 NAMES = ["score", "predicted", "row", "rest", "spans", "_", "key", "nth", "doc", "of", "routed", "times", "text_key", "row_key", "n_chars"]
 
@@ -190,3 +190,18 @@ def test_archives_are_bounded_in_bytes(spark, tmp_path):
     sizes = [r.length for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(str(tmp_path / "w")).select("length").collect()]
     assert len(sizes) == 4
     assert warc.captures(warc.read(spark, str(tmp_path / "w"))).count() == len(rows)
+
+
+def test_languages_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    assert language_id.languages(empty).count() == 0
+    unlabelled = spark.createDataFrame([(1, "a b c", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert {(r.doc_id, r.lang_pred, r.score) for r in language_id.languages(unlabelled).collect()} == {(1, "und", 0.0), (2, "und", 0.0)}
+
+
+def test_tokens_of_repeated_ids(spark):
+    rows = [(1, "the same"), (1, "the same"), (1, "another text"), (None, "the same"), (None, None)]
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, n_tokens string")
+    got = byte_bpe.token_digests(docs).collect()
+    assert len(got) == 5 and len({(r.ids_sha256, r.decoded_sha256) for r in got}) == 3
+    assert sorted((r.doc_id is None, r.n_tokens == 0) for r in got) == [(False, False)] * 3 + [(True, False), (True, True)]
