@@ -30,11 +30,16 @@ def auto_contrast(images: DataFrame, width: int, height: int, gamma: float = 1.5
 
     images are dense, with the columns of a disk.
     """
-    flat = stretch.linear_stretch(to_pixels(kernels.neutralize_bg(images, iterations)))
-    fine, coarse = (stretch.clahe(flat, width, height, tile, 64, 1.1) for tile in (max(2, width // 8), max(2, width // 4)))
-    keys = ("image_id", "y", "x")
-    local = lists.arithmetic(fine, coarse, lambda a, b: (a + b) / 2, keys)
-    return stretch.adjust_gamma(lists.arithmetic(flat, local, lambda a, b: 0.4 * a + 0.6 * b, keys), gamma)
+    tiles = (max(2, width // 8), max(2, width // 4))
+
+    def kernel(stack: np.ndarray) -> np.ndarray:
+        low, high = (f(stack, axis=(1, 2), keepdims=True) for f in (np.min, np.max))
+        flat = np.where(high == low, stack, PEAK / np.where(high == low, 1.0, high - low) * (stack - low))
+        fine, coarse = (kernels.equalized(flat, -(-height // t), -(-width // t), t, 64, 1.1) for t in tiles)
+        mixed = 0.4 * flat + 0.6 * (fine + coarse) / 2
+        return (mixed / np.maximum(mixed.max(axis=(1, 2), keepdims=True), 1e-7)) ** gamma * PEAK
+
+    return to_pixels(kernels.per_stack(kernels.neutralize_bg(images, iterations), kernel))
 
 
 def coronagraph(pixels: DataFrame, inside: Column) -> DataFrame:

@@ -156,6 +156,46 @@ def neutralize_bg(images: DataFrame, iterations: int = 1, order: int = 2) -> Dat
     return per_stack(images, kernel, DISK)
 
 
+def equalized(stack: np.ndarray, rows: int, cols: int, tile: int, bins: int, clip: float) -> np.ndarray:
+    """Contrast-limited adaptive equalisation of rows by cols tiles: for each pixel the clipped running shares of its value's bin in the four nearest tiles, interpolated between centres.
+
+    One row of tiles is held at a time. Pixels below 0 and unknown ones count nowhere and are NaN.
+    """
+    n, h, w = stack.shape
+    b = np.minimum(np.floor(stack * bins / (PEAK + 1)), bins - 1)
+    own = b >= 0
+    b = np.where(own, b, 0).astype(int)
+    of, tx = np.arange(n)[:, None, None], np.arange(w) // tile
+    width = max(cols, -(-w // tile))
+    fy, fx = (np.arange(h) + 0.5) / tile - 0.5, (np.arange(w) + 0.5) / tile - 0.5
+    wy, wx = fy - np.floor(fy), fx - np.floor(fx)
+    out = np.zeros(stack.shape)
+    for row in range(rows):
+        band = slice(row * tile, (row + 1) * tile)
+        place = np.broadcast_to((of * width + tx) * bins, b[:, band].shape) + b[:, band]
+        counts = np.bincount(place[own[:, band]], minlength=n * width * bins).reshape(-1, bins)
+        total = counts.sum(1, keepdims=True)
+        kept = np.minimum(counts, clip * total / bins)
+        kept += (total - kept.sum(1, keepdims=True)) / bins
+        share = (np.cumsum(kept, axis=1) / np.maximum(total, 1)).reshape(-1)
+        for dy in (0, 1):
+            at = np.flatnonzero(np.clip(np.floor(fy) + dy, 0, rows - 1) == row)
+            for dx in (0, 1):
+                weight = (wy if dy else 1 - wy)[at, None] * (wx if dx else 1 - wx)
+                near = np.clip(np.floor(fx) + dx, 0, cols - 1).astype(int)
+                out[:, at] += weight * share[(of * width + near) * bins + b[:, at]]
+    return np.where(own, PEAK * out, np.nan)
+
+
+def clahe(images: DataFrame, width: int, height: int, tiles: tuple[int, ...], bins: int, clip: float) -> DataFrame:
+    """The mean of contrast-limited adaptive equalisations (see equalized) with tiles of several sides."""
+
+    def kernel(stack: np.ndarray) -> np.ndarray:
+        return sum(equalized(stack, -(-height // t), -(-width // t), t, bins, clip) for t in tiles) / len(tiles)
+
+    return per_stack(images, kernel)
+
+
 def convolved(stack: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """Weighted sums around each pixel, edges repeated."""
     r, q = kernel.shape[0] // 2, kernel.shape[1] // 2

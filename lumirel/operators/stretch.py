@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pixel import PEAK, asinh, limit, mtf_unit
+from ..sources.images import as_images, to_pixels
+from . import kernels
 from .reduce import nearest_rank
 
 
@@ -91,28 +93,10 @@ def histogram(pixels: DataFrame, bins: int = 256, key: str = "image_id") -> Data
     return counts.withColumn("cumulative", F.sum("n").over(Window.partitionBy(key).orderBy("bin")))
 
 
-def clahe(pixels: DataFrame, width: int, height: int, tile: int, bins: int, clip: float) -> DataFrame:
-    """Contrast-limited adaptive equalisation: clipped histograms per tile, their running shares, and for
-    each pixel the shares of its value's bin in the four nearest tiles, interpolated between centres."""
-    rows, cols = -(-height // tile), -(-width // tile)
-    b = F.least(F.floor(F.col("v") * bins / (PEAK + 1)), F.lit(bins - 1)).cast("int")
-    own = pixels.withColumn("_b", b)
-    counts = own.groupBy("image_id", F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx"), "_b").agg(F.count(F.lit(1)).alias("n"))
-    tiles = counts.select("image_id", "ty", "tx").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("_b"))
-    full = tiles.join(counts, ["image_id", "ty", "tx", "_b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    of = Window.partitionBy("image_id", "ty", "tx")
-    total = F.sum("n").over(of)
-    kept = full.withColumn("_t", total).withColumn("_k", F.least(F.col("n").cast("double"), clip * F.col("_t") / bins))
-    kept = kept.withColumn("_k", F.col("_k") + (F.col("_t") - F.sum("_k").over(of)) / bins)
-    share = kept.select("image_id", "ty", "tx", "_b", (F.sum("_k").over(of.orderBy("_b")) / F.col("_t")).alias("share"))
-    fy, fx = (F.col("y") + 0.5) / tile - 0.5, (F.col("x") + 0.5) / tile - 0.5
-    near = []
-    for dy in (0, 1):
-        for dx in (0, 1):
-            wy = fy - F.floor(fy) if dy else 1 - (fy - F.floor(fy))
-            wx = fx - F.floor(fx) if dx else 1 - (fx - F.floor(fx))
-            ty = F.least(F.greatest(F.floor(fy) + dy, F.lit(0)), F.lit(rows - 1))
-            tx = F.least(F.greatest(F.floor(fx) + dx, F.lit(0)), F.lit(cols - 1))
-            near.append(F.struct(ty.alias("ty"), tx.alias("tx"), (wy * wx).alias("w")))
-    taps = own.select("image_id", "y", "x", "_b", F.explode(F.array(*near)).alias("t")).select("image_id", "y", "x", "_b", "t.*")
-    return taps.join(share, ["image_id", "ty", "tx", "_b"]).groupBy("image_id", "y", "x").agg((PEAK * F.sum(F.col("w") * F.col("share"))).alias("v"))
+def clahe(pixels: DataFrame, width: int, height: int, tile: int | tuple[int, ...], bins: int, clip: float) -> DataFrame:
+    """Contrast-limited adaptive equalisation of a pixel relation or of dense images; with tiles of several sides, the mean of them all.
+
+    Shares of tiles are never rows: images stay whole in a kernel, and their pixels are shuffled once if they come as pixels.
+    """
+    tiles = tile if isinstance(tile, tuple) else (tile,)
+    return to_pixels(kernels.clahe(as_images(pixels), width, height, tiles, bins, clip)).filter(~F.isnan("v"))

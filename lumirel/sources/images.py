@@ -33,11 +33,22 @@ def to_pixels(dense: DataFrame) -> DataFrame:
 
 
 def to_images(pixels: DataFrame) -> DataFrame:
-    """A pixel relation as dense images: image_id, width, height, data."""
+    """A pixel relation as dense images: image_id, width, height, data; pixels that are absent are null."""
     grouped = pixels.groupBy("image_id").agg(
         (F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("cells")
     )
-    return grouped.select("image_id", "width", "height", F.col("cells.v").alias("data"))
+    size = F.col("width") * F.col("height")
+    place = lambda c: c["y"] * F.col("width") + c["x"]
+    none = lambda n: F.array_repeat(F.lit(None).cast("double"), n.cast("int"))
+    # Each cell after as many nulls as are missing before it.
+    gaps = F.transform("cells", lambda c, i: F.concat(none(place(c) - F.when(i > 0, place(F.get("cells", i - 1))).otherwise(-1) - 1), F.array(c["v"].cast("double"))))
+    sparse = F.concat(F.flatten(gaps), none(size - 1 - place(F.get("cells", F.size("cells") - 1))))
+    return grouped.select("image_id", "width", "height", F.when(F.size("cells") == size, F.col("cells.v")).otherwise(sparse).alias("data"))
+
+
+def as_images(rows: DataFrame) -> DataFrame:
+    """Dense images as they are, and a pixel relation as dense images."""
+    return rows if "data" in rows.columns else to_images(rows)
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
