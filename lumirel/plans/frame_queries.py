@@ -192,6 +192,4 @@ _PASSES = " UNION ALL ".join(f"(WITH {{px}}, {_clahe(tile, 1.5).replace(s4(_SHAR
 
 @query(f"SELECT image_id, y, x, {s4('avg(v)')} AS v FROM ({_PASSES}) GROUP BY image_id, y, x")
 def clahe2(spark, sf_dir):
-    px = pixels(spark, sf_dir)
-    passes = stretch.clahe(px, 8, 8, 2, 64, 1.5).unionByName(stretch.clahe(px, 8, 8, 4, 64, 1.5)).unionByName(stretch.clahe(px, 8, 8, 8, 64, 1.5))
-    return passes.groupBy("image_id", "y", "x").agg(r4(F.avg("v")).alias("v"))
+    return stretch.clahe(images(spark, sf_dir), 8, 8, (2, 4, 8), 64, 1.5).withColumn("v", r4(F.col("v")))

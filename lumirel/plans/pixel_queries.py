@@ -195,7 +195,7 @@ SELECT w.image_id, w.y, w.x, {s4("65535 * sum(w.w * s.share)")} AS v FROM w JOIN
 
 @query("WITH {px}, " + _clahe(4, 2.0))
 def clahe(spark, sf_dir):
-    return stretch.clahe(pixels(spark, sf_dir), 8, 8, 4, 64, 2.0).withColumn("v", r4(F.col("v")))
+    return stretch.clahe(images(spark, sf_dir), 8, 8, 4, 64, 2.0).withColumn("v", r4(F.col("v")))
 
 
 _stretch("box_blur3", stencil.blur, f"WITH {{px}}, {{box}} SELECT image_id, y, x, {s4('least(greatest(s / 9, 0), 65535)')} AS v FROM box", False)

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumirel.operators import compose, kernels, stretch
+from lumirel.plans import frame_queries, pixel_queries, registry  # noqa: F401
 from lumirel.sources.images import as_images, images, pixels, to_images, to_pixels
 
 
@@ -36,3 +37,9 @@ def test_absent_pixels_are_null(spark):
     assert got == {0: (3, 3, [None, 5.0, None, None, None, None, 7.0, None, None]), 1: (1, 1, [9.0])}
     assert as_images(to_images(rows)).filter("image_id = 1").first().data == [9.0]
     assert set(values(stretch.clahe(rows, 3, 3, 2, 4, 2.0))) == {(0, 0, 1), (0, 2, 0), (1, 0, 0)}
+
+
+def test_clahe_queries_shuffle_nothing(spark, sf_dir):
+    for name in ("clahe", "clahe2"):
+        out = plan(registry.QUERIES[name](spark, sf_dir))
+        assert "Join" not in out and "Aggregate" not in out
