@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .kernels import DISK, PEAK, convolved, per_stack, sample
+from .kernels import DISK, PEAK, Sampler, convolved, per_stack
 
 #: Kernels of so many values are applied as they are.
 DIRECT = 25
@@ -38,9 +38,11 @@ def _gauss(x: np.ndarray, sigma: float, axis: int, wrap: bool = False) -> np.nda
     k = np.exp(-0.5 * (np.arange(-half, half + 1) / max(sigma, 1e-6)) ** 2)
     pad = [(half, half) if i == axis else (0, 0) for i in range(x.ndim)]
     wide = np.pad(x, pad, mode="wrap" if wrap else "edge")
-    out = np.zeros(x.shape)
+    out, part = np.zeros(x.shape), np.empty(x.shape)
     for i, w in enumerate(k / k.sum()):
-        out += w * np.take(wide, np.arange(i, i + x.shape[axis]), axis=axis)
+        at = [slice(None)] * x.ndim
+        at[axis] = slice(i, i + x.shape[axis])
+        out += np.multiply(wide[tuple(at)], w, out=part)
     return out
 
 
@@ -49,90 +51,134 @@ def _rim(shift: float, turn: np.ndarray) -> np.ndarray:
     return shift * np.cos(turn) + np.sqrt(np.maximum(0.0, 1 - (shift * np.sin(turn)) ** 2))
 
 
-def _ghost(excess: np.ndarray, known: np.ndarray, least: float, found: list[tuple[float, float]]) -> tuple[float, float, float] | None:
-    """(shift, azimuth, step) of the moved disk at whose rim the excess falls most, in radii; None if no fall counts.
-
-    excess[r, t] is the light above the sky's level from radius 1 to SKY_REACH. Each candidate is judged by the median fall from inside its rim to
-    outside, over the half of its crescent that is widest, weighted by how much of it falls.
-    """
-    span = SKY_REACH - 1
-    turns = np.arange(AZIMUTHS) * 2 * np.pi / AZIMUTHS
-    gap, off = max(2, round(0.03 / span * RADII)), int(np.ceil(LIMB / span * RADII))
-    best = None
-    for shift in np.arange(0.1, 0.5, 0.02):
-        inner = np.abs((turns + np.pi) % (2 * np.pi) - np.pi) <= np.pi / 3
-        at = np.round((_rim(shift, turns[inner]) - 1) / span * (RADII - 1)).astype(int)
+class _Sky:
+    """What all images of a size and disk have in common: rings and azimuths around the disk, where they lie in an image, and the candidates for moved disks."""
+
+    def __init__(self, shape: tuple[int, int], cx: float, cy: float, radius: float):
+        h, w = shape
+        self.turns = np.arange(AZIMUTHS) * 2 * np.pi / AZIMUTHS
+        radii = radius * np.linspace(1, SKY_REACH, RADII)[:, None]
+        py, px = cy + radii * np.sin(self.turns), cx + radii * np.cos(self.turns)
+        self.known = (py >= 0) & (py <= h - 1) & (px >= 0) & (px <= w - 1)
+        self.enough = bool(self.known.sum() >= 0.2 * self.known.size)
+        self.polar = Sampler(shape, np.clip(py, 0, h - 1), np.clip(px, 0, w - 1), "bilinear")
+        self.around = np.linspace(1, SKY_REACH, RADII)[:, None]
+        y, x = np.indices(shape).astype(float)
+        r = np.hypot(y - cy, x - cx) / radius
+        at_r, at_t = (r - 1) / (SKY_REACH - 1) * (RADII - 1), (np.arctan2(y - cy, x - cx) % (2 * np.pi)) / (2 * np.pi) * AZIMUTHS
+        self.back = Sampler((RADII, AZIMUTHS + 1), np.clip(at_r, 0, RADII - 1), np.clip(at_t, 0, AZIMUTHS), "bilinear")
+        self.shown = (r > 1) & (r <= SKY_REACH)
+        # How many known places a ring has.
+        self.n = self.known.sum(1)
+        self.candidates()
+
+    def candidates(self) -> None:
+        """For each shift and azimuth that has places enough: those inside and outside of its rim, as rows of equal length whose rest is beyond the end."""
+        span = SKY_REACH - 1
+        gap, off = max(2, round(0.03 / span * RADII)), int(np.ceil(LIMB / span * RADII))
+        inner = np.abs((self.turns + np.pi) % (2 * np.pi) - np.pi) <= np.pi / 3
         rows = np.flatnonzero(inner)
-        for turn in range(0, AZIMUTHS, AZIMUTHS // 120):
-            azimuth = turns[turn]
-            if any(abs(shift - s) < 0.06 and abs((azimuth - a + np.pi) % (2 * np.pi) - np.pi) < 0.5 for s, a in found):
-                continue
-            column = (rows + turn) % AZIMUTHS
-            low, high = np.clip(at - gap, 0, RADII - 1), np.clip(at + gap, 0, RADII - 1)
-            both = known[low, column] & known[high, column] & (at - gap >= off)
-            if both.sum() < 20:
-                continue
-            fall = (excess[low, column] - excess[high, column])[both]
-            step = float(np.median(fall))
-            if step > least and (fall > 0.5 * step).mean() >= GHOST_SHARE and (best is None or step > best[2]):
-                best = (float(shift), float(azimuth), step)
-    return best
-
-
-def _reflections(image: np.ndarray, cx: float, cy: float, radius: float) -> np.ndarray | None:
+        column = (rows[None] + np.arange(0, AZIMUTHS, AZIMUTHS // 120)[:, None]) % AZIMUTHS
+        shifts, turns, lows, highs, sizes = [], [], [], [], []
+        for shift in np.arange(0.1, 0.5, 0.02):
+            at = np.round((_rim(shift, self.turns[inner]) - 1) / span * (RADII - 1)).astype(int)
+            low, high = np.clip(at - gap, 0, RADII - 1)[None], np.clip(at + gap, 0, RADII - 1)[None]
+            both = self.known[low, column] & self.known[high, column] & (at - gap >= off)
+            many = both.sum(1) >= 20
+            both, own = both[many], column[many]
+            # The places that count come first.
+            order = np.argsort(~both, axis=1, kind="stable")
+            past = RADII * AZIMUTHS
+            for side, out in ((low, lows), (high, highs)):
+                out.append(np.take_along_axis(np.where(both, side * AZIMUTHS + own, past), order, 1))
+            sizes.append(both.sum(1))
+            shifts.append(np.full(many.sum(), shift))
+            turns.append(self.turns[:: AZIMUTHS // 120][many])
+        self.shift, self.azimuth, self.size = np.concatenate(shifts), np.concatenate(turns), np.concatenate(sizes)
+        most = int(self.size.max(initial=0))
+        self.low, self.high = (np.ascontiguousarray(np.concatenate(x)[:, :most]) for x in (lows, highs))
+
+    def levels(self, polar: np.ndarray) -> np.ndarray:
+        """Of each ring, the level below which a tenth of its sky lies; NaN of a ring that has none."""
+        out = np.full(len(polar), np.nan)
+        for n in np.unique(self.n[self.n > 0]):
+            own = np.flatnonzero(self.n == n)
+            out[own] = np.quantile(polar[own][self.known[own]].reshape(len(own), n), 0.1, axis=1)
+        return out
+
+    def ghost(self, excess: np.ndarray, least: float, found: list[tuple[float, float]]) -> tuple[float, float] | None:
+        """(shift, azimuth) of the moved disk at whose rim the excess falls most, in radii; None if no fall counts.
+
+        excess[r, t] is the light above the sky's level from radius 1 to SKY_REACH. Each candidate is judged by the median fall from inside its rim to
+        outside, over the half of its crescent that is widest, weighted by how much of it falls.
+        """
+        if not len(self.shift):
+            return None
+        # What is no place of a candidate is infinite, and after all that are.
+        fall = np.append(excess.reshape(-1), np.inf).take(self.low, mode="clip")
+        fall -= np.append(excess.reshape(-1), 0.0).take(self.high, mode="clip")
+        fall.sort(axis=1)
+        n, at = self.size, np.arange(len(fall))
+        upper = fall[at, n // 2]
+        step = np.where(n % 2 == 1, upper, (fall[at, n // 2 - 1] + upper) / 2)
+        falling = ((fall > 0.5 * step[:, None]).sum(1) - (fall.shape[1] - n)) / n
+        for s, a in found:
+            step[(np.abs(self.shift - s) < 0.06) & (np.abs((self.azimuth - a + np.pi) % (2 * np.pi) - np.pi) < 0.5)] = -np.inf
+        step = np.where((step > least) & (falling >= GHOST_SHARE), step, -np.inf)
+        best = int(step.argmax())
+        return (float(self.shift[best]), float(self.azimuth[best])) if step[best] > -np.inf else None
+
+
+def _medians(group: np.ndarray, value: np.ndarray, groups: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The medians of the values of some groups; n is the size of every group."""
+    ordered = value[np.lexsort((value, group))]
+    first = np.cumsum(n) - n
+    upper = ordered[(first + n // 2)[groups]]
+    return np.where(n[groups] % 2 == 1, upper, (ordered[(first + n // 2 - 1)[groups]] + upper) / 2)
+
+
+def _reflections(image: np.ndarray, sky: _Sky) -> np.ndarray | None:
     """The light of all reflections of the disk, outside of it; None if there is none."""
-    h, w = image.shape
-    turns = np.arange(AZIMUTHS) * 2 * np.pi / AZIMUTHS
-    radii = radius * np.linspace(1, SKY_REACH, RADII)[:, None]
-    py, px = cy + radii * np.sin(turns), cx + radii * np.cos(turns)
-    known = (py >= 0) & (py <= h - 1) & (px >= 0) & (px <= w - 1)
-    if known.sum() < 0.2 * known.size:
+    if not sky.enough:
         return None
-    polar = sample(image, np.clip(py, 0, h - 1), np.clip(px, 0, w - 1), "bilinear")
-    # Of each ring, the level below which a tenth of its sky lies.
-    level = np.array([np.quantile(row[ok], 0.1) if ok.any() else np.nan for row, ok in zip(polar, known, strict=True)])
-    sky = float(np.nanmean(level))
-    level = np.where(np.isnan(level), sky, level)
+    polar, known, around = sky.polar(image), sky.known, sky.around
+    level = sky.levels(polar)
+    base = float(np.nanmean(level))
+    level = np.where(np.isnan(level), base, level)
     # The disk's own edge isn't sharp: what is next to it is taken to be as what is a little further.
     off = int(np.ceil(LIMB / (SKY_REACH - 1) * RADII))
     excess = np.where(known, np.maximum(polar - level[:, None], 0.0), 0.0)
     excess[:off] = excess[off]
     smooth = _gauss(excess, 10, 1, wrap=True)
-    taken, total, around = [], np.zeros(polar.shape), np.linspace(1, SKY_REACH, RADII)[:, None]
+    taken, total = [], np.zeros(polar.shape)
     for _ in range(MOST_GHOSTS):
-        found = _ghost(smooth, known, GHOST_STEP * abs(sky), taken)
+        found = sky.ghost(smooth, GHOST_STEP * abs(base), taken)
         if found is None:
             break
-        shift, azimuth, _ = found
-        taken.append((shift, azimuth))
-        rim = _rim(shift, turns - azimuth)[None, :]
+        shift, azimuth = found
+        taken.append(found)
+        rim = _rim(shift, sky.turns - azimuth)[None, :]
         inside = (around <= rim - 0.02) & known
         if inside.sum() < 50:
             continue
         # The reflection's light by distance from its rim, the same all around; never more than what is there.
         away = np.minimum(((rim - around) / (SKY_REACH - 1) * RADII).astype(int), RADII - 1)
-        order = np.bincount(away[inside], minlength=RADII)
-        profile = np.zeros(RADII)
-        for k in np.flatnonzero(order >= 10):
-            profile[k] = np.median(smooth[inside & (away == k)])
+        own = away[inside]
+        order = np.bincount(own, minlength=RADII)
         seen = np.flatnonzero(order >= 10)
         if not len(seen):
             continue
-        profile = np.interp(np.arange(RADII), seen, profile[seen])
+        profile = np.interp(np.arange(RADII), seen, _medians(own, smooth[inside], seen, order))
         # It fades out over the width of the rim.
         fade = np.clip((rim - around) / 0.04 + 0.5, 0, 1)
-        own = np.minimum(profile[np.maximum(away, 0)] * fade, smooth) * (around <= rim + 0.02)
-        total += own
-        smooth = np.maximum(smooth - own, 0.0)
+        light = np.minimum(profile[np.maximum(away, 0)] * fade, smooth) * (around <= rim + 0.02)
+        total += light
+        smooth = np.maximum(smooth - light, 0.0)
     if not total.any():
         return None
     total = _gauss(_gauss(total, 3, 1, wrap=True), 2, 0)
-    y, x = np.indices(image.shape).astype(float)
-    r = np.hypot(y - cy, x - cx) / radius
-    at_r, at_t = (r - 1) / (SKY_REACH - 1) * (RADII - 1), (np.arctan2(y - cy, x - cx) % (2 * np.pi)) / (2 * np.pi) * AZIMUTHS
-    wide = np.concatenate([total, total[:, :1]], axis=1)
-    out = sample(wide, np.clip(at_r, 0, RADII - 1), np.clip(at_t, 0, AZIMUTHS), "bilinear")
-    return np.where((r > 1) & (r <= SKY_REACH), out, 0.0)
+    out = sky.back(np.concatenate([total, total[:, :1]], axis=1))
+    return np.where(sky.shown, out, 0.0)
 
 
 def _usable(stack: np.ndarray, radius: float | None) -> bool:
@@ -148,11 +194,12 @@ def deghost(images: DataFrame, strength: float = 1.0, iterations: int = 1, show:
     """
 
     def kernel(stack: np.ndarray, cx: float, cy: float, radius: float) -> np.ndarray:
-        out = []
+        out, sky = [], None
         for image in stack:
             own, first = image, np.zeros(image.shape)
             for turn in range(iterations if _usable(image, radius) and strength > 0 else 0):
-                found = _reflections(own, cx, cy, radius)
+                sky = sky or _Sky(image.shape, cx, cy, radius)
+                found = _reflections(own, sky)
                 if found is None:
                     break
                 first = strength * found if turn == 0 else first
@@ -160,7 +207,8 @@ def deghost(images: DataFrame, strength: float = 1.0, iterations: int = 1, show:
             out.append(first if show else own)
         return np.stack(out)
 
-    return per_stack(images, kernel, DISK)
+    # The kernel outweighs its input by far: a table of a few row groups is dealt to all cores.
+    return per_stack(images.repartition(4 * images.sparkSession.sparkContext.defaultParallelism, "image_id"), kernel, DISK)
 
 
 def chord_flux(width: int, cx: float, radius: float) -> np.ndarray:

@@ -195,3 +195,27 @@ def test_continuum_of_saturated_images_is_the_median_of_all(spark):
     assert lists.continuum(own.filter("v > 60000 or image_id = 7"), or_all=True).first().v == 65535.0
     assert lists.continuum(own, or_all=True).first().v == 1.0 and lists.continuum(own.limit(0), or_all=True).count() == 0
     assert lists.continuum(own.filter("v > 60000")).count() == 0
+
+
+def test_search_is_of_all_candidates_at_once():
+    """Thousands of medians an image, one after the other, were a second for an image of 8 by 8."""
+    rng = np.random.default_rng(5)
+    sky = scatter._Sky((N, N), C, C, R)
+    excess, known = rng.random((scatter.RADII, scatter.AZIMUTHS)), sky.known
+    excess[: scatter.RADII // 4] += 3 * (np.cos(sky.turns - 1.0) > 0.7)
+    found = sky.ghost(excess, 0.0, [])
+    steps = {}
+    for k in range(0, len(sky.size), 7):
+        n = sky.size[k]
+        assert known.reshape(-1)[sky.low[k, :n]].all() and known.reshape(-1)[sky.high[k, :n]].all()
+        fall = excess.reshape(-1)[sky.low[k, :n]] - excess.reshape(-1)[sky.high[k, :n]]
+        step = float(np.median(fall))
+        if step > 0 and (fall > 0.5 * step).mean() >= scatter.GHOST_SHARE:
+            steps[k] = step
+    at = np.flatnonzero((sky.shift == found[0]) & (sky.azimuth == found[1]))[0]
+    n = sky.size[at]
+    assert np.median(excess.reshape(-1)[sky.low[at, :n]] - excess.reshape(-1)[sky.high[at, :n]]) >= max(steps.values())
+    assert sky.ghost(excess, 0.0, [found]) != found
+    group, value = rng.integers(0, 5, 999), rng.random(999)
+    n = np.bincount(group, minlength=5)
+    assert scatter._medians(group, value, np.array([1, 4]), n).tolist() == [np.median(value[group == 1]), np.median(value[group == 4])]
