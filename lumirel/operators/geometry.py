@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.images import as_images
+
 
 def _moved(pixels: DataFrame, y: Column, x: Column) -> DataFrame:
     return pixels.select(*(y.cast("int").alias("y") if c == "y" else x.cast("int").alias("x") if c == "x" else F.col(c) for c in pixels.columns))
@@ -102,32 +104,24 @@ def fit_canvas(pixels: DataFrame) -> DataFrame:
 def gather(pixels: DataFrame, width: int, height: int, source_y: Column, source_x: Column, fill: float = 0.0) -> DataFrame:
     """Images of width by height whose pixel (y, x) is interpolated bilinearly at (source_y, source_x) of the source.
 
-    Every target pixel has four taps, joined by coordinates, and their weighted sum; a target of
-    which a tap lies outside of the source gets the fill.
+    pixels may be dense images too. An image stays one row, of which each target pixel reads its four taps: nothing but the image itself is shuffled,
+    and that only if it comes as pixels. A target of which a tap lies outside of the source gets the fill.
     """
-    ids = pixels.select("image_id").distinct()
-    grid = ids.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
-    at = grid.select("image_id", "y", "x", source_y.alias("_sy"), source_x.alias("_sx"))
-    base = at.select("image_id", "y", "x", F.floor("_sy").alias("_y0"), F.floor("_sx").alias("_x0"), (F.col("_sy") - F.floor("_sy")).alias("_fy"), (F.col("_sx") - F.floor("_sx")).alias("_fx"))
-    taps = base.select(
-        "image_id",
-        "y",
-        "x",
-        F.explode(
-            F.array(
-                *(
-                    F.struct((F.col("_y0") + dy).cast("int").alias("ty"), (F.col("_x0") + dx).cast("int").alias("tx"), ((F.col("_fy") if dy else 1 - F.col("_fy")) * (F.col("_fx") if dx else 1 - F.col("_fx"))).alias("w"))
-                    for dy in (0, 1)
-                    for dx in (0, 1)
-                )
-            )
-        ).alias("t"),
-    ).select("image_id", "y", "x", "t.*")
-    source = pixels.select("image_id", F.col("y").alias("ty"), F.col("x").alias("tx"), "v")
-    found = taps.filter("w > 0").join(source, ["image_id", "ty", "tx"], "left").groupBy("image_id", "y", "x")
-    return found.agg(F.sum(F.col("w") * F.col("v")).alias("v"), F.count_if(F.col("v").isNull()).alias("_out")).select(
-        "image_id", "y", "x", F.when(F.col("_out") > 0, F.lit(float(fill))).otherwise(F.col("v")).alias("v")
-    )
+    own = as_images(pixels).filter(F.size("data") > 0).select("image_id", F.col("width").alias("_w"), F.col("data").alias("_data"))
+    rows = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+    grid = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    at = grid.select("*", source_y.alias("_sy"), source_x.alias("_sx")).filter("_sy is not null and _sx is not null")
+    fy, fx = F.col("_sy") - F.floor("_sy"), F.col("_sx") - F.floor("_sx")
+    base = at.select("*", F.floor("_sy").cast("int").alias("_y0"), F.floor("_sx").cast("int").alias("_x0"), fy.alias("_fy"), fx.alias("_fx"))
+
+    def tap(dy: int, dx: int) -> Column:
+        ty, tx = F.col("_y0") + dy, F.col("_x0") + dx
+        w = (F.col("_fy") if dy else 1 - F.col("_fy")) * (F.col("_fx") if dx else 1 - F.col("_fx"))
+        v = F.when((ty >= 0) & (tx >= 0) & (tx < F.col("_w")), F.get("_data", ty * F.col("_w") + tx))
+        return F.when(w > 0, w * v).otherwise(0.0)
+
+    total = tap(0, 0) + tap(0, 1) + tap(1, 0) + tap(1, 1)
+    return base.select("image_id", "y", "x", F.coalesce(total, F.lit(float(fill))).alias("v"))
 
 
 def rescale(pixels: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:

@@ -307,7 +307,7 @@ _GRID = ", g AS (SELECT vec_id AS image_id, CAST(y AS INT) AS y, CAST(x AS INT)
 
 @query("WITH {px}" + _GRID.format(h=11, w=11) + _taps("(y - 5.5) * (8 / 12) + 3.5", "(x - 5.5) * (8 / 12) + 3.5").replace("FROM px)", "FROM g)"))
 def rescale_rel(spark, sf_dir):
-    return geometry.rescale(pixels(spark, sf_dir), 8, 8, 12, 12).withColumn("v", r4(F.col("v")))
+    return geometry.rescale(images(spark, sf_dir), 8, 8, 12, 12).withColumn("v", r4(F.col("v")))
 
 
 _geometry("rotate_and_scale", lambda p: geometry.rotate_and_scale(p, 8, 8, 0.5235987755982988, 2.0).withColumn("v", r4(F.col("v"))), _taps("(y - 3.5) * 0.43301270189221935 - (x - 3.5) * 0.24999999999999997 + 3.5", "(x - 3.5) * 0.43301270189221935 + (y - 3.5) * 0.24999999999999997 + 3.5"))
@@ -315,7 +315,7 @@ _geometry("rotate_and_scale", lambda p: geometry.rotate_and_scale(p, 8, 8, 0.523
 
 @query("WITH {px}" + _GRID.format(h=5, w=9) + _taps("(y - 2.5) * ((2.0 + image_id % 2) / 4) + 3.5", "(x - 4.5) * ((2.0 + image_id % 2) / 4) + 3.5").replace("FROM px)", "FROM g)"))
 def radius_rescale2(spark, sf_dir):
-    return geometry.radius_rescale2(pixels(spark, sf_dir), 8, 8, F.lit(2.0) + F.col("image_id") % 2, 4.0, 10, 6).withColumn("v", r4(F.col("v")))
+    return geometry.radius_rescale2(images(spark, sf_dir), 8, 8, F.lit(2.0) + F.col("image_id") % 2, 4.0, 10, 6).withColumn("v", r4(F.col("v")))
 
 
 def _disk():

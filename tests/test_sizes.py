@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumirel.operators import compose, kernels, stretch
+from lumirel.operators import compose, frames, geometry, kernels, stretch
 from lumirel.plans import frame_queries, pixel_queries, registry  # noqa: F401
 from lumirel.sources.images import as_images, images, pixels, to_images, to_pixels
 
@@ -43,3 +43,15 @@ def test_clahe_queries_shuffle_nothing(spark, sf_dir):
     for name in ("clahe", "clahe2"):
         out = plan(registry.QUERIES[name](spark, sf_dir))
         assert "Join" not in out and "Aggregate" not in out
+
+
+def test_resampling_shuffles_images_only(spark, sf_dir):
+    dense = images(spark, sf_dir).filter("image_id < 3")
+    assert "Join" not in plan(geometry.rescale(dense, 8, 8, 12, 12)) and "Aggregate" not in plan(geometry.rescale(dense, 8, 8, 12, 12))
+    out = geometry.rescale(to_pixels(dense), 8, 8, 12, 12)
+    assert "Join" not in plan(out) and plan(out).count("Aggregate") == 1
+    assert values(out) == values(geometry.rescale(dense, 8, 8, 12, 12))
+    # An absent or null tap gives the fill, as does one outside.
+    rows = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, 2.0), (0, 1, 1, 3.0), (0, 0, 2, None), (0, 1, 2, 5.0)], "image_id long, y int, x int, v double")
+    moved = values(geometry.gather(rows, 3, 2, F.col("y").cast("double"), F.col("x") + 0.5, -1.0))
+    assert moved == {(0, 0, 0): 1.5, (0, 0, 1): -1.0, (0, 0, 2): -1.0, (0, 1, 0): -1.0, (0, 1, 1): 4.0, (0, 1, 2): -1.0}
