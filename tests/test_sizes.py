@@ -67,3 +67,13 @@ def test_regions_of_one_place_meet_once(spark):
     met = frames.nearest_region(found, found, 2.0)
     text = met._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in text
+
+
+def test_pairs_meet_as_images(spark):
+    """Each pixel of a pair was a row of the join."""
+    rows = [(1, "a", 2, 2, 3.0, [5.0, 6.0, 7.0, None]), (2, "a", 2, 2, -3.0, [1.0, 1.0, 1.0, 1.0]), (3, "a", 2, 2, -3.0, [0.0, 0.0]), (4, "b", 2, 2, -3.0, [9.0] * 4), (5, "a", 2, 2, 0.0, [9.0] * 4)]
+    out = frames.doppler_pairs(spark.createDataFrame(rows, "image_id long, grp string, width int, height int, pixel_shift double, data array<double>"))
+    assert "_s" in plan(out) and plan(out).index("Generate") < plan(out).index("Join")
+    got = sorted((r.red_id, r.blue_id, r.y, r.x, r.v) for r in out.collect() if r.v is not None)
+    assert got == [(1, 2, 0, 0, 4.0), (1, 2, 0, 1, 5.0), (1, 2, 1, 0, 6.0), (1, 3, 0, 0, 5.0), (1, 3, 0, 1, 6.0)]
+    assert out.filter("v is null").count() == 1
