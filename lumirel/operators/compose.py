@@ -141,7 +141,12 @@ def voigt_fit(profiles: DataFrame, rounds: int = 60) -> DataFrame:
             steps = 1e-6 * np.maximum(1, np.abs(p))
             jac = np.stack([(shape(p + np.eye(5)[i] * steps[i], x) - shape(p, x)) / steps[i] for i in range(5)], axis=1)
             a = jac.T @ jac
-            q = p + np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-9), jac.T @ r)
+            try:
+                q = p + np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-9), jac.T @ r)
+            except np.linalg.LinAlgError:
+                # A step of too little damping for what the profile tells.
+                damp *= 4
+                continue
             now = float(((v - shape(q, x)) ** 2).sum())
             if now < cost:
                 p, cost, damp = q, now, damp / 3
