@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumirel.operators import compose, frames, geometry, kernels, stretch
+from lumirel.operators import compose, frames, geometry, joins, kernels, stretch
 from lumirel.plans import frame_queries, pixel_queries, registry  # noqa: F401
 from lumirel.sources.images import as_images, images, pixels, to_images, to_pixels
 
@@ -77,3 +77,22 @@ def test_pairs_meet_as_images(spark):
     got = sorted((r.red_id, r.blue_id, r.y, r.x, r.v) for r in out.collect() if r.v is not None)
     assert got == [(1, 2, 0, 0, 4.0), (1, 2, 0, 1, 5.0), (1, 2, 1, 0, 6.0), (1, 3, 0, 0, 5.0), (1, 3, 0, 1, 6.0)]
     assert out.filter("v is null").count() == 1
+
+
+def test_points_in_ranges_are_written_small(spark, tmp_path):
+    """Pairs came in the order of the points' table, so each took as many bits on disk as a range's number has."""
+    rng = np.random.default_rng(5)
+    at, low = rng.uniform(-500, 2500, 4000), rng.uniform(0, 4000, 1000)
+    at[:500] = 700.5
+    points = spark.createDataFrame([(i, float(v)) for i, v in enumerate(at)] + [(4000, None)], "id long, v double")
+    ranges = spark.createDataFrame([(j, float(v), float(v) + 500) for j, v in enumerate(low)] + [(1000, None, 4.0)], "r long, low double, high double")
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero((low <= at[:, None]) & (at[:, None] <= low + 500)), strict=True)}
+    out = joins.range_join(points, ranges, F.col("v"), "low", "high", 500.0).select("id", "r")
+    out.write.parquet(str(tmp_path / "out"))
+    back = [(r.id, r.r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(back) == len(want) and set(back) == want
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.5 * len(want)
+    few = joins.range_join(points, ranges, F.col("v"), "low", "high", 500.0, rows=300, most=10).select("id", "r").collect()
+    many = joins.range_join(points, ranges, F.col("v"), "low", "high", 500.0, rows=300).select("id", "r").collect()
+    assert len(few) == len(many) == len(want) and {tuple(r) for r in few} == {tuple(r) for r in many} == want
+    assert joins.range_join(points.limit(0), ranges, F.col("v"), "low", "high", 500.0).count() == 0
