@@ -93,8 +93,7 @@ def tracks(frames: DataFrame, sigma: float = 3.0, least: int = 1, gap: int = 1,
     """
     found = outlying(frames, sigma)
     flags = written(found.select("image_id", "y", "x", F.abs("score").alias("score")), "found")
-    schema = "image_id long, region int, top int, left int, bottom int, right int, n long"
-    boxes = flags.select("image_id", "y", "x").groupBy("image_id").applyInPandas(frame_ops._components, schema).filter(F.col("n") >= least)
+    boxes = frame_ops.regions(flags).filter(F.col("n") >= least)
     named = F.format_string("%012d.%06d", "image_id", "region")
     boxes = written(boxes.withColumn("blob", named), "blobs")
     # Pixels that belong to no counted blob are in no box of their frame, or in one that they don't belong to; peaks are of a box.
@@ -112,7 +111,7 @@ def tracks(frames: DataFrame, sigma: float = 3.0, least: int = 1, gap: int = 1,
     return all_.groupBy("track").agg(*ends, F.min("top").alias("top"), F.min("left").alias("left"), F.max("bottom").alias("bottom"), F.max("right").alias("right"))
 
 
-@udtf(returnType="image_id long, region int, top int, left int, bottom int, right int, n long")
+@udtf(returnType=frame_ops.BOXES)
 class ActiveRegions:
     """The regions of one image's pixels, which a partition of the table argument holds: image_id, y, x of those above a threshold."""
 

@@ -1,9 +1,10 @@
 """What grows with a table: rows that steps make, what they shuffle, and odd inputs that larger tables hold."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from lumirel.operators import compose, frames, geometry, joins, kernels, stretch
+from lumirel.operators import compose, evolution, frames, geometry, joins, kernels, stretch
 from lumirel.plans import frame_queries, pixel_queries, registry  # noqa: F401
 from lumirel.sources.images import as_images, images, pixels, to_images, to_pixels
 
@@ -96,3 +97,28 @@ def test_points_in_ranges_are_written_small(spark, tmp_path):
     many = joins.range_join(points, ranges, F.col("v"), "low", "high", 500.0, rows=300).select("id", "r").collect()
     assert len(few) == len(many) == len(want) and {tuple(r) for r in few} == {tuple(r) for r in many} == want
     assert joins.range_join(points.limit(0), ranges, F.col("v"), "low", "high", 500.0).count() == 0
+
+
+def test_regions_of_many_images_are_one_call(spark):
+    """Each image was a call of its own, all in one task where their few pixels made one small partition."""
+    rng = np.random.default_rng(11)
+    sizes = {i: (1, 3) if i % 7 else (60, 50) for i in range(-3, 60)}
+    rows = [(i, int(y) - 5, int(x)) for i, s in sizes.items() for y, x in zip(*np.nonzero(rng.random(s) < 0.35), strict=True)]
+    all_ = pd.DataFrame(rows, columns=["image_id", "y", "x"]).sample(frac=1, random_state=1)
+    alone = pd.concat([frames._components(one) for _, one in all_.groupby("image_id")])
+    want = sorted(map(tuple, alone.values.tolist()))
+    assert len({r[:2] for r in want}) == len(want) > 200 and sum(r[-1] for r in want) == len(rows)
+    assert sorted(map(tuple, frames._components(all_).values.tolist())) == want
+    out = frames.regions(spark.createDataFrame(all_))
+    with_null = spark.createDataFrame(all_).unionByName(spark.sql("select null image_id, 1L y, 1L x"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 7, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert sorted(map(tuple, out.collect())) == want
+        assert sorted(map(tuple, frames.regions(with_null).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert frames.regions(spark.createDataFrame(all_).limit(0)).count() == 0
+    px = pixels(spark, "/root/testdata/sf0.001")
+    assert "FlatMapGroupsInPandas" not in plan(frames.active_regions(px)) and "FlatMapGroupsInPandas" not in plan(frames.regions(evolution.outlying(px)))
