@@ -76,7 +76,7 @@ def crop_ar(spark, sf_dir):
 
 @query(f"WITH {{px}}, {_BEST} SELECT a.image_id, arg_min(b.image_id, ((a.cy - b.cy) * (a.cy - b.cy) + (a.cx - b.cx) * (a.cx - b.cx), b.image_id)) AS anchor_id, min((a.cy - b.cy) * (a.cy - b.cy) + (a.cx - b.cx) * (a.cx - b.cx))::DOUBLE AS d2 FROM best a JOIN best b ON a.grp = b.grp AND a.image_id <> b.image_id AND (a.cy - b.cy) * (a.cy - b.cy) + (a.cx - b.cx) * (a.cx - b.cx) <= 4 GROUP BY a.image_id")
 def nearest_region(spark, sf_dir):
-    found = frames.regions(pixels(spark, sf_dir)).join(images(spark, sf_dir).select("image_id", "grp"), "image_id")
+    found = frames.brightest_regions(pixels(spark, sf_dir)).join(images(spark, sf_dir).select("image_id", "grp"), "image_id")
     return frames.nearest_region(found, found, 2.0)
 
 
