@@ -170,7 +170,7 @@ def polynomial_fit(spark, sf_dir):
 @query(f"WITH {{px}}, {_BEST} SELECT px.image_id, y, x, CASE WHEN (y BETWEEN cy - 1 AND cy + 1) AND (x BETWEEN cx - 1 AND cx + 1) AND (y IN (cy - 1, cy + 1) OR x IN (cx - 1, cx + 1)) THEN 65535.0 ELSE v END AS v FROM px JOIN best USING (image_id)")
 def ar_overlay(spark, sf_dir):
     px = pixels(spark, sf_dir).select("image_id", "y", "x", "v")
-    return compose.overlay_regions(px, frames.regions(px))
+    return compose.overlay_regions(px, frames.brightest_regions(px))
 
 
 @query(

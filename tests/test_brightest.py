@@ -19,3 +19,12 @@ def test_nearest_region_goes_by_the_brightest_pixel(spark, tmp_path):
     assert got == [(1, 2, 4.0), (2, 1, 4.0)]
     boxes = {r.image_id: (r.top, r.left, r.bottom, r.right) for r in frames.brightest_regions(spark.createDataFrame([(0, 3, 1, 5.0), (0, 1, 4, 5.0)], "image_id long, y int, x int, v double")).collect()}
     assert boxes == {0: (0, 3, 2, 5)}
+
+
+def test_overlay_is_around_the_brightest_pixel(spark, tmp_path):
+    """Boxes of all connected pixels were drawn."""
+    d = table(spark, tmp_path, {1: (0, (0, 2), (6, 5)), 2: (0, (4, 4))})
+    drawn = {(r.image_id, r.y, r.x) for r in QUERIES["ar_overlay"](spark, d).filter("v = 65535").collect()}
+    around = {(2, y, x) for y in (3, 4, 5) for x in (3, 4, 5)}
+    # Of equal pixels the first counts; both are at the peak themselves.
+    assert drawn == around | {(1, 0, 1), (1, 0, 2), (1, 0, 3), (1, 1, 1), (1, 1, 2), (1, 1, 3), (1, 6, 5)}
