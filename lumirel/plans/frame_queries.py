@@ -64,7 +64,7 @@ _BEST = "best AS (SELECT image_id, grp, arg_max(y, (v, -y, -x)) AS cy, arg_max(x
 @query(f"WITH {{px}}, {_BEST} SELECT px.image_id, CAST(y - cy + 1 AS INT) AS y, CAST(x - cx + 1 AS INT) AS x, v FROM px JOIN best USING (image_id) WHERE y BETWEEN cy - 1 AND cy + 1 AND x BETWEEN cx - 1 AND cx + 1")
 def crop_regions(spark, sf_dir):
     px = pixels(spark, sf_dir).select("image_id", "y", "x", "v")
-    return frames.crop_regions(px, frames.regions(px))
+    return frames.crop_regions(px, frames.brightest_regions(px))
 
 
 @query()

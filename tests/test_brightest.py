@@ -28,3 +28,11 @@ def test_overlay_is_around_the_brightest_pixel(spark, tmp_path):
     around = {(2, y, x) for y in (3, 4, 5) for x in (3, 4, 5)}
     # Of equal pixels the first counts; both are at the peak themselves.
     assert drawn == around | {(1, 0, 1), (1, 0, 2), (1, 0, 3), (1, 1, 1), (1, 1, 2), (1, 1, 3), (1, 6, 5)}
+
+
+def test_crop_is_the_brightest_pixels_box(spark, tmp_path):
+    """Whole images were given, as all their pixels touch."""
+    d = table(spark, tmp_path, {1: (0, (7, 3)), 2: (0, (4, 4))})
+    got = {(r.image_id, r.y, r.x): r.v for r in QUERIES["crop_regions"](spark, d).collect()}
+    assert set(got) == {(2, y, x) for y in range(3) for x in range(3)} | {(1, y, x) for y in range(2) for x in range(3)}
+    assert {k for k, v in got.items() if v == 65535} == {(1, 1, 1), (2, 1, 1)}
