@@ -20,6 +20,8 @@ SKY_REACH, RADII, AZIMUTHS = 1.6, 240, 720
 #: A reflection's step at its rim is this part of the sky's level at least, and this part of its crescent shows it.
 GHOST_STEP, GHOST_SHARE = 0.01, 0.7
 MOST_GHOSTS = 6
+#: So many azimuths of a move are tried, and so many candidates are judged at once.
+MOVES, JUDGED = 120, 64
 #: How far outside of the disk its own edge may reach, in radii.
 LIMB = 0.08
 #: Beyond so many radii a pixel is sky; beyond the second number it has no veil.
@@ -46,6 +48,17 @@ def _gauss(x: np.ndarray, sigma: float, axis: int, wrap: bool = False) -> np.nda
     return out
 
 
+def _wrapped_gauss(x: np.ndarray, sigma: float) -> np.ndarray:
+    """_gauss along wrapping rows, as products of blocks of columns with a band of weights; columns are a multiple of 60."""
+    half, block = max(1, int(np.ceil(3 * sigma))), 60
+    k = np.exp(-0.5 * (np.arange(-half, half + 1) / max(sigma, 1e-6)) ** 2)
+    band = np.zeros((block + 2 * half, block))
+    for i in range(block):
+        band[i : i + len(k), i] = k / k.sum()
+    wide = np.pad(x, ((0, 0), (half, half)), mode="wrap")
+    return np.concatenate([wide[:, i : i + len(band)] @ band for i in range(0, x.shape[1], block)], axis=1)
+
+
 def _rim(shift: float, turn: np.ndarray) -> np.ndarray:
     """How far from the disk's centre a disk of radius 1 ends that is moved by shift, at azimuths against that of its move."""
     return shift * np.cos(turn) + np.sqrt(np.maximum(0.0, 1 - (shift * np.sin(turn)) ** 2))
@@ -61,30 +74,69 @@ class _Sky:
         py, px = cy + radii * np.sin(self.turns), cx + radii * np.cos(self.turns)
         self.known = (py >= 0) & (py <= h - 1) & (px >= 0) & (px <= w - 1)
         self.enough = bool(self.known.sum() >= 0.2 * self.known.size)
-        self.polar = Sampler(shape, np.clip(py, 0, h - 1), np.clip(px, 0, w - 1), "bilinear")
+        self.places = Sampler(shape, np.clip(py, 0, h - 1), np.clip(px, 0, w - 1), "bilinear")
+        self.flat = [[row * w + column for column in self.places.columns] for row in self.places.rows]
         self.around = np.linspace(1, SKY_REACH, RADII)[:, None]
         y, x = np.indices(shape).astype(float)
         r = np.hypot(y - cy, x - cx) / radius
         at_r, at_t = (r - 1) / (SKY_REACH - 1) * (RADII - 1), (np.arctan2(y - cy, x - cx) % (2 * np.pi)) / (2 * np.pi) * AZIMUTHS
         self.back = Sampler((RADII, AZIMUTHS + 1), np.clip(at_r, 0, RADII - 1), np.clip(at_t, 0, AZIMUTHS), "bilinear")
         self.shown = (r > 1) & (r <= SKY_REACH)
+        # The places of the grid that shown pixels are read from.
+        taps = np.stack([row[self.shown] * AZIMUTHS + column[self.shown] % AZIMUTHS for row in self.back.rows for column in self.back.columns])
+        self.read = np.unique(taps)
         # How many known places a ring has.
         self.n = self.known.sum(1)
         self.candidates()
 
+    def polar(self, image: np.ndarray) -> np.ndarray:
+        """The image's values on the grid; the same sums as Sampler's, by flat places."""
+        flat, out = image.reshape(-1), np.zeros(self.known.shape)
+        # A few rings at a time, whose numbers stay near the processor.
+        for i in range(0, RADII, 12):
+            at = slice(i, i + 12)
+            x0, x1 = (v[at] for v in self.places.wx)
+            for w, (a, b) in zip(self.places.wy, self.flat, strict=True):
+                out[at] += w[at] * (x0 * flat.take(a[at]) + x1 * flat.take(b[at]))
+        return out
+
+    def spread(self, total: np.ndarray) -> np.ndarray:
+        """The image of what lies on the grid, smoothed; of a small image only the places that are read are."""
+        taps = [(g, s, max(1, int(np.ceil(3 * s)))) for g, s in ((1, 3), (0, 2))]
+        if len(self.read) * (2 * taps[1][2] + 1) > total.size:
+            smooth = _gauss(_gauss(total, 3, 1, wrap=True), 2, 0)
+        else:
+            (kt, ht), (kr, hr) = ((np.exp(-0.5 * (np.arange(-h, h + 1) / s) ** 2), h) for _, s, h in taps)
+            r, t = self.read // AZIMUTHS, self.read % AZIMUTHS
+            rows = np.clip(r[:, None] + np.arange(-hr, hr + 1), 0, RADII - 1)
+            along = np.zeros(rows.shape)
+            for i, w in enumerate(kt / kt.sum()):
+                along += total[rows, ((t + i - ht) % AZIMUTHS)[:, None]] * w
+            own = np.zeros(len(r))
+            for i, w in enumerate(kr / kr.sum()):
+                own += along[:, i] * w
+            smooth = np.zeros(total.shape)
+            smooth.reshape(-1)[self.read] = own
+        return np.where(self.shown, self.back(np.concatenate([smooth, smooth[:, :1]], axis=1)), 0.0)
+
     def candidates(self) -> None:
         """For each shift and azimuth that has places enough: those inside and outside of its rim, as rows of equal length whose rest is beyond the end."""
         span = SKY_REACH - 1
         gap, off = max(2, round(0.03 / span * RADII)), int(np.ceil(LIMB / span * RADII))
         inner = np.abs((self.turns + np.pi) % (2 * np.pi) - np.pi) <= np.pi / 3
-        rows = np.flatnonzero(inner)
-        column = (rows[None] + np.arange(0, AZIMUTHS, AZIMUTHS // 120)[:, None]) % AZIMUTHS
-        shifts, turns, lows, highs, sizes = [], [], [], [], []
+        rows, every = np.flatnonzero(inner), AZIMUTHS // MOVES
+        column = (rows[None] + np.arange(0, AZIMUTHS, every)[:, None]) % AZIMUTHS
+        shifts, turns, lows, highs, sizes, chosen, whole, starts = [], [], [], [], [], [], [], []
+        # Where what all moves of a shift see in one direction begins, when azimuths are dealt to every rows that go around twice.
+        start = rows % every * 2 * MOVES + rows // every
         for shift in np.arange(0.1, 0.5, 0.02):
             at = np.round((_rim(shift, self.turns[inner]) - 1) / span * (RADII - 1)).astype(int)
             low, high = np.clip(at - gap, 0, RADII - 1)[None], np.clip(at + gap, 0, RADII - 1)[None]
             both = self.known[low, column] & self.known[high, column] & (at - gap >= off)
             many = both.sum(1) >= 20
+            starts.append(np.stack([low[0], high[0]]) * every * 2 * MOVES + start)
+            whole.append(both.T)
+            chosen.append(many)
             both, own = both[many], column[many]
             # The places that count come first.
             order = np.argsort(~both, axis=1, kind="stable")
@@ -93,19 +145,51 @@ class _Sky:
                 out.append(np.take_along_axis(np.where(both, side * AZIMUTHS + own, past), order, 1))
             sizes.append(both.sum(1))
             shifts.append(np.full(many.sum(), shift))
-            turns.append(self.turns[:: AZIMUTHS // 120][many])
+            turns.append(self.turns[::every][many])
         self.shift, self.azimuth, self.size = np.concatenate(shifts), np.concatenate(turns), np.concatenate(sizes)
         most = int(self.size.max(initial=0))
         self.low, self.high = (np.ascontiguousarray(np.concatenate(x)[:, :most]) for x in (lows, highs))
+        self.starts, self.chosen = np.stack(starts, 1), np.concatenate(chosen)
+        self.whole = np.stack(whole)
+        # Held, as getting so much memory for each image takes longer than filling it.
+        self.fall, self.many, self.ended = np.empty(self.whole.shape, np.float32), np.empty(self.whole.shape, bool), np.empty(RADII * AZIMUTHS + 1)
 
     def levels(self, polar: np.ndarray) -> np.ndarray:
         """Of each ring, the level below which a tenth of its sky lies; NaN of a ring that has none."""
         out = np.full(len(polar), np.nan)
-        for n in np.unique(self.n[self.n > 0]):
-            own = np.flatnonzero(self.n == n)
-            out[own] = np.quantile(polar[own][self.known[own]].reshape(len(own), n), 0.1, axis=1)
+        own = np.flatnonzero(self.n > 0)
+        ordered = np.sort(np.where(self.known, polar, np.inf)[own], axis=1)
+        at = 0.1 * (self.n[own] - 1)
+        below, share = np.floor(at).astype(int), at - np.floor(at)
+        a, b = (np.take_along_axis(ordered, np.minimum(below + i, self.n[own] - 1)[:, None], 1)[:, 0] for i in (0, 1))
+        out[own] = np.where(share >= 0.5, b - (b - a) * (1 - share), a + (b - a) * share)
         return out
 
+    def falls(self, excess: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far the excess falls at each direction of each shift, for all moves side by side, and its sums by candidates; of single precision and only for bounds."""
+        every = AZIMUTHS // MOVES
+        own = excess.astype(np.float32).reshape(RADII, MOVES, every).transpose(0, 2, 1)
+        flat = np.concatenate([own, own], axis=2)
+        moves = np.lib.stride_tricks.sliding_window_view(flat.reshape(-1), MOVES)
+        sums = np.empty(self.fall.shape[::2], np.float32)
+        for out, low, high, total in zip(self.fall, *self.starts, sums, strict=True):
+            np.subtract(moves[low], moves[high], out=out).sum(axis=0, out=total)
+        return self.fall, sums.reshape(-1)[self.chosen]
+
+    def judged(self, excess: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+        """The median falls of some candidates; minus infinity of those that don't count."""
+        # What is no place of a candidate is infinite, and after all that are.
+        self.ended[:-1], self.ended[-1] = excess.reshape(-1), np.inf
+        fall = self.ended.take(self.low[own])
+        self.ended[-1] = 0
+        fall -= self.ended.take(self.high[own])
+        fall.sort(axis=1)
+        n, at = self.size[own], np.arange(len(own))
+        upper = fall[at, n // 2]
+        step = np.where(n % 2 == 1, upper, (fall[at, n // 2 - 1] + upper) / 2)
+        falling = ((fall > 0.5 * step[:, None]).sum(1) - (fall.shape[1] - n)) / n
+        return np.where((step > least) & (falling >= GHOST_SHARE), step, -np.inf)
+
     def ghost(self, excess: np.ndarray, least: float, found: list[tuple[float, float]]) -> tuple[float, float] | None:
         """(shift, azimuth) of the moved disk at whose rim the excess falls most, in radii; None if no fall counts.
 
@@ -114,27 +198,52 @@ class _Sky:
         """
         if not len(self.shift):
             return None
-        # What is no place of a candidate is infinite, and after all that are.
-        fall = np.append(excess.reshape(-1), np.inf).take(self.low, mode="clip")
-        fall -= np.append(excess.reshape(-1), 0.0).take(self.high, mode="clip")
-        fall.sort(axis=1)
-        n, at = self.size, np.arange(len(fall))
-        upper = fall[at, n // 2]
-        step = np.where(n % 2 == 1, upper, (fall[at, n // 2 - 1] + upper) / 2)
-        falling = ((fall > 0.5 * step[:, None]).sum(1) - (fall.shape[1] - n)) / n
+        rest = np.ones(len(self.shift), bool)
         for s, a in found:
-            step[(np.abs(self.shift - s) < 0.06) & (np.abs((self.azimuth - a + np.pi) % (2 * np.pi) - np.pi) < 0.5)] = -np.inf
-        step = np.where((step > least) & (falling >= GHOST_SHARE), step, -np.inf)
-        best = int(step.argmax())
-        return (float(self.shift[best]), float(self.azimuth[best])) if step[best] > -np.inf else None
+            rest &= ~((np.abs(self.shift - s) < 0.06) & (np.abs((self.azimuth - a + np.pi) % (2 * np.pi) - np.pi) < 0.5))
+        peak = float(np.abs(excess).max())
+        if not peak > 0:
+            return None
+        fall, sums = self.falls(excess / peak)
+
+        def above(level: float) -> np.ndarray:
+            """How many places of each candidate may fall by level or more: the slack is above what single precision loses."""
+            many = np.greater_equal(fall, np.float32(level / peak - 1e-6), out=self.many)
+            many &= self.whole
+            return np.add.reduce(many.view(np.uint8), axis=1, dtype=np.uint8 if fall.shape[1] < 256 else int).reshape(-1)[self.chosen].astype(int)
+
+        # A median above a level has half of the places there, and a fall that counts has its share above half of the level.
+        rest &= (2 * above(least) >= self.size) & (above(0.5 * least) >= GHOST_SHARE * self.size - 1e-6)
+        if not rest.any():
+            return None
+        # The steepest on the whole come first, so that what they reach leaves out most others.
+        order = np.flatnonzero(rest)
+        order = order[np.argsort(-(sums / self.size)[order], kind="stable")]
+        best, at = -np.inf, -1
+        while len(order):
+            own, order = order[:JUDGED], order[JUDGED:]
+            step = self.judged(excess, own, least)
+            top = float(step.max())
+            if top == -np.inf or top < best:
+                continue
+            # Of equal ones the first candidate.
+            first = int(own[step == top].min())
+            at = first if top > best else min(at, first)
+            if top > best and len(order):
+                order = order[2 * above(top)[order] >= self.size[order]]
+            best = top
+        return (float(self.shift[at]), float(self.azimuth[at])) if at >= 0 else None
 
 
 def _medians(group: np.ndarray, value: np.ndarray, groups: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The medians of the values of some groups; n is the size of every group."""
-    ordered = value[np.lexsort((value, group))]
-    first = np.cumsum(n) - n
-    upper = ordered[(first + n // 2)[groups]]
-    return np.where(n[groups] % 2 == 1, upper, (ordered[(first + n // 2 - 1)[groups]] + upper) / 2)
+    first, own = np.cumsum(n) - n, np.argsort(group.astype(np.int16) if len(n) < 1 << 15 else group, kind="stable")
+    rows = np.full((len(n), int(n.max(initial=0))), np.inf)
+    rows[group[own], np.arange(len(own)) - first[group[own]]] = value[own]
+    rows = np.sort(rows[groups], axis=1)
+    at, size = np.arange(len(groups)), n[groups]
+    upper = rows[at, size // 2]
+    return np.where(size % 2 == 1, upper, (rows[at, size // 2 - 1] + upper) / 2)
 
 
 def _reflections(image: np.ndarray, sky: _Sky) -> np.ndarray | None:
@@ -149,7 +258,7 @@ def _reflections(image: np.ndarray, sky: _Sky) -> np.ndarray | None:
     off = int(np.ceil(LIMB / (SKY_REACH - 1) * RADII))
     excess = np.where(known, np.maximum(polar - level[:, None], 0.0), 0.0)
     excess[:off] = excess[off]
-    smooth = _gauss(excess, 10, 1, wrap=True)
+    smooth = _wrapped_gauss(excess, 10)
     taken, total = [], np.zeros(polar.shape)
     for _ in range(MOST_GHOSTS):
         found = sky.ghost(smooth, GHOST_STEP * abs(base), taken)
@@ -157,28 +266,32 @@ def _reflections(image: np.ndarray, sky: _Sky) -> np.ndarray | None:
             break
         shift, azimuth = found
         taken.append(found)
-        rim = _rim(shift, sky.turns - azimuth)[None, :]
-        inside = (around <= rim - 0.02) & known
+        rim = _rim(shift, sky.turns - azimuth)
+        # Nothing happens further out than the rim.
+        beside, reach = np.flatnonzero(around[0] <= rim + 0.02), int((around <= rim.max() + 0.02).sum())
+        rim, own_around = rim[None, beside], around[:reach]
+        parts = [slice(p[0], p[-1] + 1) for p in np.split(beside, np.flatnonzero(np.diff(beside) > 1) + 1)]
+        inside = (own_around <= rim - 0.02) & np.concatenate([known[:reach, p] for p in parts], axis=1)
         if inside.sum() < 50:
             continue
+        seen_light = np.concatenate([smooth[:reach, p] for p in parts], axis=1)
         # The reflection's light by distance from its rim, the same all around; never more than what is there.
-        away = np.minimum(((rim - around) / (SKY_REACH - 1) * RADII).astype(int), RADII - 1)
+        away = np.minimum(((rim - own_around) / (SKY_REACH - 1) * RADII).astype(int), RADII - 1)
         own = away[inside]
         order = np.bincount(own, minlength=RADII)
         seen = np.flatnonzero(order >= 10)
         if not len(seen):
             continue
-        profile = np.interp(np.arange(RADII), seen, _medians(own, smooth[inside], seen, order))
+        profile = np.interp(np.arange(RADII), seen, _medians(own, seen_light[inside], seen, order))
         # It fades out over the width of the rim.
-        fade = np.clip((rim - around) / 0.04 + 0.5, 0, 1)
-        light = np.minimum(profile[np.maximum(away, 0)] * fade, smooth) * (around <= rim + 0.02)
-        total += light
-        smooth = np.maximum(smooth - light, 0.0)
+        fade = np.clip((rim - own_around) / 0.04 + 0.5, 0, 1)
+        light = np.minimum(profile[np.maximum(away, 0)] * fade, seen_light) * (own_around <= rim + 0.02)
+        for p, part in zip(parts, np.split(light, np.cumsum([p.stop - p.start for p in parts])[:-1], axis=1), strict=True):
+            total[:reach, p] += part
+            smooth[:reach, p] = np.maximum(smooth[:reach, p] - part, 0.0)
     if not total.any():
         return None
-    total = _gauss(_gauss(total, 3, 1, wrap=True), 2, 0)
-    out = sky.back(np.concatenate([total, total[:, :1]], axis=1))
-    return np.where(sky.shown, out, 0.0)
+    return sky.spread(total)
 
 
 def _usable(stack: np.ndarray, radius: float | None) -> bool:

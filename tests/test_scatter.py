@@ -219,3 +219,26 @@ def test_search_is_of_all_candidates_at_once():
     group, value = rng.integers(0, 5, 999), rng.random(999)
     n = np.bincount(group, minlength=5)
     assert scatter._medians(group, value, np.array([1, 4]), n).tolist() == [np.median(value[group == 1]), np.median(value[group == 4])]
+
+
+def test_search_judges_few_candidates(monkeypatch):
+    """All of two thousand candidates were sorted in each search, whatever the best of them reached."""
+    sky, rng, judged = scatter._Sky((8, 8), 3.5, 3.5, 2.5), np.random.default_rng(8), []
+    all_ = np.arange(len(sky.size))
+    whole = scatter._Sky.judged
+    monkeypatch.setattr(scatter._Sky, "judged", lambda self, excess, own, least: judged.append(len(own)) or whole(self, excess, own, least))
+    for k in range(12):
+        excess = np.where(sky.known, scatter._wrapped_gauss(np.maximum(sky.polar(rng.normal(size=(8, 8)) * 10.0 ** (k - 5)), 0), 10), 0)
+        least, found = 0.01 * excess.mean(), []
+        for _ in range(4):
+            steps = whole(sky, excess, all_, least)
+            for s, a in found:
+                steps[(np.abs(sky.shift - s) < 0.06) & (np.abs((sky.azimuth - a + np.pi) % (2 * np.pi) - np.pi) < 0.5)] = -np.inf
+            want = (sky.shift[steps.argmax()], sky.azimuth[steps.argmax()]) if steps.max() > -np.inf else None
+            got_ = sky.ghost(excess, least, found)
+            assert got_ == want
+            found += [got_] if got_ else []
+    assert judged and np.mean(judged) < 0.2 * len(all_)
+    assert sky.ghost(np.zeros(sky.known.shape), 0.0, []) is None
+    ring = np.abs(rng.normal(size=(3, scatter.AZIMUTHS)))
+    assert np.allclose(scatter._wrapped_gauss(ring, 10), scatter._gauss(ring, 10, 1, wrap=True), rtol=1e-12)
