@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -84,27 +84,42 @@ def linked(links: DataFrame) -> DataFrame:
             return labels
 
 
-def tracks(frames: DataFrame, sigma: float = 3.0, least: int = 1, gap: int = 1, reach: int = 1) -> DataFrame:
+def numbered(frames: DataFrame, by: str, span: int = 1 << 16) -> DataFrame:
+    """(image_id, by, frame): the place of each image among those of its group, by image_id.
+
+    Images are numbered within spans of image_id, so that a large group is dealt over tasks; what came before a span is a sum of one row a span.
+    """
+    ids = frames.select("image_id", by).distinct().withColumn("_span", F.floor(F.col("image_id") / span))
+    before = Window.partitionBy(by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ids.groupBy(by, "_span").count().select(F.col(by).alias("_by"), F.col("_span").alias("_of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    own = ids.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_span").orderBy("image_id")))
+    return own.join(counts, (F.col("_span") == F.col("_of")) & F.col(by).eqNullSafe(F.col("_by"))).select("image_id", by, (F.col("_before") + F.col("_n")).alias("frame"))
+
+
+def tracks(frames: DataFrame, sigma: float = 3.0, least: int = 1, gap: int = 1, reach: int = 1, by: str | None = None) -> DataFrame:
     """(track, first, last, n_frames, n_pixels, peak, top, left, bottom, right): what stands out from its columns in frames that follow each other.
 
     Pixels of a frame that stand out (see outlying) and touch are a blob, of least pixels or more; blobs no more than gap frames apart whose
     boxes, widened by reach pixels, meet are one track, named by its first blob. Blobs meet by an equi-join on frames and cells of the
-    slit, so no blob is compared with all others.
+    slit, so no blob is compared with all others. image_id numbers the frames; with by, a column, the images of each of its values are frames
+    of their own, in order of image_id, whatever other images have ids between theirs.
     """
     found = outlying(frames, sigma)
     flags = written(found.select("image_id", "y", "x", F.abs("score").alias("score")), "found")
     boxes = frame_ops.regions(flags).filter(F.col("n") >= least)
     named = F.format_string("%012d.%06d", "image_id", "region")
-    boxes = written(boxes.withColumn("blob", named), "blobs")
+    boxes = boxes.withColumn("blob", named)
+    placed = boxes.join(numbered(frames, by).withColumnRenamed(by, "_g"), "image_id") if by else boxes.withColumns({"_g": F.lit(0), "frame": F.col("image_id")})
+    boxes = written(placed, "blobs")
     # Pixels that belong to no counted blob are in no box of their frame, or in one that they don't belong to; peaks are of a box.
     inside = flags.join(boxes.select("image_id", "blob", "top", "left", "bottom", "right"), "image_id").filter("y between top and bottom and x between left and right")
     peaks = inside.groupBy("blob").agg(F.max("score").alias("peak"))
     cell = 64
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
-    own = boxes.select("image_id", "blob", "top", "left", "bottom", "right", cells(F.col("left"), F.col("right")).alias("_c"))
-    other = boxes.select(F.explode(F.sequence(F.col("image_id") - gap, F.col("image_id") - 1)).alias("image_id"), F.col("blob").alias("b"), F.col("top").alias("_t"), F.col("left").alias("_l"), F.col("bottom").alias("_b"), F.col("right").alias("_r"))
-    other = other.withColumn("_c", cells(F.col("_l") - reach, F.col("_r") + reach))
-    met = own.join(other, ["image_id", "_c"]).filter((F.col("_t") - reach <= F.col("bottom")) & (F.col("_b") + reach >= F.col("top")) & (F.col("_l") - reach <= F.col("right")) & (F.col("_r") + reach >= F.col("left")))
+    own = boxes.select("_g", "frame", "blob", "top", "left", "bottom", "right", cells(F.col("left"), F.col("right")).alias("_c"))
+    other = boxes.select(F.col("_g").alias("_h"), F.explode(F.sequence(F.col("frame") - gap, F.col("frame") - 1)).alias("_f"), F.col("blob").alias("b"), F.col("top").alias("_t"), F.col("left").alias("_l"), F.col("bottom").alias("_b"), F.col("right").alias("_r"))
+    other = other.withColumn("_d", cells(F.col("_l") - reach, F.col("_r") + reach))
+    met = own.join(other, (F.col("frame") == F.col("_f")) & (F.col("_c") == F.col("_d")) & F.col("_g").eqNullSafe(F.col("_h"))).filter((F.col("_t") - reach <= F.col("bottom")) & (F.col("_b") + reach >= F.col("top")) & (F.col("_l") - reach <= F.col("right")) & (F.col("_r") + reach >= F.col("left")))
     labels = linked(met.select(F.col("blob").alias("a"), "b").distinct())
     all_ = boxes.join(labels.select(F.col("node").alias("blob"), "component"), "blob", "left").join(peaks, "blob", "left").withColumn("track", F.coalesce("component", "blob"))
     ends = (F.min("image_id").alias("first"), F.max("image_id").alias("last"), F.countDistinct("image_id").alias("n_frames"), F.sum("n").alias("n_pixels"), F.max("peak").alias("peak"))

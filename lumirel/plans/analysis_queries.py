@@ -190,7 +190,7 @@ def shells(spark, sf_dir):
 @query()
 def detection_tracks(spark, sf_dir):
     """What stands out in images of a group that follow each other, of all groups in one plan."""
-    return evolution.tracks(pixels(spark, sf_dir).select("image_id", "y", "x", "v"), 3.0)
+    return evolution.tracks(pixels(spark, sf_dir).select("image_id", "grp", "y", "x", "v"), 3.0, by="grp")
 
 
 @query("WITH {px}, l AS (SELECT grp, y, x, image_id, v, lead(v) OVER (PARTITION BY grp, y, x ORDER BY image_id) AS n FROM px) SELECT CAST(s AS INT) AS step, y, x, v + (n - v) * s / 4.0 AS v FROM l, generate_series(1, 3) t(s) WHERE n IS NOT NULL")

@@ -5,6 +5,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lumirel.operators import evolution, frames
+from lumirel.plans import analysis_queries  # noqa: F401
+from lumirel.plans.registry import QUERIES
 
 
 def pixels(spark, *images, ids=None):
@@ -91,3 +93,39 @@ def test_table_functions_give_the_rows_of_the_operators(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, frames.active_regions(px, 1.0).collect()))
     none = spark.sql("SELECT * FROM active_regions(TABLE({bright}) PARTITION BY image_id)", bright=bright.limit(0))
     assert none.count() == 0
+
+
+def test_tracks_follow_the_images_of_a_group(spark, tmp_path):
+    """Only images of following ids were linked, of whatever groups, so links within a group were left out and others made."""
+    rng = np.random.default_rng(12)
+    groups = {i: (None, 0, 1, 7)[k] for i, k in zip(np.cumsum(rng.integers(1, 40, 120)).tolist(), rng.integers(0, 4, 120).tolist(), strict=True)}
+    data = {i: (0.01 * rng.normal(size=64) + 0.4 * (rng.random(64) < 0.04)).astype(np.float32) for i in groups}
+    spark.createDataFrame([(i, data[i].tolist(), groups[i]) for i in groups], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    blobs, at = [], {}
+    for i, g in groups.items():
+        at[g] = at.get(g, 0) + 1
+        image = np.floor((data[i].astype(float) + 1) * 32767.5).reshape(8, 8)
+        off = np.abs(image - np.median(image, axis=0))
+        y, x = np.nonzero(off > 3 * 1.4826 * np.median(off))
+        own = frames._components(pd.DataFrame({"image_id": i, "y": y, "x": x}))
+        blobs += [(g, at[g], i, *r) for r in own[["top", "left", "bottom", "right", "n"]].itertuples(index=False, name=None)]
+    name = list(range(len(blobs)))
+    for _ in range(200):
+        before = list(name)
+        for p, a in enumerate(blobs):
+            for q, b in enumerate(blobs):
+                if a[0] == b[0] and abs(a[1] - b[1]) == 1 and b[3] - 1 <= a[5] and b[5] + 1 >= a[3] and b[4] - 1 <= a[6] and b[6] + 1 >= a[4]:
+                    name[p] = name[q] = min(name[p], name[q])
+        if name == before:
+            break
+    want = []
+    for k in set(name):
+        own = [b for b, n in zip(blobs, name, strict=True) if n == k]
+        ids = {b[2] for b in own}
+        want.append((min(ids), max(ids), len(ids), sum(b[7] for b in own), min(b[3] for b in own), min(b[4] for b in own), max(b[5] for b in own), max(b[6] for b in own)))
+    got = QUERIES["detection_tracks"](spark, str(tmp_path)).collect()
+    assert sorted((r.first, r.last, r.n_frames, r.n_pixels, r.top, r.left, r.bottom, r.right) for r in got) == sorted(want)
+    assert max(r.n_frames for r in got) > 3
+    places = evolution.numbered(spark.createDataFrame([(i, groups[i]) for i in groups], "image_id long, grp int"), "grp", 50).collect()
+    order = {g: sorted(i for i in groups if groups[i] == g) for g in set(groups.values())}
+    assert len(places) == 120 and all(order[r.grp][r.frame - 1] == r.image_id for r in places)
